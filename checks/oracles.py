@@ -75,6 +75,13 @@ landed AS (
          doc_type AS "_documentType", plugin AS "_plugin"
   FROM routable) """
 
+_FROM_STORE = (
+    _ENVELOPES
+    + f"SELECT pid, level, message, {_EPOCH.format('time')} AS timestamp FROM landed "
+    + "WHERE CAST(time AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' "
+    + "AND level = 'error' AND regexp_matches(message, '69|8')"
+)
+
 _SIGNATURES = """WITH signatures AS (
   SELECT p_partkey, 'sig_' || p_partkey AS "signatureId", p_brand AS plugin,
          CASE WHEN p_partkey % 2 = 0 THEN 'ERROR' ELSE '*' END AS "logLevel", p_type AS "docType",
@@ -261,10 +268,8 @@ def all_oracles() -> dict[str, str]:
         + "count(*) AS kept FROM messages WHERE plugin IS NULL GROUP BY ALL",
         "ingest_replay": _ENVELOPES
         + 'SELECT "_documentType", count(*) AS n FROM landed GROUP BY 1',
-        "store_log_query": _ENVELOPES
-        + f"SELECT pid, level, message, {_EPOCH.format('time')} AS timestamp FROM landed "
-        + "WHERE CAST(time AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' "
-        + "AND level = 'error' AND regexp_matches(message, '69|8')",
+        "store_log_query": _FROM_STORE,
+        "compacted_log_query": _FROM_STORE,
         "rendered_times": f"SELECT event_id, {_rendered('ts')} AS time, "
         f"{_rendered('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)')} AS start FROM events",
         "part_basename": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS name FROM orders",

@@ -557,7 +557,19 @@ def ingest_replay(spark, sf_dir):
 @_registered
 def store_log_query(spark, sf_dir):
     """The log query over a store a stream has filled, across its layouts."""
-    store = log_store.read_log_stores(spark, _streamed(spark, sf_dir))
+    store = log_store.read_log_stores(spark, _streamed(spark, sf_dir), span=(START, END))
+    found = log_query(store, LogQuery(START, END, "error", ["69", "8"]), ("pid",))
+    return found.select("pid", "level", "message", "timestamp")
+
+
+@_registered
+def compacted_log_query(spark, sf_dir):
+    """The same after the days of the store have been compacted into one dataset."""
+    root = _streamed(spark, sf_dir)
+    days = (WHOLE.start_time, WHOLE.end_time)
+    for _ in range(2):
+        log_store.compact_days(spark, root, f"{root}/compacted", *days)
+    store = log_store.read_compacted(spark, f"{root}/compacted", span=(START, END))
     found = log_query(store, LogQuery(START, END, "error", ["69", "8"]), ("pid",))
     return found.select("pid", "level", "message", "timestamp")
 

@@ -2,15 +2,20 @@
 
 Layout below the root of a store::
 
-    logs/<layout>/stream_id=<id>/batch_id=<n>/<partition columns>/*.orc
+    logs/<layout>/<partition columns>/stream_id=<id>/batch_id=<n>/*.orc
     dead_letter/stream_id=<id>/batch_id=<n>/*.orc
+
+The batch is the innermost level: a batch that is landed again replaces itself, and a query
+that names its time range lists only the directories of those days.
 """
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     IntegerType,
     LongType,
@@ -21,39 +26,56 @@ from pyspark.sql.types import (
 )
 
 from logweir.errors import NotFoundError
+from logweir.operators.filters import CALENDAR, days_of, in_calendar_range
 from logweir.schemas import DEFAULT_PAYLOAD
 from logweir.sources.layouts import DEFAULT_LAYOUT, STANDARD_STRATEGY, PartitionStrategy
-from logweir.sources.storage import exists
+from logweir.sources.storage import exists, matches_any
 
 BATCH = ("stream_id", "batch_id")
 
+# A range is named by path patterns up to this many; the coarser its grain, the fewer.
+LISTED_PATTERNS = 64
+
 
 def layout_root(root: str, layout: str) -> str:
     return f"{root}/logs/{layout}"
 
 
-def batch_path(base: str, stream_id: str, batch_id: int) -> str:
-    return f"{base}/stream_id={stream_id}/batch_id={batch_id}"
-
-
 def write_batch(
     rows: DataFrame, base: str, stream_id: str, batch_id: int, partition_by: tuple[str, ...]
 ) -> None:
-    """Write one batch of one layout, replacing what an earlier try of it left.
+    """Write one batch of one layout, replacing what an earlier try of it left."""
+    levels = (*partition_by, *BATCH)
+    rows = rows.withColumns(
+        {"stream_id": F.lit(stream_id), "batch_id": F.lit(batch_id).cast("long")}
+    )
+    _write_partitions(rows, base, partition_by, levels)
+
+
+def _write_partitions(
+    rows: DataFrame, base: str, spread: tuple[str, ...], levels: tuple[str, ...]
+) -> None:
+    """Overwrite the partitions that occur in ``rows``.
 
     Rows are rebalanced over the partition columns: small partitions share few files, and
     adaptive execution splits a crowded one over several tasks. Within a file rows are
     sorted by time, so its statistics can answer time ranges.
     """
     (
-        rows.hint("rebalance", *partition_by)
-        .sortWithinPartitions(*partition_by, "_time")
+        rows.hint("rebalance", *spread)
+        .sortWithinPartitions(*levels, "_time")
         .write.mode("overwrite")
-        .partitionBy(*partition_by)
-        .orc(batch_path(base, stream_id, batch_id))
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*levels)
+        .orc(base)
     )
 
 
+def write_dead_letters(rows: DataFrame, root: str, stream_id: str, batch_id: int) -> None:
+    path = f"{root}/dead_letter/stream_id={stream_id}/batch_id={batch_id}"
+    rows.write.mode("overwrite").orc(path)
+
+
 def store_schema(payload: StructType = DEFAULT_PAYLOAD) -> StructType:
     return StructType(
         [
@@ -73,16 +95,64 @@ def read_log_store(
     root: str,
     layout: str = DEFAULT_LAYOUT,
     payload: StructType = DEFAULT_PAYLOAD,
+    strategy: PartitionStrategy = STANDARD_STRATEGY,
+    span: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Rows of one layout. The row type is given, so no file is opened to plan the scan."""
+    """Rows of one layout. The row type is given, so no file is opened to plan the scan.
+
+    ``span`` (epoch seconds) limits which directories are listed, as far as the layout is
+    partitioned by date. It is a hint: rows outside it may be returned too.
+    """
     path = layout_root(root, layout)
     if not exists(spark, path):
         raise NotFoundError(f"no {layout!r} logs under {root}")
     schema = store_schema(payload)
-    stored = StructType(list(schema.fields)).add("stream_id", StringType()).add(
-        "batch_id", LongType()
+    stored = (
+        StructType(list(schema.fields))
+        .add("stream_id", StringType())
+        .add("batch_id", LongType())
     )
-    return spark.read.schema(stored).orc(path).select(*schema.fieldNames())
+    return _scan(spark, path, stored, strategy.layouts[layout], span).select(
+        *schema.fieldNames()
+    )
+
+
+def _scan(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    partition_by: tuple[str, ...],
+    span: tuple[int, int] | None,
+) -> DataFrame:
+    reader = spark.read.schema(schema).option("basePath", path)
+    pattern = span_pattern(partition_by, *span) if span else ""
+    if not pattern:
+        return reader.orc(path)
+    if not matches_any(spark, f"{path}/{pattern}"):
+        return spark.createDataFrame([], schema)
+    return reader.orc(f"{path}/{pattern}")
+
+
+def span_pattern(partition_by: tuple[str, ...], start_time: int, end_time: int) -> str:
+    """Path pattern of the partitions that hold the days of a range; empty without dates.
+
+    It names days for short ranges, months for longer and years for the longest ones.
+    """
+    first, last = days_of(start_time, end_time)
+    days = [first + timedelta(n) for n in range((last - first).days + 1)]
+    dated = [c for c in partition_by if c in CALENDAR]
+    if not dated or dated[0] != CALENDAR[0]:
+        return ""
+    for depth in range(len(dated), 0, -1):
+        named = dated[:depth]
+        levels = partition_by[: partition_by.index(named[-1]) + 1]
+        patterns = dict.fromkeys(
+            "/".join(f"{c}={getattr(day, c) if c in named else '*'}" for c in levels)
+            for day in days
+        )
+        if len(patterns) <= LISTED_PATTERNS:
+            return "{" + ",".join(patterns) + "}"
+    return ""
 
 
 def read_log_stores(
@@ -90,10 +160,11 @@ def read_log_stores(
     root: str,
     strategy: PartitionStrategy = STANDARD_STRATEGY,
     payload: StructType = DEFAULT_PAYLOAD,
+    span: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Rows of all layouts that have received any."""
     found = [
-        read_log_store(spark, root, layout, payload)
+        read_log_store(spark, root, layout, payload, strategy, span)
         for layout in strategy.layouts
         if exists(spark, layout_root(root, layout))
     ]
@@ -102,6 +173,39 @@ def read_log_stores(
     return reduce(DataFrame.unionByName, found)
 
 
+def compact_days(
+    spark: SparkSession,
+    root: str,
+    target: str,
+    start_time: int,
+    end_time: int,
+    strategy: PartitionStrategy = STANDARD_STRATEGY,
+    payload: StructType = DEFAULT_PAYLOAD,
+) -> None:
+    """Rewrite whole days of all layouts as one dataset in the default layout.
+
+    Log queries read it in place of the many small batches; it has no batch levels. A day
+    is replaced as a whole, so running a day again picks up what arrived late for it.
+    Rows without a time belong to no day and stay where they are.
+    """
+    landed = read_log_stores(spark, root, strategy, payload, (start_time, end_time))
+    days = in_calendar_range(landed, start_time, end_time)
+    _write_partitions(days, target, strategy.default, strategy.default)
+
+
+def read_compacted(
+    spark: SparkSession,
+    target: str,
+    payload: StructType = DEFAULT_PAYLOAD,
+    strategy: PartitionStrategy = STANDARD_STRATEGY,
+    span: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Rows of a compacted dataset."""
+    if not exists(spark, target):
+        raise NotFoundError(f"no compacted logs at {target}")
+    return _scan(spark, target, store_schema(payload), strategy.default, span)
+
+
 def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
     """Messages that named no document type or no plugin."""
     schema = StructType(

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from logweir.operators.parse import decode_envelope, is_routable, typed_logs
 from logweir.schemas import DEFAULT_PAYLOAD, registered_schemas
 from logweir.sources.layouts import STANDARD_STRATEGY, PartitionStrategy
-from logweir.sources.log_store import batch_path, layout_root, write_batch
+from logweir.sources.log_store import layout_root, write_batch, write_dead_letters
 
 TRIGGER = "1 minute"
 
@@ -52,9 +52,7 @@ def land_batch(
             dead = rows.filter(F.col("_layout").isNull()).select(
                 "_raw", "_documentType", "_plugin"
             )
-            dead.write.mode("overwrite").orc(
-                batch_path(f"{root}/dead_letter", stream_id, batch_id)
-            )
+            write_dead_letters(dead, root, stream_id, batch_id)
     finally:
         rows.unpersist()
     return {"dead_letter" if name is None else name: n for name, n in counts.items()}
