@@ -156,7 +156,7 @@ def all_oracles() -> dict[str, str]:
         "stored_part_totals": _LOGS
         + "SELECT count(*) AS n, min(timestamp) AS first_timestamp, "
         + "max(timestamp) AS last_timestamp FROM logs",
-        "stored_parts_by_name": "SELECT true AS same, count(*) AS total FROM events",
+        "stored_parts_match_index": "SELECT count(*) AS n, true AS same FROM events",
         "offset_page": _NUMBERED
         + f'SELECT {_SHOWN}, "offset" FROM numbered WHERE "offset" BETWEEN 290 AND 610',
         "offset_page_of_shipments": "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, "

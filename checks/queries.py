@@ -210,16 +210,20 @@ def stored_part_totals(spark, sf_dir):
 
 
 @_registered
-def stored_parts_by_name(spark, sf_dir):
-    """The first part alone starts at offset 1; all parts but it hold the rest."""
+def stored_parts_match_index(spark, sf_dir):
+    """Parts scanned by number hold what the metadata says of them."""
     path = _stored_logs(spark, sf_dir)
-    first = result_store.read_parts(spark, path, [0]).agg(F.count(F.lit(1)).alias("n"))
-    counted = result_store.read_metadata(spark, path).filter("part_id = 0").select("count")
-    total = result_store.read_metadata(spark, path).agg(F.sum("count").alias("total"))
+    index = result_store.read_metadata(spark, path)
+    numbers = list(range(index.count()))
+    scanned = parts.part_metadata(result_store.read_parts(spark, path, numbers)).select(
+        "part_id",
+        F.struct("count", "startTimestamp", "endTimestamp").alias("scanned"),
+    )
+    indexed = F.struct("count", "startTimestamp", "endTimestamp")
     return (
-        first.crossJoin(counted)
-        .crossJoin(total)
-        .select((F.col("n") == F.col("count")).alias("same"), "total")
+        index.join(scanned, "part_id")
+        .select("count", (indexed == F.col("scanned")).alias("same"))
+        .agg(F.sum("count").alias("n"), F.every("same").alias("same"))
     )
 
 

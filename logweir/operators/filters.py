@@ -51,6 +51,11 @@ def in_calendar_range(
     """
     first, last = days_of(start_time, end_time)
     terms = []
+    if time_column in df.columns:
+        terms += [
+            F.col(time_column) >= _midnight(first),
+            F.col(time_column) < _midnight(last + timedelta(days=1)),
+        ]
     if set(CALENDAR) <= set(df.columns):
         year, month, day = (F.col(c) for c in CALENDAR)
         terms += [
@@ -60,11 +65,6 @@ def in_calendar_range(
             ),
             F.make_date(year, month, day).between(F.lit(first), F.lit(last)),
         ]
-    if time_column in df.columns:
-        terms += [
-            F.col(time_column) >= _midnight(first),
-            F.col(time_column) < _midnight(last + timedelta(days=1)),
-        ]
     if not terms:
         raise ValidationError(f"no calendar columns and no {time_column!r} to filter on")
     return df.filter(reduce(and_, terms))

@@ -90,6 +90,11 @@ def store_schema(payload: StructType = DEFAULT_PAYLOAD) -> StructType:
     )
 
 
+def read_orc_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Any ORC logs of one layout, with the row type and partitions found on reading."""
+    return spark.read.orc(path)
+
+
 def read_log_store(
     spark: SparkSession,
     root: str,

@@ -38,6 +38,12 @@ from logweir.sources.storage import exists, matches_any, staged
 ROWS_PER_PART = 1_000_000
 ROWS_PER_CHUNK = 100_000
 
+# A page names the directories it reads up to this many.
+LISTED_DIRECTORIES = 64
+
+# A page of up to this many rows is sorted as a top-k, in one task.
+TOP_ROWS = 100_000
+
 SEQUENCE = "_row_sequence"
 _STORED = ("local_idx", "part_id")
 
@@ -117,13 +123,28 @@ def result_schema(spark: SparkSession, path: str) -> StructType:
     return StructType.fromJson(json.loads(spark.read.text(f"{path}/schema").first()[0]))
 
 
-def _stored_rows(spark: SparkSession, path: str, payload: StructType) -> DataFrame:
+def _stored_rows(
+    spark: SparkSession, path: str, payload: StructType, parts: tuple[int, int] | None = None
+) -> DataFrame:
     stored = (
         StructType(list(payload.fields))
         .add("local_idx", LongType())
         .add("part_id", IntegerType())
     )
-    return spark.read.schema(stored).orc(f"{path}/result")
+    reader = spark.read.schema(stored).option("basePath", f"{path}/result")
+    return reader.orc(_directories(f"{path}/result", "part_id", parts))
+
+
+def _directories(base: str, level: str, numbers: tuple[int, int] | None) -> str:
+    """Path pattern of numbered directories; a long run of them is left to the filter.
+
+    Naming the few directories of a page keeps its cost apart from the size of the result,
+    whose directories would all be listed otherwise.
+    """
+    if numbers is None or numbers[1] - numbers[0] >= LISTED_DIRECTORIES:
+        return base
+    named = ",".join(str(n) for n in range(numbers[0], numbers[1] + 1))
+    return f"{base}/{level}={{{named}}}"
 
 
 def read_parts(spark: SparkSession, path: str, part_ids: list[int] | None = None) -> DataFrame:
@@ -206,8 +227,9 @@ def _rows_of_parts(
     ).first()
     if not bounds["parts"]:
         return None
-    rows = read_parts(spark, path).filter(
-        F.col("part_id").between(bounds["first_part"], bounds["last_part"])
+    met = (bounds["first_part"], bounds["last_part"])
+    rows = _stored_rows(spark, path, result_schema(spark, path), met).filter(
+        F.col("part_id").between(*met)
         & F.col("local_idx").between(bounds["first"], bounds["last"])
     )
     return add_offset(rows, hit, bounds["parts"])
@@ -225,7 +247,17 @@ def offset_page(spark: SparkSession, path: str, start: int, end: int) -> DataFra
     if rows is None:
         return _no_rows(spark, path)
     page = rows.filter(F.col("offset").between(start - 1, end - 1))
-    return _page_columns(page).orderBy("offset")
+    return _in_order(_page_columns(page), end - start + 1)
+
+
+def _in_order(page: DataFrame, size: int) -> DataFrame:
+    """Sort a page of at most ``size`` rows.
+
+    The limit drops nothing; it has a short page sorted in one pass, where a range sort
+    would read it once more to sample it.
+    """
+    ordered = page.orderBy("offset")
+    return ordered.limit(size) if size <= TOP_ROWS else ordered
 
 
 # ---------------------------------------------------------------- time slices
@@ -307,6 +339,7 @@ def slice_page(
         .agg(F.min("chunk_id"), F.max("chunk_id"))
         .first()
     )
+    chunks = tuple(chunks)
     if chunks[0] is None:
         return SlicePage(_no_rows(spark, path), result_id, total)
     stored = (
@@ -316,15 +349,16 @@ def slice_page(
     )
     rows = (
         spark.read.schema(stored)
-        .parquet(saved)
+        .option("basePath", saved)
+        .parquet(_directories(saved, "chunk_id", chunks))
         .filter(
-            F.col("chunk_id").between(chunks[0], chunks[1])
+            F.col("chunk_id").between(*chunks)
             & F.col("position").between(start - 1, end - 1)
         )
         .withColumn("offset", F.col("position") + 1)
         .drop("position", "chunk_id")
-        .orderBy("offset")
     )
+    rows = _in_order(rows, end - start + 1)
     return SlicePage(rows, result_id, total)
 
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 from pathlib import Path
 
 import duckdb
@@ -40,6 +41,9 @@ def test_query_matches_sql(spark, duck, name):
     rows = _rows(found.columns, found.collect())
     assert rows == _rows(expected.columns, expected.fetchall())
     assert rows
+    # All of it runs inside the JVM, and nothing is paired with everything.
+    plan = found._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
 def test_every_query_has_sql():
