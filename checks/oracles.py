@@ -48,7 +48,8 @@ index AS (
 _SLICE = (
     _LOGS
     + ", slice AS (SELECT *, CAST(row_number() OVER (ORDER BY timestamp, event_id) AS BIGINT) - 1"
-    + " AS position, count(*) OVER () AS total FROM logs WHERE timestamp BETWEEN {} AND {}) "
+    + " AS position, count(*) OVER () AS total,"
+    + " (SELECT greatest(100, count(*) // 8) FROM events) AS size FROM logs WHERE timestamp BETWEEN {} AND {}) "
 )
 
 
@@ -171,13 +172,13 @@ def all_oracles() -> dict[str, str]:
         + "WHERE position BETWEEN 10 AND 59",
         "saved_slice_page": _SLICE.format(1704844800, 1704844800 + 864000)
         + f'SELECT {_SHOWN}, position + 1 AS "offset", total FROM slice '
-        + "WHERE position BETWEEN 94 AND 309",
+        + "WHERE position BETWEEN 94 AND 1399",
         "fixed_chunks": _SLICE.format(1704067200, 1706745599)
-        + "SELECT position // 100 AS chunk_id, count(*) AS n, "
+        + "SELECT position // size AS chunk_id, count(*) AS n, "
         + 'min(position) AS "startOffset", max(position) AS "endOffset", '
         + "min(timestamp) AS first_timestamp FROM slice GROUP BY 1",
         "chunk_index": _SLICE.format(1704067200, 1706745599)
-        + "SELECT 'part-' || (position // 100) || '.parquet' AS \"partName\", "
+        + "SELECT 'part-' || (position // size) || '.parquet' AS \"partName\", "
         + 'min(position) AS "startOffset", max(position) AS "endOffset" FROM slice GROUP BY 1',
         "browse_whole_result": _SEARCHED
         + f'SELECT event_id, level, {_rendered("time")} AS time, "offset", '
@@ -218,8 +219,8 @@ def all_oracles() -> dict[str, str]:
         "signature_lookup": _SIGNATURES
         + 'SELECT "signatureId", plugin, "docType", keywords FROM signatures '
         + "WHERE \"signatureId\" = 'sig_42'",
-        "run_signature_matches": "SELECT doc_id FROM documents WHERE regexp_matches(text, "
-        "(SELECT replace(p_name, ' ', '|') FROM part WHERE p_partkey = 1))",
+        "run_signature_matches": "SELECT p_partkey FROM part WHERE regexp_matches(p_name, "
+        "(SELECT replace(p_name, ' ', '|') FROM part WHERE p_partkey = 4))",
         "job_listing": "SELECT 'job_' || o_orderkey AS \"jobId\", "
         "'run ' || o_orderstatus || (o_orderkey % 10) AS \"jobName\", "
         'o_orderpriority AS "appName", o_orderkey % 1000 AS percentage, '

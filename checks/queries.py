@@ -24,24 +24,24 @@ from logweir.plans.log_query import (
     run_log_query,
 )
 from logweir.plans.saved_search import JobRequest, query_of, run_signature
-from logweir.schemas import registered_schemas
+from logweir.schemas import CHUNK_INDEX, registered_schemas
 from logweir.session import prepare
 from logweir.sources import log_store, result_store
-from logweir.sources.storage import new_path
+from logweir.sources.storage import exists, new_path
 from logweir.streaming.ingest import land_batch, start_ingest
 
 START, END = 1704844800, 1705017600  # 2024-01-10 and 2024-01-12, both at midnight
 WHOLE = LogQuery(1704067200, 1706745599)  # January 2024
 SEARCH = LogQuery(START, END, level="ERROR", keywords=["69", "8"])
 TIES = ("event_id",)
-ROWS_PER_PART = 2_500
-ROWS_PER_CHUNK = 100
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 
 def _registered(query: Query) -> Query:
+    """Register under the function's name (a trailing underscore keeps it off an import)."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(prepare(spark), sf_dir)
 
@@ -53,6 +53,26 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _written_once(write: Callable[[SparkSession, str], str]) -> Callable[[SparkSession, str], str]:
+    """Keep the path a function wrote to, for the other queries of the session to read."""
+
+    def path_of(spark: SparkSession, sf_dir: str) -> str:
+        key = (write.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _WRITTEN or not exists(spark, _WRITTEN[key]):
+            _WRITTEN[key] = write(spark, sf_dir)
+        return _WRITTEN[key]
+
+    return path_of
+
+
+def _eighth(rows: DataFrame, at_least: int) -> int:
+    """Rows per part that give about eight parts, whatever the size of the table."""
+    return max(at_least, rows.count() // 8)
+
+
 # ---------------------------------------------------------------- log query
 
 
@@ -182,9 +202,24 @@ def part_overlap_clip_by_offset(spark, sf_dir):
 # ---------------------------------------------------------------- stored results
 
 
-def _stored_logs(spark, sf_dir, query=WHOLE):
+@_written_once
+def _stored_logs(spark, sf_dir):
+    """All logs as a stored result."""
     path = new_path(spark, "check")
-    run_log_query(views.logs(spark, sf_dir), query, path, TIES, ROWS_PER_PART)
+    logs = views.logs(spark, sf_dir)
+    rows_per_part = min(result_store.ROWS_PER_PART, _eighth(logs, 1_000))
+    run_log_query(logs, WHOLE, path, TIES, rows_per_part)
+    return path
+
+
+@_written_once
+def _stored_shipments(spark, sf_dir):
+    """A large result with hundreds of rows per timestamp."""
+    path = new_path(spark, "check")
+    rows = views.shipments(spark, sf_dir)
+    ties = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows_per_part = min(result_store.ROWS_PER_PART, _eighth(rows, 1_000))
+    result_store.write_result(rows, path, ties, rows_per_part)
     return path
 
 
@@ -235,11 +270,7 @@ def offset_page(spark, sf_dir):
 
 @_registered
 def offset_page_of_shipments(spark, sf_dir):
-    """A page of a large result with hundreds of rows per timestamp."""
-    path = new_path(spark, "check")
-    ties = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    result_store.write_result(views.shipments(spark, sf_dir), path, ties, 20_000)
-    return result_store.offset_page(spark, path, 2_901, 4_100)
+    return result_store.offset_page(spark, _stored_shipments(spark, sf_dir), 2_901, 4_100)
 
 
 @_registered
@@ -247,30 +278,42 @@ def time_slice(spark, sf_dir):
     return filters.in_time_slice(flatten(views.logs(spark, sf_dir)), START, END).select(*_SHOWN)
 
 
+def _chunk_rows(spark, sf_dir):
+    return _eighth(views.table(spark, sf_dir, "events"), 100)
+
+
 @_registered
 def time_page(spark, sf_dir):
     path = _stored_logs(spark, sf_dir)
-    page = result_store.time_page(spark, path, START, END, 11, 60, ROWS_PER_CHUNK)
+    page = result_store.time_page(spark, path, START, END, 11, 60, _chunk_rows(spark, sf_dir))
     return page.rows.select(*_SHOWN, "offset", F.lit(page.total).cast("long").alias("total"))
 
 
 @_registered
 def saved_slice_page(spark, sf_dir):
-    """A page across chunks of a slice saved before."""
+    """A page of a slice saved before."""
     path = _stored_logs(spark, sf_dir)
-    slice_id, _ = result_store.save_time_slice(spark, path, START, START + 864000, ROWS_PER_CHUNK)
-    page = result_store.slice_page(spark, path, slice_id, 95, 310)
+    slice_id, _ = result_store.save_time_slice(
+        spark, path, START, START + 864000, _chunk_rows(spark, sf_dir)
+    )
+    page = result_store.slice_page(spark, path, slice_id, 95, 1400)
     return page.rows.select(*_SHOWN, "offset", F.lit(page.total).cast("long").alias("total"))
 
 
-@_registered
-def fixed_chunks(spark, sf_dir):
-    """Chunks as they were written: the rows and bounds of each."""
+@_written_once
+def _whole_slice(spark, sf_dir):
+    """All of a result saved as one slice."""
     path = _stored_logs(spark, sf_dir)
     slice_id, _ = result_store.save_time_slice(
-        spark, path, WHOLE.start_time, WHOLE.end_time, ROWS_PER_CHUNK
+        spark, path, WHOLE.start_time, WHOLE.end_time, _chunk_rows(spark, sf_dir)
     )
-    chunks = spark.read.parquet(f"{path}/slices/{slice_id}")
+    return f"{path}/slices/{slice_id}"
+
+
+@_registered
+def fixed_chunks(spark, sf_dir):
+    """Chunks as they were written: the rows and bounds of each."""
+    chunks = spark.read.parquet(_whole_slice(spark, sf_dir))
     return chunks.groupBy(F.col("chunk_id").cast("long").alias("chunk_id")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("position").alias("startOffset"),
@@ -282,14 +325,11 @@ def fixed_chunks(spark, sf_dir):
 @_registered
 def chunk_index(spark, sf_dir):
     """The stored index of a slice's chunks."""
-    path = _stored_logs(spark, sf_dir)
-    slice_id, _ = result_store.save_time_slice(
-        spark, path, WHOLE.start_time, WHOLE.end_time, ROWS_PER_CHUNK
-    )
-    index = spark.read.schema(result_store.CHUNK_INDEX).json(f"{path}/slices/{slice_id}_index")
+    index = spark.read.schema(CHUNK_INDEX).json(f"{_whole_slice(spark, sf_dir)}_index")
     return index.select("partName", "startOffset", "endOffset")
 
 
+@_written_once
 def _job(spark, sf_dir):
     """A job run from a saved search, and its id."""
     root = new_path(spark, "check")
@@ -304,7 +344,7 @@ def _job(spark, sf_dir):
         root,
         "job_9",
         tie_breakers=TIES,
-        rows_per_part=100,
+        rows_per_part=100_000,
     )
     return root
 
@@ -342,7 +382,7 @@ def run_signature_histogram(spark, sf_dir):
 @_registered
 def stored_histogram(spark, sf_dir):
     path = new_path(spark, "check")
-    run_histogram(views.logs(spark, sf_dir), WHOLE, "6 hours", path, rows_per_part=40)
+    run_histogram(views.logs(spark, sf_dir), WHOLE, "6 hours", path)
     return result_store.read_result(spark, path).select("count", "timestamp", "offset")
 
 
@@ -400,11 +440,10 @@ def signature_lookup(spark, sf_dir):
 
 @_registered
 def run_signature_matches(spark, sf_dir):
-    """The level and keywords of a saved search, applied to long messages."""
-    signatures = _signatures(spark, sf_dir)
-    query = query_of(signatures, JobRequest("sig_1", START, END))
-    documents = views.table(spark, sf_dir, "documents")
-    return filters.by_keywords(documents, query.keywords, "text").select("doc_id")
+    """The keywords of a saved search, applied to all product names as messages."""
+    query = query_of(_signatures(spark, sf_dir), JobRequest("sig_4", START, END))
+    products = views.table(spark, sf_dir, "part")
+    return filters.by_keywords(products, query.keywords, "p_name").select("p_partkey")
 
 
 @_registered
@@ -498,6 +537,7 @@ def event_calendar(spark, sf_dir):
     return logs.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_written_once
 def _streamed(spark, sf_dir):
     """A store filled by a stream over files of messages, in several batches."""
     root = new_path(spark, "check")
@@ -570,10 +610,11 @@ def store_log_query(spark, sf_dir):
 def compacted_log_query(spark, sf_dir):
     """The same after the days of the store have been compacted into one dataset."""
     root = _streamed(spark, sf_dir)
+    target = new_path(spark, "check")
     days = (WHOLE.start_time, WHOLE.end_time)
     for _ in range(2):
-        log_store.compact_days(spark, root, f"{root}/compacted", *days)
-    store = log_store.read_compacted(spark, f"{root}/compacted", span=(START, END))
+        log_store.compact_days(spark, root, target, *days)
+    store = log_store.read_compacted(spark, target, span=(START, END))
     found = log_query(store, LogQuery(START, END, "error", ["69", "8"]), ("pid",))
     return found.select("pid", "level", "message", "timestamp")
 

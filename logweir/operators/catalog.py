@@ -9,7 +9,7 @@ from logweir.errors import NotFoundError
 from logweir.functions.columns import progress_status
 from logweir.functions.patterns import checked_pattern
 from logweir.operators.filters import ANY, check_range
-from logweir.operators.parts import add_offset, number_rows, offset_index
+from logweir.operators.parts import add_offset, number_rows, offset_index, overlapping_parts
 from logweir.schemas import JOB_DETAILS, KEYWORDS, PROGRESS, STATISTICS
 from logweir.sources.storage import new_path
 
@@ -100,8 +100,13 @@ def page_of_parts(rows: DataFrame, start: int, end: int) -> DataFrame:
     """Rows ``start`` to ``end`` of a table written by part, in order."""
     counts = rows.groupBy("part_id").agg(F.count(F.lit(1)).alias("count"))
     index = offset_index(counts)
+    met = overlapping_parts(index, start - 1, end - 1, "Offset").agg(
+        F.min("part_id").alias("first"), F.max("part_id").alias("last")
+    )
+    first, last = met.first()
+    near = F.col("part_id").between(first, last) if first is not None else F.lit(False)
     return (
-        add_offset(rows, index, index.count())
+        add_offset(rows.filter(near), index.filter(near), index.count())
         .filter(F.col("offset").between(start - 1, end - 1))
         .orderBy("offset")
         .drop("offset", "local_idx", "part_id")
