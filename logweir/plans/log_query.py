@@ -16,6 +16,7 @@ from logweir.operators.filters import (
     by_origin,
     check_range,
     in_calendar_range,
+    keyword_pattern,
 )
 from logweir.operators.histogram import time_histogram
 from logweir.sources.result_store import (
@@ -49,6 +50,11 @@ class LogQuery:
     def __post_init__(self) -> None:
         check_range(self.start_time, self.end_time)
 
+    @property
+    def is_selective(self) -> bool:
+        """Whether it drops rows of the partitions it reads, and not only prunes them."""
+        return self.level not in (None, ANY) or bool(keyword_pattern(self.keywords))
+
 
 def matching_logs(store: DataFrame, query: LogQuery) -> DataFrame:
     """Payload of the matching rows, flattened, with ``timestamp`` in epoch seconds."""
@@ -63,6 +69,16 @@ def flatten(rows: DataFrame) -> DataFrame:
     return rows.select("data.*").withColumn("timestamp", epoch_seconds(F.col("time")))
 
 
+def gathered(matches: DataFrame, query: LogQuery) -> DataFrame:
+    """Bring the few matches of a selective query together before they are written.
+
+    Each task of a large scan would write a file of a few rows otherwise. Adaptive execution
+    merges small partitions and splits one that a busy second makes large. Without a
+    selective condition files come out as large as the splits read, and nothing is moved.
+    """
+    return matches.hint("rebalance", "timestamp") if query.is_selective else matches
+
+
 def log_query(
     store: DataFrame, query: LogQuery, tie_breakers: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -90,7 +106,8 @@ def run_log_query(
     rows_per_part: int = ROWS_PER_PART,
 ) -> int:
     """Store result, statistics and part metadata of a log query; return the row count."""
-    return write_result(matching_logs(store, query), path, tie_breakers, rows_per_part)
+    matches = gathered(matching_logs(store, query), query)
+    return write_result(matches, path, tie_breakers, rows_per_part)
 
 
 def run_histogram(
@@ -121,7 +138,8 @@ def run_all(
     for path in paths.values():
         check_absent(spark, path)
     counts = {}
-    with staged(with_sequence(matching_logs(store, query)), "matches") as matches:
+    found = gathered(matching_logs(store, query), query)
+    with staged(with_sequence(found), "matches") as matches:
         if LOG_QUERY in paths:
             counts[LOG_QUERY] = write_staged(
                 matches, paths[LOG_QUERY], tie_breakers, rows_per_part

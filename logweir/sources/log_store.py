@@ -73,7 +73,7 @@ def _write_partitions(
 
 def write_dead_letters(rows: DataFrame, root: str, stream_id: str, batch_id: int) -> None:
     path = f"{root}/dead_letter/stream_id={stream_id}/batch_id={batch_id}"
-    rows.write.mode("overwrite").orc(path)
+    rows.hint("rebalance").write.mode("overwrite").orc(path)
 
 
 def store_schema(payload: StructType = DEFAULT_PAYLOAD) -> StructType:

@@ -2,6 +2,7 @@ import json
 from glob import glob
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from frames import epoch, values
@@ -13,6 +14,7 @@ from logweir.sources import log_store
 from logweir.sources.kafka import read_topic
 from logweir.sources.layouts import PARTITION_CONFIG, STANDARD_STRATEGY, PartitionStrategy
 from logweir.sources.storage import exists, new_path
+from logweir.streaming import ingest
 from logweir.streaming.ingest import land_batch, start_ingest
 
 
@@ -185,6 +187,57 @@ def test_stream_resumes_and_matches_the_batch(spark):
     assert log_store.read_log_stores(spark, f"{root}/store").count() == 16
 
 
+def test_batch_that_fails_half_way_is_replaced(spark, monkeypatch):
+    root = new_path(spark, "stream")
+    messages(spark, TEXTS).write.parquet(f"{root}/topic")
+
+    def start(**trigger):
+        stream = spark.readStream.schema("value binary").parquet(f"{root}/topic")
+        return start_ingest(stream, f"{root}/store", f"{root}/check", **trigger)
+
+    write = ingest.write_batch
+    written = []
+
+    def failing(rows, base, *where):
+        if base.endswith("syslog"):
+            raise RuntimeError("lost")
+        write(rows, base, *where)
+        written.append(base)
+
+    monkeypatch.setattr(ingest, "write_batch", failing)
+    with pytest.raises(StreamingQueryException):
+        start(available_now=True).awaitTermination()
+    assert written
+    monkeypatch.setattr(ingest, "write_batch", write)
+    query = start()
+    query.processAllAvailable()
+    query.stop()
+    assert log_store.read_log_stores(spark, f"{root}/store").count() == 8
+    assert log_store.read_dead_letters(spark, f"{root}/store").count() == 4
+
+
+def test_crowded_partition_is_split(spark):
+    """A day of one kind of log that holds most rows is written by several tasks."""
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 5 == 0, "rare").otherwise("busy").alias("kind"),
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+    )
+    body = F.struct(F.col("text").alias("message"), F.lit("2024-02-03T00:00:00Z").alias("time"))
+    envelope = F.struct(
+        F.col("kind").alias("_documentType"), F.lit("p").alias("_plugin"), body.alias("message")
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300k")
+    try:
+        root = new_path(spark, "store")
+        land_batch(rows.select(F.to_json(envelope).alias("value")), root, "s", 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    logs = log_store.read_log_store(spark, root)
+    assert logs.count() == 60_000
+    files = [f for f in logs.inputFiles() if "busy" in f]
+    assert len(files) > 2
+
+
 def test_query_and_compaction_of_a_store(spark):
     days = [f"2024-0{m}-{d:02d}T08:00:00Z" for m, d in [(1, 31), (2, 1), (2, 2), (3, 1)]]
     origins = [("t", "p"), ("syslog", "linux"), ("ESLogs", "web")]

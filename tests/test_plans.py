@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from frames import epoch, values
 from logweir.operators import parse
-from logweir.plans.log_query import LogQuery, log_histogram, log_query
+from logweir.plans.log_query import (
+    LogQuery,
+    gathered,
+    log_histogram,
+    log_query,
+    matching_logs,
+)
 from logweir.schemas import registered_schemas
 from logweir.sources import log_store
 from logweir.sources import result_store as results
@@ -108,6 +114,13 @@ def test_long_part_index_is_not_broadcast_by_hint(spark, monkeypatch):
     assert values(page, "id") == list(range(14, 44))
 
 
+def test_few_matches_are_gathered_before_they_are_written(spark, root):
+    logs = log_store.read_log_store(spark, root)
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan_of(gathered(matching_logs(logs, QUERY), QUERY))
+    everything = LogQuery(*SPAN)
+    assert "Exchange" not in plan_of(gathered(matching_logs(logs, everything), everything))
+
+
 def test_sorted_write_does_not_sort_again(spark, root):
     """Files hold their rows in time order, which a second sort would not promise."""
     path = new_path(spark, "pages")
