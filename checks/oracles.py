@@ -158,6 +158,7 @@ def all_oracles() -> dict[str, str]:
         + "SELECT count(*) AS n, min(timestamp) AS first_timestamp, "
         + "max(timestamp) AS last_timestamp FROM logs",
         "stored_parts_match_index": "SELECT count(*) AS n, true AS same FROM events",
+        "named_parts_match_index": "SELECT true AS same",
         "offset_page": _NUMBERED
         + f'SELECT {_SHOWN}, "offset" FROM numbered WHERE "offset" BETWEEN 290 AND 610',
         "offset_page_of_shipments": "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, "
@@ -180,6 +181,9 @@ def all_oracles() -> dict[str, str]:
         "chunk_index": _SLICE.format(1704067200, 1706745599)
         + "SELECT 'part-' || (position // size) || '.parquet' AS \"partName\", "
         + 'min(position) AS "startOffset", max(position) AS "endOffset" FROM slice GROUP BY 1',
+        "chunks_by_number": _SLICE.format(1704067200, 1706745599)
+        + f"SELECT {_SHOWN}, position, position // size AS chunk_id FROM slice "
+        + "WHERE position // size BETWEEN 1 AND 2",
         "browse_whole_result": _SEARCHED
         + f'SELECT event_id, level, {_rendered("time")} AS time, "offset", '
         + "count(*) OVER () AS total FROM found",
@@ -189,6 +193,10 @@ def all_oracles() -> dict[str, str]:
         + "WHERE timestamp BETWEEN 1704844800 AND 1704844800 + 43200) "
         + f'SELECT event_id, level, {_rendered("time")} AS time, '
         + 'CAST(position AS BIGINT) AS "offset", total FROM slice WHERE position BETWEEN 2 AND 9',
+        "run_signature": _SEARCHED
+        + "SELECT 'job_9' AS \"jobId\", 'LogQuery' AS type, count(*) AS \"totalRowCount\" "
+        + "FROM found UNION ALL SELECT 'job_9', 'Histogram', "
+        + "count(DISTINCT time_bucket(INTERVAL 1 HOUR, time)) FROM found",
         "run_signature_histogram": _SEARCHED
         + ", buckets AS (SELECT time_bucket(INTERVAL 1 HOUR, time) AS start, count(*) AS count "
         + "FROM found GROUP BY 1), numbered AS (SELECT *, "

@@ -24,7 +24,7 @@ from logweir.plans.log_query import (
     run_log_query,
 )
 from logweir.plans.saved_search import JobRequest, query_of, run_signature
-from logweir.schemas import CHUNK_INDEX, registered_schemas
+from logweir.schemas import registered_schemas
 from logweir.session import prepare
 from logweir.sources import log_store, result_store
 from logweir.sources.storage import exists, new_path
@@ -244,22 +244,29 @@ def stored_part_totals(spark, sf_dir):
     )
 
 
+def _matches_index(index, rows):
+    """Whether parts hold what the metadata says of them, and how many rows they hold."""
+    facts = F.struct("count", "startTimestamp", "endTimestamp")
+    scanned = parts.part_metadata(rows).select("part_id", facts.alias("scanned"))
+    compared = index.join(scanned, "part_id", "full_outer")
+    same = F.coalesce(facts == F.col("scanned"), F.lit(False))
+    return compared.agg(F.sum("count").alias("n"), F.every(same).alias("same"))
+
+
 @_registered
 def stored_parts_match_index(spark, sf_dir):
-    """Parts scanned by number hold what the metadata says of them."""
     path = _stored_logs(spark, sf_dir)
-    index = result_store.read_metadata(spark, path)
-    numbers = list(range(index.count()))
-    scanned = parts.part_metadata(result_store.read_parts(spark, path, numbers)).select(
-        "part_id",
-        F.struct("count", "startTimestamp", "endTimestamp").alias("scanned"),
-    )
-    indexed = F.struct("count", "startTimestamp", "endTimestamp")
-    return (
-        index.join(scanned, "part_id")
-        .select("count", (indexed == F.col("scanned")).alias("same"))
-        .agg(F.sum("count").alias("n"), F.every("same").alias("same"))
-    )
+    rows = result_store.read_parts(spark, path)
+    return _matches_index(result_store.read_metadata(spark, path), rows)
+
+
+@_registered
+def named_parts_match_index(spark, sf_dir):
+    """Parts read by number. How many rows they have is up to the range partitioning."""
+    path = _stored_logs(spark, sf_dir)
+    rows = result_store.read_parts(spark, path, [0, 2])
+    index = result_store.read_metadata(spark, path).filter(F.col("part_id").isin(0, 2))
+    return _matches_index(index, rows).select("same")
 
 
 @_registered
@@ -325,10 +332,19 @@ def fixed_chunks(spark, sf_dir):
 @_registered
 def chunk_index(spark, sf_dir):
     """The stored index of a slice's chunks."""
-    index = spark.read.schema(CHUNK_INDEX).json(f"{_whole_slice(spark, sf_dir)}_index")
+    path, _, slice_id = _whole_slice(spark, sf_dir).rpartition("/slices/")
+    index = result_store.read_chunk_index(spark, path, slice_id)
     return index.select("partName", "startOffset", "endOffset")
 
 
+@_registered
+def chunks_by_number(spark, sf_dir):
+    """Two chunks of a slice, read by number."""
+    path, _, slice_id = _whole_slice(spark, sf_dir).rpartition("/slices/")
+    rows = result_store.read_chunks(spark, path, slice_id, 1, 2)
+    return rows.select(*_SHOWN, "position", "chunk_id")
+
+
 @_written_once
 def _job(spark, sf_dir):
     """A job run from a saved search, and its id."""
@@ -373,6 +389,17 @@ def browse_by_time(spark, sf_dir):
     return page.rows.select("event_id", "level", "time", "offset", total)
 
 
+@_registered
+def run_signature_(spark, sf_dir):
+    """Every query type of a saved search: the rows each has stored."""
+    root = _job(spark, sf_dir)
+    stored = [
+        result_store.read_job_statistics(spark, root, t).withColumn("type", F.lit(t))
+        for t in (LOG_QUERY, HISTOGRAM)
+    ]
+    return stored[0].unionByName(stored[1])
+
+
 @_registered
 def run_signature_histogram(spark, sf_dir):
     page = browse(spark, _job(spark, sf_dir), "job_9", HISTOGRAM, "offset", start=3, end=30)

@@ -13,6 +13,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, TimestampType
 
 from logweir.errors import ValidationError
 from logweir.functions.patterns import checked_pattern
@@ -39,22 +40,30 @@ def _midnight(day: date) -> Column:
     return F.lit(datetime.combine(day, time(), UTC))
 
 
-def in_calendar_range(
-    df: DataFrame, start_time: int, end_time: int, time_column: str = "_time"
-) -> DataFrame:
+def _event_time(df: DataFrame) -> str | None:
+    """The column with the event time: the payload's, which a query reads anyway."""
+    payload = df.schema["data"].dataType if "data" in df.columns else None
+    if isinstance(payload, StructType) and "time" in payload.fieldNames():
+        if isinstance(payload["time"].dataType, TimestampType):
+            return "data.time"
+    return "_time" if "_time" in df.columns else None
+
+
+def in_calendar_range(df: DataFrame, start_time: int, end_time: int) -> DataFrame:
     """Rows of the days touched by ``[start_time, end_time]`` (epoch seconds).
 
     The cut is by whole days. The same range is stated at each depth at which a layout may
     be partitioned (year; year and month; day), so that each layout prunes directories as
-    far as its depth goes, and on ``time_column``, whose file statistics skip stripes in
+    far as its depth goes, and on the event time, whose file statistics skip stripes in
     layouts that are not partitioned by date.
     """
     first, last = days_of(start_time, end_time)
     terms = []
-    if time_column in df.columns:
+    event_time = _event_time(df)
+    if event_time is not None:
         terms += [
-            F.col(time_column) >= _midnight(first),
-            F.col(time_column) < _midnight(last + timedelta(days=1)),
+            F.col(event_time) >= _midnight(first),
+            F.col(event_time) < _midnight(last + timedelta(days=1)),
         ]
     if set(CALENDAR) <= set(df.columns):
         year, month, day = (F.col(c) for c in CALENDAR)
@@ -66,7 +75,7 @@ def in_calendar_range(
             F.make_date(year, month, day).between(F.lit(first), F.lit(last)),
         ]
     if not terms:
-        raise ValidationError(f"no calendar columns and no {time_column!r} to filter on")
+        raise ValidationError("no calendar columns and no event time to filter on")
     return df.filter(reduce(and_, terms))
 
 

@@ -324,37 +324,49 @@ def save_time_slice(
     return result_id, extent["total"]
 
 
+def read_chunk_index(spark: SparkSession, path: str, result_id: str) -> DataFrame:
+    """Name, first and last position of each chunk of a saved slice."""
+    saved = f"{path}/slices/{result_id}_index"
+    if not result_id or not exists(spark, saved):
+        raise NotFoundError(f"no saved slice {result_id!r} at {path}")
+    return spark.read.schema(CHUNK_INDEX).json(saved)
+
+
+def read_chunks(
+    spark: SparkSession, path: str, result_id: str, first: int, last: int
+) -> DataFrame:
+    """Rows of a run of chunks of a saved slice, with their 0-based ``position``."""
+    stored = (
+        StructType(list(result_schema(spark, path).fields))
+        .add("position", LongType())
+        .add("chunk_id", LongType())
+    )
+    saved = f"{path}/slices/{result_id}"
+    return (
+        spark.read.schema(stored)
+        .option("basePath", saved)
+        .parquet(_directories(saved, "chunk_id", (first, last)))
+        .filter(F.col("chunk_id").between(first, last))
+    )
+
+
 def slice_page(
     spark: SparkSession, path: str, result_id: str, start: int, end: int
 ) -> SlicePage:
     """Rows ``start`` to ``end`` of a saved slice, 1-based and inclusive, in order."""
     check_range(start, end)
-    saved = f"{path}/slices/{result_id}"
-    if not result_id or not exists(spark, f"{saved}_index"):
-        raise NotFoundError(f"no saved slice {result_id!r} at {path}")
-    index = spark.read.schema(CHUNK_INDEX).json(f"{saved}_index")
+    index = read_chunk_index(spark, path, result_id)
     total = total_rows(index)
     chunks = (
         overlapping_parts(index, start - 1, end - 1, "Offset")
         .agg(F.min("chunk_id"), F.max("chunk_id"))
         .first()
     )
-    chunks = tuple(chunks)
     if chunks[0] is None:
         return SlicePage(_no_rows(spark, path), result_id, total)
-    stored = (
-        StructType(list(result_schema(spark, path).fields))
-        .add("position", LongType())
-        .add("chunk_id", LongType())
-    )
     rows = (
-        spark.read.schema(stored)
-        .option("basePath", saved)
-        .parquet(_directories(saved, "chunk_id", chunks))
-        .filter(
-            F.col("chunk_id").between(*chunks)
-            & F.col("position").between(start - 1, end - 1)
-        )
+        read_chunks(spark, path, result_id, *chunks)
+        .filter(F.col("position").between(start - 1, end - 1))
         .withColumn("offset", F.col("position") + 1)
         .drop("position", "chunk_id")
     )
