@@ -106,6 +106,7 @@ def write_staged(
         "startTimestamp",
         "endTimestamp",
     )
+    # One row per part, in one file.
     metadata.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
     return total
 

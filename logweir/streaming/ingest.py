@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from logweir.errors import ConfigurationError
 from logweir.operators.parse import decode_envelope, is_routable, typed_logs
 from logweir.schemas import DEFAULT_PAYLOAD, registered_schemas
 from logweir.sources.layouts import STANDARD_STRATEGY, PartitionStrategy
@@ -74,6 +75,8 @@ def start_ingest(
 
     def land(batch: DataFrame, batch_id: int) -> None:
         stream_id = batch.sparkSession.sparkContext.getLocalProperty(_QUERY_ID)
+        if stream_id is None:
+            raise ConfigurationError("the batch does not know which stream it belongs to")
         land_batch(batch, root, stream_id, batch_id, schemas, strategy, default)
 
     writer = messages.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)

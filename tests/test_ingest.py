@@ -159,6 +159,30 @@ def test_yarn_rows_and_others_share_a_dataset(spark):
     assert values(parse.parse_payload(decoded, schemas), "data") == [None]
 
 
+def test_schema_registered_later(spark):
+    """Files written before a schema was registered read as if it had been known."""
+    root = new_path(spark, "store")
+    yarn = message("yarn", "node", payload("up", yarnContainer="c1"))
+    schemas = registered_schemas(yarn_key="yarn.node")
+    land_batch(messages(spark, [yarn]), root, "s", 0)
+    land_batch(messages(spark, [yarn]), root, "s", 1, schemas=schemas)
+    new = log_store.read_log_store(spark, root, payload=merged_payload(schemas))
+    assert sorted(values(new, "data.message", "data.yarnContainer"), key=str) == [
+        ("up", "c1"),
+        ("up", None),
+    ]
+    old = log_store.read_log_store(spark, root)
+    assert values(old, "data.message") == ["up", "up"]
+    assert "yarnContainer" not in old.schema["data"].dataType.fieldNames()
+
+
+def test_fixed_strategy_has_one_layout(spark):
+    fixed = PartitionStrategy.from_config({**PARTITION_CONFIG, "partitionStrategy": "fixed"})
+    root, counts = land(spark, TEXTS, strategy=fixed)
+    assert counts == {"default": 8, "dead_letter": 4}
+    assert log_store.read_log_stores(spark, root, fixed).count() == 8
+
+
 def test_stream_resumes_and_matches_the_batch(spark):
     root = new_path(spark, "stream")
     topic = f"{root}/topic"
