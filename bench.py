@@ -89,7 +89,10 @@ def main() -> None:
             result_store.time_page(spark, path, first, first + 30 * 86_400, 1, 1_000)
         )
     )
-    lazy("slice_page", lambda: result_store.slice_page(spark, path, page[-1].result_id, 1, 500).rows)
+    lazy(
+        "slice_page",
+        lambda: result_store.slice_page(spark, path, page[-1].result_id, 1, 500).rows,
+    )
 
     roots = []
 
@@ -115,7 +118,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 4),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": Path(SF_DIR).name.removeprefix("sf"),
+                "sf": float(Path(SF_DIR).name.removeprefix("sf")),
             }
         )
     )

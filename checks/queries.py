@@ -653,7 +653,9 @@ def compacted_log_query(spark, sf_dir):
 def rendered_times(spark, sf_dir):
     events = views.table(spark, sf_dir, "events")
     return render_times(
-        events.select("event_id", F.col("ts").alias("time"), F.date_trunc("hour", "ts").alias("start"))
+        events.select(
+            "event_id", F.col("ts").alias("time"), F.date_trunc("hour", "ts").alias("start")
+        )
     )
 
 

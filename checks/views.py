@@ -112,7 +112,8 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_text = F.to_json(F.struct(*origin, text.alias("message")))
     as_object = F.to_json(F.struct(*origin, body.alias("message")))
     encoded = (F.col("event_id") % 2 == 1) | (F.col("event_id") % 31 == 0)
-    return events.select(F.when(encoded, as_text).otherwise(as_object).cast("binary").alias("value"))
+    value = F.when(encoded, as_text).otherwise(as_object)
+    return events.select(value.cast("binary").alias("value"))
 
 
 def raw_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,9 @@ def _signature_matches(
     return tuple(F.coalesce(match, F.lit(False)) for match in (by_id, by_keyword))
 
 
-def find_signatures(signatures: DataFrame, signature_id: str = ANY, keyword: str = ANY) -> DataFrame:
+def find_signatures(
+    signatures: DataFrame, signature_id: str = ANY, keyword: str = ANY
+) -> DataFrame:
     """Searches whose id or any keyword matches a regular expression, unordered.
 
     ``idMatch`` tells the two kinds apart; a search matching both is listed once.

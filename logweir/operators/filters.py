@@ -30,10 +30,11 @@ def check_range(start: int, end: int) -> None:
 def days_of(start_time: int, end_time: int) -> tuple[date, date]:
     """UTC days of the first and last epoch second of a range."""
     check_range(start_time, end_time)
-    return (
-        datetime.fromtimestamp(start_time, UTC).date(),
-        datetime.fromtimestamp(end_time, UTC).date(),
-    )
+    try:
+        first, last = (datetime.fromtimestamp(t, UTC).date() for t in (start_time, end_time))
+    except (OverflowError, OSError, ValueError) as error:
+        raise ValidationError("times are epoch seconds of a calendar year") from error
+    return first, last
 
 
 def _midnight(day: date) -> Column:

@@ -138,7 +138,8 @@ def test_job_listing(spark):
 
 
 def test_statistics_of_completed_jobs(spark):
-    stored = spark.createDataFrame([("j1", 12), ("j2", 9), ("j3", 8)], "jobId string, totalRowCount long")
+    rows = [("j1", 12), ("j2", 9), ("j3", 8)]
+    stored = spark.createDataFrame(rows, "jobId string, totalRowCount long")
     filled = catalog.with_stored_statistics(_jobs(spark), stored, "logQuery")
     # Only completed jobs that have none yet; without a result the count is 0.
     assert sorted(values(filled, "jobId", "logQueryStatistics.totalRowCount")) == [

@@ -73,6 +73,8 @@ def test_range_must_not_end_before_it_starts(grid):
         filters.in_calendar_range(grid, 10, 9)
     with pytest.raises(ValidationError):
         LogQuery(10, 9)
+    with pytest.raises(ValidationError, match="epoch seconds"):
+        filters.in_calendar_range(grid, 0, 1704844800000)
     with pytest.raises(ValidationError):
         filters.in_time_slice(grid, 10, 9)
 

@@ -14,6 +14,16 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
 
 
+SQL_TYPES = {
+    "bigint": "BIGINT",
+    "boolean": "BOOLEAN",
+    "double": "DOUBLE",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "timestamp": "TIMESTAMP",
+}
+
+
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
@@ -38,6 +48,8 @@ def test_query_matches_sql(spark, duck, name):
     found = contract.queries()[name](spark, SF_DIR)
     expected = duck.sql(contract.oracle_sql()[name])
     assert sorted(found.columns) == sorted(expected.columns)
+    sql_types = dict(zip(expected.columns, map(str, expected.types)))
+    assert {f.name: SQL_TYPES[f.dataType.simpleString()] for f in found.schema} == sql_types
     rows = _rows(found.columns, found.collect())
     assert rows == _rows(expected.columns, expected.fetchall())
     assert rows

@@ -225,7 +225,9 @@ def test_run_all_and_browse(spark):
         end_timestamp=epoch(2024, 1, 1, 12),
     )
     assert timed.total == 2 and values(timed.rows, "message") == ["a 2", "a 3"]
-    saved = browse(spark, root, "j1", LOG_QUERY, "result", start=2, end=2, result_id=timed.result_id)
+    saved = browse(
+        spark, root, "j1", LOG_QUERY, "result", start=2, end=2, result_id=timed.result_id
+    )
     assert values(saved.rows, "message") == ["a 3"] and saved.total == 2
 
     stats = store.read_job_statistics(spark, root, LOG_QUERY)
