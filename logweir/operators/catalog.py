@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logweir.errors import NotFoundError
 from logweir.functions.columns import progress_status
 from logweir.functions.patterns import checked_pattern
-from logweir.operators.filters import ANY, check_range
+from logweir.operators.filters import ANY, check_positive, check_range
 from logweir.operators.parts import add_offset, number_rows, offset_index, overlapping_parts
 from logweir.schemas import JOB_DETAILS, KEYWORDS, PROGRESS, STATISTICS
 from logweir.sources.storage import new_path
@@ -82,6 +82,7 @@ def signature_page(
     total = found.count()
     if start is None or end is None:
         return found.orderBy(*_search_order()).drop("idMatch"), total
+    check_positive("start", start)
     check_range(start, end)
     if end <= TOP_ROWS:
         top = found.orderBy(*_search_order()).offset(start - 1).limit(end - start + 1)

@@ -27,6 +27,11 @@ def check_range(start: int, end: int) -> None:
         raise ValidationError(f"range starts after it ends: {start} > {end}")
 
 
+def check_positive(name: str, number: int) -> None:
+    if number < 1:
+        raise ValidationError(f"{name} must be at least 1: {number}")
+
+
 def days_of(start_time: int, end_time: int) -> tuple[date, date]:
     """UTC days of the first and last epoch second of a range."""
     check_range(start_time, end_time)

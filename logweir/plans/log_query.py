@@ -14,6 +14,7 @@ from logweir.operators.filters import (
     by_keywords,
     by_level,
     by_origin,
+    check_positive,
     check_range,
     in_calendar_range,
     keyword_pattern,
@@ -135,6 +136,7 @@ def run_all(
     The types share their matches, so the store is scanned once for all of them.
     """
     spark = store.sparkSession
+    check_positive("rows_per_part", rows_per_part)
     for path in paths.values():
         check_absent(spark, path)
     counts = {}

@@ -23,7 +23,7 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 
 from logweir.errors import NotFoundError, ValidationError
 from logweir.functions.columns import base_name
-from logweir.operators.filters import check_range, in_time_slice
+from logweir.operators.filters import check_positive, check_range, in_time_slice
 from logweir.operators.parts import (
     add_offset,
     number_rows,
@@ -67,6 +67,7 @@ def write_result(
     ``rows`` is evaluated once, into a staged table that also fixes the order of rows with
     equal keys; counting, sampling for the ranges and sorting then read only the matches.
     """
+    check_positive("rows_per_part", rows_per_part)
     check_absent(rows.sparkSession, path)
     with staged(with_sequence(rows), "matches") as matches:
         return write_staged(matches, path, tie_breakers, rows_per_part)
@@ -306,6 +307,7 @@ def save_time_slice(
     An empty slice is not stored and has an empty id.
     """
     check_range(start_timestamp, end_timestamp)
+    check_positive("rows_per_chunk", rows_per_chunk)
     rows = _rows_of_parts(spark, path, start_timestamp, end_timestamp, "Timestamp")
     if rows is None:
         return "", 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -67,19 +67,25 @@ def start_ingest(
     strategy: PartitionStrategy = STANDARD_STRATEGY,
     default: StructType = DEFAULT_PAYLOAD,
     available_now: bool = False,
+    every: str = TRIGGER,
+    on_landed: Callable[[int, dict[str, int]], None] | None = None,
 ) -> StreamingQuery:
     """Start the ingest of a stream with a ``value`` column; it resumes from ``checkpoint``.
 
     Batches run every minute, or until the source is drained with ``available_now``.
+    ``on_landed`` is told the number of each batch and its rows per layout, those of the
+    dead letters among them.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
         stream_id = batch.sparkSession.sparkContext.getLocalProperty(_QUERY_ID)
         if stream_id is None:
             raise ConfigurationError("the batch does not know which stream it belongs to")
-        land_batch(batch, root, stream_id, batch_id, schemas, strategy, default)
+        counts = land_batch(batch, root, stream_id, batch_id, schemas, strategy, default)
+        if on_landed is not None:
+            on_landed(batch_id, counts)
 
     writer = messages.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     if available_now:
         return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=TRIGGER).start()
+    return writer.trigger(processingTime=every).start()

@@ -64,6 +64,8 @@ def test_bad_patterns(signatures):
         catalog.search_signatures(signatures, "[")
     with pytest.raises(ValidationError):
         catalog.signature_page(signatures, start=3, end=2)
+    with pytest.raises(ValidationError):
+        catalog.signature_page(signatures, start=0, end=2)
 
 
 def test_lookup(signatures):

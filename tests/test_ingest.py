@@ -190,9 +190,17 @@ def test_stream_resumes_and_matches_the_batch(spark):
     def send(texts):
         messages(spark, texts).coalesce(1).write.mode("append").parquet(topic)
 
+    landed = {}
+
     def drain():
         stream = spark.readStream.schema("value binary").parquet(topic)
-        query = start_ingest(stream, f"{root}/store", f"{root}/check", available_now=True)
+        query = start_ingest(
+            stream,
+            f"{root}/store",
+            f"{root}/check",
+            available_now=True,
+            on_landed=landed.__setitem__,
+        )
         query.awaitTermination()
 
     send(TEXTS[:6])
@@ -205,6 +213,9 @@ def test_stream_resumes_and_matches_the_batch(spark):
         values(log_store.read_log_stores(spark, f"{root}/store"), *columns), key=str
     ) == sorted(values(log_store.read_log_stores(spark, batch_root), *columns), key=str)
 
+    assert landed[0] == {"default": 2, "dead_letter": 4}
+    assert landed[1] == {"default": 4, "syslog": 1, "ESLogs": 1}
+
     # A new checkpoint replays everything under an id of its own.
     stream = spark.readStream.schema("value binary").parquet(topic)
     start_ingest(stream, f"{root}/store", f"{root}/other", available_now=True).awaitTermination()

@@ -117,6 +117,10 @@ def test_ranges_are_checked(spark, path):
         store.offset_page(spark, path, 5, 4)
     with pytest.raises(ValidationError):
         store.time_page(spark, path, 5, 4, 1, 2)
+    with pytest.raises(ValidationError):
+        store.time_page(spark, path, 4, 5, 1, 2, rows_per_chunk=0)
+    with pytest.raises(ValidationError):
+        store.write_result(numbered(spark, [1]), new_path(spark, "test"), rows_per_part=0)
     with pytest.raises(ValidationError):
         parts.overlapping_parts(store.part_index(spark, path), 1, 2, "Name")
 
