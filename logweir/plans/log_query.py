@@ -54,7 +54,8 @@ class LogQuery:
     @property
     def is_selective(self) -> bool:
         """Whether it drops rows of the partitions it reads, and not only prunes them."""
-        return self.level not in (None, ANY) or bool(keyword_pattern(self.keywords))
+        conditions = (self.level, self.app_name, keyword_pattern(self.keywords) or None)
+        return any(value not in (None, ANY) for value in conditions)
 
 
 def matching_logs(store: DataFrame, query: LogQuery) -> DataFrame:
@@ -85,13 +86,11 @@ def log_query(
 ) -> DataFrame:
     """Matching rows in time order, as a lazy plan.
 
-    Without ``tie_breakers`` rows of one second are ordered as scanned; that also lets the
-    range partitioning split a second that holds a large share of the rows.
+    Rows that ``tie_breakers`` leave equal are ordered as scanned. That also lets the range
+    partitioning split a second, or a repeated line, that holds a large share of the rows.
     """
-    matches = matching_logs(store, query)
-    if tie_breakers:
-        return matches.orderBy("timestamp", *tie_breakers)
-    return with_sequence(matches).orderBy("timestamp", SEQUENCE).drop(SEQUENCE)
+    numbered = with_sequence(matching_logs(store, query))
+    return numbered.orderBy("timestamp", *tie_breakers, SEQUENCE).drop(SEQUENCE)
 
 
 def log_histogram(store: DataFrame, query: LogQuery, window: int | str) -> DataFrame:
@@ -139,13 +138,17 @@ def run_all(
     check_positive("rows_per_part", rows_per_part)
     for path in paths.values():
         check_absent(spark, path)
+    if LOG_QUERY not in paths:
+        return {
+            t: run_histogram(store, query, window, path, rows_per_part)
+            for t, path in paths.items()
+        }
     counts = {}
     found = gathered(matching_logs(store, query), query)
     with staged(with_sequence(found), "matches") as matches:
-        if LOG_QUERY in paths:
-            counts[LOG_QUERY] = write_staged(
-                matches, paths[LOG_QUERY], tie_breakers, rows_per_part
-            )
+        counts[LOG_QUERY] = write_staged(
+            matches, paths[LOG_QUERY], tie_breakers, rows_per_part
+        )
         if HISTOGRAM in paths:
             counts[HISTOGRAM] = write_result(
                 time_histogram(matches, window), paths[HISTOGRAM], rows_per_part=rows_per_part

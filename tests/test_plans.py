@@ -115,6 +115,19 @@ def test_long_part_index_is_not_broadcast_by_hint(spark, monkeypatch):
     assert values(page, "id") == list(range(14, 44))
 
 
+def test_sort_spreads_repeated_rows(spark):
+    """A line repeated in one second does not gather in one range of the sort."""
+    same = F.struct(F.lit(SPAN[0]).cast("timestamp").alias("time"), F.lit("log").alias("message"))
+    rows = spark.range(0, 8_000, 1, 8).select(same.alias("data"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = log_query(rows, LogQuery(*SPAN, keywords=["log"]))
+        sizes = values(found.groupBy(F.spark_partition_id()).count(), "count")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 8_000 and max(sizes) < 2_000
+
+
 def test_few_matches_are_gathered_before_they_are_written(spark, root):
     logs = log_store.read_log_store(spark, root)
     assert "REBALANCE_PARTITIONS_BY_COL" in plan_of(gathered(matching_logs(logs, QUERY), QUERY))

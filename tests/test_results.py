@@ -238,6 +238,13 @@ def test_run_all_and_browse(spark):
     assert values(stats, "jobId", "totalRowCount") == [("j1", 3)]
 
 
+def test_histogram_alone(spark):
+    path = new_path(spark, "jobs")
+    assert run_all(log_rows(spark, ROWS), QUERY, 3600, {HISTOGRAM: path}) == {HISTOGRAM: 2}
+    assert sorted(values(store.read_result(spark, path), "count")) == [1, 2]
+    assert run_all(log_rows(spark, ROWS), QUERY, 3600, {}) == {}
+
+
 def test_browse_checks_its_arguments(spark):
     for arguments in (
         ("Other", None),
