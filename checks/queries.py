@@ -34,6 +34,7 @@ START, END = 1704844800, 1705017600  # 2024-01-10 and 2024-01-12, both at midnig
 WHOLE = LogQuery(1704067200, 1706745599)  # January 2024
 SEARCH = LogQuery(START, END, level="ERROR", keywords=["69", "8"])
 TIES = ("event_id",)
+FILES_PER_BATCH = 10_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -564,17 +565,32 @@ def event_calendar(spark, sf_dir):
     return logs.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_written_once
+def _topic(spark, sf_dir):
+    """Files of messages, several even of a small table."""
+    path = new_path(spark, "check")
+    envelopes = views.envelopes(spark, sf_dir)
+    events = views.table(spark, sf_dir, "events")
+    envelopes.write.option("maxRecordsPerFile", _eighth(events, 100)).parquet(path)
+    return path
+
+
+def _messages(spark, sf_dir):
+    """A stream of the messages in at least two batches, and in more when there are many."""
+    path = _topic(spark, sf_dir)
+    files = len(spark.read.schema("value binary").parquet(path).inputFiles())
+    per_batch = max(1, min(files // 2, FILES_PER_BATCH))
+    reader = spark.readStream.schema("value binary").option("maxFilesPerTrigger", per_batch)
+    return reader.parquet(path)
+
+
 @_written_once
 def _streamed(spark, sf_dir):
-    """A store filled by a stream over files of messages, in several batches."""
+    """A store filled by a stream."""
     root = new_path(spark, "check")
-    views.envelopes(spark, sf_dir).repartition(4).write.parquet(f"{root}/topic")
-    messages = (
-        spark.readStream.schema("value binary")
-        .option("maxFilesPerTrigger", 2)
-        .parquet(f"{root}/topic")
+    query = start_ingest(
+        _messages(spark, sf_dir), f"{root}/store", f"{root}/checkpoint", available_now=True
     )
-    query = start_ingest(messages, f"{root}/store", f"{root}/checkpoint", available_now=True)
     query.awaitTermination()
     return f"{root}/store"
 
@@ -617,11 +633,17 @@ def ingest_dead_letters(spark, sf_dir):
 
 @_registered
 def ingest_replay(spark, sf_dir):
-    """A batch landed twice counts once."""
+    """Batches landed twice count once."""
     root = new_path(spark, "check")
-    for _ in range(2):
-        land_batch(views.envelopes(spark, sf_dir), root, "replayed", 0)
-    landed = log_store.read_log_stores(spark, root)
+
+    def land_twice(batch, batch_id):
+        for _ in range(2):
+            land_batch(batch, f"{root}/store", "replayed", batch_id)
+
+    writer = _messages(spark, sf_dir).writeStream.foreachBatch(land_twice)
+    writer = writer.option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    landed = log_store.read_log_stores(spark, f"{root}/store")
     return landed.groupBy("_documentType").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -638,9 +660,7 @@ def compacted_log_query(spark, sf_dir):
     """The same after the days of the store have been compacted into one dataset."""
     root = _streamed(spark, sf_dir)
     target = new_path(spark, "check")
-    days = (WHOLE.start_time, WHOLE.end_time)
-    for _ in range(2):
-        log_store.compact_days(spark, root, target, *days)
+    log_store.compact_days(spark, root, target, WHOLE.start_time, WHOLE.end_time)
     store = log_store.read_compacted(spark, target, span=(START, END))
     found = log_query(store, LogQuery(START, END, "error", ["69", "8"]), ("pid",))
     return found.select("pid", "level", "message", "timestamp")

@@ -35,7 +35,8 @@ def land_batch(
     """Write one batch, one job per layout that occurs in it; return the rows of each.
 
     Messages without a route are kept apart and counted under ``dead_letter``. Landing the
-    same batch again replaces it.
+    same batch again replaces it. The batch is held in memory and on local disks meanwhile,
+    so the source should bound it (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``).
     """
     schemas = registered_schemas() if schemas is None else schemas
     layout = F.when(is_routable(), strategy.layout_of_row())
