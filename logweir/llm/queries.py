@@ -7,10 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from logweir.llm.mixing import mix
+from logweir.llm.quality_rules import quality
+from logweir.llm.secret_scans import secrets
 from logweir.llm.token_counts import token_counts
+from logweir.llm.url_filters import parse_rule, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+URL_RULES = (
+    "allow org/",
+    "block example.org/es/",
+    "block example.org/en/1",
+    "allow com/fr/",
+    "block com/de/",
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +32,30 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).drop("position")
+
+
+def op7_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"), [parse_rule(r) for r in URL_RULES])
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"op2_token_counts": op2_token_counts}
+    return {
+        f.__name__: f
+        for f in (
+            op2_token_counts,
+            op4_source_mix,
+            op7_url_verdicts,
+            op8_secret_scan,
+            op9_quality_rules,
+        )
+    }
