@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from logweir.llm.language_id import fit, predict
 from logweir.llm.mixing import mix
 from logweir.llm.quality_rules import quality
 from logweir.llm.secret_scans import secrets
@@ -15,6 +16,7 @@ from logweir.llm.url_filters import parse_rule, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = (
     "allow org/",
     "block example.org/es/",
@@ -36,6 +38,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("position")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs, PIECE_VOCABULARY))
+
+
 def op7_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"), [parse_rule(r) for r in URL_RULES])
 
@@ -54,6 +61,7 @@ def llm_queries() -> dict[str, Query]:
         for f in (
             op2_token_counts,
             op4_source_mix,
+            op6_language_id,
             op7_url_verdicts,
             op8_secret_scan,
             op9_quality_rules,
