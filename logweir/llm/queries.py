@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logweir.llm.language_id import fit, predict
 from logweir.llm.mixing import mix
+from logweir.llm.nearest import nearest
+from logweir.llm.packing import pack
 from logweir.llm.quality_rules import quality
 from logweir.llm.secret_scans import secrets
 from logweir.llm.token_counts import token_counts
@@ -30,6 +32,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -55,15 +61,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_packing,
             op2_token_counts,
             op4_source_mix,
             op6_language_id,
             op7_url_verdicts,
             op8_secret_scan,
             op9_quality_rules,
+            op10_nearest,
         )
     }
