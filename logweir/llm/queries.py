@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from logweir.llm.language_id import fit, predict
 from logweir.llm.mixing import mix
 from logweir.llm.nearest import nearest
+from logweir.llm.ngram_join import ngram_classes
 from logweir.llm.packing import pack
 from logweir.llm.quality_rules import quality
 from logweir.llm.secret_scans import secrets
+from logweir.llm.span_dedup import remove_repeats
 from logweir.llm.token_counts import token_counts
 from logweir.llm.url_filters import parse_rule, url_verdicts
 
@@ -40,10 +42,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_classes(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("position")
 
 
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return predict(docs, fit(docs, PIECE_VOCABULARY))
@@ -71,7 +81,9 @@ def llm_queries() -> dict[str, Query]:
         for f in (
             op1_packing,
             op2_token_counts,
+            op3_ngram_join,
             op4_source_mix,
+            op5_span_dedup,
             op6_language_id,
             op7_url_verdicts,
             op8_secret_scan,
