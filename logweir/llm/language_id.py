@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logweir.llm.pieces import runs
 from logweir.llm.tables import Scratch
@@ -296,13 +297,8 @@ def fit(docs: DataFrame, path: str, rows: int = FIT_ROWS, rounds: int = ROUNDS)
     return Model(path, languages, chance)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of each row of ``docs``.
-
-    Only ``doc_id`` and ``text`` are read. The score is the share of the best language in the
-    summed probabilities of all, 0 to 1; of equal ones the first by name wins. A null text,
-    one without a letter, and every text if no language was learned are ``und`` with score 0.
-    """
+def annotate(docs: DataFrame, model: Model, label: str, share: str) -> DataFrame:
+    """All columns of ``docs`` with the best language of ``text`` and its share, named so."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -313,17 +309,39 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             best = np.zeros(batch.num_rows)
             if model.languages:
                 sums = scorer(model).of_texts(text)
-                share = np.exp(sums - sums.max(axis=1, keepdims=True))
-                place = share.argmax(axis=1)
+                ratio = np.exp(sums - sums.max(axis=1, keepdims=True))
+                place = ratio.argmax(axis=1)
                 names[known] = np.array(model.languages, object)[place[known]]
-                best[known] = (1 / share.sum(axis=1))[known]
+                best[known] = (1 / ratio.sum(axis=1))[known]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(best)],
-                names=["doc_id", "lang_pred", "score"],
+                [*batch.columns, pa.array(names, pa.string()), pa.array(best)],
+                names=[*batch.schema.names, label, share],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(
-        score, f"doc_id {kind}, lang_pred string, score double"
-    )
+    schema = StructType([*docs.schema.fields]).add(label, "string").add(share, "double")
+    return docs.mapInArrow(score, schema)
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of each row of ``docs``.
+
+    Only ``doc_id`` and ``text`` are read. The score is the share of the best language in the
+    summed probabilities of all, 0 to 1; of equal ones the first by name wins. A null text,
+    one without a letter, and every text if no language was learned are ``und`` with score 0.
+    """
+    scored = annotate(docs.select("doc_id", "text"), model, "lang_pred", "score")
     return scored.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def recognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least this share."""
+    label, share = _free(docs, "language"), _free(docs, "share")
+    kept = annotate(docs, model, label, share)
+    return kept.where((F.col(label) != UNKNOWN) & (F.col(share) >= least)).select(docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name

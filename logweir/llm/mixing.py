@@ -7,7 +7,7 @@ training position of a document, and documents are range-sorted by position.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +49,14 @@ def training_time(demanded: Column, schedule: Sequence[tuple[float, float]]) ->
     return found
 
 
+def _taken_at(schedule: Sequence[tuple[float, float]]) -> Callable[[Column], Column]:
+    def time(turn: Column) -> Column:
+        before = F.col("offset") + turn * F.col("source_size")
+        return training_time(before / F.col("demand"), schedule)
+
+    return time
+
+
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST
 ) -> DataFrame:
@@ -96,13 +104,13 @@ def mix(
 
     Reads ``doc_id``, ``text`` and ``source``; other columns may have any name. Returns
     ``doc_id``, ``size`` (words, 0 of null), ``source_size``, ``target``, ``taken`` and
-    ``position``, range-sorted by position, then doc_id.
+    ``positions``, range-sorted by the first position, then doc_id.
 
     The documents of a source stand in a ring, ordered by the MD5 of their id. Its rounded
     target is taken from the start of the ring, going round again where it is larger than the
-    source; so ``taken`` sums to it exactly. ``position`` is the training time 0..1 at which
-    the schedule of the source has demanded the words before the document, null where nothing
-    is taken. A null source is a source of its own, equal rows are taken in turn, and an
+    source; so ``taken`` sums to it exactly. ``positions`` has the training time 0..1 of each
+    taking: when the schedule of the source has demanded the words before it; it is empty where
+    nothing is taken. A null source is a source of its own, equal rows are taken in turn, and an
     empty table gives an empty result. ``share`` may not exceed ``most``.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -138,14 +146,33 @@ def mix(
     rest = F.col("demand") - F.col("rounds") * F.col("source_size") - F.col("offset")
     part = F.greatest(F.least(rest, F.col("size")), F.lit(0))
     rows = rows.withColumn("taken", (F.col("rounds") * F.col("size") + part).cast("long"))
-    demanded = F.col("offset") / F.col("demand")
-    time = F.lit(None).cast("double")
+    times = F.lit(None).cast("array<double>")
+    takes = F.when(F.col("taken") > 0, F.expr("cast(ceil(taken / size) as int)"))
     for k in range(len(weights)):
-        time = F.when(F.col("kind") == k, training_time(demanded, schedules[k])).otherwise(time)
-    time = F.when(F.col("taken") > 0, time)
+        each = F.transform(F.sequence(F.lit(0), takes - 1), _taken_at(schedules[k]))
+        times = F.when(F.col("kind") == k, each).otherwise(times)
+    times = F.coalesce(times, F.array().cast("array<double>"))
     mixed = rows.select(
-        "doc_id", "size", "source_size", "target", "taken", time.alias("position")
-    )
-    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions(
+        "doc_id", "size", "source_size", "target", "taken", times.alias("positions")
+    ).withColumn("position", F.try_element_at("positions", F.lit(1)))
+    ordered = mixed.repartitionByRange("position", "doc_id").sortWithinPartitions(
         "position", "doc_id"
     )
+    return ordered.drop("position")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them, in the order of training.
+
+    A document comes once per taking, a last part of it if that is half of it or more, since
+    documents are not cut here; one of which less is taken goes. ``doc_id`` has to be unique.
+    """
+    plan = mix(docs, **options).select(
+        F.col("doc_id").alias("mixed_id"),
+        F.explode(F.slice("positions", F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))).alias(
+            "mixed_at"
+        ),
+    )
+    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    ordered = rows.repartitionByRange("mixed_at", "doc_id").sortWithinPartitions("mixed_at", "doc_id")
+    return ordered.select(docs.columns)

@@ -342,3 +342,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .where(F.col("common") * 100 >= (F.col("ln") + F.col("rn") - F.col("common")) * percent)
         .select("l", "r")
     )
+
+
+def _without(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join by ``doc_id``; ids are broadcast up to a checked count."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
+def one_per_class(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without all but the smallest id of each class of alike documents.
+
+    Of several rows with that id one is kept; rows without id all stay.
+    """
+    scratch = Scratch("one-per-class")
+    classes = scratch.write(ngram_classes(docs, width, percent))
+    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = scratch.write(repeated.select("doc_id"))
+    later = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = _without(docs, later, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    single = _without(kept, repeated, "left_anti")
+    return single.union(_without(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))

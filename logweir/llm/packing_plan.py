@@ -59,6 +59,15 @@ def combinations(room: int, depth: int = DEPTH, most: int | None = None) -> list
     ]
 
 
+def _least_squares(matrix: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    gram = matrix.T @ matrix
+    gram[np.diag_indices_from(gram)] *= 1 + 1e-12
+    try:
+        return np.linalg.solve(gram, matrix.T @ wanted)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(matrix, wanted, rcond=None)[0]
+
+
 def nnls(matrix: np.ndarray, wanted: np.ndarray, rounds: int = 600) -> np.ndarray:
     """x >= 0 with the least |matrix x - wanted|: the active set method of Lawson and Hanson."""
     x = np.zeros(matrix.shape[1])
@@ -73,7 +82,7 @@ def nnls(matrix: np.ndarray, wanted: np.ndarray, rounds: int = 600) -> np.ndarra
         active[best] = True
         while True:
             columns = np.flatnonzero(active)
-            solved = np.linalg.lstsq(matrix[:, columns], wanted, rcond=None)[0]
+            solved = _least_squares(matrix[:, columns], wanted)
             if (solved > 0).all():
                 x[:] = 0
                 x[columns] = solved

@@ -47,7 +47,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).drop("position")
+    return mix(_table(spark, sf_dir, "documents")).drop("positions")
 
 
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,3 +159,32 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         scan,
         f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string",
     )
+
+
+def redacted(text: str, scope: int = SCOPE, mark: str = "[SECRET]") -> str:
+    """The text with every finding, and what lies between overlapping ones, as ``mark``."""
+    base = base_spans(text)
+    parts, at = [], 0
+    for _, a, b in sorted([*base, *linked_spans(text, base, scope)], key=lambda s: s[1:]):
+        if a >= at:
+            parts += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
+def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """``docs`` with the secrets of ``text`` masked; all other columns as they are."""
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=16_000_000):
+            place = batch.schema.get_field_index("text")
+            column = batch.column(place)
+            held = pc.fill_null(pc.match_substring_regex(column, _MAY_HOLD), False)
+            if pc.any(held).as_py():
+                texts = column.to_pylist()
+                for k in pc.indices_nonzero(held).to_pylist():
+                    texts[k] = redacted(texts[k], scope)
+                batch = batch.set_column(place, "text", pa.array(texts, column.type))
+            yield batch
+
+    return docs.mapInArrow(mask, docs.schema)
