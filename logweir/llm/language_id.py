@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from logweir.llm.pieces import runs
-from logweir.llm.tables import Scratch
+from logweir.llm.tables import Scratch, free_name
 from logweir.llm.words import slices, text_bytes
 
 UNKNOWN = "und"
@@ -335,13 +335,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def recognised(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least this share."""
-    label, share = _free(docs, "language"), _free(docs, "share")
+    label, share = free_name(docs, "language"), free_name(docs, "share")
     kept = annotate(docs, model, label, share)
     return kept.where((F.col(label) != UNKNOWN) & (F.col(share) >= least)).select(docs.columns)
 
-
-def _free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    while name in docs.columns:
-        name += "_"
-    return name

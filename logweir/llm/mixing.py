@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweir.llm.tables import free_name
+
 WEIGHTS = (5.0, 2.0, 1.0)
 # Knots (time, relative weight) of piecewise linear schedules, one per entry of WEIGHTS:
 # the first kind of source grows, the last fades.
@@ -167,12 +169,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document comes once per taking, a last part of it if that is half of it or more, since
     documents are not cut here; one of which less is taken goes. ``doc_id`` has to be unique.
     """
-    plan = mix(docs, **options).select(
-        F.col("doc_id").alias("mixed_id"),
-        F.explode(F.slice("positions", F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))).alias(
-            "mixed_at"
-        ),
-    )
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    ordered = rows.repartitionByRange("mixed_at", "doc_id").sortWithinPartitions("mixed_at", "doc_id")
+    own, at = free_name(docs, "mixed_id"), free_name(docs, "mixed_at")
+    whole = F.round(F.col("taken") / F.col("size")).cast("int")
+    times = F.explode(F.slice("positions", F.lit(1), whole))
+    plan = mix(docs, **options).select(F.col("doc_id").alias(own), times.alias(at))
+    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(own)))
+    ordered = rows.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id")
     return ordered.select(docs.columns)

@@ -26,12 +26,15 @@ CHUNK_SHINGLES = 2_000_000
 # Parts of the hash space; each is counted by one task.
 HASH_PARTS = 256
 # Groups of up to so many sets are paired whole; of larger ones, so many meet all the others
-# in a round.
+# in each of the first rounds.
 GROUP = 24
-LEADERS = 8
+LEADERS = 2
 # Ids of documents worth a comparison are broadcast up to this count, and joined beyond it.
 BROADCAST_IDS = 1_000_000
 
+# Slots of the parities of a set; two sets differ in at least as many members as slots.
+SLOTS = 1024
+
 _VALUE_BITS = np.uint64(40)
 
 
@@ -167,13 +170,18 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             ends = np.append(0, np.cumsum([len(s) for s in sets]))
             flat = np.concatenate(sets).view(np.int64)
             members = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            signs = pa.array([_parities(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), members], names=["doc_id", "members"]
+                [batch.column("doc_id"), members, signs], names=["doc_id", "members", "signs"]
             )
 
-    found = docs.mapInArrow(find, "doc_id long, members array<long>")
-    # Sorted as unsigned; signed order is what Spark sees. Any fixed order will do.
-    return found
+    return docs.mapInArrow(find, "doc_id long, members array<long>, signs array<long>")
+
+
+def _parities(members: np.ndarray) -> np.ndarray:
+    """For each of many slots, whether an odd number of members falls into it."""
+    odd = np.bincount((members % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -199,8 +207,8 @@ def ngram_classes(
        one count over all shingles leaves the few such documents.
     2. Equal sets become one class, by an aggregation, and the same count is repeated on them.
     3. Classes that share a shingle of their prefix, in order of rising frequency, form a
-       group. Small groups are paired; in a large one a few members at a time meet all others
-       not yet connected with them and leave it, until all that remain are connected. So a
+       group. Small groups are paired. In a large one a few members meet all others, as long
+       as that links any; in the end all outside its largest component meet the rest. So a
        group of near copies takes about a comparison per member, and no pair of classes of two
        components is left out.
     4. Pairs of fitting sizes whose prefixes also meet under two orders by hash are compared.
@@ -228,9 +236,9 @@ def ngram_classes(
         sets.join(named, key)
         .where("doc_id = rep")
         .groupBy("rep", *key)
-        .agg(F.first("members").alias("members"))
+        .agg(F.first("members").alias("members"), F.first("signs").alias("signs"))
         .withColumn("node", F.xxhash64("rep", "mark"))
-        .select("node", "rep", "n", F.array_sort("members").alias("members"))
+        .select("node", "rep", "n", "signs", F.array_sort("members").alias("members"))
     )
     links = _links(classes, percent, scratch)
     of_class = classes.select(F.col("node"), F.col("rep"))
@@ -262,71 +270,96 @@ def _links(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     room = _prefix(F.col("n"), percent) - (F.col("n") - F.col("shared"))
     fitting = shared.where(F.col("shared") * 100 >= F.col("n") * percent)
     groups = fitting.select(
-        "node", "n", F.explode(F.slice("rising", F.lit(1), room)).alias("m")
-    ).select("node", "n", F.col("m.member").alias("member"))
-    open_ = scratch.write(groups)
-    found, compared, component = [], None, None
+        "node",
+        "n",
+        F.col("shared").alias("held"),
+        F.explode(F.slice("rising", F.lit(1), room)).alias("m"),
+    ).select("node", "n", "held", F.col("m.member").alias("member"))
+    groups = scratch.write(groups)
+    # Whoever has too many members of its own even for the smallest of a group has no pair there.
+    smallest = groups.groupBy("member").agg(F.min("n").alias("least"))
+    kept = groups.join(smallest, "member").where(
+        F.col("held") * (100 + percent) >= (F.col("n") + F.col("least")) * percent
+    )
+    signs = classes.select("node", "signs")
+    open_ = scratch.write(kept.drop("least").join(signs, "node").withColumn("component", F.col("node")).withColumn("weight", F.lit(1).cast("long")))
+    scratch.drop(groups)
+    links = scratch.write(classes.select(F.col("node").alias("l"), F.col("node").alias("r")).limit(0))
+    star = True
     while True:
-        entries = open_
-        if component is not None:
-            entries = open_.join(component, "node", "left").withColumns(
-                {
-                    "component": F.coalesce("component", "node"),
-                    "weight": F.coalesce("weight", F.lit(1)),
-                }
-            )
-        else:
-            entries = open_.withColumns({"component": F.col("node"), "weight": F.lit(1).cast("long")})
-        sizes = entries.groupBy("member").agg(
-            F.count("*").alias("size"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-        )
-        entries = scratch.write(
-            entries.join(sizes.where("low <> high"), "member").drop("low", "high")
+        # Groups that are connected already, and those of one, are done.
+        parts = open_.groupBy("member", "component").agg(F.count("*").alias("part"))
+        groups = parts.groupBy("member").agg(
+            F.sum("part").alias("size"),
+            F.max_by("component", F.struct("part", "component")).alias("largest"),
+            F.count("*").alias("parts"),
         )
+        entries = scratch.write(open_.join(groups.where("parts > 1"), "member"))
         if entries.isEmpty():
             break
         small = entries.where(F.col("size") <= GROUP)
         large = entries.where(F.col("size") > GROUP)
-        turn = Window.partitionBy("member").orderBy("weight", F.xxhash64("node"), "node")
-        leaders = scratch.write(
-            large.withColumn("turn", F.row_number().over(turn))
-            .where(F.col("turn") <= LEADERS)
-            .select("member", "node", "n", "component")
-        )
-        pairs = _pairs(small, small, percent).union(_pairs(leaders, large, percent)).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["l", "r"], "left_anti")
-        pairs = scratch.write(pairs)
+        if star:
+            # First those that are alone, and of these the ones with the least of their own.
+            own = F.col("held") / F.col("n")
+            turn = Window.partitionBy("member").orderBy("weight", own.desc(), "node")
+            lead = large.withColumn("turn", F.row_number().over(turn))
+            lead = lead.where(F.col("turn") <= LEADERS)
+        else:
+            lead = large.where("component <> largest")
+        pairs = _pairs(small, small, percent).union(_pairs(lead, large, percent)).distinct()
         alike = scratch.write(_verified(pairs, classes, percent))
-        compared = scratch.write(pairs if compared is None else compared.union(pairs))
-        found.append(alike)
-        rest = large.join(leaders.select("member", "node"), ["member", "node"], "left_anti")
-        following = scratch.write(rest.select("node", "n", "member"))
-        scratch.drop(open_, entries, leaders, pairs)
-        open_ = following
-        if open_.isEmpty():
+        found = scratch.write(links.union(alike))
+        stop = not star
+        star = not alike.isEmpty()
+        scratch.drop(links, alike)
+        links = found
+        if stop:
             break
-        edges = found[0]
-        for more in found[1:]:
-            edges = edges.union(more)
-        labels = components(edges.select(F.col("l").alias("a"), F.col("r").alias("b")), scratch)
+        labels = components(links.select(F.col("l").alias("a"), F.col("r").alias("b")), scratch)
         weights = labels.groupBy("component").agg(F.count("*").alias("weight"))
-        component = scratch.write(labels.join(weights, "component").select("node", "component", "weight"))
-    links = found[0] if found else classes.select(F.col("node").alias("l"), F.col("node").alias("r")).limit(0)
-    for more in found[1:]:
-        links = links.union(more)
+        labels = scratch.write(labels.join(weights, "component"))
+        following = large.select("node", "n", "held", "member", "signs").join(labels, "node", "left")
+        following = scratch.write(
+            following.withColumns(
+                {
+                    "component": F.coalesce("component", "node"),
+                    "weight": F.coalesce("weight", F.lit(1)),
+                }
+            )
+        )
+        scratch.drop(open_, entries, labels)
+        open_ = following
     return links
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Members of one group, of two components and of fitting sizes, smaller node first."""
-    a = left.select("member", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    b = right.select("member", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
-    fits = (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent) & (F.col("x") != F.col("y"))
-    met = a.join(b, "member").where(fits & (F.col("xc") != F.col("yc")))
-    return met.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r"))
+    """Members of one group, of two components, that can be alike; smaller node first.
+
+    They have no more in common than either has members that occur elsewhere, and differ in
+    no fewer than their parities do.
+    """
+    apart = sum(
+        (F.bit_count(F.col("a_signs")[k].bitwiseXOR(F.col("b_signs")[k])) for k in range(SLOTS // 64)),
+        F.lit(0),
+    )
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        columns = ("node", "n", "held", "component", "signs")
+        return df.select("member", *(F.col(c).alias(name + c) for c in columns))
+
+    met = named(left, "a_").join(named(right, "b_"), "member").where(
+        (F.col("a_node") != F.col("b_node"))
+        & (F.col("a_component") != F.col("b_component"))
+        & (
+            F.least("a_held", "b_held") * (100 + percent)
+            >= (F.col("a_n") + F.col("b_n")) * percent
+        )
+        & (apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
+    )
+    return met.select(
+        F.least("a_node", "b_node").alias("l"), F.greatest("a_node", "b_node").alias("r")
+    )
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

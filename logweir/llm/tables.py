@@ -31,3 +31,10 @@ class Scratch:
             path = self.paths.pop(id(frame), None)
             if path:
                 discard(frame.sparkSession, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like this one that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
