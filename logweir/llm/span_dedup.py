@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.llm.anchors import Runs, anchors
+from logweir.llm.pieces import runs
 from logweir.llm.suffix_groups import suffix_array
 from logweir.llm.tables import Scratch
 from logweir.llm.words import mix64, slices, text_bytes
@@ -28,7 +29,9 @@ HASH_PARTS = 256
 CHUNK_ANCHORS = 1_000_000
 # An anchor in more documents than this is compared string by string, each under a key of its
 # own, so that no task gets all its contexts.
-COMMON = 2_000
+COMMON = 20_000
+# Texts whose contexts are compared before they are dealt out, in bytes.
+CONTEXT_BYTES = 6_000_000
 BROADCAST_IDS = 1_000_000
 
 _LOW = np.uint64((1 << 40) - 1)
@@ -102,8 +105,8 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int, common:
         chunk = TaskContext.get().partitionId() << 24
         keys, found, held = [], [], 0
         for batch in slices(batches):
-            _, _, runs, owner = _runs(batch.column("text"), window, gram)
-            codes = _codes(runs.hash, parts)
+            _, _, around, owner = _runs(batch.column("text"), window, gram)
+            codes = _codes(around.hash, parts)
             keys += batch.column("key").to_pylist()
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             found += [np.unique(codes[a:b]) for a, b in zip(ends[:-1], ends[1:])]
@@ -176,68 +179,144 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int, common:
     return counted.groupBy("chunk").applyInArrow(gather, "key long, codes array<long>")
 
 
-CONTEXT = "part long, key long, doc_id long, code long, first long, context binary, anchor int"
+CONTEXT = (
+    "part long, key long, doc_id long, code long, mark long, first long, length long, "
+    "anchor long, context binary"
+)
+# Codes of strings of common anchors, apart from those of anchors.
+_STRING_BIT = np.int64(1) << np.int64(61)
+
+
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Marks:
+    """Hashes of any stretch of some bytes, from running sums."""
+
+    def __init__(self, data: np.ndarray):
+        step = np.full(len(data) + 1, _STEP, np.uint64)
+        back = np.full(len(data) + 1, pow(int(_STEP), -1, 1 << 64), np.uint64)
+        step[0] = back[0] = 1
+        powers, self.back = step.cumprod(dtype=np.uint64), back.cumprod(dtype=np.uint64)
+        terms = mix64(data.astype(np.uint64) + np.uint64(77)) * powers[:-1]
+        self.sums = np.append(np.uint64(0), terms.cumsum(dtype=np.uint64))
+
+    def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        value = (self.sums[end] - self.sums[start]) * self.back[start]
+        return mix64(value ^ mix64((end - start).astype(np.uint64) * np.uint64(1 << 20) + salt.astype(np.uint64)))
+
+
+def _owned(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    return mix64(codes.astype(np.uint64)) + owner.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+
+
+def _least(order: np.ndarray, ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where rows in this order begin to differ in the keys, and the smallest id up to there."""
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for key in keys:
+        ranked = key[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    heads = np.flatnonzero(new)
+    return heads, np.minimum.reduceat(ids[order], heads)
 
 
 def _contexts(docs: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
     """A row per run of strings around a shared anchor, and settled spans under negative parts.
 
-    Of equal contexts in a batch only the smallest document's go on; the others are settled.
+    ``context`` has the bytes before and behind the anchor, whose own the code stands for.
+    Strings of common anchors are rows of their own, under the code of their bytes. Of equal
+    contexts in a batch only the smallest document's go on; the others are settled.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            begin, data, runs, owner = _runs(batch.column("text"), window, gram)
-            codes = _codes(runs.hash, parts)
-            keys = batch.column("key").to_numpy()
-            ids = batch.column("doc_id").to_numpy()
-            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            shared = np.zeros(len(codes), bool)
-            wide = np.zeros(len(codes), bool)
-            column = batch.column("codes")
-            for k in range(batch.num_rows):
-                own = column[k].values.to_numpy()
-                some = slice(ends[k], ends[k + 1])
-                shared[some] = np.isin(codes[some], own & ~_COMMON_BIT)
-                wide[some] = np.isin(codes[some], own[own >= _COMMON_BIT] & ~_COMMON_BIT)
-            raw = data.tobytes()
-            classes: dict[tuple[int, bytes], list] = {}
-            for r in np.flatnonzero(shared).tolist():
-                low, high, d = int(runs.first[r]), int(runs.last[r]), int(owner[r])
-                base = int(begin[d])
-                if wide[r]:
-                    for s in range(low, high + 1):
-                        text = raw[s : s + window]
-                        code = int.from_bytes(hashlib.blake2b(text, digest_size=7).digest(), "little")
-                        classes.setdefault((code, text), []).append((d, s - base, -1))
-                else:
-                    text = raw[low : high + window]
-                    place = int(runs.at[r]) - low
-                    classes.setdefault((int(codes[r]), text), []).append((d, low - base, place))
-            rows, settled = [], {}
-            for (code, text), places in classes.items():
-                least = min(ids[p[0]] for p in places)
-                # Strings of a common anchor are dealt by their own hash.
-                for d, first, place in places:
-                    if ids[d] > least:
-                        settled.setdefault(d, []).append((first, first + len(text)))
-                    else:
-                        part = code % parts if place < 0 else code >> 40
-                        rows.append((part, int(keys[d]), int(ids[d]), code, first, text, place))
-            for d, spans in settled.items():
-                joined = _joined(np.array(spans, np.int64))
-                rows.append((-1 - int(keys[d]) % parts, int(keys[d]), int(ids[d]), 0, 0, _bytes(joined, "<i8"), 0))
-            if rows:
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(names, r)) for r in rows], schema=schema
+        for batch in slices(batches, limit=CONTEXT_BYTES):
+            begin, data, found, owner = _runs(batch.column("text"), window, gram)
+            codes = _codes(found.hash, parts)
+            keys, ids = (batch.column(n).to_numpy() for n in ("key", "doc_id"))
+            lists = batch.column("codes")
+            own = lists.flatten().to_numpy()
+            own_doc = lists.value_parent_indices().to_numpy()
+            common = own >= _COMMON_BIT
+            own = own & ~_COMMON_BIT
+            mine = _owned(codes, owner)
+            shared = np.isin(mine, _owned(own, own_doc))
+            wide = np.isin(mine, _owned(own[common], own_doc[common]))
+            marks = _Marks(data)
+
+            some = np.flatnonzero(shared & ~wide)
+            start, end, at = found.first[some], found.last[some] + window, found.at[some]
+            mark = marks.of(start, end, at - start)
+            many = np.flatnonzero(wide)
+            counts = found.last[many] - found.first[many] + 1
+            single = runs(found.first[many], counts)
+            string = marks.of(single, single + window, np.zeros(len(single)))
+            doc = np.concatenate([owner[some], np.repeat(owner[many], counts)])
+            code = np.concatenate([codes[some], _codes(string, parts) | _STRING_BIT])
+            mark = np.concatenate([mark, string]).view(np.int64)
+            start, end = np.concatenate([start, single]), np.concatenate([end, single + window])
+            anchor = np.concatenate([at, np.full(len(single), -1)])
+            if not len(code):
+                continue
+            order = np.lexsort((mark, code))
+            heads, least = _least(order, ids[doc], code, mark)
+            beaten = np.empty(len(code), bool)
+            beaten[order] = ids[doc][order] > np.repeat(least, np.diff(np.append(heads, len(order))))
+
+            first = start - begin[doc]
+            late = np.flatnonzero(beaten)
+            done, packed = _packed(doc[late], first[late], first[late] + (end - start)[late])
+            go = np.flatnonzero(~beaten)
+            # The bytes on both sides of the anchor; none of a single string.
+            narrow = anchor[go] >= 0
+            left = np.where(narrow, anchor[go] - start[go], 0)
+            right = np.where(narrow, end[go] - anchor[go] - gram, 0)
+            places = np.column_stack([start[go], anchor[go] + gram]).ravel()
+            sizes = np.column_stack([left, right]).ravel()
+            raw = data[runs(places, sizes)]
+            offsets = np.append(0, np.cumsum(left + right)).astype(np.int32)
+            context = pa.BinaryArray.from_buffers(
+                pa.binary(), len(go), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+            )
+            part = (code[go] & ~_STRING_BIT) >> 40
+            yield _batch(
+                part, keys[doc[go]], ids[doc[go]], code[go], mark[go], first[go],
+                (end - start)[go], np.where(narrow, left, -1), context,
+            )
+            if len(done):
+                nothing = np.zeros(len(done), np.int64)
+                yield _batch(
+                    -1 - np.abs(keys[done] % parts), keys[done], ids[done], *[nothing] * 5, packed
                 )
 
-    names = [x.split()[0] for x in CONTEXT.split(", ")]
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
-    schema = pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, CONTEXT.split(", "))])
     return docs.mapInArrow(emit, CONTEXT)
 
 
+def _batch(*columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    names = [x.split()[0] for x in CONTEXT.split(", ")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def _packed(keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The different keys, and the joined spans of each as packed pairs."""
+    if not len(keys):
+        return keys, pa.array([], pa.binary())
+    names, place = np.unique(keys, return_inverse=True)
+    # Far enough apart that spans of two keys never touch.
+    room = int(end.max()) + 2
+    spans = _joined(np.column_stack([begin + place * room, end + place * room]))
+    of = spans[:, 0] // room
+    spans -= (of * room)[:, None]
+    counts = np.bincount(of, minlength=len(names))
+    offsets = np.append(0, np.cumsum(16 * counts)).astype(np.int32)
+    raw = np.ascontiguousarray(spans, "<i8")
+    packed = pa.BinaryArray.from_buffers(
+        pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+    )
+    return names, packed
+
+
 def _joined(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of the union of spans (begin, end), in order; touching ones are one."""
     if not len(spans):
@@ -249,70 +328,71 @@ def _joined(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[heads, 0], ends[np.append(heads[1:], len(spans)) - 1]])
 
 
-def _later_strings(contexts: list[tuple[int, bytes, int]], least: list[int], window: int, gram: int):
-    """For each context, where its strings begin that a smaller document has.
+def _later_strings(
+    groups: np.ndarray, sides: list[bytes], anchor: np.ndarray, least: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts, and where in them strings begin that a smaller document has.
 
-    ``contexts`` are different (group, bytes, place of the anchor); ``least`` their smallest
-    documents. The anchor's bytes are one symbol of the group, since all share them.
+    Contexts of one group have the same anchor, put as one symbol between the bytes before
+    (``anchor`` of them) and behind it, so that a string has ``width`` symbols. ``least`` is
+    the smallest document of each context.
     """
-    width = window - gram + 1
-    texts, valid, own = [], [], []
-    for k, (group, text, place) in enumerate(contexts):
-        symbols = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-        if place >= 0:
-            symbols = np.concatenate([symbols[:place], [257 + group], symbols[place + gram :]])
-        count = len(symbols) - width + 1 if place >= 0 else 1
-        texts.append(np.append(symbols, 0))
-        valid.append(np.arange(len(symbols) + 1) < count)
-        own.append(np.full(len(symbols) + 1, k))
-    flat, starts, owner = np.concatenate(texts), np.concatenate(valid), np.concatenate(own)
+    sizes = np.array([len(x) for x in sides])
+    ends = np.cumsum(sizes + 2)
+    begins = ends - sizes - 2
+    flat = np.zeros(int(ends[-1]), np.int64)
+    symbol = np.ones(len(flat), bool)
+    symbol[begins + anchor] = False
+    symbol[ends - 1] = False
+    flat[symbol] = np.frombuffer(b"".join(sides), np.uint8).astype(np.int64) + 1
+    flat[begins + anchor] = 257 + groups
+    owner = np.repeat(np.arange(len(sides)), sizes + 2)
     ranked = np.array(suffix_array(flat))
-    ranked = ranked[starts[ranked]]
+    ranked = ranked[(ranked + width) < ends[owner[ranked]]]
     strings = flat[ranked[:, None] + np.arange(width)]
     new = np.append(True, (strings[1:] != strings[:-1]).any(axis=1))
     heads = np.flatnonzero(new)
-    least = np.array(least)
     smallest = np.minimum.reduceat(least[owner[ranked]], heads)
     beaten = np.repeat(smallest, np.diff(np.append(heads, len(ranked)))) < least[owner[ranked]]
-    begins = np.append(0, np.cumsum([len(t) for t in texts]))
-    found: dict[int, list[int]] = {}
-    for s in ranked[beaten].tolist():
-        k = int(owner[s])
-        found.setdefault(k, []).append(s - int(begins[k]))
-    return found
+    found = ranked[beaten]
+    return owner[found], found - begins[owner[found]]
 
 
 def _resolve(table: pa.Table, window: int, gram: int) -> pa.Table:
     """Spans to remove, of the contexts of one part of the hash space."""
     if table["part"][0].as_py() < 0:
         return table.select(["key", "context"]).rename_columns(["key", "spans"])
-    rows = table.to_pylist()
-    groups: dict[int, dict[tuple[bytes, int], list]] = {}
-    for r in rows:
-        groups.setdefault((r["code"], r["anchor"] < 0), {}).setdefault(
-            (r["context"], r["anchor"]), []
-        ).append(r)
-    spans: dict[int, list[tuple[int, int]]] = {}
-    mixed, least, members = [], [], []
-    for number, group in enumerate(groups.values()):
-        for (text, place), places in group.items():
-            smallest = min(r["doc_id"] for r in places)
-            for r in places:
-                if r["doc_id"] > smallest:
-                    spans.setdefault(r["key"], []).append((r["first"], r["first"] + len(text)))
-            if len(group) > 1 and place >= 0:
-                mixed.append((number, text, place))
-                least.append(smallest)
-                members.append([r for r in places if r["doc_id"] == smallest])
-    if mixed:
-        for k, begins in _later_strings(mixed, least, window, gram).items():
-            for r in members[k]:
-                spans.setdefault(r["key"], []).extend(
-                    (r["first"] + b, r["first"] + b + window) for b in begins
-                )
-    keys = list(spans)
-    packed = [_bytes(_joined(np.array(spans[k], np.int64)), "<i8") for k in keys]
-    return pa.table({"key": pa.array(keys, pa.int64()), "spans": pa.array(packed, pa.binary())})
+    names = ("key", "doc_id", "code", "mark", "first", "length", "anchor")
+    key, ids, code, mark, first, length, anchor = (table[n].to_numpy() for n in names)
+    order = np.lexsort((mark, code))
+    heads, least = _least(order, ids, code, mark)
+    sizes = np.diff(np.append(heads, len(order)))
+    beaten = ids[order] > np.repeat(least, sizes)
+    late = order[beaten]
+    keys, begins, ends = [key[late]], [first[late]], [first[late] + length[late]]
+
+    # Different contexts of one anchor are compared string by string.
+    of = code[order[heads]]
+    new = np.append(True, of[1:] != of[:-1])
+    group = np.cumsum(new) - 1
+    mixed = np.flatnonzero((np.bincount(group)[group] > 1) & (anchor[order[heads]] >= 0))
+    if len(mixed):
+        rows = order[heads[mixed]]
+        sides = table["context"].take(pa.array(rows)).to_pylist()
+        width = window - gram + 1
+        context, place = _later_strings(group[mixed], sides, anchor[rows], least[mixed], width)
+        # Rows of the smallest document of a context; the others go as a whole already.
+        holders = np.flatnonzero(~beaten)
+        of_row = np.repeat(np.arange(len(heads)), sizes)[holders]
+        low = np.searchsorted(of_row, mixed[context])
+        times = np.searchsorted(of_row, mixed[context], "right") - low
+        row = order[holders[runs(low, times)]]
+        start = first[row] + np.repeat(place, times)
+        keys.append(key[row])
+        begins.append(start)
+        ends.append(start + window)
+    found, packed = _packed(*(np.concatenate(x) for x in (keys, begins, ends)))
+    return pa.table({"key": pa.array(found, pa.int64()), "spans": packed})
 
 
 def removed_spans(
