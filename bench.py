@@ -83,16 +83,10 @@ def main() -> None:
     lazy("offset_page", lambda: result_store.offset_page(spark, path, 250_001, 251_000))
     lazy("whole_result", lambda: result_store.read_result(spark, path))
     first = 883_612_800  # 1998-01-01
-    page = []
-    seconds["time_page"] = timed(
-        lambda: page.append(
-            result_store.time_page(spark, path, first, first + 30 * 86_400, 1, 1_000)
-        )
-    )
-    lazy(
-        "slice_page",
-        lambda: result_store.slice_page(spark, path, page[-1].result_id, 1, 500).rows,
-    )
+    month = (first, first + 30 * 86_400)
+    lazy("time_page", lambda: result_store.time_page(spark, path, *month, 1, 1_000).rows)
+    slice_id, _ = result_store.save_time_slice(spark, path, *month)
+    lazy("slice_page", lambda: result_store.slice_page(spark, path, slice_id, 1, 500).rows)
 
     roots = []
 

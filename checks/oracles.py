@@ -179,7 +179,7 @@ def all_oracles() -> dict[str, str]:
         + 'min(position) AS "startOffset", max(position) AS "endOffset", '
         + "min(timestamp) AS first_timestamp FROM slice GROUP BY 1",
         "chunk_index": _SLICE.format(1704067200, 1706745599)
-        + "SELECT 'part-' || (position // size) || '.parquet' AS \"partName\", "
+        + "SELECT 'chunk_id=' || (position // size) AS \"partName\", "
         + 'min(position) AS "startOffset", max(position) AS "endOffset" FROM slice GROUP BY 1',
         "chunks_by_number": _SLICE.format(1704067200, 1706745599)
         + f"SELECT {_SHOWN}, position, position // size AS chunk_id FROM slice "
@@ -224,6 +224,12 @@ def all_oracles() -> dict[str, str]:
         + "AS place, count(*) OVER () AS total FROM signatures "
         + f"WHERE regexp_matches(\"signatureId\", '5$') OR {_any_word('red')}) "
         + 'SELECT "signatureId", total FROM found WHERE place BETWEEN 11 AND 60',
+        "signature_page_deep": _SIGNATURES
+        + ", found AS (SELECT \"signatureId\", row_number() OVER (ORDER BY "
+        + "CASE WHEN regexp_matches(\"signatureId\", '5$') THEN 0 ELSE 1 END, p_partkey DESC) "
+        + "AS place, count(*) OVER () AS total FROM signatures "
+        + f"WHERE regexp_matches(\"signatureId\", '5$') OR {_any_word('red')}) "
+        + 'SELECT "signatureId", total FROM found WHERE place >= total - 24',
         "signature_lookup": _SIGNATURES
         + 'SELECT "signatureId", plugin, "docType", keywords FROM signatures '
         + "WHERE \"signatureId\" = 'sig_42'",
@@ -243,9 +249,16 @@ def all_oracles() -> dict[str, str]:
         "count(*) AS n FROM orders GROUP BY 1",
         "job_stored_statistics": _LOGS
         + "SELECT 'job_' || o_orderkey AS \"jobId\", CASE WHEN o_orderkey % 3 = 0 THEN o_custkey "
+        + "WHEN o_orderkey % 1000 <> 100 THEN NULL "
         + f"WHEN o_orderkey = 100 THEN (SELECT count(*) FROM logs WHERE {_SEARCH}) "
-        + "WHEN o_orderkey = 1100 THEN (SELECT count(*) FROM logs) ELSE 0 END AS n "
-        + "FROM orders WHERE o_orderkey % 1000 = 100",
+        + "WHEN o_orderkey = 1100 THEN (SELECT count(*) FROM logs) ELSE 0 END AS n FROM orders",
+        "job_listing_with_statistics": _LOGS
+        + "SELECT 'job_' || o_orderkey AS \"jobId\", CASE WHEN o_orderkey % 3 = 0 THEN o_custkey "
+        + "WHEN o_orderkey % 1000 <> 100 THEN NULL "
+        + f"WHEN o_orderkey = 100 THEN (SELECT count(*) FROM logs WHERE {_SEARCH}) ELSE 0 END AS n, "
+        + "CASE WHEN o_orderkey % 101 <> 100 THEN NULL WHEN o_orderkey = 201 "
+        + "THEN (SELECT count(DISTINCT timestamp // 3600) FROM logs) ELSE 0 END AS n_buckets "
+        + "FROM orders",
         "envelope_parse": _ENVELOPES
         + 'SELECT doc_type AS "_documentType", plugin AS "_plugin", count(*) AS n, '
         + "count(*) AS messages, count(*) FILTER (WHERE plugin IS NULL) AS unroutable "
@@ -275,6 +288,9 @@ def all_oracles() -> dict[str, str]:
         "ingest_dead_letters": _ENVELOPES
         + 'SELECT doc_type AS "_documentType", plugin AS "_plugin", count(*) AS n, '
         + "count(*) AS kept FROM messages WHERE plugin IS NULL GROUP BY ALL",
+        "ingest_malformed": _ENVELOPES
+        + 'SELECT doc_type AS "_documentType", plugin AS "_plugin", count(*) AS n, '
+        + "'not json' AS text FROM routable WHERE broken GROUP BY ALL",
         "ingest_replay": _ENVELOPES
         + 'SELECT "_documentType", count(*) AS n FROM landed GROUP BY 1',
         "store_log_query": _FROM_STORE,

@@ -12,6 +12,7 @@ from logweir.functions.columns import base_name, epoch_seconds, progress_status,
 from logweir.operators import catalog, filters, parse, parts
 from logweir.operators.histogram import time_histogram
 from logweir.plans.browse import browse
+from logweir.plans.jobs import job_listing as listing_of_jobs
 from logweir.plans.log_query import (
     HISTOGRAM,
     LOG_QUERY,
@@ -293,7 +294,7 @@ def _chunk_rows(spark, sf_dir):
 @_registered
 def time_page(spark, sf_dir):
     path = _stored_logs(spark, sf_dir)
-    page = result_store.time_page(spark, path, START, END, 11, 60, _chunk_rows(spark, sf_dir))
+    page = result_store.time_page(spark, path, START, END, 11, 60)
     return page.rows.select(*_SHOWN, "offset", F.lit(page.total).cast("long").alias("total"))
 
 
@@ -301,18 +302,16 @@ def time_page(spark, sf_dir):
 def saved_slice_page(spark, sf_dir):
     """A page of a slice saved before."""
     path = _stored_logs(spark, sf_dir)
-    slice_id, _ = result_store.save_time_slice(
-        spark, path, START, START + 864000, _chunk_rows(spark, sf_dir)
-    )
+    slice_id, _ = result_store.save_time_slice(spark, path, START, START + 864000)
     page = result_store.slice_page(spark, path, slice_id, 95, 1400)
     return page.rows.select(*_SHOWN, "offset", F.lit(page.total).cast("long").alias("total"))
 
 
 @_written_once
 def _whole_slice(spark, sf_dir):
-    """All of a result saved as one slice."""
+    """All of a result exported as one slice."""
     path = _stored_logs(spark, sf_dir)
-    slice_id, _ = result_store.save_time_slice(
+    slice_id, _ = result_store.export_time_slice(
         spark, path, WHOLE.start_time, WHOLE.end_time, _chunk_rows(spark, sf_dir)
     )
     return f"{path}/slices/{slice_id}"
@@ -460,6 +459,15 @@ def signature_page(spark, sf_dir):
     return page.select("signatureId", F.lit(total).cast("long").alias("total"))
 
 
+@_registered
+def signature_page_deep(spark, sf_dir):
+    """The last rows of all, past every other."""
+    signatures = _signatures(spark, sf_dir)
+    _, total = catalog.signature_page(signatures, "5$", "red", 1, 1)
+    page, _ = catalog.signature_page(signatures, "5$", "red", total - 24, total + 9)
+    return page.select("signatureId", F.lit(total).cast("long").alias("total"))
+
+
 @_registered
 def signature_lookup(spark, sf_dir):
     found = catalog.signature_by_id(_signatures(spark, sf_dir), "sig_42")
@@ -509,8 +517,21 @@ def job_stored_statistics(spark, sf_dir):
     stored = result_store.read_job_statistics(spark, root, LOG_QUERY)
     jobs = catalog.decode_jobs(views.raw_jobs(spark, sf_dir))
     filled = catalog.with_stored_statistics(jobs, stored, "logQuery")
-    return filled.filter("logQueryProgress.percentage = 100").select(
-        "jobId", F.col("logQueryStatistics.totalRowCount").alias("n")
+    return filled.select("jobId", F.col("logQueryStatistics.totalRowCount").alias("n"))
+
+
+@_registered
+def job_listing_with_statistics(spark, sf_dir):
+    """All jobs with the row counts of both query types, filled while listing."""
+    root = new_path(spark, "check")
+    logs = views.logs(spark, sf_dir)
+    run_log_query(logs, SEARCH, f"{root}/job_100_{LOG_QUERY}", TIES)
+    run_histogram(logs, WHOLE, 3600, f"{root}/job_201_{HISTOGRAM}")
+    listed = listing_of_jobs(catalog.decode_jobs(views.raw_jobs(spark, sf_dir)), root)
+    return listed.select(
+        "jobId",
+        F.col("logQueryStatistics.totalRowCount").alias("n"),
+        F.col("histogramStatistics.totalRowCount").alias("n_buckets"),
     )
 
 
@@ -626,11 +647,22 @@ def ingest_layouts(spark, sf_dir):
 @_registered
 def ingest_dead_letters(spark, sf_dir):
     dead = log_store.read_dead_letters(spark, _streamed(spark, sf_dir))
+    dead = dead.filter("_documentType is null or _plugin is null")
     return dead.groupBy("_documentType", "_plugin").agg(
         F.count(F.lit(1)).alias("n"), F.count("_raw").alias("kept")
     )
 
 
+@_registered
+def ingest_malformed(spark, sf_dir):
+    """Texts of payloads that could not be parsed, by their routes."""
+    dead = log_store.read_dead_letters(spark, _streamed(spark, sf_dir))
+    kept = dead.filter("_documentType is not null and _plugin is not null")
+    return kept.groupBy("_documentType", "_plugin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_raw").alias("text")
+    )
+
+
 @_registered
 def ingest_replay(spark, sf_dir):
     """Batches landed twice count once."""

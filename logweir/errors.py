@@ -1,4 +1,4 @@
-"""Errors raised before a job is planned."""
+"""Errors this package raises itself."""
 
 
 class LogweirError(Exception):
@@ -15,3 +15,7 @@ class NotFoundError(LogweirError, LookupError):
 
 class ConfigurationError(LogweirError, RuntimeError):
     """The session lacks a setting the job depends on."""
+
+
+class IncompleteResultError(LogweirError, RuntimeError):
+    """A result was not stored in full and is not committed."""

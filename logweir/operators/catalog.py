@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.errors import NotFoundError
 from logweir.functions.columns import progress_status
 from logweir.functions.patterns import checked_pattern
 from logweir.operators.filters import ANY, check_positive, check_range
-from logweir.operators.parts import add_offset, number_rows, offset_index, overlapping_parts
 from logweir.schemas import JOB_DETAILS, KEYWORDS, PROGRESS, STATISTICS
-from logweir.sources.storage import new_path
-
-# Up to this row a page is taken by a top-k, which holds that many rows in one task.
-TOP_ROWS = 100_000
 
 
 # ---------------------------------------------------------------- saved searches
@@ -79,47 +74,37 @@ def signature_page(
 ) -> tuple[DataFrame, int]:
     """Rows ``start`` to ``end`` (1-based, inclusive) of a search, and its total."""
     found = find_signatures(signatures, signature_id, keyword)
-    total = found.count()
     if start is None or end is None:
-        return found.orderBy(*_search_order()).drop("idMatch"), total
+        return found.orderBy(*_search_order()).drop("idMatch"), found.count()
     check_positive("start", start)
     check_range(start, end)
-    if end <= TOP_ROWS:
-        top = found.orderBy(*_search_order()).offset(start - 1).limit(end - start + 1)
-        return top.drop("idMatch"), total
-    return _deep_page(found, total, start, end), total
-
-
-def _deep_page(found: DataFrame, total: int, start: int, end: int) -> DataFrame:
-    """A page far down: by position in a range-sorted table instead of by a top-k."""
-    spark = found.sparkSession
-    path = new_path(spark, "signatures")
-    parts = max(1, -(-total // TOP_ROWS))
-    number_rows(found, parts, _search_order()).write.partitionBy("part_id").orc(path)
-    return page_of_parts(spark.read.orc(path), start, end).drop("idMatch")
-
-
-def page_of_parts(rows: DataFrame, start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end`` of a table written by part, in order."""
-    counts = rows.groupBy("part_id").agg(F.count(F.lit(1)).alias("count"))
-    index = offset_index(counts)
-    met = overlapping_parts(index, start - 1, end - 1, "Offset").agg(
-        F.min("part_id").alias("first"), F.max("part_id").alias("last")
+    # Counted per hour, of which a running sum tells those that the page meets. One task holds
+    # an hour and the page, however far down that is.
+    found = found.withColumn("_hour", F.date_trunc("hour", "createdTime"))
+    hours = found.groupBy("idMatch", "_hour").agg(F.count(F.lit(1)).alias("n"))
+    running = Window.orderBy(F.desc("idMatch"), F.desc("_hour")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    first, last = met.first()
-    near = F.col("part_id").between(first, last) if first is not None else F.lit(False)
-    return (
-        add_offset(rows.filter(near), index.filter(near), index.count())
-        .filter(F.col("offset").between(start - 1, end - 1))
-        .orderBy("offset")
-        .drop("offset", "local_idx", "part_id")
+    placed = hours.withColumn("last", F.sum("n").over(running))
+    placed = placed.withColumn("before", F.col("last") - F.col("n"))
+    is_met = (F.col("last") >= start) & (F.col("before") < end)
+    total, before = placed.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.min(F.when(is_met, F.col("before")))
+    ).first()
+    met = placed.filter(is_met).select(F.col("idMatch").alias("_kind"), F.col("_hour").alias("_of"))
+    near = found.join(
+        met,
+        (F.col("idMatch") == F.col("_kind")) & F.col("_hour").eqNullSafe(F.col("_of")),
+        "left_semi",
     )
+    page = near.orderBy(*_search_order()).offset(start - 1 - (before or 0))
+    return page.limit(end - start + 1).drop("idMatch", "_hour"), total
 
 
 def signature_by_id(signatures: DataFrame, signature_id: str) -> DataFrame:
     """The one saved search of an id; raises when there is none."""
     found = signatures.filter(F.col("signatureId") == F.lit(signature_id))
-    if found.isEmpty():
+    if not found.take(1):
         raise NotFoundError(f"signature {signature_id!r} not found")
     return found
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.errors import ValidationError
 
+# Counts of units of fixed length; months and years are none.
+_DURATION = re.compile(
+    r"([1-9]\d*\s*(millisecond|second|minute|hour|day|week)s?\s*)+"
+)
+
 
 def duration(window: int | str) -> str:
     """Bucket width as Spark takes it: a number of seconds, or text such as ``1 hour``."""
     if isinstance(window, str) and not window.strip().isdigit():
+        if not _DURATION.fullmatch(window.strip().lower()):
+            raise ValidationError(f"not a histogram window of fixed length: {window!r}")
         return window
     seconds = int(window)
     if seconds <= 0:

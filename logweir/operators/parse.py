@@ -118,11 +118,23 @@ def settle_origin(rows: DataFrame) -> DataFrame:
     )
 
 
+def is_malformed() -> Column:
+    """Whether a payload text is there but none of the fields of its schema is in it."""
+    fields = F.to_json("data")
+    return F.col("_message").isNotNull() & (F.coalesce(fields, F.lit("{}")) == "{}")
+
+
+def finish_logs(parsed: DataFrame) -> DataFrame:
+    """Rows of the log store from parsed payloads."""
+    return settle_origin(add_calendar(parsed)).select(
+        "data", "_time", *ORIGIN, "year", "month", "day"
+    )
+
+
 def typed_logs(
     rows: DataFrame,
     schemas: Mapping[str, StructType],
     default: StructType = DEFAULT_PAYLOAD,
 ) -> DataFrame:
     """Rows of the log store from decoded, routable envelopes."""
-    parsed = add_calendar(parse_payload(rows, schemas, default))
-    return settle_origin(parsed).select("data", "_time", *ORIGIN, "year", "month", "day")
+    return finish_logs(parse_payload(rows, schemas, default))

@@ -34,12 +34,13 @@ def number_rows(rows: DataFrame, parts: int, order_by: list[str | Column]) -> Da
     )
 
 
-def part_metadata(rows: DataFrame, part: str = "part_id") -> DataFrame:
-    """Count, first and last timestamp of each part, in one aggregation."""
+def part_metadata(rows: DataFrame, part: str = "part_id", *more: Column) -> DataFrame:
+    """Count, first and last timestamp of each part, and ``more``, in one aggregation."""
     return rows.groupBy(part).agg(
         F.count(F.lit(1)).alias("count"),
         F.min("timestamp").alias("startTimestamp"),
         F.max("timestamp").alias("endTimestamp"),
+        *more,
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql.types import (
     ArrayType,
+    BooleanType,
     LongType,
     StringType,
     StructField,
@@ -50,6 +51,7 @@ YARN_PAYLOAD = _fields(
 )
 
 # Saved searches and jobs as the transactional store exports them: nested values are JSON text.
+# Fixed: the columns of its tables.
 RAW_SIGNATURE = StructType(
     [
         StructField("signatureId", StringType()),
@@ -97,7 +99,26 @@ PART_METADATA = StructType(
         StructField("endTimestamp", LongType()),
     ]
 )
-RESULT_STATISTICS = StructType([StructField("value", LongType())])
+# The same with offsets in place of counts. ``whole``: every row of the part has a time.
+PART_INDEX = StructType(
+    [
+        StructField("partName", StringType()),
+        StructField("part_id", LongType()),
+        StructField("startTimestamp", LongType()),
+        StructField("endTimestamp", LongType()),
+        StructField("whole", BooleanType()),
+        StructField("endOffset", LongType()),
+        StructField("startOffset", LongType()),
+    ]
+)
+# One row that makes an attempt the result; ``schema`` is its row type as JSON.
+RESULT_COMMIT = StructType(
+    [
+        StructField("attempt", StringType()),
+        StructField("value", LongType()),
+        StructField("schema", StringType()),
+    ]
+)
 CHUNK_INDEX = StructType(
     [
         StructField("partName", StringType()),

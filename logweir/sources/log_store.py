@@ -29,7 +29,7 @@ from logweir.errors import NotFoundError
 from logweir.operators.filters import CALENDAR, days_of, in_calendar_range
 from logweir.schemas import DEFAULT_PAYLOAD
 from logweir.sources.layouts import DEFAULT_LAYOUT, STANDARD_STRATEGY, PartitionStrategy
-from logweir.sources.storage import exists, matches_any
+from logweir.sources.storage import exists, read_if_any
 
 BATCH = ("stream_id", "batch_id")
 
@@ -133,9 +133,8 @@ def _scan(
     pattern = span_pattern(partition_by, *span) if span else ""
     if not pattern:
         return reader.orc(path)
-    if not matches_any(spark, f"{path}/{pattern}"):
-        return spark.createDataFrame([], schema)
-    return reader.orc(f"{path}/{pattern}")
+    found = read_if_any(reader, "orc", f"{path}/{pattern}")
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def span_pattern(partition_by: tuple[str, ...], start_time: int, end_time: int) -> str:

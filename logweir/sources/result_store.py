@@ -2,38 +2,40 @@
 
 Layout below the path of a result::
 
-    result/part_id=<k>/*.orc     rows sorted by time within and across parts, with local_idx
-    stats/                       one JSON row: value = number of rows
-    meta/                        one JSON row per part: count, first and last timestamp
-    schema/                      the row type, so that an empty result can be read too
-    slices/<id>/chunk_id=<k>/    rows of a saved time slice in chunks of fixed size
-    slices/<id>_index/           one JSON row per chunk: its first and last position
+    attempt-<id>/result/part_id=<k>/*.orc   rows sorted by time within and across parts
+    attempt-<id>/meta/                      one JSON row per part: count, first, last timestamp
+    attempt-<id>/index/                     one ORC row per part: its offsets and timestamps
+    commit/                      one JSON row, written last: attempt, rows, row type
+    slices/<id>/chunk_id=<k>/    rows of an exported time slice in chunks of fixed size
+    slices/<id>_index/           one JSON row per chunk, written last: its positions
+
+Readers find the attempt through the commit, so a result is there as a whole or not at all.
+What a job that died has left is never read, and does not stand in the way of another.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from logweir.errors import NotFoundError, ValidationError
+from logweir.errors import IncompleteResultError, NotFoundError, ValidationError
 from logweir.functions.columns import base_name
 from logweir.operators.filters import check_positive, check_range, in_time_slice
 from logweir.operators.parts import (
     add_offset,
     number_rows,
     offset_index,
-    overlapping_parts,
     part_metadata,
-    total_rows,
 )
-from logweir.schemas import CHUNK_INDEX, PART_METADATA, RESULT_STATISTICS
-from logweir.sources.storage import exists, matches_any, staged
+from logweir.schemas import CHUNK_INDEX, PART_INDEX, PART_METADATA, RESULT_COMMIT
+from logweir.sources.storage import exists, read_if_any, staged
 
 ROWS_PER_PART = 1_000_000
 ROWS_PER_CHUNK = 100_000
@@ -74,10 +76,15 @@ def write_result(
 
 
 def check_absent(spark: SparkSession, path: str) -> None:
-    if exists(spark, f"{path}/result"):
+    if _is_committed(spark, path):
         raise ValidationError(f"result exists already: {path}")
 
 
+def _is_committed(spark: SparkSession, path: str) -> bool:
+    """Spark adds the marker when a write is complete."""
+    return exists(spark, f"{path}/commit/_SUCCESS")
+
+
 def write_staged(
     matches: DataFrame,
     path: str,
@@ -92,23 +99,33 @@ def write_staged(
     sorted_rows = ordered.drop(SEQUENCE)
     payload = matches.drop(SEQUENCE).schema
 
-    sorted_rows.write.mode("errorifexists").partitionBy("part_id").orc(f"{path}/result")
-    _one_row(spark, F.lit(payload.json()).alias("value")).write.mode("overwrite").text(
-        f"{path}/schema"
-    )
-    _one_row(spark, F.lit(total).cast("long").alias("value")).write.mode("overwrite").json(
-        f"{path}/stats"
-    )
+    attempt = f"attempt-{uuid.uuid4().hex}"
+    base = f"{path}/{attempt}"
+    sorted_rows.write.mode("errorifexists").partitionBy("part_id").orc(f"{base}/result")
     # From the written files: a second run of the plan could sample other ranges.
-    metadata = part_metadata(_stored_rows(spark, path, payload)).select(
-        F.concat(F.lit(f"{path}/result/part_id="), F.col("part_id")).alias("partName"),
+    timed = F.count("timestamp").alias("timed")
+    metadata = part_metadata(_stored_rows(spark, base, payload), "part_id", timed).select(
+        F.concat(F.lit(f"{base}/result/part_id="), F.col("part_id")).alias("partName"),
         F.col("part_id").cast("long").alias("part_id"),
         "count",
+        "timed",
         "startTimestamp",
         "endTimestamp",
     )
-    # One row per part, in one file.
-    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    # One row per part, in one file; the rows of the parts are aggregated before.
+    metadata.drop("timed").repartition(1).write.json(f"{base}/meta")
+    index = offset_index(metadata.withColumn("whole", F.col("timed") == F.col("count")))
+    index.drop("timed").write.orc(f"{base}/index")
+    held = spark.read.schema(PART_METADATA).json(f"{base}/meta").agg(F.sum("count")).first()[0]
+    if (held or 0) != total:
+        raise IncompleteResultError(f"{held} of {total} rows were stored below {base}")
+    facts = F.struct(
+        F.lit(attempt).alias("attempt"),
+        F.lit(total).cast("long").alias("value"),
+        F.lit(payload.json()).alias("schema"),
+    )
+    commit = _one_row(spark, F.to_json(facts).alias("value"))
+    commit.write.mode("overwrite").text(f"{path}/commit")
     return total
 
 
@@ -119,22 +136,38 @@ def _one_row(spark: SparkSession, column) -> DataFrame:
 # ---------------------------------------------------------------- reading
 
 
-def result_schema(spark: SparkSession, path: str) -> StructType:
-    if not exists(spark, f"{path}/schema"):
+@dataclass(frozen=True)
+class Commit:
+    """The attempt whose files are the result, its number of rows and their type."""
+
+    base: str
+    total: int
+    schema: StructType
+
+    @property
+    def mark(self) -> str:
+        return self.base.rpartition("attempt-")[2][:12]
+
+
+def read_commit(spark: SparkSession, path: str) -> Commit:
+    if not _is_committed(spark, path):
         raise NotFoundError(f"no result at {path}")
-    return StructType.fromJson(json.loads(spark.read.text(f"{path}/schema").first()[0]))
+    row = json.loads(spark.read.text(f"{path}/commit").first()[0])
+    return Commit(
+        f"{path}/{row['attempt']}", row["value"], StructType.fromJson(json.loads(row["schema"]))
+    )
 
 
 def _stored_rows(
-    spark: SparkSession, path: str, payload: StructType, parts: tuple[int, int] | None = None
+    spark: SparkSession, base: str, payload: StructType, parts: tuple[int, int] | None = None
 ) -> DataFrame:
     stored = (
         StructType(list(payload.fields))
         .add("local_idx", LongType())
         .add("part_id", IntegerType())
     )
-    reader = spark.read.schema(stored).option("basePath", f"{path}/result")
-    return reader.orc(_directories(f"{path}/result", "part_id", parts))
+    reader = spark.read.schema(stored).option("basePath", f"{base}/result")
+    return reader.orc(_directories(f"{base}/result", "part_id", parts))
 
 
 def _directories(base: str, level: str, numbers: tuple[int, int] | None) -> str:
@@ -151,103 +184,118 @@ def _directories(base: str, level: str, numbers: tuple[int, int] | None) -> str:
 
 def read_parts(spark: SparkSession, path: str, part_ids: list[int] | None = None) -> DataFrame:
     """Rows of a result, or of the named parts only."""
-    rows = _stored_rows(spark, path, result_schema(spark, path))
-    return rows if part_ids is None else rows.filter(F.col("part_id").isin(part_ids))
+    commit = read_commit(spark, path)
+    if not part_ids:
+        rows = _stored_rows(spark, commit.base, commit.schema)
+        return rows if part_ids is None else rows.limit(0)
+    met = (min(part_ids), max(part_ids))
+    rows = _stored_rows(spark, commit.base, commit.schema, met)
+    return rows.filter(F.col("part_id").isin(part_ids))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Part metadata of a result; no rows when it was never written."""
-    if not exists(spark, f"{path}/meta"):
-        return spark.createDataFrame([], PART_METADATA)
-    return spark.read.schema(PART_METADATA).json(f"{path}/meta")
+    """Part metadata of a result; no rows when the result has none."""
+    return spark.read.schema(PART_METADATA).json(f"{read_commit(spark, path).base}/meta")
 
 
 def read_statistics(spark: SparkSession, path: str) -> DataFrame:
-    """One row ``value``: the stored row count, 0 when there is none."""
-    if not exists(spark, f"{path}/stats"):
-        return _one_row(spark, F.lit(0).cast("long").alias("value"))
-    stats = spark.read.schema(RESULT_STATISTICS).json(f"{path}/stats")
-    return stats.agg(F.coalesce(F.max("value"), F.lit(0)).cast("long").alias("value"))
+    """One row ``value``: the stored row count, 0 when there is no result."""
+    total = read_commit(spark, path).total if _is_committed(spark, path) else 0
+    return _one_row(spark, F.lit(total).cast("long").alias("value"))
 
 
 def read_job_statistics(spark: SparkSession, root: str, query_type: str) -> DataFrame:
     """``jobId`` and ``totalRowCount`` of every stored result of a query type under a root."""
-    pattern = f"{root}/*_{query_type}/stats"
-    if not matches_any(spark, pattern):
+    commits = read_if_any(
+        spark.read.schema(RESULT_COMMIT), "json", f"{root}/*_{query_type}/commit"
+    )
+    folder = base_name(F.regexp_replace(F.col("_metadata.file_path"), "/commit/[^/]*$", ""))
+    if commits is None:
         return spark.createDataFrame([], "jobId string, totalRowCount long")
-    folder = base_name(F.regexp_replace(F.col("_metadata.file_path"), "/stats/[^/]*$", ""))
     suffix = len(query_type) + 1
-    stats = spark.read.schema(RESULT_STATISTICS).json(pattern)
     return (
-        stats.select(folder.alias("folder"), "value")
+        commits.select(folder.alias("folder"), "value")
         .groupBy(F.col("folder").substr(F.lit(1), F.length("folder") - suffix).alias("jobId"))
         .agg(F.coalesce(F.max("value"), F.lit(0)).alias("totalRowCount"))
     )
 
 
 def part_index(spark: SparkSession, path: str) -> DataFrame:
-    """Part metadata with offsets in place of counts."""
-    index = offset_index(read_metadata(spark, path))
+    """First and last offset and timestamp of each part, as stored with the result."""
+    return _index(spark, read_commit(spark, path))
+
+
+def _index(spark: SparkSession, commit: Commit) -> DataFrame:
+    index = spark.read.schema(PART_INDEX).orc(f"{commit.base}/index")
     return index.withColumn("partName", base_name(F.col("partName")))
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     """All rows of a result with their 1-based ``offset``, in no particular order."""
-    index = part_index(spark, path)
-    rows = add_offset(read_parts(spark, path), index, index.count())
-    return _page_columns(rows)
+    commit = read_commit(spark, path)
+    index = _index(spark, commit)
+    rows = _stored_rows(spark, commit.base, commit.schema)
+    return _page_columns(add_offset(rows, index, index.count()))
 
 
 def _page_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumn("offset", F.col("offset") + 1).drop(*_STORED)
 
 
-def _rows_of_parts(
-    spark: SparkSession, path: str, start: int, end: int, mode: str
+def _with_offset(
+    spark: SparkSession, commit: Commit, hit: DataFrame, local: Column | None = None
 ) -> DataFrame | None:
-    """Rows with ``offset`` of the parts a range meets; ``None`` when it meets none.
+    """Rows with ``offset`` of the parts in ``hit``; ``None`` when there are none.
 
-    What comes to the driver is one row: the first and last part, how many there are, and
-    the local positions they cover. The part bounds prune directories, the positions are
-    pushed to the ORC reader, which skips row groups by them.
+    A few parts come to the driver as one row each: their directories are named, their base
+    offsets become literals, and ``local`` positions are pushed to the ORC reader. A long run
+    of parts is joined with the stored index instead.
     """
-    index = part_index(spark, path)
-    hit = overlapping_parts(
-        index.withColumn("_base", F.col("startOffset")), start, end, mode
-    ).select(
-        "part_id",
-        F.col("_base").alias("startOffset"),
-        (F.col("startOffset") - F.col("_base")).alias("first"),
-        (F.col("endOffset") - F.col("_base")).alias("last"),
-    )
-    bounds = hit.agg(
-        F.count(F.lit(1)).alias("parts"),
-        F.min("part_id").alias("first_part"),
-        F.max("part_id").alias("last_part"),
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
-    ).first()
-    if not bounds["parts"]:
+    few = hit.select("part_id", "startOffset").limit(LISTED_DIRECTORIES + 1).collect()
+    if not few:
         return None
-    met = (bounds["first_part"], bounds["last_part"])
-    rows = _stored_rows(spark, path, result_schema(spark, path), met).filter(
-        F.col("part_id").between(*met)
-        & F.col("local_idx").between(bounds["first"], bounds["last"])
-    )
-    return add_offset(rows, hit, bounds["parts"])
-
-
-def _no_rows(spark: SparkSession, path: str) -> DataFrame:
-    schema = StructType(list(result_schema(spark, path).fields)).add("offset", LongType())
+    if len(few) > LISTED_DIRECTORIES:
+        met = hit.agg(F.min("part_id"), F.max("part_id"), F.count(F.lit(1))).first()
+        rows = _stored_rows(spark, commit.base, commit.schema)
+        return add_offset(rows.filter(F.col("part_id").between(met[0], met[1])), hit, met[2])
+    numbers = [row["part_id"] for row in few]
+    rows = _stored_rows(spark, commit.base, commit.schema, (min(numbers), max(numbers)))
+    rows = rows.filter(F.col("part_id").isin(numbers))
+    if local is not None:
+        rows = rows.filter(local)
+    bases = F.lit(None).cast("long")
+    for row in few:
+        bases = F.when(F.col("part_id") == row["part_id"], row["startOffset"]).otherwise(bases)
+    return rows.withColumn("offset", bases + F.col("local_idx"))
+
+
+def _no_rows(spark: SparkSession, commit: Commit) -> DataFrame:
+    schema = StructType(list(commit.schema.fields)).add("offset", LongType())
     return spark.createDataFrame([], schema)
 
 
 def offset_page(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end`` of a result, 1-based and inclusive, in order."""
+    """Rows ``start`` to ``end`` of a result, 1-based and inclusive, in order.
+
+    The filter on the stored offsets is pushed into the part index, and a page in one part
+    names the positions it reads: what a page costs does not grow with the result.
+    """
+    check_positive("start", start)
     check_range(start, end)
-    rows = _rows_of_parts(spark, path, start - 1, end - 1, "Offset")
+    return _offset_page(spark, read_commit(spark, path), start, end)
+
+
+def _offset_page(spark: SparkSession, commit: Commit, start: int, end: int) -> DataFrame:
+    index = _index(spark, commit)
+    hit = index.filter((F.col("endOffset") >= start - 1) & (F.col("startOffset") <= end - 1))
+    met = hit.select("startOffset").limit(2).collect()
+    local = None
+    if len(met) == 1:
+        base = met[0]["startOffset"]
+        local = F.col("local_idx").between(start - 1 - base, end - 1 - base)
+    rows = _with_offset(spark, commit, hit, local)
     if rows is None:
-        return _no_rows(spark, path)
+        return _no_rows(spark, commit)
     page = rows.filter(F.col("offset").between(start - 1, end - 1))
     return _in_order(_page_columns(page), end - start + 1)
 
@@ -286,7 +334,7 @@ def write_chunks(
     rows.withColumn("chunk_id", chunk).write.partitionBy("chunk_id").parquet(path)
     start = F.col("id") * rows_per_chunk
     index = spark.range(ceil(total / rows_per_chunk)).select(
-        F.concat(F.lit("part-"), F.col("id"), F.lit(".parquet")).alias("partName"),
+        F.concat(F.lit("chunk_id="), F.col("id")).alias("partName"),
         F.col("id").alias("chunk_id"),
         start.alias("startOffset"),
         (F.least(start + rows_per_chunk, F.lit(total)) - 1).alias("endOffset"),
@@ -295,43 +343,84 @@ def write_chunks(
     return spark.read.schema(CHUNK_INDEX).json(f"{path}_index")
 
 
+def slice_extent(
+    spark: SparkSession, path: str, start_timestamp: int, end_timestamp: int
+) -> tuple[int, int]:
+    """First offset (0-based) and number of rows of a closed time range of a result.
+
+    The result is sorted, so the range is one run of offsets. Parts that lie inside it are
+    known from the index; only those it cuts, and those with rows without a time, are read.
+    """
+    return _extent(spark, read_commit(spark, path), start_timestamp, end_timestamp)
+
+
+def _extent(spark: SparkSession, commit: Commit, start: int, end: int) -> tuple[int, int]:
+    check_range(start, end)
+    index = _index(spark, commit)
+    met = index.filter((F.col("endTimestamp") >= start) & (F.col("startTimestamp") <= end))
+    inside = F.col("whole") & (F.col("startTimestamp") >= start) & (F.col("endTimestamp") <= end)
+    known = met.filter(inside).agg(
+        F.min("startOffset").alias("first"),
+        F.sum(F.col("endOffset") - F.col("startOffset") + 1).alias("total"),
+    )
+    extents = [known.first()]
+    cut = _with_offset(spark, commit, met.filter(~inside))
+    if cut is not None:
+        rows = in_time_slice(cut, start, end)
+        extents.append(
+            rows.agg(F.min("offset").alias("first"), F.count(F.lit(1)).alias("total")).first()
+        )
+    total = sum(x["total"] or 0 for x in extents)
+    first = min((x["first"] for x in extents if x["first"] is not None), default=0)
+    return first, total
+
+
 def save_time_slice(
+    spark: SparkSession, path: str, start_timestamp: int, end_timestamp: int
+) -> tuple[str, int]:
+    """The id and the size of the slice of a closed time range; an empty one has no id.
+
+    The id tells the attempt, the first offset and the size, which is all there is to save.
+    """
+    commit = read_commit(spark, path)
+    first, total = _extent(spark, commit, start_timestamp, end_timestamp)
+    return (f"result_{commit.mark}_{first}_{total}" if total else ""), total
+
+
+def export_time_slice(
     spark: SparkSession,
     path: str,
     start_timestamp: int,
     end_timestamp: int,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> tuple[str, int]:
-    """Store the rows of a closed time range of a result; return the slice's id and size.
+    """Write the rows of a closed time range as chunks; return the export's id and size.
 
-    An empty slice is not stored and has an empty id.
+    An empty slice is not written and has an empty id.
     """
-    check_range(start_timestamp, end_timestamp)
     check_positive("rows_per_chunk", rows_per_chunk)
-    rows = _rows_of_parts(spark, path, start_timestamp, end_timestamp, "Timestamp")
-    if rows is None:
-        return "", 0
-    rows = in_time_slice(rows, start_timestamp, end_timestamp)
-    # The result is sorted, so the slice is one run of offsets.
-    extent = rows.agg(F.count(F.lit(1)).alias("total"), F.min("offset").alias("first")).first()
-    if not extent["total"]:
+    commit = read_commit(spark, path)
+    first, total = _extent(spark, commit, start_timestamp, end_timestamp)
+    if not total:
         return "", 0
-    result_id = f"result_{uuid.uuid4().hex}"
-    positioned = rows.withColumn("position", F.col("offset") - extent["first"])
+    hit = _index(spark, commit).filter(
+        (F.col("endOffset") >= first) & (F.col("startOffset") < first + total)
+    )
+    rows = _with_offset(spark, commit, hit)
+    rows = rows.filter(F.col("offset").between(first, first + total - 1))
+    export_id = f"export_{uuid.uuid4().hex}"
+    positioned = rows.withColumn("position", F.col("offset") - first)
     write_chunks(
-        positioned.drop("offset", *_STORED),
-        f"{path}/slices/{result_id}",
-        extent["total"],
-        rows_per_chunk,
+        positioned.drop("offset", *_STORED), f"{path}/slices/{export_id}", total, rows_per_chunk
     )
-    return result_id, extent["total"]
+    return export_id, total
 
 
 def read_chunk_index(spark: SparkSession, path: str, result_id: str) -> DataFrame:
     """Name, first and last position of each chunk of a saved slice."""
     saved = f"{path}/slices/{result_id}_index"
-    if not result_id or not exists(spark, saved):
-        raise NotFoundError(f"no saved slice {result_id!r} at {path}")
+    if not result_id or not exists(spark, f"{saved}/_SUCCESS"):
+        raise NotFoundError(f"no exported slice {result_id!r} at {path}")
     return spark.read.schema(CHUNK_INDEX).json(saved)
 
 
@@ -340,7 +429,7 @@ def read_chunks(
 ) -> DataFrame:
     """Rows of a run of chunks of a saved slice, with their 0-based ``position``."""
     stored = (
-        StructType(list(result_schema(spark, path).fields))
+        StructType(list(read_commit(spark, path).schema.fields))
         .add("position", LongType())
         .add("chunk_id", LongType())
     )
@@ -357,23 +446,23 @@ def slice_page(
     spark: SparkSession, path: str, result_id: str, start: int, end: int
 ) -> SlicePage:
     """Rows ``start`` to ``end`` of a saved slice, 1-based and inclusive, in order."""
+    check_positive("start", start)
     check_range(start, end)
-    index = read_chunk_index(spark, path, result_id)
-    total = total_rows(index)
-    chunks = (
-        overlapping_parts(index, start - 1, end - 1, "Offset")
-        .agg(F.min("chunk_id"), F.max("chunk_id"))
-        .first()
-    )
-    if chunks[0] is None:
-        return SlicePage(_no_rows(spark, path), result_id, total)
-    rows = (
-        read_chunks(spark, path, result_id, *chunks)
-        .filter(F.col("position").between(start - 1, end - 1))
-        .withColumn("offset", F.col("position") + 1)
-        .drop("position", "chunk_id")
-    )
-    rows = _in_order(rows, end - start + 1)
+    return _slice_page(spark, read_commit(spark, path), result_id, start, end)
+
+
+def _slice_page(
+    spark: SparkSession, commit: Commit, result_id: str, start: int, end: int
+) -> SlicePage:
+    found = re.fullmatch(rf"result_{commit.mark}_(\d+)_(\d+)", result_id)
+    if not found:
+        raise NotFoundError(f"no saved slice {result_id!r} at {commit.base}")
+    first, total = map(int, found.groups())
+    last = min(end, total)
+    if start > last:
+        return SlicePage(_no_rows(spark, commit), result_id, total)
+    page = _offset_page(spark, commit, first + start, first + last)
+    rows = page.withColumn("offset", F.col("offset") - first)
     return SlicePage(rows, result_id, total)
 
 
@@ -384,13 +473,12 @@ def time_page(
     end_timestamp: int,
     start: int,
     end: int,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> SlicePage:
-    """Save the slice of a time range and return its rows ``start`` to ``end``."""
+    """Rows ``start`` to ``end`` of the slice of a time range; nothing is written."""
+    check_positive("start", start)
     check_range(start, end)
-    result_id, total = save_time_slice(
-        spark, path, start_timestamp, end_timestamp, rows_per_chunk
-    )
+    commit = read_commit(spark, path)
+    first, total = _extent(spark, commit, start_timestamp, end_timestamp)
     if not total:
-        return SlicePage(_no_rows(spark, path), "", 0)
-    return slice_page(spark, path, result_id, start, end)
+        return SlicePage(_no_rows(spark, commit), "", 0)
+    return _slice_page(spark, commit, f"result_{commit.mark}_{first}_{total}", start, end)

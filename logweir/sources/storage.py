@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 from logweir.errors import ConfigurationError
 
@@ -49,10 +50,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
-def matches_any(spark: SparkSession, pattern: str) -> bool:
-    """Whether a path with wildcards matches anything."""
-    file_system, hadoop_path = _file_system(spark, pattern)
-    return bool(file_system.globStatus(hadoop_path))
+def read_if_any(reader: DataFrameReader, kind: str, pattern: str) -> DataFrame | None:
+    """What a path with wildcards matches, or ``None`` where that is nothing."""
+    try:
+        return reader.format(kind).load(pattern)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def discard(spark: SparkSession, path: str) -> None:

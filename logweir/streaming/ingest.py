@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from logweir.errors import ConfigurationError
-from logweir.operators.parse import decode_envelope, is_routable, typed_logs
+from logweir.operators.parse import (
+    decode_envelope,
+    finish_logs,
+    is_malformed,
+    is_routable,
+    parse_payload,
+)
 from logweir.schemas import DEFAULT_PAYLOAD, registered_schemas
 from logweir.sources.layouts import STANDARD_STRATEGY, PartitionStrategy
 from logweir.sources.log_store import layout_root, write_batch, write_dead_letters
 
 TRIGGER = "1 minute"
 
+# Datasets of a batch that are written at the same time.
+MOST_WRITES = 4
+
 # Set by Spark on the thread that runs a micro-batch. The id lives in the checkpoint, so a
 # restart keeps it and a new checkpoint, whose batches count from 0 again, gets a new one.
 _QUERY_ID = "sql.streaming.queryId"
@@ -34,30 +45,47 @@ def land_batch(
 ) -> dict[str, int]:
     """Write one batch, one job per layout that occurs in it; return the rows of each.
 
-    Messages without a route are kept apart and counted under ``dead_letter``. Landing the
-    same batch again replaces it. The batch is held in memory and on local disks meanwhile,
+    Messages without a route are kept apart and counted under ``dead_letter``. A payload of
+    which nothing could be parsed is landed as a row of nulls, kept apart as text with its
+    route, and counted under ``malformed`` too. Landing the same batch again replaces it. The batch is held in memory and on local disks meanwhile,
     so the source should bound it (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``).
     """
     schemas = registered_schemas() if schemas is None else schemas
     layout = F.when(is_routable(), strategy.layout_of_row())
-    rows = decode_envelope(messages).withColumn("_layout", layout)
+    rows = parse_payload(decode_envelope(messages), schemas, default).withColumns(
+        {"_layout": layout, "_malformed": is_routable() & is_malformed()}
+    )
     # Every layout reads the batch; without this each would fetch it from the source again.
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # At most one row per configured layout, and one for the unroutable.
-        counts = {r["_layout"]: r["count"] for r in rows.groupBy("_layout").count().collect()}
+        counted = rows.groupBy("_layout").agg(
+            F.count(F.lit(1)).alias("count"), F.count_if("_malformed").alias("malformed")
+        )
+        facts = {r["_layout"]: r for r in counted.collect()}
+        counts = {name: r["count"] for name, r in facts.items()}
+        malformed = sum(r["malformed"] for r in facts.values())
+        writes = []
         for name, partition_by in strategy.layouts.items():
             if name in counts:
-                logs = typed_logs(rows.filter(F.col("_layout") == name), schemas, default)
-                write_batch(logs, layout_root(root, name), stream_id, batch_id, partition_by)
-        if None in counts:
-            dead = rows.filter(F.col("_layout").isNull()).select(
-                "_raw", "_documentType", "_plugin"
+                logs = finish_logs(rows.filter(F.col("_layout") == name))
+                place = layout_root(root, name)
+                writes.append(partial(write_batch, logs, place, stream_id, batch_id, partition_by))
+        if None in counts or malformed:
+            text = F.when(F.col("_malformed"), F.col("_message")).otherwise(F.col("_raw"))
+            dead = rows.filter(F.col("_layout").isNull() | F.col("_malformed")).select(
+                text.alias("_raw"), "_documentType", "_plugin"
             )
-            write_dead_letters(dead, root, stream_id, batch_id)
+            writes.append(partial(write_dead_letters, dead, root, stream_id, batch_id))
+        # The datasets do not depend on each other, and each is replaced by a retry.
+        with ThreadPoolExecutor(MOST_WRITES) as pool:
+            run = inheritable_thread_target(messages.sparkSession)
+            for done in [pool.submit(run(write)) for write in writes]:
+                done.result()
     finally:
         rows.unpersist()
-    return {"dead_letter" if name is None else name: n for name, n in counts.items()}
+    found = {"dead_letter" if name is None else name: n for name, n in counts.items()}
+    return found | ({"malformed": malformed} if malformed else {})
 
 
 def start_ingest(

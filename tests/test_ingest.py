@@ -60,7 +60,7 @@ def land(spark, texts, **options):
 
 def test_batch_is_split_by_layout(spark):
     root, counts = land(spark, TEXTS)
-    assert counts == {"default": 6, "syslog": 1, "ESLogs": 1, "dead_letter": 4}
+    assert counts == {"default": 6, "syslog": 1, "ESLogs": 1, "dead_letter": 4, "malformed": 1}
     landed = values(
         log_store.read_log_stores(spark, root),
         "data.message",
@@ -97,6 +97,7 @@ def test_dead_letters_keep_the_message(spark):
             (None, None, None),
             (TEXTS[2], None, "p"),
             (TEXTS[3], "t", None),
+            ("not a struct", "t", "p"),
         ],
         key=str,
     )
@@ -134,7 +135,7 @@ def test_landing_again_replaces_the_batch(spark):
     root, _ = land(spark, TEXTS)
     land_batch(messages(spark, TEXTS), root, "s1", 0)
     assert log_store.read_log_stores(spark, root).count() == 8
-    assert log_store.read_dead_letters(spark, root).count() == 4
+    assert log_store.read_dead_letters(spark, root).count() == 5
     # Another batch, and the same batch number of another stream, add to it.
     land_batch(messages(spark, TEXTS[4:6]), root, "s1", 1)
     land_batch(messages(spark, TEXTS[4:6]), root, "s2", 0)
@@ -179,7 +180,7 @@ def test_schema_registered_later(spark):
 def test_fixed_strategy_has_one_layout(spark):
     fixed = PartitionStrategy.from_config({**PARTITION_CONFIG, "partitionStrategy": "fixed"})
     root, counts = land(spark, TEXTS, strategy=fixed)
-    assert counts == {"default": 8, "dead_letter": 4}
+    assert counts == {"default": 8, "dead_letter": 4, "malformed": 1}
     assert log_store.read_log_stores(spark, root, fixed).count() == 8
 
 
@@ -214,7 +215,7 @@ def test_stream_resumes_and_matches_the_batch(spark):
     ) == sorted(values(log_store.read_log_stores(spark, batch_root), *columns), key=str)
 
     assert landed[0] == {"default": 2, "dead_letter": 4}
-    assert landed[1] == {"default": 4, "syslog": 1, "ESLogs": 1}
+    assert landed[1] == {"default": 4, "syslog": 1, "ESLogs": 1, "malformed": 1}
 
     # A new checkpoint replays everything under an id of its own.
     stream = spark.readStream.schema("value binary").parquet(topic)
@@ -248,7 +249,7 @@ def test_batch_that_fails_half_way_is_replaced(spark, monkeypatch):
     query.processAllAvailable()
     query.stop()
     assert log_store.read_log_stores(spark, f"{root}/store").count() == 8
-    assert log_store.read_dead_letters(spark, f"{root}/store").count() == 4
+    assert log_store.read_dead_letters(spark, f"{root}/store").count() == 5
 
 
 def test_crowded_partition_is_split(spark):

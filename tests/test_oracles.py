@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from checks.oracles import all_oracles
+from checks.queries import all_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
@@ -43,7 +45,7 @@ def _rows(names, rows):
     return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_matches_sql(spark, duck, name):
     found = contract.queries()[name](spark, SF_DIR)
     expected = duck.sql(contract.oracle_sql()[name])
@@ -59,7 +61,8 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_oracles()) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_flagship_runs_on_the_smallest_tables(spark):

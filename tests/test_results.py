@@ -91,7 +91,7 @@ def test_page_past_the_end_is_empty(spark, path):
 )
 def test_time_page(spark, path, start, end):
     inside = [i for i, t in enumerate(TIMESTAMPS) if t is not None and start <= t <= end]
-    page = store.time_page(spark, path, start, end, 3, 14, rows_per_chunk=4)
+    page = store.time_page(spark, path, start, end, 3, 14)
     assert page.total == len(inside)
     assert values(page.rows, "offset", "row") == [
         (n + 3, row) for n, row in enumerate(inside[2:14])
@@ -102,7 +102,12 @@ def test_time_page(spark, path, start, end):
     again = store.slice_page(spark, path, page.result_id, 1, 1_000)
     assert values(again.rows, "row") == inside and again.total == len(inside)
     assert store.slice_page(spark, path, page.result_id, 900, 901).rows.collect() == []
-    chunks = spark.read.parquet(f"{path}/slices/{page.result_id}").groupBy("chunk_id").count()
+    assert store.time_page(spark, path, start, end, 3, 14).result_id == page.result_id
+    export, total = store.export_time_slice(spark, path, start, end, rows_per_chunk=4)
+    assert total == len(inside)
+    names = values(store.read_chunk_index(spark, path, export), "partName")
+    assert all(exists(spark, f"{path}/slices/{export}/{name}") for name in names)
+    chunks = spark.read.parquet(f"{path}/slices/{export}").groupBy("chunk_id").count()
     sizes = [n for _, n in sorted(values(chunks, "chunk_id", "count"))]
     assert sizes[:-1] == [4] * (len(sizes) - 1) and sum(sizes) == len(inside)
 
@@ -118,7 +123,10 @@ def test_ranges_are_checked(spark, path):
     with pytest.raises(ValidationError):
         store.time_page(spark, path, 5, 4, 1, 2)
     with pytest.raises(ValidationError):
-        store.time_page(spark, path, 4, 5, 1, 2, rows_per_chunk=0)
+        store.export_time_slice(spark, path, 4, 5, rows_per_chunk=0)
+    for page in (store.offset_page, lambda *a: store.time_page(*a[:2], 4, 5, *a[2:])):
+        with pytest.raises(ValidationError):
+            page(spark, path, 0, 4)
     with pytest.raises(ValidationError):
         store.write_result(numbered(spark, [1]), new_path(spark, "test"), rows_per_part=0)
     with pytest.raises(ValidationError):
@@ -145,6 +153,33 @@ def test_result_is_not_overwritten(spark, path):
         store.write_result(numbered(spark, [1]), path)
 
 
+@pytest.mark.parametrize("step", ["part_metadata", "offset_index", "_one_row"])
+def test_a_result_is_there_as_a_whole_or_not_at_all(spark, monkeypatch, step):
+    """A job that dies on the way leaves nothing that is read, or that stops the next one."""
+    path = new_path(spark, "test")
+
+    def dies(*_, **__):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, step, dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        store.write_result(numbered(spark, [3, 1, 2]), path)
+    monkeypatch.undo()
+    with pytest.raises(NotFoundError):
+        store.offset_page(spark, path, 1, 3)
+    with pytest.raises(NotFoundError):
+        store.read_result(spark, path)
+    assert values(store.read_statistics(spark, path), "value") == [0]
+    assert store.write_result(numbered(spark, [3, 1, 2]), path) == 3
+    assert values(store.offset_page(spark, path, 1, 3), "timestamp") == [1, 2, 3]
+
+
+def test_pages_of_many_parts_are_joined_with_the_index(spark, path, monkeypatch):
+    named = values(store.offset_page(spark, path, 2, 12), "row", "offset")
+    monkeypatch.setattr(store, "LISTED_DIRECTORIES", 0)
+    assert values(store.offset_page(spark, path, 2, 12), "row", "offset") == named
+
+
 def test_identical_rows_spread_over_parts(spark):
     path = new_path(spark, "test")
     same = spark.range(60).select(F.lit("same").alias("message"), F.lit(7).alias("timestamp"))
@@ -168,7 +203,8 @@ def test_staged_tables_are_removed(spark, monkeypatch):
 def test_statistics_without_a_file(spark):
     missing = new_path(spark, "missing")
     assert values(store.read_statistics(spark, missing), "value") == [0]
-    assert store.read_metadata(spark, missing).collect() == []
+    with pytest.raises(NotFoundError):
+        store.read_metadata(spark, missing)
     assert store.read_job_statistics(spark, missing, LOG_QUERY).collect() == []
     with pytest.raises(NotFoundError):
         store.read_result(spark, missing)
