@@ -20,6 +20,7 @@ from logweir.operators.filters import (
     keyword_pattern,
 )
 from logweir.operators.histogram import time_histogram
+from logweir.session import check_session
 from logweir.sources.result_store import (
     ROWS_PER_PART,
     SEQUENCE,
@@ -106,6 +107,7 @@ def run_log_query(
     rows_per_part: int = ROWS_PER_PART,
 ) -> int:
     """Store result, statistics and part metadata of a log query; return the row count."""
+    check_session(store.sparkSession)
     matches = gathered(matching_logs(store, query), query)
     return write_result(matches, path, tie_breakers, rows_per_part)
 
@@ -118,6 +120,7 @@ def run_histogram(
     rows_per_part: int = ROWS_PER_PART,
 ) -> int:
     """Store a histogram in the same form as a log query."""
+    check_session(store.sparkSession)
     buckets = time_histogram(matching_logs(store, query), window)
     return write_result(buckets, path, rows_per_part=rows_per_part)
 
@@ -135,6 +138,7 @@ def run_all(
     The types share their matches, so the store is scanned once for all of them.
     """
     spark = store.sparkSession
+    check_session(spark)
     check_positive("rows_per_part", rows_per_part)
     for path in paths.values():
         check_absent(spark, path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from logweir.errors import ConfigurationError
+
 # Calendar columns, rendered times and day ranges are all taken in this zone.
 TIME_ZONE = "UTC"
 
@@ -14,6 +16,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def check_session(spark: SparkSession) -> None:
+    """Raise unless the session has what jobs that write rely on (see :func:`prepare`)."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        raise ConfigurationError(f"the session's time zone is {zone}, not {TIME_ZONE}")
+    if spark.conf.get("spark.sql.adaptive.enabled", "true") != "true":
+        raise ConfigurationError("adaptive execution is off; it splits crowded partitions")
+
+
 def local_session(cores: int | str = "*", **settings: str) -> SparkSession:
     """A session on one machine, for tests and benchmarks."""
     builder = (

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Messages of a batch at most, so that a backlog is not one batch.
+MAX_OFFSETS = 5_000_000
+
+
 def read_topic(
-    spark: SparkSession, brokers: str, topic: str, max_offsets_per_trigger: int | None = None
+    spark: SparkSession,
+    brokers: str,
+    topic: str,
+    max_offsets_per_trigger: int | None = MAX_OFFSETS,
 ) -> DataFrame:
     """Stream of a topic from its first offset on; offsets lost by the broker are skipped.
 
-    Needs the Kafka connector of Spark on the class path. Bound the size of a batch with
-    ``max_offsets_per_trigger`` when the topic holds a backlog.
+    Needs the Kafka connector of Spark on the class path. ``max_offsets_per_trigger`` limits a
+    batch, not what is read in all; ``None`` takes whatever is there as one batch.
     """
     reader = (
         spark.readStream.format("kafka")

@@ -21,6 +21,7 @@ from logweir.operators.parse import (
     parse_payload,
 )
 from logweir.schemas import DEFAULT_PAYLOAD, registered_schemas
+from logweir.session import check_session
 from logweir.sources.layouts import STANDARD_STRATEGY, PartitionStrategy
 from logweir.sources.log_store import layout_root, write_batch, write_dead_letters
 
@@ -106,6 +107,8 @@ def start_ingest(
     dead letters among them.
     """
 
+    check_session(messages.sparkSession)
+
     def land(batch: DataFrame, batch_id: int) -> None:
         stream_id = batch.sparkSession.sparkContext.getLocalProperty(_QUERY_ID)
         if stream_id is None:

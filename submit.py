@@ -3,11 +3,14 @@
 ingest      CHECKPOINT OUTPUT BROKERS TOPIC
 log-query   START END APP PLUGIN LEVEL DOCTYPE OUTPUT INPUT DIRS [KEYWORDS]
 histogram   START END APP PLUGIN LEVEL DOCTYPE OUTPUT INPUT DIRS WINDOW [KEYWORDS]
+saved-search SIGNATURE START END WINDOW INPUT SIGNATURES ROOT JOB
 compact     START END ROOT TARGET
 
 Times are epoch seconds and KEYWORDS are separated by bars. INPUT is a log store, or any
 ORC logs of one layout. ``--apply-origin`` makes APP, PLUGIN and DOCTYPE restrict a query;
 without it they are taken and have no effect. DIRS never has one: partitions are pruned.
+A saved search runs the log query and the histogram of a signature in one scan; SIGNATURES is
+a Parquet table of them with keywords as JSON text, and results go below ROOT under JOB.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logweir.operators.catalog import decode_signatures
 from logweir.operators.filters import ANY
 from logweir.plans.log_query import LogQuery, run_histogram, run_log_query
+from logweir.plans.saved_search import JobRequest, run_signature
 from logweir.session import prepare
-from logweir.sources.kafka import read_topic
+from logweir.sources.kafka import MAX_OFFSETS, read_topic
 from logweir.sources.log_store import compact_days, read_log_stores, read_orc_logs
 from logweir.sources.storage import exists
 from logweir.streaming.ingest import start_ingest
@@ -34,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     ingest = jobs.add_parser("ingest")
     for name in ("checkpoint", "output", "brokers", "topic"):
         ingest.add_argument(name)
-    ingest.add_argument("--max-offsets", type=int)
+    ingest.add_argument("--max-offsets", type=int, default=MAX_OFFSETS)
 
     for job in ("log-query", "histogram"):
         query = jobs.add_parser(job)
@@ -47,6 +52,13 @@ def parser() -> argparse.ArgumentParser:
         query.add_argument("keywords", nargs="?", default="")
         query.add_argument("--apply-origin", action="store_true")
 
+    saved = jobs.add_parser("saved-search")
+    saved.add_argument("signature")
+    saved.add_argument("start", type=int)
+    saved.add_argument("end", type=int)
+    for name in ("window", "input", "signatures", "root", "job_id"):
+        saved.add_argument(name)
+
     compact = jobs.add_parser("compact")
     compact.add_argument("start", type=int)
     compact.add_argument("end", type=int)
@@ -71,6 +83,12 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
     if args.job == "compact":
         compact_days(spark, args.root, args.target, args.start, args.end)
         return
+    if args.job == "saved-search":
+        logs = open_logs(spark, args.input, (args.start, args.end))
+        signatures = decode_signatures(spark.read.parquet(args.signatures))
+        request = JobRequest(args.signature, args.start, args.end, args.window)
+        run_signature(logs, signatures, request, args.root, args.job_id)
+        return
     query = LogQuery(
         args.start,
         args.end,

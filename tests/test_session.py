@@ -1,7 +1,8 @@
 import pytest
 
-from logweir.errors import ConfigurationError
-from logweir.session import TIME_ZONE, prepare
+from logweir.errors import ConfigurationError, ValidationError
+from logweir.operators.histogram import duration
+from logweir.session import TIME_ZONE, check_session, prepare
 from logweir.sources import storage
 
 
@@ -38,3 +39,29 @@ def test_staged_table_is_removed_after_an_error(spark, monkeypatch):
 def test_time_zone_is_pinned(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     assert prepare(spark).conf.get("spark.sql.session.timeZone") == TIME_ZONE
+
+
+@pytest.mark.parametrize(
+    ("key", "value"),
+    [("spark.sql.session.timeZone", "Europe/Paris"), ("spark.sql.adaptive.enabled", "false")],
+)
+def test_writing_jobs_check_the_session(spark, key, value):
+    before = spark.conf.get(key)
+    check_session(spark)
+    spark.conf.set(key, value)
+    try:
+        with pytest.raises(ConfigurationError):
+            check_session(spark)
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("window", ["1 month", "abc", "", "0 hours", "hour", "1 year", -1])
+def test_windows_without_a_fixed_length_are_refused(window):
+    with pytest.raises(ValidationError):
+        duration(window)
+
+
+@pytest.mark.parametrize("window", ["1 hour", "2 Days", "1 hour 30 minutes", 60, "60", "1week"])
+def test_windows_of_a_fixed_length(window):
+    assert duration(window)
