@@ -31,6 +31,8 @@ SMOOTHING = 0.05
 # Longer words are scored in runs of so many bytes.
 LONGEST_WORD = 48
 KEPT_WORDS = 300_000
+# The pass over these many words of one length takes some hundred numbers for each.
+WORDS_AT_ONCE = 5_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.zeros(256, bool)
@@ -138,8 +140,8 @@ def _by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     length = np.diff(begin)
     for size in np.unique(length):
         rows = np.flatnonzero(length == size)
-        for k in range(0, len(rows), 50_000):
-            some = rows[k : k + 50_000]
+        for k in range(0, len(rows), WORDS_AT_ONCE):
+            some = rows[k : k + WORDS_AT_ONCE]
             yield some, data[begin[some][:, None] + np.arange(size)]
 
 

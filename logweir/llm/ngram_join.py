@@ -22,7 +22,7 @@ from logweir.llm.tables import Scratch
 from logweir.llm.words import slices
 
 # Shingles counted together in one task, before they are dealt out by hash.
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 1_000_000
 # Parts of the hash space; each is counted by one task.
 HASH_PARTS = 256
 # Groups of up to so many sets are paired whole; of larger ones, so many meet all the others

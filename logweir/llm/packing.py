@@ -21,6 +21,9 @@ END_ID = 1
 # Pieces of one class are numbered in groups of about so many, by a hash of their document.
 GROUP_ROWS = 100_000
 
+# Bytes of text encoded at once; the arrays beside them take some thirty times as much.
+BATCH_BYTES = 5_000_000
+
 PIECE = (
     "start long, length long, ids_crc32 long, doc_tokens long, head long, head_crc long, "
     "tail_crc long, units int"
@@ -37,7 +40,7 @@ def document_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=16_000_000):
+        for batch in slices(batches, limit=BATCH_BYTES):
             counts, ids = encoder(vocabulary).encode(batch.column("text"))
             ends = np.cumsum(counts)
             rows = []

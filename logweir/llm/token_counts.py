@@ -13,7 +13,7 @@ from logweir.llm.pieces import encoder
 from logweir.llm.words import slices
 
 # Bytes of text encoded at once.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 5_000_000
 
 
 def token_counts(

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Texts worked on at once, in bytes: the arrays beside them take some thirty times as much.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
