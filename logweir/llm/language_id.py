@@ -31,6 +31,7 @@ SMOOTHING = 0.05
 # Longer words are scored in runs of so many bytes.
 LONGEST_WORD = 48
 KEPT_WORDS = 300_000
+BROADCAST_LANGUAGES = 10_000
 # The pass over these many words of one length takes some hundred numbers for each.
 WORDS_AT_ONCE = 5_000
 
@@ -242,8 +243,11 @@ def fit(docs: DataFrame, path: str, rows: int = FIT_ROWS, rounds: int = ROUNDS)
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()
     )
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    chosen = usable.join(sizes, "lang").where(
+    scratch = Scratch("language-words")
+    sizes = scratch.write(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    # One row per language: small, and broadcast so that no text is dealt out by language.
+    few = sizes.count() <= BROADCAST_LANGUAGES
+    chosen = usable.join(F.broadcast(sizes) if few else sizes, "lang").where(
         F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) * F.col("n")
         < F.lit(rows * 1_000_000)
     )
@@ -259,13 +263,12 @@ def fit(docs: DataFrame, path: str, rows: int = FIT_ROWS, rounds: int = ROUNDS)
                     "word": coded,
                 }
             )
-            table = table.set_column(1, "word", table["word"].cast(pa.large_binary()).cast(pa.binary()))
-            yield from table.group_by(["lang", "word"]).aggregate([([], "count_all")]).rename_columns(
-                ["lang", "word", "n"]
-            ).to_batches()
+            plain = table["word"].cast(pa.large_binary()).cast(pa.binary())
+            groups = table.set_column(1, "word", plain).group_by(["lang", "word"])
+            counts = groups.aggregate([([], "count_all")])
+            yield from counts.rename_columns(["lang", "word", "n"]).to_batches()
 
     counted = chosen.select("text", "lang").mapInArrow(count, "lang string, word binary, n long")
-    scratch = Scratch("language-words")
     words = scratch.write(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     pieces = vocabulary(path)
@@ -295,7 +298,7 @@ def fit(docs: DataFrame, path: str, rows: int = FIT_ROWS, rounds: int = ROUNDS)
             counts[r["piece"], r["lang"]] = r["n"]
         counts += SMOOTHING * counts.mean(axis=0) + 1e-9
         chance = counts / counts.sum(axis=0)
-    scratch.drop(words)
+    scratch.drop(words, sizes)
     return Model(path, languages, chance)
 
 

@@ -282,7 +282,8 @@ def _links(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         F.col("held") * (100 + percent) >= (F.col("n") + F.col("least")) * percent
     )
     signs = classes.select("node", "signs")
-    open_ = scratch.write(kept.drop("least").join(signs, "node").withColumn("component", F.col("node")).withColumn("weight", F.lit(1).cast("long")))
+    alone = {"component": F.col("node"), "weight": F.lit(1).cast("long")}
+    open_ = scratch.write(kept.drop("least").join(signs, "node").withColumns(alone))
     scratch.drop(groups)
     links = scratch.write(classes.select(F.col("node").alias("l"), F.col("node").alias("r")).limit(0))
     star = True
