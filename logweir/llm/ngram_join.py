@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 from logweir.llm.components import components
 from logweir.llm.shingles import shingle_sets
 from logweir.llm.tables import Scratch
-from logweir.llm.words import slices
+from logweir.llm.words import hash_parts, slices
 
 # Shingles counted together in one task, before they are dealt out by hash.
 CHUNK_SHINGLES = 1_000_000
-# Parts of the hash space; each is counted by one task.
-HASH_PARTS = 256
 # Groups of up to so many sets are paired whole; of larger ones, so many meet all the others
 # in each of the first rounds.
 GROUP = 24
@@ -39,7 +37,7 @@ _VALUE_BITS = np.uint64(40)
 
 
 def _shared_counts(
-    docs: DataFrame, width: int, hash_parts: int, chunk_shingles: int
+    docs: DataFrame, width: int, parts: int, chunk_shingles: int
 ) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``n_shared``: how many are in another document too.
 
@@ -63,11 +61,11 @@ def _shared_counts(
         # Shared ones need no answer: they belong to nobody.
         owners = np.where(times == 1, owners, len(sets))
         # Sorted by hash already; the parts are runs of them.
-        part = ((values >> np.uint64(32)) * np.uint64(hash_parts)) >> np.uint64(32)
-        cuts = np.searchsorted(part, np.arange(hash_parts + 1))
+        part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        cuts = np.searchsorted(part, np.arange(parts + 1))
         values = mixed_low(values)
         rows = []
-        for k in range(hash_parts):
+        for k in np.unique(part).tolist():
             some = slice(cuts[k], cuts[k + 1])
             by_owner = np.argsort(owners[some], kind="stable")
             held = values[some][by_owner]
@@ -193,7 +191,7 @@ def ngram_classes(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    hash_parts: int = HASH_PARTS,
+    parts: int | None = None,
     chunk_shingles: int = CHUNK_SHINGLES,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of each row of ``docs``.
@@ -214,7 +212,9 @@ def ngram_classes(
     4. Pairs of fitting sizes whose prefixes also meet under two orders by hash are compared.
     """
     scratch = Scratch("ngram-join")
-    counted = scratch.write(_shared_counts(docs, width, hash_parts, chunk_shingles))
+    if parts is None:
+        parts = hash_parts(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    counted = scratch.write(_shared_counts(docs, width, parts, chunk_shingles))
     hopeful = counted.where(
         (F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
         & (F.col("n_shingles") > 0)

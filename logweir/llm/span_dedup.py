@@ -21,17 +21,16 @@ from logweir.llm.anchors import Runs, anchors
 from logweir.llm.pieces import runs
 from logweir.llm.suffix_groups import suffix_array
 from logweir.llm.tables import Scratch
-from logweir.llm.words import mix64, slices, text_bytes
+from logweir.llm.words import hash_parts, mix64, slices, text_bytes
 
 STRING = 50
 GRAM = 26
-HASH_PARTS = 256
 CHUNK_ANCHORS = 1_000_000
 # An anchor in more documents than this is compared string by string, each under a key of its
 # own, so that no task gets all its contexts.
 COMMON = 20_000
 # Texts whose contexts are compared before they are dealt out, in bytes.
-CONTEXT_BYTES = 6_000_000
+CONTEXT_BYTES = 2_000_000
 BROADCAST_IDS = 1_000_000
 
 _LOW = np.uint64((1 << 40) - 1)
@@ -75,7 +74,7 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int, common:
         owners = np.where(times == 1, owners, len(found))
         cuts = np.searchsorted(values >> 40, np.arange(parts + 1))
         rows = []
-        for k in range(parts):
+        for k in np.unique(values >> 40).tolist():
             some = slice(cuts[k], cuts[k + 1])
             by_owner = np.argsort(owners[some], kind="stable")
             held = values[some][by_owner]
@@ -156,8 +155,8 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int, common:
         own = next(r for r in rows if r["keys"])
         keys = np.frombuffer(own["keys"], "<i8")
         parts_ = [r for r in rows if not r["keys"]]
-        owners = np.concatenate([np.frombuffer(r["owners"], "<u4") for r in parts_])
-        codes = np.concatenate([np.frombuffer(r["codes"], "<i8") for r in parts_])
+        owners = np.frombuffer(b"".join(r["owners"] for r in parts_), "<u4")
+        codes = np.frombuffer(b"".join(r["codes"] for r in parts_), "<i8")
         wide = np.unique(codes[owners == 0xFFFFFFFF] & ~_COMMON_BIT)
         local_owner = np.frombuffer(own["owners"], "<u4")
         local = np.frombuffer(own["codes"], "<i8")
@@ -399,10 +398,10 @@ def removed_spans(
     docs: DataFrame,
     copies: DataFrame,
     scratch: Scratch,
-    window: int = STRING,
-    gram: int = GRAM,
-    parts: int = HASH_PARTS,
-    common: int = COMMON,
+    window: int,
+    gram: int,
+    parts: int,
+    common: int,
 ) -> DataFrame:
     """``key`` and ``spans`` (pairs of byte positions, packed) of what to remove.
 
@@ -448,7 +447,7 @@ def remove_repeats(
     docs: DataFrame,
     window: int = STRING,
     gram: int = GRAM,
-    parts: int = HASH_PARTS,
+    parts: int | None = None,
     common: int = COMMON,
 ) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` by row of ``docs``.
@@ -476,6 +475,8 @@ def remove_repeats(
     copy = (F.col("doc_id") > F.col("earliest")) & (F.col("n_bytes") >= window)
     copies = facts.where(copy).select("key").distinct()
     searched = rows.where(F.col("doc_id").isNotNull())
+    if parts is None:
+        parts = hash_parts(facts.agg(F.sum("n_bytes")).first()[0] or 0)
     spans = scratch.write(removed_spans(searched, copies, scratch, window, gram, parts, common))
     ids = spans.select("key")
     ids = F.broadcast(ids) if spans.count() <= BROADCAST_IDS else ids

@@ -15,6 +15,10 @@ import pyarrow.compute as pc
 # Texts worked on at once, in bytes: the arrays beside them take some thirty times as much.
 SLICE_BYTES = 2_000_000
 
+# Bytes of text whose shingles or anchors are counted by one task.
+PART_BYTES = 4_000_000
+FEWEST_PARTS, MOST_PARTS = 64, 1 << 20
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -66,6 +70,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return begin - begin[0], np.frombuffer(data, np.uint8)[begin[0] : begin[-1]]
 
 
+def hash_parts(size: int) -> int:
+    """Parts of a hash space for texts of so many bytes: they grow with the texts."""
+    return min(max(-(-size // PART_BYTES), FEWEST_PARTS), MOST_PARTS)
+
+
 class Words:
     """The words of some texts: ``start``, ``end`` and ``hash`` of each, ``first`` by text."""
 

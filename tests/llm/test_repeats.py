@@ -58,7 +58,7 @@ def brute_classes(rows, width, percent):
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80), (1, 50)])
 def test_classes_of_awkward_documents(spark, width, percent):
     rows = awkward_rows()
-    found = ngram_classes(frame(spark, rows), width, percent, hash_parts=8, chunk_shingles=500)
+    found = ngram_classes(frame(spark, rows), width, percent, parts=8, chunk_shingles=500)
     assert sorted(map(tuple, found.collect()), key=repr) == brute_classes(rows, width, percent)
 
 
@@ -76,7 +76,7 @@ def test_large_groups_of_near_copies_are_linked_whole(spark, monkeypatch):
         if i % 7 == 0:
             own += words(rng, 22).split(" ")
         rows.append((100 - i, " ".join(own), "en", "a"))
-    found = ngram_classes(frame(spark, rows), 4, 85, hash_parts=4)
+    found = ngram_classes(frame(spark, rows), 4, 85, parts=4)
     assert sorted(map(tuple, found.collect()), key=repr) == brute_classes(rows, 4, 85)
 
 
