@@ -24,7 +24,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     one task's group. The rounds grow with the logarithm of a component's size.
     """
     current = scratch.write(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+        edges.where("a <> b")
+        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+        .distinct()
     )
     seen = _fingerprint(current)
     while seen[0]:

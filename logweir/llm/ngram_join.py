@@ -113,14 +113,12 @@ def _shared_counts(
         )
         if table["part"][0].as_py() < 0:
             shared = [np.array(x, "<u4").tobytes() for x in table["shared"].to_pylist()]
-            return pa.table([table["chunk"], table["ids"], table["sizes"], pa.array(shared, pa.binary())], schema)
+            packed = pa.array(shared, pa.binary())
+            return pa.table([table["chunk"], table["ids"], table["sizes"], packed], schema)
         owners = [np.frombuffer(x.as_py(), "<u4") for x in table["owners"]]
-        values = np.concatenate(
-            [
-                np.frombuffer(low.as_py(), "<u4") | (np.frombuffer(high.as_py(), "u1").astype(np.uint64) << np.uint64(32))
-                for low, high in zip(table["low"], table["high"])
-            ]
-        )
+        low = np.frombuffer(b"".join(table["low"].to_pylist()), "<u4")
+        high = np.frombuffer(b"".join(table["high"].to_pylist()), "u1").astype(np.uint64)
+        values = low | (high << np.uint64(32))
         order = np.argsort(values)
         ranked = values[order]
         edge = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))[: len(ranked)]
@@ -222,7 +220,8 @@ def ngram_classes(
     ).select("doc_id").distinct()
     hopeful = scratch.write(hopeful)
     ids = F.broadcast(hopeful) if hopeful.count() <= BROADCAST_IDS else hopeful
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    some = named.join(ids, "doc_id", "left_semi")
     sets = scratch.write(
         _sets(some, width).withColumns(
             {"mark": F.xxhash64("members"), "mark2": F.hash("members"), "n": F.size("members")}
@@ -340,10 +339,8 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     They have no more in common than either has members that occur elsewhere, and differ in
     no fewer than their parities do.
     """
-    apart = sum(
-        (F.bit_count(F.col("a_signs")[k].bitwiseXOR(F.col("b_signs")[k])) for k in range(SLOTS // 64)),
-        F.lit(0),
-    )
+    a, b = F.col("a_signs"), F.col("b_signs")
+    apart = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(SLOTS // 64)), F.lit(0))
 
     def named(df: DataFrame, name: str) -> DataFrame:
         columns = ("node", "n", "held", "component", "signs")

@@ -123,7 +123,8 @@ def pack(
     """
     scratch = Scratch("packing")
     pieces = scratch.write(document_pieces(docs, vocabulary, length, end_id))
-    counted = {r["units"]: r["n"] for r in pieces.groupBy("units").agg(F.count("*").alias("n")).collect()}
+    histogram = pieces.groupBy("units").agg(F.count("*").alias("n"))
+    counted = {r["units"]: r["n"] for r in histogram.collect()}
     plan = make_plan(counted, -(-length // UNIT))
     groups = max(32, math.ceil(sum(counted.values()) / GROUP_ROWS))
 
@@ -134,10 +135,12 @@ def pack(
     running = (
         Window.partitionBy("units").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     )
-    bases = sizes.select("units", "group", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
+    base = F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base")
+    bases = sizes.select("units", "group", base)
     inside = Window.partitionBy("units", "group").orderBy("doc_id", "start", "ids_crc32")
     ranked = dealt.withColumn("inside", F.row_number().over(inside) - 1)
-    ranked = ranked.join(bases, ["units", "group"]).withColumn("rank", F.col("base") + F.col("inside"))
+    ranked = ranked.join(bases, ["units", "group"])
+    ranked = ranked.withColumn("rank", F.col("base") + F.col("inside"))
 
     slots = Slots(plan)
     whole = np.zeros(-(-length // UNIT) + 1, np.int64)
@@ -177,7 +180,8 @@ def pack(
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
         "sequence_id long, slot long",
     )
-    before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy("sequence_id").orderBy("slot")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset

@@ -9,7 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.words import _BLANK, Words, mix64, segment_hashes, slices, text_bytes, window_hashes
+from logweir.llm.words import (
+    _BLANK,
+    Words,
+    mix64,
+    segment_hashes,
+    slices,
+    text_bytes,
+    window_hashes,
+)
 
 WINDOW_WORDS = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -126,11 +134,19 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     sets = rows.groupBy(F.col("failures").bitwiseAND(F.lit(mask).cast("long")).alias("bits"))
     counted = sets.agg(F.count("*").alias("rows"))
     bit = {name: _bits([name]) for name in POLICIES[policy]}
-    named = F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.lit(b).cast("long").alias("bit")) for n, b in bit.items())))
+    rules = [
+        F.struct(F.lit(n).alias("rule"), F.lit(b).cast("long").alias("bit"))
+        for n, b in bit.items()
+    ]
+    named = F.explode(F.array(*rules))
     each = counted.select("bits", "rows", named.alias("r")).select("bits", "rows", "r.*")
+
+    def rows_where(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("rows")).otherwise(0))
+
     return each.groupBy("rule").agg(
-        F.sum(F.when(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.col("rows")).otherwise(0)).alias("n_failed"),
-        F.sum(F.when(F.col("bits") == F.col("bit"), F.col("rows")).otherwise(0)).alias("n_failed_alone"),
+        rows_where(F.col("bits").bitwiseAND(F.col("bit")) != 0).alias("n_failed"),
+        rows_where(F.col("bits") == F.col("bit")).alias("n_failed_alone"),
     )
 
 

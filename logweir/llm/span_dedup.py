@@ -89,8 +89,8 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int, common:
                     _bytes(nobodys, "<u4"),
                 )
             )
-        own = (-1 - chunk, _bytes(np.array(keys), "<i8"), _bytes(owner[order[many]], "<u4"), _bytes(ranked[many], "<i8"), b"")
-        rows.append(own)
+        settled = _bytes(owner[order[many]], "<u4"), _bytes(ranked[many], "<i8")
+        rows.append((-1 - chunk, _bytes(np.array(keys), "<i8"), *settled, b""))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.int64()),
@@ -202,7 +202,8 @@ class _Marks:
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
         value = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix64(value ^ mix64((end - start).astype(np.uint64) * np.uint64(1 << 20) + salt.astype(np.uint64)))
+        length = (end - start).astype(np.uint64)
+        return mix64(value ^ mix64(length * np.uint64(1 << 20) + salt.astype(np.uint64)))
 
 
 def _owned(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
