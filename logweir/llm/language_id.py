@@ -30,7 +30,7 @@ ROUNDS = 3
 SMOOTHING = 0.05
 # Longer words are scored in runs of so many bytes.
 LONGEST_WORD = 48
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 BROADCAST_LANGUAGES = 10_000
 # The pass over these many words of one length takes some hundred numbers for each.
 WORDS_AT_ONCE = 5_000

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from logweir.llm.words import text_bytes
 
 # Pieces kept from batch to batch in a worker; more of them are encoded anew each time.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 # Bytes of pieces handed to the library as one text.
 JOINED_BYTES = 16_384
 

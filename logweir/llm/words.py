@@ -6,6 +6,7 @@ A text is read as UTF-8 bytes. A word is a longest run of bytes other than blank
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,15 @@ def slices(
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as workers are kept between tasks and operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
