@@ -1,14 +1,16 @@
 """Nearest neighbours by collision counting.
 
 Every vector is projected onto random lines, one sorted array per line. A query opens a window
-around its own projection on every line; the windows widen step by step (virtual rehashing)
-until enough vectors lie in the windows of most lines. Those vectors are verified.
+around its own projection on every line; the windows widen step by step (virtual rehashing).
+Vectors that lie in the windows of most lines are verified at each step, until those found are
+nearer than what vectors still outside are likely to be.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,11 @@ LINES = 96
 WIDTHS = (0.25, 0.5, 0.75, 1.0, 1.15, 1.3, 1.5, 1.75, 2.0)
 # Collisions a vector needs, as a share of the lines.
 COLLISIONS = 0.72
-# Vectors that must have them before the windows stop, as a share of a block.
-ENOUGH = 0.2
+# Chance with which a vector as near as the k-th found has to have them before windows stop.
+SURE = 0.95
+# Vectors of one index have norms above this share of its largest; so few are verified whole.
+NORMS = 0.8
+FEW = 64
 # Vectors per block of the index, and queries that visit a block together.
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 4_096
@@ -31,64 +36,172 @@ def _lines(dims: int, lines: int) -> np.ndarray:
     return np.random.default_rng(dims).standard_normal((dims + 1, lines)).astype(np.float32)
 
 
-class Block:
-    """Some vectors with their sorted projections."""
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    peak = np.abs(vectors).max(axis=1).astype(np.float64)
+    return peak * np.sqrt(((vectors / peak[:, None]) ** 2).sum(axis=1))
+
+
+def _reach(widths: Sequence[float], lines: int, collisions: int, sure: float) -> list[float]:
+    """The distance up to which a vector has the collisions with the chance ``sure``, by width.
+
+    On each line a vector is apart from the query by a normal number times their distance.
+    """
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        p = (low + high) / 2
+        tail = range(collisions, lines + 1)
+        chance = sum(math.comb(lines, c) * p**c * (1 - p) ** (lines - c) for c in tail)
+        low, high = (p, high) if chance < sure else (low, p)
+    spread = NormalDist().inv_cdf((1 + low) / 2)
+    return [w / spread for w in widths]
+
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, most: float, lines: int):
-        self.ids, self.vectors = ids, vectors
-        self.most, self.dims = most, vectors.shape[1]
-        self.directions = _lines(self.dims, lines)
+class Shell:
+    """The rows of some vectors of like norm, with their sorted projections."""
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, norms: np.ndarray, lines: int):
+        self.rows, self.most = rows, float(norms.max())
+        if len(rows) <= FEW:
+            return
+        placed = (vectors / self.most).astype(np.float32)
+        self.directions = _lines(vectors.shape[1], lines)
         # One more coordinate makes all norms equal, so that the largest inner product is the
         # smallest distance.
-        rest = np.maximum(most * most - (vectors * vectors).sum(axis=1), 0.0)
-        placed = vectors @ self.directions[:-1] + np.sqrt(rest)[:, None] * self.directions[-1]
+        rest = np.maximum(1 - (placed * placed).sum(axis=1), 0.0)
+        placed = placed @ self.directions[:-1] + np.sqrt(rest)[:, None] * self.directions[-1]
         self.order = np.argsort(placed, axis=0).astype(np.int32).T.copy()
         self.sorted = np.take_along_axis(placed, self.order.T, axis=0).T.copy()
 
-    def candidates(
-        self, queries: np.ndarray, widths: Sequence[float], collisions: int, enough: int
-    ) -> list[np.ndarray]:
-        """Rows of this block to verify, by query."""
-        norms = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
-        centres = (queries * (self.most / norms)) @ self.directions[:-1]
-        size = len(self.ids)
-        lines = len(self.order)
-        steps = np.array(widths) * self.most
-        # Where the windows of all steps begin and end on each line.
-        begin = np.empty((len(steps), lines, len(queries)), np.int32)
+    def windows(self, units: np.ndarray, widths: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of all steps begin and end, by step, line and query."""
+        centres = units @ self.directions[:-1]
+        begin = np.empty((len(widths), len(self.order), len(units)), np.int32)
         end = np.empty_like(begin)
-        for j in range(lines):
-            for s, half in enumerate(steps):
+        for j in range(len(self.order)):
+            for s, half in enumerate(widths):
                 begin[s, j] = np.searchsorted(self.sorted[j], centres[:, j] - half, "left")
                 end[s, j] = np.searchsorted(self.sorted[j], centres[:, j] + half, "right")
-        # As many must be reached as there are; a step at which that cannot be is passed over.
-        need = min(enough, size)
-        covered = (end - begin).sum(axis=1)
-        found = []
-        for q in range(len(queries)):
-            counts = np.zeros(size, np.int64)
-            low = high = None
-            rows = None
-            for s in range(len(steps)):
-                last = s == len(steps) - 1
-                if not last and covered[s, q] < need * collisions:
-                    continue
-                b, e = begin[s, :, q].tolist(), end[s, :, q].tolist()
-                if low is None:
-                    spans = [self.order[j, b[j] : e[j]] for j in range(lines)]
+        return begin, end
+
+    def reached(self, begin: list, end: list, inner: tuple[list, list] | None) -> np.ndarray:
+        """How often each vector lies in the windows, outside of those inside them."""
+        lines = range(len(self.order))
+        if inner is None:
+            spans = [self.order[j, begin[j] : end[j]] for j in lines]
+        else:
+            low, high = inner
+            spans = [self.order[j, begin[j] : low[j]] for j in lines]
+            spans += [self.order[j, high[j] : end[j]] for j in lines]
+        return np.bincount(np.concatenate(spans), minlength=len(self.rows))
+
+
+class Block:
+    """Some vectors: equal ones are one, and those of like norm share an index."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int):
+        # Zeros of either sign are equal.
+        whole = np.ascontiguousarray(vectors + vectors.dtype.type(0))
+        packed = whole.view(np.dtype((np.void, whole.dtype.itemsize * whole.shape[1]))).ravel()
+        _, first, of = np.unique(packed, return_index=True, return_inverse=True)
+        self.vectors, self.of, self.ids = whole[first], of.ravel(), ids
+        self.by_vector = np.lexsort((ids, self.of))
+        self.copies = np.bincount(self.of)
+        self.first = np.append(0, np.cumsum(self.copies))
+        norms = _norms(self.vectors)
+        falling = np.argsort(-norms, kind="stable")
+        self.shells, at = [], 0
+        while at < len(falling):
+            bound = -norms[falling[at]] * NORMS
+            to = max(at + 1, int(np.searchsorted(-norms[falling], bound, "left")))
+            rows = falling[at:to]
+            self.shells.append(Shell(rows, self.vectors[rows], norms[rows], lines))
+            at = to
+
+    def nearest(
+        self,
+        query_ids: np.ndarray,
+        queries: np.ndarray,
+        k: int,
+        widths: Sequence[float],
+        reach: Sequence[float],
+        collisions: int,
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the ``k`` best found, by query; rows of its own id are left out."""
+        norms = _norms(queries)
+        units = (queries / norms[:, None]).astype(np.float32)
+        # The k best different vectors of each query so far, by rising score.
+        rows = [np.empty(0, np.int64)] * len(queries)
+        scores = [np.empty(0)] * len(queries)
+        own = [self._only(i) for i in query_ids]
+
+        def verify(q: int, some: np.ndarray) -> None:
+            if len(own[q]):
+                some = some[~np.isin(some, own[q])]
+            found = self.vectors[some].astype(np.float64) @ queries[q].astype(np.float64)
+            some, found = np.append(rows[q], some), np.append(scores[q], found)
+            if len(some) > k:
+                # Keep all that reach the k-th best score, so that ties are not cut by chance.
+                keep = found >= np.partition(found, len(found) - k)[len(found) - k]
+                some, found = some[keep], found[keep]
+            rows[q], scores[q] = some, found
+
+        def apart(q: int, most: float) -> float:
+            """The distance of the k-th best, as it would be among vectors of this norm."""
+            if len(scores[q]) < k:
+                return math.inf
+            return math.sqrt(max(2 - 2 * scores[q].min() / norms[q] / most, 0.0))
+
+        for shell in self.shells:
+            # No vector's score is above the product of the norms.
+            some = [
+                q
+                for q in range(len(queries))
+                if len(scores[q]) < k or scores[q].min() <= shell.most * norms[q] * (1 + 1e-9)
+            ]
+            if not some:
+                break
+            if len(shell.rows) <= FEW:
+                for q in some:
+                    verify(q, shell.rows)
+                continue
+            begin, end = shell.windows(units[some], widths)
+            covered = (end - begin).sum(axis=1)
+            for at, q in enumerate(some):
+                counts = np.zeros(len(shell.rows), np.int64)
+                seen = np.zeros(len(shell.rows), bool)
+                inner = None
+                for s in range(len(widths)):
+                    # A step that cannot reach enough for an answer is passed over.
+                    if covered[s, at] < (k - len(scores[q])) * collisions:
+                        continue
+                    b, e = begin[s, :, at].tolist(), end[s, :, at].tolist()
+                    counts += shell.reached(b, e, inner)
+                    inner = b, e
+                    new = (counts >= collisions) & ~seen
+                    seen |= new
+                    verify(q, shell.rows[new])
+                    if apart(q, shell.most) <= reach[s]:
+                        break
                 else:
-                    spans = [self.order[j, b[j] : low[j]] for j in range(lines)]
-                    spans += [self.order[j, high[j] : e[j]] for j in range(lines)]
-                counts += np.bincount(np.concatenate(spans), minlength=size)
-                low, high = b, e
-                rows = np.flatnonzero(counts >= collisions)
-                if len(rows) >= need:
-                    break
-            else:
-                # Windows of all steps hold too few: the whole block is verified.
-                rows = np.arange(size)
-            found.append(rows)
-        return found
+                    # Even the widest windows may miss some: all of them are verified.
+                    verify(q, shell.rows[~seen])
+        return [self._answer(query_ids[q], rows[q], scores[q], k) for q in range(len(queries))]
+
+    def _only(self, query_id: int) -> np.ndarray:
+        """Vectors of which all rows have this id."""
+        mine, times = np.unique(self.of[self.ids == query_id], return_counts=True)
+        return mine[times == self.copies[mine]]
+
+    def _answer(
+        self, query_id: int, rows: np.ndarray, scores: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.by_vector[self.first[u] : self.first[u + 1]] for u in rows]
+        places = np.concatenate([np.empty(0, np.int64), *each])
+        scores = np.repeat(scores, self.copies[rows])
+        other = self.ids[places] != query_id
+        ids, scores = self.ids[places[other]], scores[other]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -109,7 +222,7 @@ def nearest(
     lines: int = LINES,
     widths: Sequence[float] = WIDTHS,
     collisions: float = COLLISIONS,
-    enough: float = ENOUGH,
+    sure: float = SURE,
     block_rows: int = BLOCK_ROWS,
     query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
@@ -123,21 +236,21 @@ def nearest(
 
     Every vector is indexed: blocks of about ``block_rows`` vectors, dealt by a hash of the id,
     meet groups of queries in one task each. A block gives each query its ``k`` best, and the
-    best of those are ranked. In a block, vectors in the windows of ``collisions`` of the lines
-    are verified as soon as they are ``enough`` of it and five ``k``; if even the widest windows
-    hold fewer, the whole block is.
+    best of those are ranked. In a block equal vectors are one, and vectors of like norm have an
+    index of their own, largest first. Those in the windows of ``collisions`` of the lines are
+    verified; windows widen until ``k`` different vectors are found and one as near as the last
+    of them would be in the windows with the chance ``sure``. If even the widest windows do not
+    reach so far, the whole index is verified.
     """
     rows = usable(embeddings)
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     facts = rows.agg(
         F.count("*").alias("n"),
-        F.max(F.sqrt(square)).alias("most"),
         F.count_if(F.col("vec_id") % query_step == 0).alias("queries"),
     ).first()
     blocks = max(1, math.ceil(facts["n"] / block_rows))
     groups = max(1, math.ceil(facts["queries"] / query_rows))
-    most = float(facts["most"] or 1.0)
     needed = math.ceil(collisions * lines)
+    reach = _reach(widths, lines, needed, sure)
 
     dims = F.size("embedding").alias("dims")
     of_block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
@@ -165,21 +278,10 @@ def nearest(
         size = key[0].as_py()
         ids, vectors = matrix(left, size)
         query_ids, queries = matrix(right, size)
-        block = Block(ids, vectors.astype(np.float32), most, lines)
-        found = block.candidates(
-            queries.astype(np.float32), widths, needed, math.ceil(enough * len(ids)) + 5 * k
+        found = Block(ids, vectors, lines).nearest(
+            query_ids, queries, k, widths, reach, needed
         )
-        parts = []
-        for q, some in enumerate(found):
-            some = some[ids[some] != query_ids[q]]
-            scores = vectors[some].astype(np.float64) @ queries[q].astype(np.float64)
-            if len(some) > k:
-                # Keep all that reach the k-th best score, so that ties are not cut by chance.
-                reach = np.partition(scores, len(scores) - k)[len(scores) - k]
-                chosen = np.flatnonzero(scores >= reach)
-                some, scores = some[chosen], scores[chosen]
-            best = np.lexsort((ids[some], -scores))[:k]
-            parts.append((np.full(len(best), query_ids[q]), ids[some][best], scores[best]))
+        parts = [(np.full(len(i), q), i, x) for q, (i, x) in zip(query_ids, found)]
         columns = [np.concatenate(x) for x in zip(*parts)]
         return pa.table(dict(zip(empty, columns)), schema)
 

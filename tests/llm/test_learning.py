@@ -162,6 +162,32 @@ def test_recall(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("case", ["copies", "norms", "both"])
+def test_recall_with_copies_and_mixed_norms(spark, case):
+    """A third of the rows are one vector; some have norms up to ten times the others'."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 64))
+    matrix = centres[np.arange(1200) % 20] + 2 * rng.standard_normal((1200, 64))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    if case != "copies":
+        matrix *= rng.choice([1, 1, 1, 0.5, 2], (1200, 1))
+        matrix[7] *= 10
+    if case != "norms":
+        matrix[rng.random(1200) < 1 / 3] = matrix[11]
+    ids = np.arange(1200)
+    df = spark.createDataFrame(
+        [(i, m) for i, m in zip(ids.tolist(), matrix.tolist())], "vec_id long, embedding array<double>"
+    )
+    found = {}
+    for r in nearest(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recalls = []
+    for q in ids[::20]:
+        order = [i for i in np.lexsort((ids, -(matrix @ matrix[q]))) if i != q][:20]
+        recalls.append(len(found[q] & set(order)) / 20)
+    assert np.mean(recalls) >= 0.95 and min(recalls) >= 0.7
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
