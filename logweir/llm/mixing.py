@@ -115,31 +115,72 @@ def mix(
     nothing is taken. A null source is a source of its own, equal rows are taken in turn, and an
     empty table gives an empty result. ``share`` may not exceed ``most``.
     """
+    rows = _mixed(docs, weights, schedules, share, most, buckets)
+    mixed = rows.select("doc_id", "size", "source_size", "target", "taken", "positions").withColumn(
+        "position", F.try_element_at("positions", F.lit(1))
+    )
+    ordered = mixed.repartitionByRange("position", "doc_id").sortWithinPartitions(
+        "position", "doc_id"
+    )
+    return ordered.drop("position")
+
+
+def _mixed(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
+    share: float = SHARE,
+    most: float = MOST,
+    buckets: int = BUCKETS,
+    whole: bool = False,
+) -> DataFrame:
+    """The columns of ``mix`` in no order; ``whole`` adds each row of ``docs`` as ``document``."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # A source as a key that is never null, so that rows are dealt out once for sums and plan.
+    known = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
+    carried, order = [], ["digest", "doc_id", "size"]
+    if whole:
+        # Rows of one id and size stand in an order that a repeated task finds again.
+        plain = [n for n, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+        carried = [
+            F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("document"),
+            F.xxhash64(*(F.col(f"`{n}`") for n in plain)).alias("tie"),
+        ]
+        order.append("tie")
     rows = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("digest")
+        "doc_id",
+        known.alias("known"),
+        word_count(F.col("text")).alias("size"),
+        digest.alias("digest"),
+        *carried,
     ).withColumn(
         "bucket", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * buckets
         / F.lit(2**32)
     ).withColumn("bucket", F.floor("bucket").cast("int"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
+    # Sums read no more than ids, sources and words.
+    sums = rows.groupBy("known", "bucket").agg(F.sum("size").alias("size")).withColumn(
+        "source",
+        F.when(F.col("known") != "", F.substring("known", 2, 2**31 - 1)).cast(
+            docs.schema["source"].dataType
+        ),
+    )
     ring = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     based = sums.select(
-        F.col("source").alias("s"),
-        F.col("bucket").alias("b"),
+        "source",
+        F.col("known"),
+        F.col("bucket"),
         F.coalesce(F.sum("size").over(ring), F.lit(0)).alias("base"),
     )
     targets = source_targets(sums, weights, share, most)
-    plan = based.join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source")
+    targets = targets.withColumnRenamed("source", "s")
+    plan = based.join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source", "s")
     inside = (
-        Window.partitionBy("source", "bucket")
-        .orderBy("digest", "doc_id", "size")
+        Window.partitionBy("known", "bucket")
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(
-        plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
-    )
+    rows = rows.join(plan, ["known", "bucket"])
     demand = F.floor(F.col("target") + 0.5)
     offset = F.col("base") + F.col("inside")
     rows = rows.withColumns({"demand": demand, "offset": offset}).withColumn(
@@ -154,25 +195,21 @@ def mix(
         each = F.transform(F.sequence(F.lit(0), takes - 1), _taken_at(schedules[k]))
         times = F.when(F.col("kind") == k, each).otherwise(times)
     times = F.coalesce(times, F.array().cast("array<double>"))
-    mixed = rows.select(
-        "doc_id", "size", "source_size", "target", "taken", times.alias("positions")
-    ).withColumn("position", F.try_element_at("positions", F.lit(1)))
-    ordered = mixed.repartitionByRange("position", "doc_id").sortWithinPartitions(
-        "position", "doc_id"
-    )
-    return ordered.drop("position")
+    return rows.withColumn("positions", times)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them, in the order of training.
 
     A document comes once per taking, a last part of it if that is half of it or more, since
-    documents are not cut here; one of which less is taken goes. ``doc_id`` has to be unique.
+    documents are not cut here; one of which less is taken goes. Each row comes by its own
+    takings, whatever its id: rows without one or of the same id are not told apart by it.
     """
-    own, at = free_name(docs, "mixed_id"), free_name(docs, "mixed_at")
-    whole = F.round(F.col("taken") / F.col("size")).cast("int")
+    at = free_name(docs, "mixed_at")
+    whole = F.round(F.try_divide("taken", "size")).cast("int")
     times = F.explode(F.slice("positions", F.lit(1), whole))
-    plan = mix(docs, **options).select(F.col("doc_id").alias(own), times.alias(at))
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(own)))
+    rows = _mixed(docs, **options, whole=True).select("document", times.alias(at)).select(
+        "document.*", at
+    )
     ordered = rows.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id")
     return ordered.select(docs.columns)

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import public_tokenizers
@@ -162,6 +163,29 @@ def test_recall(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def test_rows_without_or_with_one_id_are_mixed_each_by_itself(spark):
+    rng = random.Random(4)
+    ids = [*range(30), *[None] * 20, *[7] * 10]
+    sizes = rng.sample(range(5, 200), len(ids))
+    rows = [(i, "w " * n, "en", rng.choice(["a", "b", None])) for i, n in zip(ids, sizes)]
+    sums = Counter()
+    for _, text, _, source in rows:
+        sums[source] += text.count("w")
+    targets = brute_targets(sums)
+    expected = Counter()
+    for source in sums:
+        ring = [(md5(str("" if i is None else i).encode()).hexdigest(), i or -1, t.count("w"), i)
+                for i, t, _, s in rows if s == source]
+        demand, offset = math.floor(targets[source] + 0.5), 0
+        for _, _, size, i in sorted(ring, key=lambda r: r[:3]):
+            part = max(0, min(demand % sums[source] - offset, size))
+            taken = demand // sums[source] * size + part
+            expected[i, size] += math.floor(taken / size + 0.5)
+            offset += size
+    found = Counter((r.doc_id, r.text.count("w")) for r in mixed_documents(frame(spark, rows)).collect())
+    assert found == +expected
+
+
 @pytest.mark.parametrize("case", ["copies", "norms", "both"])
 def test_recall_with_copies_and_mixed_norms(spark, case):
     """A third of the rows are one vector; some have norms up to ten times the others'."""

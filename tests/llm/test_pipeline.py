@@ -1,7 +1,9 @@
 """The pipeline and the registered queries."""
 
+import math
 import os
 import re
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -9,6 +11,7 @@ import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from logweir.llm.mixing import mix
 from logweir.llm.oracles import llm_oracles
 from logweir.llm.queries import llm_queries
 
@@ -65,6 +68,28 @@ def test_stages_over_awkward_documents(spark, tmp_path):
             check_packing([(r.doc_id, r.text) for r in before], after, 2048)
 
 
+def test_stages_over_rows_without_or_with_one_id(spark, tmp_path):
+    """Each stage on its own, over null and repeated ids: rows come by their own takings."""
+    rows = awkward_rows() + [(None, f"no id {k} " * (k + 1), "en", "a") for k in range(8)]
+    more = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "length(text) AS n_chars")
+    more.withColumn("n_chars", more.n_chars.cast("long")).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = Counter(map(tuple, stage(spark, docs, SF_DIR).collect()))
+        if name == "mixing sources":
+            times = Counter()
+            for r in mix(docs).collect():
+                times[r.doc_id, r.size] += math.floor(r.taken / r.size + 0.5) if r.size else 0
+            found = Counter()
+            for (i, text, *_), n in after.items():
+                found[i, len(text.split())] += n
+            assert found == +times
+        elif name == "secret scans":
+            assert after.total() == len(rows)
+        else:
+            assert after <= Counter(map(tuple, docs.collect()))
+
+
 def test_empty_documents(spark, tmp_path):
     empty = spark.createDataFrame([], f"{SCHEMA}, n_chars long")
     empty.write.parquet(str(tmp_path / "documents.parquet"))
