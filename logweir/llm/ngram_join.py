@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from logweir.llm.components import components
 from logweir.llm.shingles import shingle_sets
 from logweir.llm.tables import Scratch
-from logweir.llm.words import hash_parts, slices
+from logweir.llm.words import CHUNK_ROWS, hash_parts, sent, slices
 
 # Shingles counted together in one task, before they are dealt out by hash.
 CHUNK_SHINGLES = 1_000_000
@@ -44,10 +44,17 @@ def _shared_counts(
     Shingles are counted by hash part. A task first counts within a chunk of documents: what
     two of them share is settled there, and each shingle leaves the chunk once, as 40 bits
     within its part. So a shingle of a third of all documents is as many values as there are
-    chunks. Two shingles taken for one can only keep a document for comparison.
+    chunks. Beside each stands the number of its document within the chunk, and the answer is
+    the numbers of those found again: both are as long as the shingles, whatever the parts. Two shingles taken for one can only keep a document for comparison.
     """
 
-    def emit(chunk: int, ids: list, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    columns = pa.schema(
+        [("part", pa.int64()), ("chunk", pa.int64())]
+        + [(n, pa.binary()) for n in ("owners", "low", "high")]
+        + [(n, pa.list_(pa.int64())) for n in ("ids", "sizes", "shared")]
+    )
+
+    def rows_of(chunk: int, ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
         sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), sizes)
@@ -64,33 +71,24 @@ def _shared_counts(
         part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         cuts = np.searchsorted(part, np.arange(parts + 1))
         values = mixed_low(values)
-        rows = []
         for k in np.unique(part).tolist():
             some = slice(cuts[k], cuts[k + 1])
             by_owner = np.argsort(owners[some], kind="stable")
             held = values[some][by_owner]
-            rows.append(
-                (
-                    k,
-                    np.bincount(owners[some], minlength=len(sets) + 1).astype("<u4").tobytes(),
-                    (held & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                    (held >> np.uint64(32)).astype("u1").tobytes(),
-                )
+            # Behind the owned ones are those that belong to nobody.
+            own = owners[some][by_owner]
+            yield (
+                k,
+                chunk,
+                own[: np.searchsorted(own, len(sets))].astype("<u2").tobytes(),
+                (held & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
+                (held >> np.uint64(32)).astype("u1").tobytes(),
+                None,
+                None,
+                None,
             )
         # The chunk's own documents travel under a key of their own.
-        rows.append((-1 - chunk, b"", b"", b""))
-        counted = len(rows)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([chunk] * counted, pa.int64()),
-                *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)),
-                pa.array([None] * (counted - 1) + [ids], pa.list_(pa.int64())),
-                pa.array([None] * (counted - 1) + [sizes], pa.list_(pa.int64())),
-                pa.array([None] * (counted - 1) + [local], pa.list_(pa.int64())),
-            ],
-            names=["part", "chunk", "owners", "low", "high", "ids", "sizes", "shared"],
-        )
+        yield -1 - chunk, chunk, b"", b"", b"", ids, sizes, local
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
@@ -99,11 +97,11 @@ def _shared_counts(
             ids += batch.column("doc_id").to_pylist()
             sets += (found := shingle_sets(batch.column("text"), width))
             held += sum(map(len, found))
-            if held >= chunk_shingles:
-                yield from emit(chunk, ids, sets)
+            if held >= chunk_shingles or len(ids) >= CHUNK_ROWS:
+                yield from sent(rows_of(chunk, ids, sets), columns)
                 chunk, ids, sets, held = chunk + 1, [], [], 0
         if ids:
-            yield from emit(chunk, ids, sets)
+            yield from sent(rows_of(chunk, ids, sets), columns)
 
     def count(table: pa.Table) -> pa.Table:
         names = ["chunk", "ids", "sizes", "shared"]
@@ -112,10 +110,14 @@ def _shared_counts(
             + [("shared", pa.binary())]
         )
         if table["part"][0].as_py() < 0:
-            shared = [np.array(x, "<u4").tobytes() for x in table["shared"].to_pylist()]
+            shared = [
+                np.repeat(np.arange(len(x)), x).astype("<u2").tobytes()
+                for x in table["shared"].to_pylist()
+            ]
             packed = pa.array(shared, pa.binary())
             return pa.table([table["chunk"], table["ids"], table["sizes"], packed], schema)
-        owners = [np.frombuffer(x.as_py(), "<u4") for x in table["owners"]]
+        owners = [np.frombuffer(x.as_py(), "<u2") for x in table["owners"]]
+        totals = [len(x.as_py()) for x in table["high"]]
         low = np.frombuffer(b"".join(table["low"].to_pylist()), "<u4")
         high = np.frombuffer(b"".join(table["high"].to_pylist()), "u1").astype(np.uint64)
         values = low | (high << np.uint64(32))
@@ -126,19 +128,17 @@ def _shared_counts(
         again = np.empty(len(ranked), bool)
         again[order] = np.repeat(times > 1, times)
         answers, at = [], 0
-        for sizes in owners:
-            total = int(sizes.sum())
-            of_doc = np.repeat(np.arange(len(sizes)), sizes)
-            mine = of_doc[again[at : at + total]]
-            answers.append(np.bincount(mine, minlength=len(sizes))[:-1].astype("<u4").tobytes())
+        for own, total in zip(owners, totals):
+            answers.append(own[again[at : at + len(own)]].tobytes())
             at += total
         nothing = pa.nulls(len(answers), pa.list_(pa.int64()))
         return pa.table([table["chunk"], nothing, nothing, pa.array(answers, pa.binary())], schema)
 
     def gather(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in table["shared"])
         known = next(k for k, x in enumerate(table["ids"]) if x.is_valid)
         ids, sizes = (table[n][known].values for n in ("ids", "sizes"))
+        found = np.frombuffer(b"".join(table["shared"].to_pylist()), "<u2")
+        total = np.bincount(found, minlength=len(ids))
         return pa.table({"doc_id": ids, "n_shingles": sizes, "n_shared": total})
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(

@@ -21,7 +21,7 @@ from logweir.llm.anchors import Runs, anchors
 from logweir.llm.pieces import runs
 from logweir.llm.suffix_groups import suffix_array
 from logweir.llm.tables import Scratch
-from logweir.llm.words import hash_parts, mix64, slices, text_bytes
+from logweir.llm.words import CHUNK_ROWS, hash_parts, mix64, sent, slices, text_bytes
 
 STRING = 50
 GRAM = 26
@@ -59,10 +59,15 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int, common:
     """``key`` and ``codes``: the anchors of a document that another one has too.
 
     Codes of anchors in more than ``common`` documents carry a mark. As with shingles, what
-    documents of one chunk share is settled there and leaves it once.
+    documents of one chunk share is settled there and leaves it once, and beside each code
+    stands the number of its document. Documents without anchors are left out.
     """
+    columns = pa.schema(
+        [("part", pa.int64()), ("chunk", pa.int64())]
+        + [(n, pa.binary()) for n in ("owners", "low", "high", "times")]
+    )
 
-    def emit(chunk: int, keys: list, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def rows_of(chunk: int, keys: list, found: list[np.ndarray]) -> Iterator[tuple]:
         flat = np.concatenate(found)
         owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
         order = np.argsort(flat, kind="stable")
@@ -73,32 +78,21 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int, common:
         values, owners = ranked[first], owner[order[first]]
         owners = np.where(times == 1, owners, len(found))
         cuts = np.searchsorted(values >> 40, np.arange(parts + 1))
-        rows = []
         for k in np.unique(values >> 40).tolist():
             some = slice(cuts[k], cuts[k + 1])
             by_owner = np.argsort(owners[some], kind="stable")
-            held = values[some][by_owner]
-            counts = np.bincount(owners[some], minlength=len(found) + 1)
-            nobodys = times[some][by_owner][len(held) - counts[-1] :]
-            rows.append(
-                (
-                    k,
-                    _bytes(counts, "<u4"),
-                    _bytes(held & 0xFFFFFFFF, "<u4"),
-                    _bytes((held >> 32) & 0xFF, "u1"),
-                    _bytes(nobodys, "<u4"),
-                )
+            held, own = values[some][by_owner], owners[some][by_owner]
+            owned = np.searchsorted(own, len(found))
+            yield (
+                k,
+                chunk,
+                _bytes(own[:owned], "<u2"),
+                _bytes(held & 0xFFFFFFFF, "<u4"),
+                _bytes((held >> 32) & 0xFF, "u1"),
+                _bytes(times[some][by_owner][owned:], "<u4"),
             )
         settled = _bytes(owner[order[many]], "<u4"), _bytes(ranked[many], "<i8")
-        rows.append((-1 - chunk, _bytes(np.array(keys), "<i8"), *settled, b""))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([chunk] * len(rows), pa.int64()),
-                *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3, 4)),
-            ],
-            names=["part", "chunk", "owners", "low", "high", "times"],
-        )
+        yield -1 - chunk, chunk, _bytes(np.array(keys), "<i8"), *settled, b""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
@@ -106,15 +100,16 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int, common:
         for batch in slices(batches):
             _, _, around, owner = _runs(batch.column("text"), window, gram)
             codes = _codes(around.hash, parts)
-            keys += batch.column("key").to_pylist()
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            found += [np.unique(codes[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            some = np.flatnonzero(np.diff(ends))
+            keys += batch.column("key").take(pa.array(some)).to_pylist()
+            found += [np.unique(codes[ends[k] : ends[k + 1]]) for k in some]
             held += len(codes)
-            if held >= CHUNK_ANCHORS:
-                yield from emit(chunk, keys, found)
+            if held >= CHUNK_ANCHORS or len(keys) >= CHUNK_ROWS:
+                yield from sent(rows_of(chunk, keys, found), columns)
                 chunk, keys, found, held = chunk + 1, [], [], 0
         if keys:
-            yield from emit(chunk, keys, found)
+            yield from sent(rows_of(chunk, keys, found), columns)
 
     answer = pa.schema(
         [("chunk", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("codes", pa.binary())]
@@ -126,12 +121,12 @@ def _shared_anchors(docs: DataFrame, window: int, gram: int, parts: int, common:
             return pa.table([table["chunk"], table["owners"], table["low"], table["high"]], answer)
         owners, values, weights = [], [], []
         for row in table.select(["owners", "low", "high", "times"]).to_pylist():
-            sizes = np.frombuffer(row["owners"], "<u4").astype(np.int64)
+            own = np.frombuffer(row["owners"], "<u2").astype(np.int64)
             high = np.frombuffer(row["high"], "u1").astype(np.int64) << 32
             nobodys = np.frombuffer(row["times"], "<u4")
-            owners.append(np.repeat(np.append(np.arange(len(sizes) - 1), 0xFFFFFFFF), sizes))
+            owners.append(np.append(own, np.full(len(nobodys), 0xFFFFFFFF)))
             values.append(np.frombuffer(row["low"], "<u4") | high)
-            weights.append(np.append(np.ones(len(high) - len(nobodys), np.int64), nobodys))
+            weights.append(np.append(np.ones(len(own), np.int64), nobodys))
         flat = np.concatenate(values)
         order = np.argsort(flat)
         edge = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))[: len(flat)]

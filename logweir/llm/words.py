@@ -15,6 +15,12 @@ import pyarrow.compute as pc
 
 # Texts worked on at once, in bytes: the arrays beside them take some thirty times as much.
 SLICE_BYTES = 2_000_000
+# Texts worked on at once, and counted together before they are dealt out by hash: the numbers
+# of a chunk's documents, with one more slice, fit 16 bits.
+SLICE_ROWS = 10_000
+CHUNK_ROWS = 50_000
+# Parts of a chunk sent together, in rows and in bytes.
+SENT_ROWS, SENT_BYTES = 512, 1_000_000
 
 # Bytes of text whose shingles or anchors are counted by one task.
 PART_BYTES = 4_000_000
@@ -47,7 +53,10 @@ def _of_place(length: int) -> np.ndarray:
 def slices(
     batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of text; a longer text comes alone."""
+    """The same rows in batches of at most ``limit`` bytes of text and ``SLICE_ROWS`` rows.
+
+    A longer text comes alone.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -57,6 +66,7 @@ def slices(
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            to = min(to, at + SLICE_ROWS)
             yield batch.slice(at, to - at)
             at = to
     give_back()
@@ -80,6 +90,24 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return begin - begin[0], np.frombuffer(data, np.uint8)[begin[0] : begin[-1]]
 
 
+def sent(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows with some columns of bytes in batches of a bounded number and size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(held) >= SENT_ROWS or size >= SENT_BYTES:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(schema.types)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def hash_parts(size: int) -> int:
     """Parts of a hash space for texts of so many bytes: they grow with the texts."""
     return min(max(-(-size // PART_BYTES), FEWEST_PARTS), MOST_PARTS)

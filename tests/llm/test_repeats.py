@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logweir.llm import ngram_join
+from logweir.llm import ngram_join, span_dedup
 from logweir.llm.anchors import anchors
 from logweir.llm.components import components
 from logweir.llm.ngram_join import ngram_classes, one_per_class
@@ -94,6 +94,57 @@ def test_empty_tables(spark):
     assert remove_repeats(empty).count() == 0
 
 
+class _Task:
+    partitionId = staticmethod(lambda: 0)
+    get = classmethod(lambda cls: cls)
+
+
+def _dealt(monkeypatch, spark, module, make, batches, schema):
+    """What the first step of a count sends for these batches."""
+    taken = []
+    kind = type(spark.range(0))
+    whole = kind.mapInArrow
+
+    def spy(self, func, *args, **kwargs):
+        taken.append(func)
+        return whole(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", spy)
+    monkeypatch.setattr(module, "TaskContext", _Task)
+    make(spark.createDataFrame([], schema))
+    return list(taken[0](iter(batches)))
+
+
+@pytest.mark.parametrize("name", ["shingles", "anchors"])
+def test_what_a_count_sends_does_not_grow_with_parts(spark, monkeypatch, name):
+    """Many short texts over many parts, and many texts of nothing."""
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.random():.9f}" for _ in range(10)) for _ in range(3_000)]
+    texts += [None, "", " x"] * 40_000
+    ids = pa.array(range(len(texts)), pa.int64())
+    if name == "shingles":
+        batch = pa.record_batch([ids, pa.array(texts)], names=["doc_id", "text"])
+        make, module, schema = (
+            lambda df: ngram_join._shared_counts(df, 5, 3_000, 10**6), ngram_join, "doc_id long, text string",
+        )
+    else:
+        batch = pa.record_batch([ids, pa.array(texts)], names=["key", "text"])
+        make, module, schema = (
+            lambda df: span_dedup._shared_anchors(df, 50, 26, 3_000, 20_000), span_dedup, "key long, text string",
+        )
+    sent = _dealt(monkeypatch, spark, module, make, [batch], schema)
+    assert sum(b.nbytes for b in sent) < 12_000_000
+    assert max(b.nbytes for b in sent) < 4_000_000
+
+
+def test_classes_in_chunks_of_few_rows(spark, monkeypatch):
+    """Chunks closed by rows change no result."""
+    monkeypatch.setattr(ngram_join, "CHUNK_ROWS", 3, raising=False)
+    rows = awkward_rows() + [(50 + k, None, None, None) for k in range(10)]
+    found = ngram_classes(frame(spark, rows), 5, 80, parts=300)
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_classes(rows, 5, 80)
+
+
 def test_shingle_sets_do_not_cross_texts():
     texts = ["a b c", "d", None, "", "A B c d"]
     found = shingle_sets(pa.array(texts), 2)
