@@ -46,6 +46,7 @@ class WholeTexts:
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
             self.library = _tokenizer(path)
+        self.n_ids = self.library.get_piece_size() if self.model else self.library.get_vocab_size()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(column, "").to_pylist()
@@ -82,6 +83,7 @@ class Pieces:
         for token, i in self.library.get_vocab().items():
             sizes[i] = added.get(i, len(token) if set(token) <= signs.keys() else 0)
         self.sizes = sizes
+        self.n_ids = len(sizes)
         self.kept = pa.array([], pa.large_string())
         self.kept_counts = np.empty(0, np.int64)
         self.kept_ids = np.empty(0, np.int32)

@@ -16,6 +16,7 @@ from logweir.llm.quality_rules import quality
 from logweir.llm.secret_scans import secrets
 from logweir.llm.span_dedup import remove_repeats
 from logweir.llm.token_counts import token_counts
+from logweir.llm.token_grammar import token_files
 from logweir.llm.url_filters import parse_rule, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -89,5 +94,6 @@ def llm_queries() -> dict[str, Query]:
             op8_secret_scan,
             op9_quality_rules,
             op10_nearest,
+            op11_token_files,
         )
     }
