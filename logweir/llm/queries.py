@@ -12,6 +12,7 @@ from logweir.llm.mixing import mix
 from logweir.llm.nearest import nearest
 from logweir.llm.ngram_join import ngram_classes
 from logweir.llm.packing import pack
+from logweir.llm.periodic_runs import periodic_runs, run_digests, with_planted_runs
 from logweir.llm.quality_rules import quality
 from logweir.llm.secret_scans import secrets
 from logweir.llm.span_dedup import remove_repeats
@@ -80,6 +81,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(_table(spark, sf_dir, "documents"))
+    return run_digests(periodic_runs(docs))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -95,5 +101,6 @@ def llm_queries() -> dict[str, Query]:
             op9_quality_rules,
             op10_nearest,
             op11_token_files,
+            op12_periodic_runs,
         )
     }

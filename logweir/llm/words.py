@@ -7,7 +7,7 @@ A text is read as UTF-8 bytes. A word is a longest run of bytes other than blank
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def is_blank(data: np.ndarray) -> np.ndarray:
+    """Which bytes are blanks."""
+    return _BLANK[data]
+
+
 def mix64(values: np.ndarray) -> np.ndarray:
     """Scatter 64-bit numbers; a bijection."""
     x = values.astype(np.uint64)
@@ -72,6 +77,29 @@ def slices(
     give_back()
 
 
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable):
+    """What ``make`` gives, kept in this worker until another key is asked for.
+
+    Workers live on from task to task and from operator to operator; a vocabulary or model of
+    one is not held beside those of the next.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        give_back()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what this worker keeps."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system, as workers are kept between tasks and operators."""
     pa.default_memory_pool().release_unused()
