@@ -16,6 +16,7 @@ from logweir.llm.periodic_runs import periodic_runs, run_digests, with_planted_r
 from logweir.llm.quality_rules import quality
 from logweir.llm.secret_scans import secrets
 from logweir.llm.span_dedup import remove_repeats
+from logweir.llm.spelling_variants import spelling_variants, word_counts
 from logweir.llm.token_counts import token_counts
 from logweir.llm.token_grammar import token_files
 from logweir.llm.url_filters import parse_rule, url_verdicts
@@ -23,6 +24,8 @@ from logweir.llm.url_filters import parse_rule, url_verdicts
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+# One run of letters in so many loses a letter, which gives the query variants to find.
+DROP_EVERY = 199
 URL_RULES = (
     "allow org/",
     "block example.org/es/",
@@ -86,6 +89,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(docs))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = word_counts(_table(spark, sf_dir, "documents"), drop_every=DROP_EVERY)
+    return spelling_variants(counts)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -102,5 +110,6 @@ def llm_queries() -> dict[str, Query]:
             op10_nearest,
             op11_token_files,
             op12_periodic_runs,
+            op13_spelling_variants,
         )
     }

@@ -142,10 +142,13 @@ def hash_parts(size: int) -> int:
 
 
 class Words:
-    """The words of some texts: ``start``, ``end`` and ``hash`` of each, ``first`` by text."""
+    """The words of some texts: ``start``, ``end`` and ``hash`` of each, ``first`` by text.
 
-    def __init__(self, begin: np.ndarray, data: np.ndarray):
-        inside = ~_BLANK[data]
+    ``inside`` tells which bytes belong to words where these are not all but the blanks.
+    """
+
+    def __init__(self, begin: np.ndarray, data: np.ndarray, inside: np.ndarray | None = None):
+        inside = ~_BLANK[data] if inside is None else inside
         opens = np.zeros(len(data) + 1, bool)
         opens[:-1] = inside
         opens[1:-1] &= ~inside[:-1]
