@@ -14,16 +14,14 @@ import numpy as np
 from logweir.llm.pieces import runs
 
 # A pair that occurs fewer times is left as it is: a rule takes as much as it would save.
-FEWEST = 4
+FEWEST = 8
 # Each round replaces all pairs at least 1/SPREAD as frequent as the most frequent one.
-SPREAD = 64
+SPREAD = 1000
 # After a round that saves less than this share of the symbols, one more takes all pairs that
 # occur FEWEST times, and once that saves little too it is the last.
-WORTH = 0.03
+WORTH = 0.1
 
 _NONE = np.int32(2**31 - 1)
-# Slots of the table of a round's pairs, for each pair.
-_ROOM = 8
 
 
 @dataclass(frozen=True)
@@ -61,17 +59,13 @@ class Grammar:
     def all_ids(self) -> np.ndarray:
         """All ids: each rule is expanded once, the symbols copy from there."""
         rules = np.arange(self.base, self.base + len(self.size), dtype=np.int32)
-        flat = np.append(self.expand(rules), np.int32(0))
-        first = np.cumsum(self.size, dtype=np.int64) - self.size
-        new = self.symbols >= self.base
-        count = self.sizes(self.symbols)
-        rule = (self.symbols - self.base)[new]
-        start = np.zeros(len(self.symbols), np.int64)
-        start[new] = first[rule]
-        ids = flat[runs(start, count)]
-        ends = np.cumsum(count)
-        ids[(ends - 1)[~new]] = self.symbols[~new]
-        return ids
+        flat = np.concatenate([np.arange(self.base, dtype=np.int32), self.expand(rules)])
+        size = np.concatenate([np.ones(self.base, np.int32), self.size.astype(np.int32)])
+        count = size[self.symbols]
+        begin = (np.cumsum(size) - size)[self.symbols] - (np.cumsum(count) - count)
+        place = np.repeat(begin.astype(np.int32), count)
+        place += np.arange(len(place), dtype=np.int32)
+        return flat[place]
 
     def part(self, begin: int, end: int, first: int = 0, last: int | None = None) -> np.ndarray:
         """Ids ``begin`` to ``end`` of the symbols from ``first`` to ``last``.
@@ -90,36 +84,41 @@ class Grammar:
         return self.expand(own[a:b])[begin - before : end - before]
 
 
-def _frequent(keys: np.ndarray, spread: int) -> np.ndarray:
-    """The pairs one round replaces, most frequent first; all worth a rule without ``spread``."""
-    ordered = np.sort(keys)
-    ordered = ordered[np.searchsorted(ordered, 0) :]
-    if not len(ordered):
-        return ordered
-    edge = np.flatnonzero(ordered[1:] != ordered[:-1])
-    first = np.append(0, edge + 1)
-    count = np.diff(np.append(first, len(ordered)))
-    least = max(FEWEST, int(count.max()) // spread) if spread else FEWEST
-    chosen = np.flatnonzero(count >= least)
-    chosen = chosen[np.argsort(-count[chosen], kind="stable")]
-    return ordered[first[chosen]]
-
+def _ordered(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each below ``1 << bits``, and where they stood."""
+    room = len(keys).bit_length()
+    if bits + room > 63:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    packed = np.sort((keys << room) | np.arange(len(keys)))
+    return packed >> room, packed & ((1 << room) - 1)
 
-def _ranks(keys: np.ndarray, pairs: np.ndarray, turn: int) -> np.ndarray:
-    """The place in ``pairs`` of each key; of pairs sharing a slot the first is found."""
-    bits = max(4, int(len(pairs) * _ROOM).bit_length())
-    odd = np.uint64((0x9E3779B97F4A7C15 + 2 * turn * 0xD1342543DE82EF95) % 2**64)
 
-    def slot(values: np.ndarray) -> np.ndarray:
-        return ((values.view(np.uint64) * odd) >> np.uint64(64 - bits)).astype(np.int32)
+def _ranks(
+    symbols: np.ndarray, last: np.ndarray, weight: np.ndarray | None, spread: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs one round replaces, most frequent first, and the rank of the pair at each place.
 
-    place = slot(pairs)[::-1]
-    table = np.full(1 << bits, -2, np.int64)
-    rank = np.full(1 << bits, _NONE, np.int32)
-    table[place] = pairs[::-1]
-    rank[place] = np.arange(len(pairs), dtype=np.int32)[::-1]
-    at = slot(keys)
-    return np.where(table[at] == keys, rank[at], _NONE)
+    Without ``spread`` these are all that are worth a rule.
+    """
+    rank = np.full(len(symbols) - 1, _NONE, np.int32)
+    here = np.flatnonzero(~last[:-1])
+    bits = int(symbols.max()).bit_length()
+    pairs, order = _ordered((symbols[here].astype(np.int64) << bits) | symbols[here + 1], 2 * bits)
+    here = here[order]
+    if not len(here):
+        return np.empty((0, 2), np.int32), rank
+    first = np.append(0, np.flatnonzero(pairs[1:] != pairs[:-1]) + 1)
+    size = np.diff(np.append(first, len(pairs)))
+    count = size if weight is None else np.add.reduceat(weight[here], first)
+    least = max(FEWEST, count.max() // spread) if spread else FEWEST
+    chosen = np.flatnonzero(count >= least)
+    chosen = chosen[np.argsort(-count[chosen], kind="stable")]
+    rank[here[runs(first[chosen], size[chosen])]] = np.repeat(
+        np.arange(len(chosen), dtype=np.int32), size[chosen]
+    )
+    found = pairs[first[chosen]]
+    return np.stack([found >> bits, found & ((1 << bits) - 1)], 1).astype(np.int32), rank
 
 
 def _taken(rank: np.ndarray) -> np.ndarray:
@@ -139,51 +138,86 @@ def _taken(rank: np.ndarray) -> np.ndarray:
     return np.flatnonzero(taken)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[Grammar, np.ndarray]:
-    """The grammar of some ids, and the number of symbols of each document.
+class _Rules:
+    """Rules as they are made."""
 
-    ``ends`` counts the ids up to the end of each document; ids are below ``base``.
+    def __init__(self, base: int):
+        self.base = base
+        self.left = self.right = self.size = np.empty(0, np.int32)
+
+    def add(self, pairs: np.ndarray) -> int:
+        """Rules for some pairs; the symbol of the first."""
+        older = self.grammar(np.empty(0, np.int32))
+        size = (older.sizes(pairs[:, 0]) + older.sizes(pairs[:, 1])).astype(np.int32)
+        self.left = np.concatenate([self.left, pairs[:, 0]])
+        self.right = np.concatenate([self.right, pairs[:, 1]])
+        self.size = np.concatenate([self.size, size])
+        return self.base + len(older.size)
+
+    def grammar(self, symbols: np.ndarray) -> Grammar:
+        return Grammar(self.base, self.left, self.right, self.size, symbols)
+
+    def apply(
+        self, symbols: np.ndarray, last: np.ndarray, weight: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Replace frequent pairs round by round, none across a ``last`` symbol.
+
+        ``weight`` tells how often each place counts.
+        """
+        spread = SPREAD
+        while len(symbols) > 1:
+            pairs, rank = _ranks(symbols, last, weight, spread)
+            at = _taken(rank)
+            saved = np.bincount(rank[at], None if weight is None else weight[at], len(pairs))
+            used = saved > 1
+            at = at[used[rank[at]]]
+            if len(at):
+                first = self.add(pairs[used])
+                name = (np.cumsum(used) - 1 + first).astype(np.int32)
+                symbols[at] = name[rank[at]]
+                last[at] = last[at + 1]
+                stays = np.ones(len(symbols), bool)
+                stays[at + 1] = False
+                total = len(symbols) if weight is None else weight.sum()
+                symbols, last = symbols[stays], last[stays]
+                weight = None if weight is None else weight[stays]
+            if not len(at) or saved[used].sum() < WORTH * total:
+                if not spread:
+                    break
+                spread = 0
+        return symbols, last
+
+
+def _lengths(last: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Symbols of each run that ``last`` closes; runs not ``filled`` have none."""
+    counts = np.zeros(len(filled), np.int64)
+    counts[filled] = np.diff(np.flatnonzero(last), prepend=-1)
+    return counts
+
+
+def _last(counts: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(counts)
+    last = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    last[ends[counts > 0] - 1] = True
+    return last
+
+
+def compress(
+    place: np.ndarray, first: np.ndarray, counts: np.ndarray, ids: np.ndarray, base: int
+) -> tuple[Grammar, np.ndarray]:
+    """The grammar of some texts given as pieces, and the number of symbols of each text.
+
+    ``counts`` and ``ids`` are the ids of each different piece, all below ``base``; ``place``
+    tells the pieces of the texts one after the other and ``first`` where each text begins.
+    Pairs inside of pieces are replaced once per different piece, counted as often as it
+    comes; then pairs of what is left, over whole texts.
     """
-    symbols = ids.astype(np.int32)
-    last = np.zeros(len(symbols), bool)
-    last[ends[ends > 0] - 1] = True
-    left, right, size = ([np.empty(0, np.int32)] for _ in range(3))
-    known, turn, spread = 0, 0, SPREAD
-    while len(symbols) > 1:
-        keys = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
-        keys[last[:-1]] = -1
-        pairs = _frequent(keys, spread)
-        if not len(pairs):
-            break
-        rank = _ranks(keys, pairs, turn)
-        at = _taken(rank)
-        used = np.bincount(rank[at], minlength=len(pairs)) > 1
-        at = at[used[rank[at]]]
-        if not len(at):
-            if not spread:
-                break
-            spread = 0
-            continue
-        name = (np.cumsum(used) - 1 + base + known).astype(np.int32)
-        made = pairs[used]
-        older = Grammar(base, *map(np.concatenate, (left, right, size)), symbols)
-        left.append((made >> 32).astype(np.int32))
-        right.append((made & 0xFFFFFFFF).astype(np.int32))
-        size.append((older.sizes(left[-1]) + older.sizes(right[-1])).astype(np.int32))
-        known += len(made)
-        symbols[at] = name[rank[at]]
-        last[at] = last[at + 1]
-        stays = np.ones(len(symbols), bool)
-        stays[at + 1] = False
-        symbols, last = symbols[stays], last[stays]
-        turn += 1
-        if len(at) < WORTH * len(stays):
-            if not spread:
-                break
-            spread = 0
-    grammar = Grammar(base, *map(np.concatenate, (left, right, size)), symbols)
-    closing = np.flatnonzero(last) + 1
-    counts = np.zeros(len(ends), np.int64)
-    filled = np.diff(ends, prepend=0) > 0
-    counts[filled] = np.diff(closing, prepend=0)
-    return grammar, counts
+    rules = _Rules(base)
+    often = np.bincount(place, minlength=len(counts)).astype(np.float64)
+    inside, last = rules.apply(ids.astype(np.int32), _last(counts), np.repeat(often, counts))
+    sizes = _lengths(last, counts > 0)
+    begin = np.cumsum(sizes) - sizes
+    symbols = inside[runs(begin[place], sizes[place])]
+    ends = np.append(0, np.cumsum(sizes[place]))
+    symbols, last = rules.apply(symbols, _last(np.diff(ends[first])))
+    return rules.grammar(symbols), _lengths(last, np.diff(ends[first]) > 0)

@@ -1,31 +1,46 @@
 """Token ids of many texts at once: each different piece of text is encoded only once.
 
-A text is cut before every blank that a plain letter, digit or sign follows. A byte-level
-vocabulary without normaliser never joins characters across such a place: its pattern leaves
-the last of several blanks to the word behind them. So the ids of the pieces, one after the
-other, are those of the text. Other vocabularies get whole texts.
+A text is cut where no token of a byte-level vocabulary without normaliser can cross, so the
+ids of the pieces, one after the other, are those of the text. Such places are
+
+* before a blank that a plain letter, digit or sign follows: the pattern of these vocabularies
+  leaves the last of several blanks to the word behind them;
+* between a plain letter or digit and a blank, line end or common sign behind it: no alternative
+  of the pattern goes on there, and no added token holds such a character;
+* between a single line end and a plain letter or digit behind it.
+
+Other vocabularies get whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from functools import cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from logweir.llm.words import text_bytes
+from logweir.llm.words import SLICE_BYTES, kept, slices, text_bytes
 
-# Pieces kept from batch to batch in a worker; more of them are encoded anew each time.
-KEPT_PIECES = 200_000
+# Pieces kept from batch to batch in a worker: of at most so many bytes each, and with their ids
+# so many bytes in all. Others are encoded anew each time they come.
+KEPT_PIECE, KEPT_BYTES = 48, 24_000_000
 # Bytes of pieces handed to the library as one text.
 JOINED_BYTES = 16_384
 
 _OPENS = np.zeros(256, bool)
 _OPENS[0x21:0x7F] = True
 _OPENS[0xC3] = True  # of the letters U+00C0 to U+00FF
+_PLAIN = np.zeros(256, bool)
+for _first, _last in ("09", "AZ", "az"):
+    _PLAIN[ord(_first) : ord(_last) + 1] = True
+# The second byte of a letter U+00C0 to U+00FF: all but the signs of times and division.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_SIGNS = " \n.,;:!?\"'()-"
 
 
 def _byte_of_sign() -> dict[str, int]:
@@ -61,6 +76,14 @@ class WholeTexts:
     def counts(self, column: pa.Array) -> np.ndarray:
         return self.encode(column)[0]
 
+    def windows(self, text: pa.Array, limit: int) -> Iterator[pa.Array]:
+        yield text
+
+    def coded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As of ``Pieces``, each text being a piece."""
+        counts, ids = self.encode(column)
+        return np.arange(len(counts)), np.arange(len(counts) + 1), counts, ids
+
 
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,6 +107,9 @@ class Pieces:
             sizes[i] = added.get(i, len(token) if set(token) <= signs.keys() else 0)
         self.sizes = sizes
         self.n_ids = len(sizes)
+        inside = "".join(x["content"] for x in _settings(path)["added_tokens"])
+        self.signs = np.zeros(256, bool)
+        self.signs[[ord(c) for c in _SIGNS if c not in inside]] = True
         self.kept = pa.array([], pa.large_string())
         self.kept_counts = np.empty(0, np.int64)
         self.kept_ids = np.empty(0, np.int32)
@@ -125,36 +151,81 @@ class Pieces:
         first[~known] = new_first
         first[known] = old_first[place[known]]
         ids = np.concatenate([self.kept_ids, new_ids])[runs(first, counts)]
-        room = KEPT_PIECES - len(self.kept)
-        if room > 0 and len(fresh):
-            take = fresh.slice(0, room)
-            self.kept = pa.concat_arrays([self.kept, take])
-            self.kept_counts = np.concatenate([self.kept_counts, new_counts[: len(take)]])
-            self.kept_ids = np.concatenate([self.kept_ids, new_ids[: new_counts[: len(take)].sum()]])
+        self._keep(fresh, new_counts, new_ids)
         return counts, ids
 
+    def _keep(self, fresh: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Remember what is small, as far as there is room."""
+        room = KEPT_BYTES - self.kept.nbytes - self.kept_counts.nbytes - self.kept_ids.nbytes
+        if room <= 0 or not len(fresh):
+            return
+        size = pc.binary_length(fresh).to_numpy()
+        takes = (size <= KEPT_PIECE) & (np.cumsum(size + 16 + 4 * counts) <= room)
+        first = np.cumsum(counts) - counts
+        self.kept = pa.concat_arrays([self.kept, fresh.filter(pa.array(takes))])
+        self.kept_counts = np.concatenate([self.kept_counts, counts[takes]])
+        self.kept_ids = np.concatenate([self.kept_ids, ids[runs(first[takes], counts[takes])]])
+
+    def places(self, begin: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Where texts may be cut, beside their ends; ``begin`` as of ``text_bytes``."""
+        if len(data) < 2:
+            return np.empty(0, np.int64)
+        plain = _PLAIN[data]
+        wide = np.flatnonzero(data[:-1] == 0xC3) + 1
+        plain[wide[_LATIN[data[wide]]]] = True
+        here = np.zeros(len(data), bool)
+        here[1:] = plain[:-1] & self.signs[data[1:]]
+        here[:-1] |= (data[:-1] == 0x20) & _OPENS[data[1:]]
+        if self.signs[0x0A]:
+            ends = np.flatnonzero(data[1:-1] == 0x0A) + 1
+            single = plain[ends - 1] | self.signs[data[ends - 1]]
+            single &= (data[ends - 1] != 0x20) & (data[ends - 1] != 0x0A)
+            single &= _PLAIN[data[ends + 1]] | (data[ends + 1] == 0xC3)
+            here[ends[single] + 1] = True
+        here[begin[begin < len(data)]] = False
+        return np.flatnonzero(here)
+
     def _cut(self, column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         begin, data = text_bytes(column)
-        blank = np.flatnonzero(data[:-1] == 0x20)
-        cuts = np.sort(np.concatenate([begin, blank[_OPENS[data[blank + 1]]]]), kind="stable")
+        cuts = np.sort(np.concatenate([begin, self.places(begin, data)]), kind="stable")
         cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])]
         pieces = pa.LargeStringArray.from_buffers(
             len(cuts) - 1, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(data)
         )
         return pieces.dictionary_encode(), np.searchsorted(cuts, begin)
 
+    def windows(self, text: pa.Array, limit: int) -> Iterator[pa.Array]:
+        """One text as several of about ``limit`` bytes, where it may be cut."""
+        _, data = text_bytes(text)
+        at = 0
+        while at < len(data):
+            to, size = len(data), limit
+            while at + size < len(data):
+                found = self.places(np.zeros(1, np.int64), data[at : at + size + 2])
+                found = found[found < size]
+                if len(found):
+                    to = at + int(found[-1])
+                    break
+                size *= 2
+            yield pa.array([data[at:to].tobytes().decode()], pa.large_string())
+            at = to
+
+    def coded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts as pieces: which piece comes at each place, the first place of each text (one
+        more at the end), and the number of ids of each piece and the ids themselves."""
+        coded, first = self._cut(column)
+        counts, ids = self._different(coded.dictionary)
+        return coded.indices.to_numpy(), first, counts, ids
+
     def counts(self, column: pa.Array) -> np.ndarray:
         """Number of ids of each text; null is empty."""
-        coded, first = self._cut(column)
-        counts, _ = self._different(coded.dictionary)
-        ends = np.append(0, np.cumsum(counts[coded.indices.to_numpy()]))
+        place, first, counts, _ = self.coded(column)
+        ends = np.append(0, np.cumsum(counts[place]))
         return np.diff(ends[first])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in order."""
-        coded, first = self._cut(column)
-        counts, ids = self._different(coded.dictionary)
-        place = coded.indices.to_numpy()
+        place, first, counts, ids = self.coded(column)
         ends = np.append(0, np.cumsum(counts[place]))
         starts = np.cumsum(counts) - counts
         return np.diff(ends[first]), ids[runs(starts[place], counts[place])]
@@ -190,7 +261,27 @@ def _cuts_at_blanks(path: str) -> bool:
     )
 
 
-@cache
 def encoder(path: str) -> Pieces | WholeTexts:
-    """The encoder of a vocabulary file, once per worker."""
-    return Pieces(path) if _cuts_at_blanks(path) else WholeTexts(path)
+    """The encoder of a vocabulary file; a worker keeps the last one it used."""
+    return kept(path, lambda: Pieces(path) if _cuts_at_blanks(path) else WholeTexts(path))
+
+
+def windows(
+    batches: Iterator[pa.RecordBatch], encode: Pieces | WholeTexts, limit: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, pa.Array, bool]]:
+    """Rows and their texts, about ``limit`` bytes at once, and whether their last text ends.
+
+    A longer text comes alone, in as many windows as it takes; its ids are those of its windows
+    one after the other.
+    """
+    for batch in slices(batches, limit=limit):
+        text = batch.column("text")
+        if batch.num_rows > 1 or (pc.binary_length(text)[0].as_py() or 0) <= limit:
+            yield batch, text, True
+            continue
+        held = None
+        for window in encode.windows(text, limit):
+            if held is not None:
+                yield batch, held, False
+            held = window
+        yield batch, held, True

@@ -9,8 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.pieces import encoder
-from logweir.llm.words import slices
+from logweir.llm.pieces import encoder, windows
 
 # Bytes of text encoded at once.
 BATCH_BYTES = 5_000_000
@@ -27,19 +26,24 @@ def token_counts(
     ``sentencepiece`` (``.model``) library, present on every machine; strings of special
     tokens inside a text are handled as that library does by default.
 
-    Batches hold about ``batch_bytes`` of text each. Long texts are split where no token can
-    cross (see ``logweir.llm.pieces``), so one of any length takes no more than its bytes.
+    Batches hold about ``batch_bytes`` of text each. Longer texts are split where no token can
+    cross (see ``logweir.llm.pieces``) and counted window by window, so one of any length takes
+    its bytes and the work space of a window. Only a text without any such place, or with
+    another vocabulary, goes to the library whole.
     """
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(vocabulary).counts
-        for batch in slices(batches, limit=batch_bytes):
-            text = batch.column("text")
-            size = pc.fill_null(pc.cast(pc.binary_length(text), pa.int64()), 0)
-            tokens = pa.array(count(text), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), size, tokens], names=["doc_id", "n_bytes", "n_tokens"]
-            )
+        encode = encoder(vocabulary)
+        earlier = 0
+        for batch, text, ends in windows(batches, encode, batch_bytes):
+            found = encode.counts(text) + earlier
+            earlier = 0 if ends else int(found[0])
+            if ends:
+                size = pc.cast(pc.binary_length(batch.column("text")), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pc.fill_null(size, 0), pa.array(found, pa.int64())],
+                    names=["doc_id", "n_bytes", "n_tokens"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = docs.select("doc_id", "text").mapInArrow(

@@ -31,15 +31,14 @@ from pyspark.sql import functions as F
 
 from logweir.llm.checksums import joined
 from logweir.llm.pair_grammar import Grammar, compress
-from logweir.llm.pieces import encoder
-from logweir.llm.words import slices
+from logweir.llm.pieces import Pieces, WholeTexts, encoder, windows
+from logweir.llm.tables import Scratch
+from logweir.llm.words import give_back
 from logweir.sources.storage import new_path
 
 END_ID = 0
-# Ids compressed together.
-SHARD_IDS = 1 << 20
-# Bytes of text encoded at once, and written by one task.
-BATCH_BYTES = 5_000_000
+# Bytes of text compressed together, and written by one task.
+SHARD_BYTES = 5_000_000
 PART_BYTES = 32_000_000
 MOST_PARTS = 50_000
 # Spans decoded for one shard by one row of work.
@@ -52,48 +51,38 @@ _SHARD = (
 )
 
 
-def _with_end(counts: np.ndarray, ids: np.ndarray, end_id: int) -> np.ndarray:
-    out = np.full(len(ids) + len(counts), end_id, np.int32)
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
-    return out
-
-
 class _Shards:
-    """Collects documents of a part and gives them back as rows of full shards."""
+    """Makes the shards of a part, one after the other."""
 
-    def __init__(self, part: int, base: int, size: int, schema: pa.Schema):
-        self.part, self.base, self.size, self.schema = part, base, size, schema
-        self.ids = np.empty(0, np.int32)
-        self.doc_ids = pa.array([], schema.field("doc_ids").type.value_type)
-        self.lengths = np.empty(0, np.int64)
+    def __init__(self, encode: Pieces | WholeTexts, end_id: int, schema: pa.Schema):
+        self.encode, self.end_id, self.schema = encode, end_id, schema
+        self.part = TaskContext.get().partitionId()
         self.shard = self.before = self.first_doc = self.first_start = 0
 
-    def add(self, doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
-        self.ids = np.concatenate([self.ids, ids])
-        self.doc_ids = pa.concat_arrays([self.doc_ids, doc_ids])
-        self.lengths = np.concatenate([self.lengths, lengths])
-
-    def row(self) -> pa.RecordBatch:
-        ids, self.ids = self.ids[: self.size], self.ids[self.size :]
-        ends = np.cumsum(self.lengths)
-        pieces = int(np.searchsorted(ends, len(ids), "left")) + 1
-        closed = bool(ends[pieces - 1] == len(ids))
-        lengths = self.lengths[:pieces].copy()
-        lengths[-1] -= ends[pieces - 1] - len(ids)
-        grammar, counts = compress(ids, np.cumsum(lengths), self.base)
+    def row(self, doc_ids: pa.Array, text: pa.Array, closed: bool) -> pa.RecordBatch:
+        place, first, counts, ids = self.encode.coded(text)
+        # The closing id is a piece of its own.
+        closing = first[1:] if closed else first[1:-1]
+        place = np.insert(place, closing, len(counts))
+        first = first + np.arange(len(first)) - np.append(np.zeros(len(first) - 1, int), not closed)
+        counts, ids = np.append(counts, 1), np.append(ids, self.end_id)
+        ends = np.append(0, np.cumsum(counts[place]))
+        lengths = np.diff(ends[first])
+        grammar, symbol_counts = compress(place, first, counts, ids, self.encode.n_ids)
         rules = np.stack([grammar.left, grammar.right], 1).astype("<u4").tobytes()
-        edge = pa.array([0, pieces], pa.int32())
         values = {
-            "part": self.part, "shard": self.shard, "before": self.before, "n_ids": len(ids),
-            "first_doc": self.first_doc, "first_start": self.first_start, "closed": closed,
-            "base": self.base, "rules": rules, "sizes": grammar.size.astype("<u4").tobytes(),
+            "part": self.part, "shard": self.shard, "before": self.before,
+            "n_ids": int(ends[-1]), "first_doc": self.first_doc,
+            "first_start": self.first_start, "closed": closed, "base": grammar.base,
+            "rules": rules, "sizes": grammar.size.astype("<u4").tobytes(),
             "symbols": grammar.symbols.astype("<u4").tobytes(),
         }
         lists = {
-            "doc_ids": self.doc_ids.slice(0, pieces),
+            "doc_ids": doc_ids,
             "lengths": pa.array(lengths, pa.int64()),
-            "symbol_counts": pa.array(counts, pa.int32()),
+            "symbol_counts": pa.array(symbol_counts, pa.int32()),
         }
+        edge = pa.array([0, len(lengths)], pa.int32())
         row = pa.RecordBatch.from_arrays(
             [
                 pa.ListArray.from_arrays(edge, lists[f.name]).cast(f.type)
@@ -103,16 +92,10 @@ class _Shards:
             ],
             schema=self.schema,
         )
-        done = pieces if closed else pieces - 1
-        earlier = self.first_start if pieces == 1 else 0
-        self.first_start = 0 if closed else earlier + int(lengths[-1])
-        self.first_doc += done
         self.shard += 1
-        self.before += len(ids)
-        self.doc_ids = self.doc_ids.slice(done)
-        if not closed:
-            self.lengths[done] -= lengths[-1]
-        self.lengths = self.lengths[done:]
+        self.before += int(ends[-1])
+        self.first_doc += len(lengths) if closed else len(lengths) - 1
+        self.first_start = 0 if closed else self.first_start + int(lengths[-1])
         return row
 
 
@@ -121,7 +104,7 @@ def write_tokens(
     vocabulary: str,
     path: str,
     end_id: int = END_ID,
-    shard_ids: int = SHARD_IDS,
+    shard_bytes: int = SHARD_BYTES,
 ) -> None:
     """Encode all documents and write their ids, each document closed by ``end_id``, to ``path``.
 
@@ -131,7 +114,8 @@ def write_tokens(
     give a table without rows. ``vocabulary`` is a file of the ``tokenizers`` or
     ``sentencepiece`` library, present on every machine.
 
-    A task holds one shard at a time, whatever the length of a document. Equal ids (or no ids at
+    A shard holds about ``shard_bytes`` of text; a task holds one shard at a time, whatever the
+    length of a document (see ``token_counts`` for texts that cannot be split). Equal ids (or no ids at
     all) are dealt over several tasks too, as the input place of a row is part of the order.
     """
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -155,14 +139,9 @@ def write_tokens(
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        found = _Shards(TaskContext.get().partitionId(), encode.n_ids, shard_ids, arrow)
-        for batch in slices(batches, limit=BATCH_BYTES):
-            counts, ids = encode.encode(batch.column("text"))
-            found.add(batch.column("doc_id"), counts + 1, _with_end(counts, ids, end_id))
-            while len(found.ids) >= shard_ids:
-                yield found.row()
-        while len(found.ids):
-            yield found.row()
+        found = _Shards(encode, end_id, arrow)
+        for batch, text, closed in windows(batches, encode, shard_bytes):
+            yield found.row(batch.column("doc_id"), text, closed)
 
     sorted_docs.mapInArrow(shards, schema).write.option("compression", "zstd").parquet(path)
 
@@ -193,42 +172,46 @@ def _bases(stored: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Every document of stored tokens, decoded: ``doc_id``, ``start`` (ids of all documents
     before it), ``n_tokens`` (with the closing id) and ``ids_crc32`` (of its ids as unsigned
-    little-endian 32-bit numbers)."""
+    little-endian 32-bit numbers).
+
+    Shards are decoded once; what comes of them is written before documents that have pieces
+    in several shards are put together.
+    """
     stored = spark.read.parquet(path)
     kind = stored.schema["doc_ids"].dataType.elementType.simpleString()
-    names = ("doc_id", "part", "doc", "start", "n_tokens", "ids_crc32", "whole")
+    columns = ["doc_id", "part", "start", "n_tokens", "ids_crc32"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches, ("doc_ids", "lengths")):
-            ids = _grammar(row).all_ids().astype("<u4")
+            ids = _grammar(row).all_ids().astype("<u4", copy=False)
             lengths = row["lengths"].to_numpy()
             ends = np.cumsum(lengths)
-            raw = memoryview(ids.tobytes())
+            raw = memoryview(ids).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends - lengths, ends)]
             whole = np.ones(len(lengths), bool)
             whole[0] = row["first_start"] == 0
             whole[-1] &= row["closed"]
-            numbers = np.arange(len(lengths), dtype=np.int64) + row["first_doc"]
-            columns = [
-                row["doc_ids"],
-                pa.array(np.full(len(lengths), row["part"], np.int32)),
-                pa.array(numbers),
-                pa.array(ends - lengths + row["before"]),
-                pa.array(lengths),
-                pa.array(np.array(crc, np.int64)),
-                pa.array(whole),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    row["doc_ids"],
+                    pa.array(np.full(len(lengths), row["part"], np.int32)),
+                    pa.array(ends - lengths + row["before"]),
+                    pa.array(lengths),
+                    pa.array(np.array(crc, np.int64)),
+                    pa.array(np.arange(len(lengths), dtype=np.int64) + row["first_doc"]),
+                    pa.array(whole),
+                ],
+                names=[*columns, "doc", "whole"],
+            )
+        give_back()
 
-    pieces = stored.drop("shard", "symbol_counts").mapInArrow(
-        decode,
-        f"doc_id {kind}, part int, doc long, start long, n_tokens long, ids_crc32 long, "
-        "whole boolean",
+    pieces = Scratch("pieces").write(
+        stored.drop("shard", "symbol_counts").mapInArrow(
+            decode,
+            f"doc_id {kind}, part int, start long, n_tokens long, ids_crc32 long, doc long, "
+            "whole boolean",
+        )
     )
-    # Only documents longer than a shard have several pieces: as many as shards they fill.
-    piece = F.struct("start", "n_tokens", "ids_crc32")
-    in_order = F.sort_array(F.collect_list(piece)).alias("pieces")
-    split = pieces.filter("not whole").groupBy("part", "doc").agg(F.first("doc_id").alias("doc_id"), in_order)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,14 +229,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     batch.column("part"),
                     *(pa.array(x, pa.int64()) for x in (start, total, crc)),
                 ],
-                names=["doc_id", "part", "start", "n_tokens", "ids_crc32"],
+                names=columns,
             )
 
-    columns = ["doc_id", "part", "start", "n_tokens", "ids_crc32"]
-    closed = split.mapInArrow(
+    # A document has as many pieces as shards it fills.
+    in_order = F.sort_array(F.collect_list(F.struct("start", "n_tokens", "ids_crc32")))
+    split = pieces.filter("not whole").groupBy("part", "doc")
+    closed = split.agg(F.first("doc_id").alias("doc_id"), in_order.alias("pieces")).mapInArrow(
         close, f"doc_id {kind}, part int, start long, n_tokens long, ids_crc32 long"
     )
-    documents = pieces.filter("whole").select(columns).unionByName(closed)
+    documents = pieces.filter("whole").select(columns).unionByName(closed.select(columns))
     return documents.join(_bases(stored), "part").select(
         "doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
     )

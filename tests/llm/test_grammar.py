@@ -29,28 +29,39 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def grammar_of(docs, base, size=1):
+    """The grammar of some lists of ids, cut in pieces of a few."""
+    pieces = [tuple(d[k : k + size]) for d in docs for k in range(0, len(d), size)]
+    known = list(dict.fromkeys(pieces))
+    place = np.array([known.index(p) for p in pieces], np.int64)
+    first = np.append(0, np.cumsum([-(-len(d) // size) for d in docs])).astype(np.int64)
+    counts = np.array([len(p) for p in known], np.int64)
+    flat = np.array([i for p in known for i in p], np.int32)
+    return compress(place, first, counts, flat, base)
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 3), max_size=60), max_size=6))
-def test_grammar_gives_back_its_ids(docs):
-    flat = np.array([i for d in docs for i in d], np.int32)
-    ends = np.cumsum([len(d) for d in docs]).astype(np.int64)
-    grammar, counts = compress(flat, ends, 4)
-    assert grammar.all_ids().tolist() == flat.tolist()
-    assert grammar.expand(grammar.symbols).tolist() == flat.tolist()
+@given(st.lists(st.lists(st.integers(0, 3), max_size=60), max_size=6), st.integers(1, 7))
+def test_grammar_gives_back_its_ids(docs, size):
+    grammar, counts = grammar_of(docs, 4, size)
+    flat = [i for d in docs for i in d]
+    assert grammar.all_ids().tolist() == flat
+    assert grammar.expand(grammar.symbols).tolist() == flat
     at = np.append(0, np.cumsum(counts))
     for doc, a, b in zip(docs, at, at[1:]):
         for begin, end in ((0, len(doc)), (1, 3), (len(doc) // 2, len(doc) + 5), (2, 2)):
             assert grammar.part(begin, end, a, b).tolist() == doc[begin:end]
 
 
-def test_frequent_pairs_are_replaced():
-    ids = np.tile(np.arange(8, dtype=np.int32), 500)
-    grammar, _ = compress(ids, np.array([len(ids)]), 8)
-    assert grammar.all_ids().tolist() == ids.tolist()
+@pytest.mark.parametrize("size", [1, 3])
+def test_frequent_pairs_are_replaced(size):
+    ids = list(range(8)) * 500
+    grammar, _ = grammar_of([ids], 8, size)
+    assert grammar.all_ids().tolist() == ids
     assert len(grammar.symbols) + 2 * len(grammar.size) < len(ids) / 20
-    one = np.zeros(5000, np.int32)
-    grammar, _ = compress(one, np.array([len(one)]), 1)
-    assert len(grammar.symbols) < 20 and grammar.all_ids().tolist() == one.tolist()
+    one = [0] * 5000
+    grammar, _ = grammar_of([one], 1, size)
+    assert len(grammar.symbols) < 20 and grammar.all_ids().tolist() == one
 
 
 @given(st.lists(st.binary(max_size=40), max_size=5))
@@ -75,11 +86,11 @@ def expected(rows):
     return [(r[0], len(ids_of(r[1])), crc(ids_of(r[1]))) for r in ordered]
 
 
-@pytest.mark.parametrize("shard", [100, 5000, 1 << 20])
+@pytest.mark.parametrize("shard", [300, 20_000, 5_000_000])
 def test_documents_come_back(spark, tmp_path, shard):
     rows = awkward_rows()
     path = str(tmp_path / "tokens")
-    write_tokens(frame(spark, rows), PATH, path, shard_ids=shard)
+    write_tokens(frame(spark, rows), PATH, path, shard_bytes=shard)
     found = sorted(read_documents(spark, path).collect(), key=lambda r: r.start)
     at = 0
     for r in found:
@@ -90,11 +101,11 @@ def test_documents_come_back(spark, tmp_path, shard):
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter(wanted)
 
 
-@pytest.mark.parametrize("shard", [100, 1 << 20])
+@pytest.mark.parametrize("shard", [300, 5_000_000])
 def test_spans_are_decoded_alone(spark, tmp_path, shard):
     rows = [r for r in awkward_rows() if r[0] != 4]
     path = str(tmp_path / "tokens")
-    write_tokens(frame(spark, rows), PATH, path, shard_ids=shard)
+    write_tokens(frame(spark, rows), PATH, path, shard_bytes=shard)
     spans = [(5, 0, 10), (5, 95, 310), (15, 20_000, 20_050), (2, 0, 9), (3, 50, 60), (99, 0, 5)]
     wanted = spark.createDataFrame(spans, "doc_id long, begin long, end long")
     found = {}

@@ -63,6 +63,29 @@ def test_counts_of_awkward_documents(spark):
     assert Counter(map(tuple, found)) == Counter(expected)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from(list("aZ1 .'s,-(\n\r\t é×　日<|>")), max_size=200), st.integers(1, 20))
+def test_windows_of_a_long_text_have_its_ids(text, limit):
+    pieces = encoder(PATH)
+    found = [w[0].as_py() for w in pieces.windows(pa.array([text]), limit)]
+    assert "".join(found) == text
+    ids = [i for w in found for i in ids_of(w)]
+    assert ids == ids_of(text)
+
+
+def test_long_texts_take_bounded_room(spark):
+    text = "日本語のテキスト、" * 250_000 + "plain words and more. " * 250_000
+    docs = spark.createDataFrame([(1, text), (2, "x" * 200_000)], "doc_id long, text string")
+    found = {r.doc_id: r.n_tokens for r in token_counts(docs, PATH, batch_bytes=1_000_000).collect()}
+    words, signs = (len(ids_of(x)) for x in ("plain words and more. " * 2, "日本語のテキスト、" * 2))
+    once = len(ids_of("plain words and more. "))
+    assert found[2] == len(ids_of("x" * 200_000))
+    # Every repetition after the first has the same ids.
+    step, jump = words - once, signs - len(ids_of("日本語のテキスト、"))
+    assert abs(found[1] - 250_000 * (step + jump)) < 20
+    assert encoder(PATH).kept.nbytes < 30_000_000
+
+
 def test_combinations_fill_the_window():
     assert sorted(combinations(6, 3)) == sorted(
         [(6,), (5, 1), (4, 2), (3, 3), (4, 1, 1), (3, 2, 1), (2, 2, 2)]
