@@ -13,12 +13,9 @@ import numpy as np
 
 from logweir.llm.pieces import runs
 
-# A pair that occurs fewer times is left as it is: a rule takes as much as it would save.
+# A pair that occurs fewer times is left as it is: a rule would take as much as it saves.
 FEWEST = 8
-# Each round replaces all pairs at least 1/SPREAD as frequent as the most frequent one.
-SPREAD = 1000
-# After a round that saves less than this share of the symbols, one more takes all pairs that
-# occur FEWEST times, and once that saves little too it is the last.
+# A round that saves less than this share of the symbols is the last one.
 WORTH = 0.1
 
 _NONE = np.int32(2**31 - 1)
@@ -95,12 +92,9 @@ def _ordered(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ranks(
-    symbols: np.ndarray, last: np.ndarray, weight: np.ndarray | None, spread: int
+    symbols: np.ndarray, last: np.ndarray, weight: np.ndarray | None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs one round replaces, most frequent first, and the rank of the pair at each place.
-
-    Without ``spread`` these are all that are worth a rule.
-    """
+    """The pairs worth a rule, most frequent first, and the rank of the pair at each place."""
     rank = np.full(len(symbols) - 1, _NONE, np.int32)
     here = np.flatnonzero(~last[:-1])
     bits = int(symbols.max()).bit_length()
@@ -111,8 +105,7 @@ def _ranks(
     first = np.append(0, np.flatnonzero(pairs[1:] != pairs[:-1]) + 1)
     size = np.diff(np.append(first, len(pairs)))
     count = size if weight is None else np.add.reduceat(weight[here], first)
-    least = max(FEWEST, count.max() // spread) if spread else FEWEST
-    chosen = np.flatnonzero(count >= least)
+    chosen = np.flatnonzero(count >= FEWEST)
     chosen = chosen[np.argsort(-count[chosen], kind="stable")]
     rank[here[runs(first[chosen], size[chosen])]] = np.repeat(
         np.arange(len(chosen), dtype=np.int32), size[chosen]
@@ -164,27 +157,25 @@ class _Rules:
 
         ``weight`` tells how often each place counts.
         """
-        spread = SPREAD
         while len(symbols) > 1:
-            pairs, rank = _ranks(symbols, last, weight, spread)
+            pairs, rank = _ranks(symbols, last, weight)
             at = _taken(rank)
             saved = np.bincount(rank[at], None if weight is None else weight[at], len(pairs))
             used = saved > 1
             at = at[used[rank[at]]]
-            if len(at):
-                first = self.add(pairs[used])
-                name = (np.cumsum(used) - 1 + first).astype(np.int32)
-                symbols[at] = name[rank[at]]
-                last[at] = last[at + 1]
-                stays = np.ones(len(symbols), bool)
-                stays[at + 1] = False
-                total = len(symbols) if weight is None else weight.sum()
-                symbols, last = symbols[stays], last[stays]
-                weight = None if weight is None else weight[stays]
-            if not len(at) or saved[used].sum() < WORTH * total:
-                if not spread:
-                    break
-                spread = 0
+            if not len(at):
+                break
+            first = self.add(pairs[used])
+            name = (np.cumsum(used) - 1 + first).astype(np.int32)
+            symbols[at] = name[rank[at]]
+            last[at] = last[at + 1]
+            stays = np.ones(len(symbols), bool)
+            stays[at + 1] = False
+            total = len(symbols) if weight is None else weight.sum()
+            symbols, last = symbols[stays], last[stays]
+            weight = None if weight is None else weight[stays]
+            if saved[used].sum() < WORTH * total:
+                break
         return symbols, last
 
 

@@ -108,8 +108,8 @@ def write_tokens(
 ) -> None:
     """Encode all documents and write their ids, each document closed by ``end_id``, to ``path``.
 
-    Documents come in ascending order of ``doc_id``, null first; of equal ids in an order that
-    depends on their texts, then on their place in the input. Reads ``doc_id`` and ``text``; a
+    Documents come in ascending order of ``doc_id``, null first, and those of equal ids in the
+    order of the input. Reads ``doc_id`` and ``text``; a
     null or empty text is the closing id alone, repeated rows are written each, no documents
     give a table without rows. ``vocabulary`` is a file of the ``tokenizers`` or
     ``sentencepiece`` library, present on every machine.
@@ -120,12 +120,11 @@ def write_tokens(
     """
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = min(max(1, -(-size // PART_BYTES)), MOST_PARTS)
-    order = [F.col("doc_id"), F.col("_digest"), F.col("_place")]
+    order = [F.col("doc_id"), F.col("_place")]
     sorted_docs = (
         docs.select(
             "doc_id",
             "text",
-            F.xxhash64("text").alias("_digest"),
             F.monotonically_increasing_id().alias("_place"),
         )
         .repartitionByRange(parts, *order)
