@@ -24,6 +24,7 @@ from logweir.sources.log_store import (
     read_compacted,
     read_log_store,
     read_log_stores,
+    read_logs,
 )
 from logweir.streaming.ingest import land_batch, start_ingest
 
@@ -47,6 +48,7 @@ __all__ = [
     "read_compacted",
     "read_log_store",
     "read_log_stores",
+    "read_logs",
     "read_topic",
     "run_histogram",
     "run_log_query",

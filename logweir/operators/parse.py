@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,10 +119,12 @@ def settle_origin(rows: DataFrame) -> DataFrame:
     )
 
 
-def is_malformed() -> Column:
+def is_malformed(payload: StructType = DEFAULT_PAYLOAD) -> Column:
     """Whether a payload text is there but none of the fields of its schema is in it."""
-    fields = F.to_json("data")
-    return F.col("_message").isNotNull() & (F.coalesce(fields, F.lit("{}")) == "{}")
+    any_filled = reduce(
+        Column.__or__, [F.col("data").getField(f.name).isNotNull() for f in payload.fields]
+    )
+    return F.col("_message").isNotNull() & ~any_filled
 
 
 def finish_logs(parsed: DataFrame) -> DataFrame:

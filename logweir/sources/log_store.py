@@ -4,13 +4,21 @@ Layout below the root of a store::
 
     logs/<layout>/<partition columns>/stream_id=<id>/batch_id=<n>/*.orc
     dead_letter/stream_id=<id>/batch_id=<n>/*.orc
+    commits/<id>/<n>.json            written last (see ``logweir.sources.manifest``)
 
-The batch is the innermost level: a batch that is landed again replaces itself, and a query
-that names its time range lists only the directories of those days.
+The batch is the innermost level: a try of a batch that failed is overwritten by the next one,
+and a query that names its time range lists only the directories of those days. Readers pass
+over batches without a commit, so a batch is there in all its datasets or in none.
+
+A compacted dataset has its own root::
+
+    data/generation=<id>/<partition columns>/*.orc
+    manifest/<number>.json
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 from functools import reduce
 
@@ -29,10 +37,23 @@ from logweir.errors import NotFoundError
 from logweir.operators.filters import CALENDAR, days_of, in_calendar_range
 from logweir.schemas import DEFAULT_PAYLOAD
 from logweir.sources.layouts import DEFAULT_LAYOUT, STANDARD_STRATEGY, PartitionStrategy
+from logweir.sources.manifest import (
+    add_entry,
+    closed_batches,
+    closed_days,
+    in_generations,
+    live_batches,
+    only_batches,
+    read_commits,
+    taken_days,
+)
 from logweir.sources.storage import exists, read_if_any
 
 BATCH = ("stream_id", "batch_id")
 
+# Names of what a commit counts beside the layouts.
+DEAD_LETTER, MALFORMED = "dead_letter", "malformed"
+
 # A range is named by path patterns up to this many; the coarser its grain, the fewer.
 LISTED_PATTERNS = 64
 
@@ -95,6 +116,23 @@ def read_orc_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.orc(path)
 
 
+def _batch_rows(
+    spark: SparkSession,
+    root: str,
+    layout: str,
+    payload: StructType,
+    strategy: PartitionStrategy,
+    span: tuple[int, int] | None,
+) -> DataFrame:
+    """All files of one layout, with the batch each row is of."""
+    stored = (
+        StructType(list(store_schema(payload).fields))
+        .add("stream_id", StringType())
+        .add("batch_id", LongType())
+    )
+    return _scan(spark, layout_root(root, layout), stored, strategy.layouts[layout], span)
+
+
 def read_log_store(
     spark: SparkSession,
     root: str,
@@ -105,21 +143,15 @@ def read_log_store(
 ) -> DataFrame:
     """Rows of one layout. The row type is given, so no file is opened to plan the scan.
 
-    ``span`` (epoch seconds) limits which directories are listed, as far as the layout is
-    partitioned by date. It is a hint: rows outside it may be returned too.
+    Only batches that have landed in full are read. ``span`` (epoch seconds) limits which
+    directories are listed, as far as the layout is partitioned by date, and leaves out batches
+    without rows of these days. It is a hint: rows outside it may be returned too.
     """
-    path = layout_root(root, layout)
-    if not exists(spark, path):
+    if not exists(spark, layout_root(root, layout)):
         raise NotFoundError(f"no {layout!r} logs under {root}")
-    schema = store_schema(payload)
-    stored = (
-        StructType(list(schema.fields))
-        .add("stream_id", StringType())
-        .add("batch_id", LongType())
-    )
-    return _scan(spark, path, stored, strategy.layouts[layout], span).select(
-        *schema.fieldNames()
-    )
+    rows = _batch_rows(spark, root, layout, payload, strategy, span)
+    landed = live_batches(read_commits(spark, root), [layout], span)
+    return only_batches(rows, landed).select(*store_schema(payload).fieldNames())
 
 
 def _scan(
@@ -159,6 +191,13 @@ def span_pattern(partition_by: tuple[str, ...], start_time: int, end_time: int)
     return ""
 
 
+def _layouts_there(spark: SparkSession, root: str, strategy: PartitionStrategy) -> list[str]:
+    found = [name for name in strategy.layouts if exists(spark, layout_root(root, name))]
+    if not found:
+        raise NotFoundError(f"no logs under {root}")
+    return found
+
+
 def read_log_stores(
     spark: SparkSession,
     root: str,
@@ -167,14 +206,47 @@ def read_log_stores(
     span: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Rows of all layouts that have received any."""
-    found = [
-        read_log_store(spark, root, layout, payload, strategy, span)
-        for layout in strategy.layouts
-        if exists(spark, layout_root(root, layout))
-    ]
-    if not found:
-        raise NotFoundError(f"no logs under {root}")
-    return reduce(DataFrame.unionByName, found)
+    found = _layouts_there(spark, root, strategy)
+    return reduce(
+        DataFrame.unionByName,
+        [read_log_store(spark, root, name, payload, strategy, span) for name in found],
+    )
+
+
+def read_logs(
+    spark: SparkSession,
+    root: str,
+    target: str,
+    strategy: PartitionStrategy = STANDARD_STRATEGY,
+    payload: StructType = DEFAULT_PAYLOAD,
+    span: tuple[int, int] | None = None,
+    through: dict[str, int] | None = None,
+) -> DataFrame:
+    """Every landed row once: compacted days from ``target``, all else from the batches.
+
+    Batches whose days (in ``span``) are all compacted with them are not opened; of those that
+    arrived later, or have open days too, the rows that a compacted day holds are left out.
+    ``through`` leaves out the batches of a stream after the given one.
+    """
+    schema = store_schema(payload)
+    closed = closed_days(spark, target, span)
+    taken = taken_days(spark, closed)
+    commits = read_commits(spark, root)
+    parts = [_compacted(spark, target, schema, strategy, span)] if closed else []
+    for layout in _layouts_there(spark, root, strategy):
+        rows = _batch_rows(spark, root, layout, payload, strategy, span)
+        # One row per batch, asked twice.
+        live = live_batches(commits, [layout], span, taken, through)
+        parts.append(only_batches(rows, live.filter("not partly")).select(*schema.fieldNames()))
+        if taken is not None:
+            some = only_batches(rows, live.filter("partly"))
+            held = (
+                (some["stream_id"] == taken["stream_id"])
+                & (F.make_date(some["year"], some["month"], some["day"]) == taken["day_"])
+                & (some["batch_id"] <= taken["through"])
+            )
+            parts.append(some.join(taken, held, "left_anti").select(*schema.fieldNames()))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compact_days(
@@ -188,13 +260,33 @@ def compact_days(
 ) -> None:
     """Rewrite whole days of all layouts as one dataset in the default layout.
 
-    Log queries read it in place of the many small batches; it has no batch levels. A day
-    is replaced as a whole, so running a day again picks up what arrived late for it.
-    Rows without a time belong to no day and stay where they are.
+    Log queries read it in place of the many small batches; it has no batch levels. The days go
+    to a folder of their own, which counts once the manifest names it: running a day again takes
+    in what arrived late for it, and a reader never sees half of either. Rows without a time
+    belong to no day and stay where they are, as do batches after a missing one.
     """
-    landed = read_log_stores(spark, root, strategy, payload, (start_time, end_time))
-    days = in_calendar_range(landed, start_time, end_time)
-    _write_partitions(days, target, strategy.default, strategy.default)
+    span = (start_time, end_time)
+    through = closed_batches(read_commits(spark, root))
+    rows = read_logs(spark, root, target, strategy, payload, span, through)
+    generation = uuid.uuid4().hex
+    days = in_calendar_range(rows, start_time, end_time)
+    place = f"{target}/data/generation={generation}"
+    _write_partitions(days, place, strategy.default, strategy.default)
+    add_entry(spark, target, generation, *days_of(start_time, end_time), through)
+
+
+def _compacted(
+    spark: SparkSession,
+    target: str,
+    schema: StructType,
+    strategy: PartitionStrategy,
+    span: tuple[int, int] | None,
+) -> DataFrame:
+    stored = StructType(list(schema.fields)).add("generation", StringType())
+    levels = ("generation", *strategy.default)
+    rows = _scan(spark, f"{target}/data", stored, levels, span)
+    counted = in_generations(closed_days(spark, target, span))
+    return rows.filter(counted).select(*schema.fieldNames())
 
 
 def read_compacted(
@@ -205,9 +297,9 @@ def read_compacted(
     span: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Rows of a compacted dataset."""
-    if not exists(spark, target):
+    if not exists(spark, f"{target}/manifest"):
         raise NotFoundError(f"no compacted logs at {target}")
-    return _scan(spark, target, store_schema(payload), strategy.default, span)
+    return _compacted(spark, target, store_schema(payload), strategy, span)
 
 
 def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
@@ -222,6 +314,7 @@ def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
         ]
     )
     path = f"{root}/dead_letter"
-    if not exists(spark, path):
+    if not exists(spark, path) or not exists(spark, f"{root}/commits"):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).orc(path)
+    landed = live_batches(read_commits(spark, root), [DEAD_LETTER, MALFORMED])
+    return only_batches(spark.read.schema(schema).orc(path), landed)

@@ -50,6 +50,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that appears as a whole; false if there is one already."""
+    file_system, target = _file_system(spark, path)
+    if file_system.exists(target):
+        return False
+    # Readers pass over hidden files.
+    _, hidden = _file_system(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    out = file_system.create(hidden, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return file_system.rename(hidden, target)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    file_system, hadoop_path = _file_system(spark, path)
+    stream = file_system.open(hadoop_path)
+    try:
+        size = file_system.getFileStatus(hadoop_path).getLen()
+        return bytes(stream.readNBytes(size)).decode()
+    finally:
+        stream.close()
+
+
 def read_if_any(reader: DataFrameReader, kind: str, pattern: str) -> DataFrame | None:
     """What a path with wildcards matches, or ``None`` where that is nothing."""
     try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from datetime import date
 from functools import partial
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -20,10 +21,17 @@ from logweir.operators.parse import (
     is_routable,
     parse_payload,
 )
-from logweir.schemas import DEFAULT_PAYLOAD, registered_schemas
+from logweir.schemas import DEFAULT_PAYLOAD, merged_payload, registered_schemas
 from logweir.session import check_session
 from logweir.sources.layouts import STANDARD_STRATEGY, PartitionStrategy
-from logweir.sources.log_store import layout_root, write_batch, write_dead_letters
+from logweir.sources.log_store import (
+    DEAD_LETTER,
+    MALFORMED,
+    layout_root,
+    write_batch,
+    write_dead_letters,
+)
+from logweir.sources.manifest import commit_batch, committed_rows
 
 TRIGGER = "1 minute"
 
@@ -48,45 +56,60 @@ def land_batch(
 
     Messages without a route are kept apart and counted under ``dead_letter``. A payload of
     which nothing could be parsed is landed as a row of nulls, kept apart as text with its
-    route, and counted under ``malformed`` too. Landing the same batch again replaces it. The batch is held in memory and on local disks meanwhile,
+    route, and counted under ``malformed`` too.
+
+    The batch becomes visible at the end, in all its datasets at once. One that has landed is
+    not written again, so a replay changes nothing; what a failed try has left is not read and
+    is overwritten by the next one. The batch is held in memory and on local disks meanwhile,
     so the source should bound it (``maxOffsetsPerTrigger``, ``maxFilesPerTrigger``).
     """
+    spark = messages.sparkSession
+    found = committed_rows(spark, root, stream_id, batch_id)
+    if found is not None:
+        return found
     schemas = registered_schemas() if schemas is None else schemas
     layout = F.when(is_routable(), strategy.layout_of_row())
+    merged = merged_payload(schemas, default)
     rows = parse_payload(decode_envelope(messages), schemas, default).withColumns(
-        {"_layout": layout, "_malformed": is_routable() & is_malformed()}
+        {"_layout": layout, "_malformed": is_routable() & is_malformed(merged)}
     )
     # Every layout reads the batch; without this each would fetch it from the source again.
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # At most one row per configured layout, and one for the unroutable.
-        counted = rows.groupBy("_layout").agg(
+        # A row per layout and day of the batch.
+        day = F.to_date(F.col("data.time").cast("timestamp")).alias("day_")
+        counted = rows.groupBy("_layout", day).agg(
             F.count(F.lit(1)).alias("count"), F.count_if("_malformed").alias("malformed")
         )
-        facts = {r["_layout"]: r for r in counted.collect()}
-        counts = {name: r["count"] for name, r in facts.items()}
-        malformed = sum(r["malformed"] for r in facts.values())
+        facts: dict[str, dict[date | None, int]] = {}
+        malformed = 0
+        for r in counted.collect():
+            by_day = facts.setdefault(r["_layout"] or DEAD_LETTER, {})
+            by_day[r["day_"]] = by_day.get(r["day_"], 0) + r["count"]
+            malformed += r["malformed"]
         writes = []
         for name, partition_by in strategy.layouts.items():
-            if name in counts:
+            if name in facts:
                 logs = finish_logs(rows.filter(F.col("_layout") == name))
                 place = layout_root(root, name)
                 writes.append(partial(write_batch, logs, place, stream_id, batch_id, partition_by))
-        if None in counts or malformed:
+        if DEAD_LETTER in facts or malformed:
             text = F.when(F.col("_malformed"), F.col("_message")).otherwise(F.col("_raw"))
             dead = rows.filter(F.col("_layout").isNull() | F.col("_malformed")).select(
                 text.alias("_raw"), "_documentType", "_plugin"
             )
             writes.append(partial(write_dead_letters, dead, root, stream_id, batch_id))
-        # The datasets do not depend on each other, and each is replaced by a retry.
+        # The datasets do not depend on each other.
         with ThreadPoolExecutor(MOST_WRITES) as pool:
-            run = inheritable_thread_target(messages.sparkSession)
+            run = inheritable_thread_target(spark)
             for done in [pool.submit(run(write)) for write in writes]:
                 done.result()
     finally:
         rows.unpersist()
-    found = {"dead_letter" if name is None else name: n for name, n in counts.items()}
-    return found | ({"malformed": malformed} if malformed else {})
+    if malformed:
+        facts[MALFORMED] = {None: malformed}
+    commit_batch(spark, root, stream_id, batch_id, facts)
+    return {name: sum(by_day.values()) for name, by_day in facts.items()}
 
 
 def start_ingest(

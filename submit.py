@@ -6,8 +6,9 @@ histogram   START END APP PLUGIN LEVEL DOCTYPE OUTPUT INPUT DIRS WINDOW [KEYWORD
 saved-search SIGNATURE START END WINDOW INPUT SIGNATURES ROOT JOB
 compact     START END ROOT TARGET
 
-Times are epoch seconds and KEYWORDS are separated by bars. INPUT is a log store, or any
-ORC logs of one layout. ``--apply-origin`` makes APP, PLUGIN and DOCTYPE restrict a query;
+Times are epoch seconds and KEYWORDS are separated by bars. INPUT is a log store, a compacted
+dataset, or any ORC logs of one layout; with ``--compacted TARGET`` a log store is read together
+with its compacted days. ``--apply-origin`` makes APP, PLUGIN and DOCTYPE restrict a query;
 without it they are taken and have no effect. DIRS never has one: partitions are pruned.
 A saved search runs the log query and the histogram of a signature in one scan; SIGNATURES is
 a Parquet table of them with keywords as JSON text, and results go below ROOT under JOB.
@@ -25,7 +26,13 @@ from logweir.plans.log_query import LogQuery, run_histogram, run_log_query
 from logweir.plans.saved_search import JobRequest, run_signature
 from logweir.session import prepare
 from logweir.sources.kafka import MAX_OFFSETS, read_topic
-from logweir.sources.log_store import compact_days, read_log_stores, read_orc_logs
+from logweir.sources.log_store import (
+    compact_days,
+    read_compacted,
+    read_log_stores,
+    read_logs,
+    read_orc_logs,
+)
 from logweir.sources.storage import exists
 from logweir.streaming.ingest import start_ingest
 
@@ -51,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
             query.add_argument("window")
         query.add_argument("keywords", nargs="?", default="")
         query.add_argument("--apply-origin", action="store_true")
+        query.add_argument("--compacted")
 
     saved = jobs.add_parser("saved-search")
     saved.add_argument("signature")
@@ -58,6 +66,7 @@ def parser() -> argparse.ArgumentParser:
     saved.add_argument("end", type=int)
     for name in ("window", "input", "signatures", "root", "job_id"):
         saved.add_argument(name)
+    saved.add_argument("--compacted")
 
     compact = jobs.add_parser("compact")
     compact.add_argument("start", type=int)
@@ -67,9 +76,15 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def open_logs(spark: SparkSession, path: str, span: tuple[int, int]) -> DataFrame:
+def open_logs(
+    spark: SparkSession, path: str, span: tuple[int, int], compacted: str | None = None
+) -> DataFrame:
+    if compacted:
+        return read_logs(spark, path, compacted, span=span)
     if exists(spark, f"{path}/logs"):
         return read_log_stores(spark, path, span=span)
+    if exists(spark, f"{path}/manifest"):
+        return read_compacted(spark, path, span=span)
     return read_orc_logs(spark, path)
 
 
@@ -84,7 +99,7 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
         compact_days(spark, args.root, args.target, args.start, args.end)
         return
     if args.job == "saved-search":
-        logs = open_logs(spark, args.input, (args.start, args.end))
+        logs = open_logs(spark, args.input, (args.start, args.end), args.compacted)
         signatures = decode_signatures(spark.read.parquet(args.signatures))
         request = JobRequest(args.signature, args.start, args.end, args.window)
         run_signature(logs, signatures, request, args.root, args.job_id)
@@ -98,7 +113,7 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
         plugin=args.plugin if args.apply_origin else ANY,
         doc_type=args.doc_type if args.apply_origin else ANY,
     )
-    logs = open_logs(spark, args.input, (args.start, args.end))
+    logs = open_logs(spark, args.input, (args.start, args.end), args.compacted)
     if args.job == "histogram":
         run_histogram(logs, query, args.window, args.output)
     else:
