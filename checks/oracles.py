@@ -73,7 +73,7 @@ landed AS (
          CASE WHEN NOT broken THEN ts END AS time,
          CASE WHEN NOT broken THEN 'app' || (user_id % 5) END AS "_tag_appName",
          CASE WHEN NOT broken THEN props END AS message,
-         doc_type AS "_documentType", plugin AS "_plugin"
+         doc_type AS "_documentType", plugin AS "_plugin", event_id
   FROM routable) """
 
 _FROM_STORE = (
@@ -295,6 +295,16 @@ def all_oracles() -> dict[str, str]:
         + 'SELECT "_documentType", count(*) AS n FROM landed GROUP BY 1',
         "store_log_query": _FROM_STORE,
         "compacted_log_query": _FROM_STORE,
+        "mixed_log_query": _FROM_STORE,
+        "mixed_store_rows": _ENVELOPES
+        + 'SELECT "_documentType", CAST(year(time) AS INTEGER) AS year, '
+        + "CAST(month(time) AS INTEGER) AS month, CAST(day(time) AS INTEGER) AS day, "
+        + "count(*) AS n, count(message) AS messages FROM landed GROUP BY ALL",
+        "ingest_partial_batch": _ENVELOPES
+        + ', states AS (SELECT \'before\' AS state, * FROM landed WHERE event_id % 2 = 0 '
+        + "UNION ALL SELECT 'after' AS state, * FROM landed) "
+        + 'SELECT state, "_documentType", count(*) AS n, count(message) AS messages '
+        + "FROM states GROUP BY ALL",
         "rendered_times": f"SELECT event_id, {_rendered('ts')} AS time, "
         f"{_rendered('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)')} AS start FROM events",
         "part_basename": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS name FROM orders",

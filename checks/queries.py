@@ -28,6 +28,7 @@ from logweir.plans.saved_search import JobRequest, query_of, run_signature
 from logweir.schemas import registered_schemas
 from logweir.session import prepare
 from logweir.sources import log_store, result_store
+from logweir.sources.layouts import STANDARD_STRATEGY
 from logweir.sources.storage import exists, new_path
 from logweir.streaming.ingest import land_batch, start_ingest
 
@@ -698,6 +699,62 @@ def compacted_log_query(spark, sf_dir):
     return found.select("pid", "level", "message", "timestamp")
 
 
+@_written_once
+def _mixed(spark, sf_dir):
+    """A store whose first days are compacted, after which a late batch has come."""
+    root = new_path(spark, "check")
+    late = F.col("event_id") % 13 == 0
+    land_batch(views.envelopes(spark, sf_dir, ~late), root, "mixed", 0)
+    half = START + 86_400
+    log_store.compact_days(spark, root, f"{root}/compacted", WHOLE.start_time, half)
+    land_batch(views.envelopes(spark, sf_dir, late), root, "mixed", 1)
+    return root
+
+
+@_registered
+def mixed_log_query(spark, sf_dir):
+    """The same while some days are compacted, others are not, and a batch came late for both."""
+    root = _mixed(spark, sf_dir)
+    store = log_store.read_logs(spark, root, f"{root}/compacted", span=(START, END))
+    found = log_query(store, LogQuery(START, END, "error", ["69", "8"]), ("pid",))
+    return found.select("pid", "level", "message", "timestamp")
+
+
+@_registered
+def mixed_store_rows(spark, sf_dir):
+    """Every landed row once, whole store, after the late rows have been compacted too."""
+    root = _mixed(spark, sf_dir)
+    target = new_path(spark, "check")
+    for end in (START, END, START + 86_400):
+        log_store.compact_days(spark, root, target, WHOLE.start_time, end)
+    landed = log_store.read_logs(spark, root, target)
+    return landed.groupBy("_documentType", "year", "month", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.count("data.message").alias("messages")
+    )
+
+
+@_registered
+def ingest_partial_batch(spark, sf_dir):
+    """A batch of which one dataset is written, as a lost driver leaves it, and its next try."""
+    root = new_path(spark, "check")
+    odd = F.col("event_id") % 2 == 1
+    land_batch(views.envelopes(spark, sf_dir, ~odd), root, "partial", 0)
+    rest = views.envelopes(spark, sf_dir, odd)
+    rows = parse.decode_envelope(rest).filter(parse.is_routable())
+    written = parse.typed_logs(rows.filter("_documentType = 'applog'"), registered_schemas())
+    layout = STANDARD_STRATEGY.default
+    place = log_store.layout_root(root, "default")
+    log_store.write_batch(written, place, "partial", 1, layout)
+    before = log_store.read_log_stores(spark, root).withColumn("state", F.lit("before"))
+    land_batch(rest, root, "partial", 1)
+    after = log_store.read_log_stores(spark, root).withColumn("state", F.lit("after"))
+    return (
+        before.unionByName(after)
+        .groupBy("state", "_documentType")
+        .agg(F.count(F.lit(1)).alias("n"), F.count("data.message").alias("messages"))
+    )
+
+
 # ---------------------------------------------------------------- rendering
 
 

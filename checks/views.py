@@ -93,14 +93,15 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as raw messages, with the irregularities real ones have.
+def envelopes(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """``events`` (those of ``only``) as raw messages, with the irregularities real ones have.
 
     Odd events carry the payload as encoded text, even ones as an object. Every 31st is not
     JSON, the payload of every 7th user names no document type, and the envelope of every
     50th event names no plugin.
     """
     events = table(spark, sf_dir, "events")
+    events = events if only is None else events.filter(only)
     payload = _payload(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
     named = F.when(F.col("user_id") % 7 != 0, _doc_type()).alias("_documentType")
     body = F.struct(payload[0], named, *payload[2:])
