@@ -13,11 +13,21 @@ MODES = ("Offset", "Timestamp")
 # monotonically_increasing_id() keeps the partition number above these bits.
 _ROW_BITS = (1 << 33) - 1
 
+# Ranges of one sort, each with about a hundred rows of Spark's sample; and the numbers there are
+# for the parts of a range where it has several.
+MOST_RANGES = 10_000
+PARTS_OF_RANGE = 1 << 17
+
 # A part index up to this many rows (three longs each) is broadcast, a longer one is not.
 BROADCAST_PARTS = 100_000
 
 
-def number_rows(rows: DataFrame, parts: int, order_by: list[str | Column]) -> DataFrame:
+def number_rows(
+    rows: DataFrame,
+    parts: int,
+    order_by: list[str | Column],
+    rows_per_part: int | None = None,
+) -> DataFrame:
     """Sort into ``parts`` ranges and give each row its ``part_id`` and ``local_idx``.
 
     Ranges need no count of earlier rows, so no row passes through a single task; absolute
@@ -25,13 +35,27 @@ def number_rows(rows: DataFrame, parts: int, order_by: list[str | Column]) -> Da
     in something unique, which also lets a run of equal keys spread over several parts.
     The part number leads the sort only so that a write partitioned by it finds its rows
     in the order it needs and does not sort again.
+
+    Spark bounds the sample that all ranges of a sort share, so beyond ``MOST_RANGES`` ranges
+    would come out ever more uneven. There are no more then; each is cut into parts of exactly
+    ``rows_per_part`` (but for its last) by the places of its sorted rows.
     """
-    return (
-        rows.repartitionByRange(parts, *order_by)
+    ranges = min(parts, MOST_RANGES) if rows_per_part else parts
+    numbered = (
+        rows.repartitionByRange(ranges, *order_by)
         .withColumn("part_id", F.spark_partition_id())
         .sortWithinPartitions("part_id", *order_by)
         .withColumn("local_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
     )
+    if ranges == parts:
+        return numbered
+    inside = F.floor(F.col("local_idx") / F.lit(rows_per_part))
+    return numbered.withColumns(
+        {
+            "part_id": (F.col("part_id") * F.lit(PARTS_OF_RANGE) + inside).cast("int"),
+            "local_idx": F.col("local_idx") % F.lit(rows_per_part),
+        }
+    )
 
 
 def part_metadata(rows: DataFrame, part: str = "part_id", *more: Column) -> DataFrame:

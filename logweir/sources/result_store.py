@@ -5,7 +5,7 @@ Layout below the path of a result::
     attempt-<id>/result/part_id=<k>/*.orc   rows sorted by time within and across parts
     attempt-<id>/meta/                      one JSON row per part: count, first, last timestamp
     attempt-<id>/index/                     one ORC row per part: its offsets and timestamps
-    commit/                      one JSON row, written last: attempt, rows, row type
+    commit/commit.json           one JSON row, written last: attempt, rows, row type
     slices/<id>/chunk_id=<k>/    rows of an exported time slice in chunks of fixed size
     slices/<id>_index/           one JSON row per chunk, written last: its positions
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil
 
@@ -35,7 +36,14 @@ from logweir.operators.parts import (
     part_metadata,
 )
 from logweir.schemas import CHUNK_INDEX, PART_INDEX, PART_METADATA, RESULT_COMMIT
-from logweir.sources.storage import exists, read_if_any, staged
+from logweir.sources.storage import (
+    count_stored,
+    exists,
+    footers,
+    read_if_any,
+    staged,
+    write_new,
+)
 
 ROWS_PER_PART = 1_000_000
 ROWS_PER_CHUNK = 100_000
@@ -46,6 +54,7 @@ LISTED_DIRECTORIES = 64
 # A page of up to this many rows is sorted as a top-k, in one task.
 TOP_ROWS = 100_000
 
+COMMIT_FILE = "commit/commit.json"
 SEQUENCE = "_row_sequence"
 _STORED = ("local_idx", "part_id")
 
@@ -81,8 +90,7 @@ def check_absent(spark: SparkSession, path: str) -> None:
 
 
 def _is_committed(spark: SparkSession, path: str) -> bool:
-    """Spark adds the marker when a write is complete."""
-    return exists(spark, f"{path}/commit/_SUCCESS")
+    return exists(spark, f"{path}/{COMMIT_FILE}")
 
 
 def write_staged(
@@ -93,18 +101,20 @@ def write_staged(
 ) -> int:
     """Store a staged table made by :func:`with_sequence`."""
     spark = matches.sparkSession
-    total = matches.count()
+    total = count_stored(matches)
     parts = max(1, ceil(total / rows_per_part))
-    ordered = number_rows(matches, parts, ["timestamp", *tie_breakers, SEQUENCE])
-    sorted_rows = ordered.drop(SEQUENCE)
+    order = ["timestamp", *tie_breakers, SEQUENCE]
+    sorted_rows = number_rows(matches, parts, order, rows_per_part).drop(SEQUENCE)
     payload = matches.drop(SEQUENCE).schema
 
     attempt = f"attempt-{uuid.uuid4().hex}"
     base = f"{path}/{attempt}"
     sorted_rows.write.mode("errorifexists").partitionBy("part_id").orc(f"{base}/result")
-    # From the written files: a second run of the plan could sample other ranges.
+    # From the footers of the written files: a second run of the plan could sample other
+    # ranges, and the rows need not be read again.
     timed = F.count("timestamp").alias("timed")
-    metadata = part_metadata(_stored_rows(spark, base, payload), "part_id", timed).select(
+    written = _stored_rows(footers(spark), base, payload)
+    metadata = part_metadata(written, "part_id", timed).select(
         F.concat(F.lit(f"{base}/result/part_id="), F.col("part_id")).alias("partName"),
         F.col("part_id").cast("long").alias("part_id"),
         "count",
@@ -119,13 +129,9 @@ def write_staged(
     held = spark.read.schema(PART_METADATA).json(f"{base}/meta").agg(F.sum("count")).first()[0]
     if (held or 0) != total:
         raise IncompleteResultError(f"{held} of {total} rows were stored below {base}")
-    facts = F.struct(
-        F.lit(attempt).alias("attempt"),
-        F.lit(total).cast("long").alias("value"),
-        F.lit(payload.json()).alias("schema"),
-    )
-    commit = _one_row(spark, F.to_json(facts).alias("value"))
-    commit.write.mode("overwrite").text(f"{path}/commit")
+    facts = {"attempt": attempt, "value": total, "schema": payload.json()}
+    if not write_new(spark, f"{path}/{COMMIT_FILE}", json.dumps(facts) + "\n"):
+        raise ValidationError(f"another run has stored a result meanwhile: {path}")
     return total
 
 
@@ -159,7 +165,7 @@ def read_commit(spark: SparkSession, path: str) -> Commit:
 
 
 def _stored_rows(
-    spark: SparkSession, base: str, payload: StructType, parts: tuple[int, int] | None = None
+    spark: SparkSession, base: str, payload: StructType, parts: Sequence[int] | None = None
 ) -> DataFrame:
     stored = (
         StructType(list(payload.fields))
@@ -170,16 +176,15 @@ def _stored_rows(
     return reader.orc(_directories(f"{base}/result", "part_id", parts))
 
 
-def _directories(base: str, level: str, numbers: tuple[int, int] | None) -> str:
-    """Path pattern of numbered directories; a long run of them is left to the filter.
+def _directories(base: str, level: str, numbers: Sequence[int] | None) -> str:
+    """Path pattern of numbered directories; many of them are left to the filter.
 
     Naming the few directories of a page keeps its cost apart from the size of the result,
     whose directories would all be listed otherwise.
     """
-    if numbers is None or numbers[1] - numbers[0] >= LISTED_DIRECTORIES:
+    if numbers is None or len(numbers) > LISTED_DIRECTORIES:
         return base
-    named = ",".join(str(n) for n in range(numbers[0], numbers[1] + 1))
-    return f"{base}/{level}={{{named}}}"
+    return f"{base}/{level}={{{','.join(map(str, numbers))}}}"
 
 
 def read_parts(spark: SparkSession, path: str, part_ids: list[int] | None = None) -> DataFrame:
@@ -188,8 +193,7 @@ def read_parts(spark: SparkSession, path: str, part_ids: list[int] | None = None
     if not part_ids:
         rows = _stored_rows(spark, commit.base, commit.schema)
         return rows if part_ids is None else rows.limit(0)
-    met = (min(part_ids), max(part_ids))
-    rows = _stored_rows(spark, commit.base, commit.schema, met)
+    rows = _stored_rows(spark, commit.base, commit.schema, part_ids)
     return rows.filter(F.col("part_id").isin(part_ids))
 
 
@@ -259,7 +263,7 @@ def _with_offset(
         rows = _stored_rows(spark, commit.base, commit.schema)
         return add_offset(rows.filter(F.col("part_id").between(met[0], met[1])), hit, met[2])
     numbers = [row["part_id"] for row in few]
-    rows = _stored_rows(spark, commit.base, commit.schema, (min(numbers), max(numbers)))
+    rows = _stored_rows(spark, commit.base, commit.schema, numbers)
     rows = rows.filter(F.col("part_id").isin(numbers))
     if local is not None:
         rows = rows.filter(local)
@@ -437,7 +441,7 @@ def read_chunks(
     return (
         spark.read.schema(stored)
         .option("basePath", saved)
-        .parquet(_directories(saved, "chunk_id", (first, last)))
+        .parquet(_directories(saved, "chunk_id", range(first, last + 1)))
         .filter(F.col("chunk_id").between(first, last))
     )
 

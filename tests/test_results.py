@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from frames import epoch, log_rows, values
 from logweir.errors import NotFoundError, ValidationError
 from logweir.operators import parts
+from logweir.operators.parts import part_metadata
 from logweir.plans.browse import browse
 from logweir.plans.log_query import HISTOGRAM, LOG_QUERY, LogQuery, run_all, run_log_query
 from logweir.sources import result_store as store
-from logweir.sources.storage import exists, new_path
+from logweir.sources.storage import count_stored, exists, footers, new_path, staged
 
 
 def numbered(spark, timestamps):
@@ -153,7 +154,7 @@ def test_result_is_not_overwritten(spark, path):
         store.write_result(numbered(spark, [1]), path)
 
 
-@pytest.mark.parametrize("step", ["part_metadata", "offset_index", "_one_row"])
+@pytest.mark.parametrize("step", ["part_metadata", "offset_index", "write_new"])
 def test_a_result_is_there_as_a_whole_or_not_at_all(spark, monkeypatch, step):
     """A job that dies on the way leaves nothing that is read, or that stops the next one."""
     path = new_path(spark, "test")
@@ -299,3 +300,50 @@ def test_number_of_parts_rounds_up(spark):
     rows = [(f"2024-01-01 00:00:{s:02d}", "error", "a") for s in range(30)]
     assert run_log_query(log_rows(spark, rows), QUERY, path, rows_per_part=20) == 30
     assert store.read_metadata(spark, path).count() == 2
+
+
+def test_large_results_have_several_parts_in_a_range(spark, monkeypatch):
+    """Half of the rows in one second; ranges are few, parts still have their size."""
+    monkeypatch.setattr("logweir.operators.parts.MOST_RANGES", 4)
+    timestamps = sorted([7] * 500 + [int(x**0.5) for x in range(500)])
+    path = stored(spark, timestamps, 20)
+    index = values(store.part_index(spark, path).orderBy("startOffset"), "part_id", "startOffset", "endOffset")
+    assert len({p >> 17 for p, *_ in index}) == 4 and len(index) >= 50
+    assert [p for p, *_ in index] == sorted(p for p, *_ in index)
+    sizes = [end - start + 1 for _, start, end in index]
+    assert max(sizes) <= 20 and sizes.count(20) >= len(sizes) - 4
+    rows = values(store.read_result(spark, path).orderBy("offset"), "offset", "row", "timestamp")
+    assert rows == [(i + 1, i, t) for i, t in enumerate(timestamps)]
+    assert values(store.offset_page(spark, path, 395, 444), "row") == list(range(394, 444))
+    assert store.time_page(spark, path, 7, 7, 1, 5).total == timestamps.count(7)
+
+
+def test_ranges_of_skewed_times_stay_even(spark):
+    timestamps = [5] * 6000 + list(range(6, 3006)) + [4000] * 3000
+    path = stored(spark, timestamps, 1000)
+    sizes = values(store.read_metadata(spark, path), "count")
+    assert sum(sizes) == len(timestamps) and max(sizes) <= 2000
+
+
+def test_figures_come_from_footers(spark):
+    """No job reads staged rows to count, or the result to index."""
+    frame = numbered(spark, TIMESTAMPS)
+    with staged(store.with_sequence(frame), "test") as rows:
+        assert count_stored(rows) == len(TIMESTAMPS)
+    with staged(store.with_sequence(frame.limit(0)), "test") as rows:
+        assert count_stored(rows) == 0
+    path = stored(spark, TIMESTAMPS)
+    commit = store.read_commit(spark, path)
+    written = store._stored_rows(footers(spark), commit.base, commit.schema)
+    plan = part_metadata(written)._jdf.queryExecution().executedPlan().toString()
+    pushed = "PushedAggregation: [COUNT(*), MIN(timestamp), MAX(timestamp)]"
+    assert pushed in plan and "PushedGroupBy: [part_id]" in plan
+    # The session itself keeps its readers.
+    assert "orc" in spark.conf.get("spark.sql.sources.useV1SourceList")
+
+
+def test_a_result_stored_meanwhile_is_kept(spark, path, monkeypatch):
+    monkeypatch.setattr(store, "check_absent", lambda *_: None)
+    with pytest.raises(ValidationError):
+        store.write_result(numbered(spark, [1, 2]), path, ("row",))
+    assert store.read_result(spark, path).count() == len(TIMESTAMPS)
