@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from logweir.llm.pieces import runs
 from logweir.llm.tables import Scratch, free_name
-from logweir.llm.words import slices, text_bytes
+from logweir.llm.words import kept, slices, text_bytes
 
 UNKNOWN = "und"
 # About so many rows of each language are fitted on, chosen by a hash of their ids.
@@ -96,9 +95,9 @@ class Vocabulary:
                     yield begin, end, rows, place[rows]
 
 
-@cache
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    """The pieces of a vocabulary file; a worker keeps them while it uses nothing else."""
+    return kept(("pieces", path), lambda: Vocabulary(path))
 
 
 def _forward(pieces: Vocabulary, words: np.ndarray, chance: np.ndarray):
@@ -190,7 +189,7 @@ class Scorer:
     """Scores of the words a worker has met, for one model."""
 
     def __init__(self, model: Model):
-        self.model, self.pieces = model, vocabulary(model.path)
+        self.model, self.pieces = model, Vocabulary(model.path)
         self.kept = pa.array([], pa.large_binary())
         self.scores = np.empty((0, len(model.languages)))
 
@@ -221,15 +220,9 @@ class Scorer:
         return sums
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    """The scorer of a model, once per worker; only the latest is kept."""
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
+    """The scorer of a model; a worker keeps the last one it used."""
+    return kept(("scorer", model.key), lambda: Scorer(model))
 
 
 def fit(docs: DataFrame, path: str, rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from logweir.llm.components import components
 from logweir.llm.shingles import shingle_sets
 from logweir.llm.tables import Scratch
-from logweir.llm.words import CHUNK_ROWS, hash_parts, sent, slices
+from logweir.llm.words import CHUNK_ROWS, forget, hash_parts, sent, slices
 
 # Shingles counted together in one task, before they are dealt out by hash.
 CHUNK_SHINGLES = 1_000_000
@@ -91,6 +91,7 @@ def _shared_counts(
         yield -1 - chunk, chunk, b"", b"", b"", ids, sizes, local
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         chunk = TaskContext.get().partitionId() << 24
         ids, sets, held = [], [], 0
         for batch in slices(batches):

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from logweir.llm.words import slices
+from logweir.llm.words import forget, slices
 
 # Strong findings: pattern, group whose length counts, and that length (fixed values).
 BASE = {
@@ -54,6 +54,8 @@ COMPLEMENTS = {
     "endpoint": ("secret", "identifier"),
 }
 # Code points between two parts of one credential.
+# Bytes of text masked at once.
+MASKED_BYTES = 4_000_000
 SCOPE = 300
 # Texts without any of this hold no finding; a fast pattern without captures.
 _MAY_HOLD = (
@@ -176,7 +178,8 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with the secrets of ``text`` masked; all other columns as they are."""
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=16_000_000):
+        forget()
+        for batch in slices(batches, limit=MASKED_BYTES):
             place = batch.schema.get_field_index("text")
             column = batch.column(place)
             held = pc.fill_null(pc.match_substring_regex(column, _MAY_HOLD), False)
