@@ -61,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch("pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
