@@ -24,7 +24,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 def test_every_operator_has_one_query():
     names = list(llm_queries())
-    assert [re.match(r"op(\d+)_", n)[1] for n in names] == [str(k) for k in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in names] == [str(k) for k in range(1, 14)]
     assert set(names) | {"pipeline"} <= set(contract.queries())
 
 
