@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# What Arrow frees goes back to the allocator that ``give_back`` trims.
+pa.set_memory_pool(pa.system_memory_pool())
+
 # Texts worked on at once, in bytes: the arrays beside them take some thirty times as much.
 SLICE_BYTES = 2_000_000
 # Texts worked on at once, and counted together before they are dealt out by hash: the numbers
