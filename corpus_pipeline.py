@@ -6,6 +6,9 @@ read again, so a lost executor costs no more than the running stage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +55,29 @@ STAGES = [
     ("packing", packing),
 ]
 
+# Text handed to a Python worker at once: both sides hold a batch several times over.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 # Language models, component labels and tokens are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
     scratch = Scratch("pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
-        scratch.drop(before)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with _small_batches(spark):
+        for _, stage in STAGES[:-1]:
+            before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+            scratch.drop(before)
+        return STAGES[-1][1](spark, docs, sf_dir)
