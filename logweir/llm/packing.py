@@ -22,7 +22,7 @@ END_ID = 1
 GROUP_ROWS = 100_000
 
 # Bytes of text encoded at once; the arrays beside them take some thirty times as much.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 PIECE = (
     "start long, length long, ids_crc32 long, doc_tokens long, head long, head_crc long, "

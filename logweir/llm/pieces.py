@@ -14,7 +14,6 @@ Other vocabularies get whole texts.
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 
@@ -22,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tokenizers.pre_tokenizers import ByteLevel
+
 from logweir.llm.words import SLICE_BYTES, kept, slices, text_bytes
 
 # Pieces kept from batch to batch in a worker: of at most so many bytes each, and with their ids
@@ -101,13 +102,14 @@ class Pieces:
     def __init__(self, path: str):
         self.library = _tokenizer(path)
         signs = _byte_of_sign()
-        added = {x["id"]: len(x["content"].encode()) for x in _settings(path)["added_tokens"]}
+        known = self.library.get_added_tokens_decoder()
+        added = {i: len(x.content.encode()) for i, x in known.items()}
         sizes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             sizes[i] = added.get(i, len(token) if set(token) <= signs.keys() else 0)
         self.sizes = sizes
         self.n_ids = len(sizes)
-        inside = "".join(x["content"] for x in _settings(path)["added_tokens"])
+        inside = "".join(x.content for x in known.values())
         self.signs = np.zeros(256, bool)
         self.signs[[ord(c) for c in _SIGNS if c not in inside]] = True
         self.kept = pa.array([], pa.large_string())
@@ -238,26 +240,21 @@ def runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + jump
 
 
-def _settings(path: str) -> dict:
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)
-
-
 def _cuts_at_blanks(path: str) -> bool:
     if path.endswith(".model"):
         return False
-    found = _settings(path)
-    before = found.get("pre_tokenizer") or {}
+    library = _tokenizer(path)
+    before = library.pre_tokenizer
     plain = all(
-        not (x["lstrip"] or x["rstrip"] or x["single_word"]) and " " not in x["content"]
-        for x in found["added_tokens"]
+        not (x.lstrip or x.rstrip or x.single_word) and " " not in x.content
+        for x in library.get_added_tokens_decoder().values()
     )
     return (
         plain
-        and found.get("normalizer") is None
-        and before.get("type") == "ByteLevel"
-        and before.get("use_regex", True)
-        and not before.get("add_prefix_space", True)
+        and library.normalizer is None
+        and type(before) is ByteLevel
+        and before.use_regex
+        and not before.add_prefix_space
     )
 
 
