@@ -56,7 +56,7 @@ STAGES = [
 ]
 
 # Text handed to a Python worker at once: both sides hold a batch several times over.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 # Language models, component labels and tokens are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
