@@ -31,6 +31,8 @@ CHUNK_ANCHORS = 1_000_000
 COMMON = 20_000
 # Texts whose contexts are compared before they are dealt out, in bytes.
 CONTEXT_BYTES = 2_000_000
+# Places of an anchor in a string that are told apart together when contexts are compared.
+BAND = 5
 BROADCAST_IDS = 1_000_000
 
 _LOW = np.uint64((1 << 40) - 1)
@@ -353,6 +355,31 @@ def _later_strings(
     return owner[found], found - begins[owner[found]]
 
 
+def _akin(groups: np.ndarray, sides: pa.Array, anchor: np.ndarray, spare: int) -> np.ndarray:
+    """Which contexts may share a string with another one of their group.
+
+    A string takes ``spare`` bytes around the anchor, some before and the rest behind it. With
+    the number before known up to a band of ``BAND``, two contexts that share such a string
+    agree on the bytes all strings of the band have. A context that agrees with none in any
+    band shares nothing, so its suffixes need not be sorted.
+    """
+    held = sides.cast(pa.large_binary())
+    _, offsets, raw = held.buffers()
+    begin = np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1]
+    data = np.frombuffer(raw or b"", np.uint8)[begin[0] : begin[-1]]
+    begin = begin - begin[0]
+    marks, middle = _Marks(data), begin[:-1] + anchor
+    behind = begin[1:] - middle
+    akin = np.zeros(len(groups), bool)
+    for low in range(0, spare + 1, BAND):
+        before, after = low, max(spare - low - BAND + 1, 0)
+        able = np.flatnonzero((anchor >= before) & (behind >= after))
+        mark = marks.of(middle[able] - before, middle[able] + after, groups[able])
+        _, which, times = np.unique(mark, return_inverse=True, return_counts=True)
+        akin[able[times[which] > 1]] = True
+    return akin
+
+
 def _resolve(table: pa.Table, window: int, gram: int) -> pa.Table:
     """Spans to remove, of the contexts of one part of the hash space."""
     if table["part"][0].as_py() < 0:
@@ -371,9 +398,13 @@ def _resolve(table: pa.Table, window: int, gram: int) -> pa.Table:
     new = np.append(True, of[1:] != of[:-1])
     group = np.cumsum(new) - 1
     mixed = np.flatnonzero((np.bincount(group)[group] > 1) & (anchor[order[heads]] >= 0))
+    if len(mixed):
+        sides = table["context"].take(pa.array(order[heads[mixed]])).combine_chunks()
+        before = anchor[order[heads[mixed]]]
+        akin = np.flatnonzero(_akin(group[mixed], sides, before, window - gram))
+        mixed, sides = mixed[akin], sides.take(pa.array(akin)).to_pylist()
     if len(mixed):
         rows = order[heads[mixed]]
-        sides = table["context"].take(pa.array(rows)).to_pylist()
         width = window - gram + 1
         context, place = _later_strings(group[mixed], sides, anchor[rows], least[mixed], width)
         # Rows of the smallest document of a context; the others go as a whole already.

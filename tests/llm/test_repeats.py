@@ -205,6 +205,22 @@ def test_removed_bytes_of_awkward_documents(spark, common):
     assert sorted(map(tuple, found.collect()), key=repr) == brute_removed(rows)
 
 
+@pytest.mark.parametrize("band", [1, 5, 24])
+def test_contexts_that_nearly_agree(spark, monkeypatch, band):
+    """Passages that end one byte before, at, or behind the length of a string, at any place."""
+    monkeypatch.setattr(span_dedup, "BAND", band)
+    rng = random.Random(band)
+    passage = words(rng, 20)
+    rows = []
+    for k in range(90):
+        size = rng.choice([27, 40, 46, 49, 49, 50, 51, 60])
+        at = rng.randrange(40)
+        noise = bytes(rng.choice(b"qzxj") for _ in range(60)).decode()
+        rows.append((k, noise[: rng.randrange(60)] + passage[at : at + size] + noise, "en", "a"))
+    found = remove_repeats(frame(spark, rows), parts=3)
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_removed(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)]
