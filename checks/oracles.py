@@ -34,6 +34,22 @@ _SEARCHED = (
     + f' AS "offset" FROM logs WHERE {_SEARCH}) '
 )
 
+_PENDING = (
+    _LOGS
+    + """, jobs AS (SELECT * FROM (VALUES
+  ('job_a', 0, DATE '2024-01-10', DATE '2024-01-12', 3600),
+  ('job_b', 3, DATE '2024-01-08', DATE '2024-01-10', 21600),
+  ('job_c', 8, DATE '2024-01-01', DATE '2024-01-31', 86400))
+  AS j("jobId", saved, first_day, last_day, width)),
+found AS (
+  SELECT "jobId", width, event_id, level, timestamp, CAST(row_number() OVER (
+         PARTITION BY "jobId" ORDER BY timestamp, event_id) AS BIGINT) AS "offset"
+  FROM logs JOIN jobs ON CAST(time AS DATE) BETWEEN first_day AND last_day
+       AND (saved % 2 = 1 OR level = 'error')
+       AND regexp_matches(message, (saved % 10) || '|' || (saved % 37 + 60))
+  WHERE saved IN (SELECT p_partkey FROM part)) """
+)
+
 _SHOWN = 'event_id, level, message, timestamp'
 
 _DAILY = f"""WITH daily AS (
@@ -197,6 +213,12 @@ def all_oracles() -> dict[str, str]:
         + "SELECT 'job_9' AS \"jobId\", 'LogQuery' AS type, count(*) AS \"totalRowCount\" "
         + "FROM found UNION ALL SELECT 'job_9', 'Histogram', "
         + "count(DISTINCT time_bucket(INTERVAL 1 HOUR, time)) FROM found",
+        "run_signatures_shared": _PENDING
+        + 'SELECT "jobId", event_id, level, timestamp, "offset" FROM found',
+        "run_signatures_shared_histograms": _PENDING
+        + ", buckets AS (SELECT \"jobId\", timestamp // width * width AS timestamp, count(*) AS count "
+        + 'FROM found GROUP BY 1, 2) SELECT "jobId", count, timestamp, CAST(row_number() OVER ('
+        + 'PARTITION BY "jobId" ORDER BY timestamp) AS BIGINT) AS "offset" FROM buckets',
         "run_signature_histogram": _SEARCHED
         + ", buckets AS (SELECT time_bucket(INTERVAL 1 HOUR, time) AS start, count(*) AS count "
         + "FROM found GROUP BY 1), numbered AS (SELECT *, "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,13 @@ from logweir.plans.log_query import (
     run_histogram,
     run_log_query,
 )
-from logweir.plans.saved_search import JobRequest, query_of, run_signature
+from logweir.plans.saved_search import (
+    JobRequest,
+    query_of,
+    result_path,
+    run_signature,
+    run_signatures,
+)
 from logweir.schemas import registered_schemas
 from logweir.session import prepare
 from logweir.sources import log_store, result_store
@@ -353,7 +360,8 @@ def _job(spark, sf_dir):
     signatures = catalog.decode_signatures(views.raw_signatures(spark, sf_dir))
     request = JobRequest("sig_0", START, END, "1 hour")
     # Its keywords are words of a product name, which no log line holds; search digits.
-    signatures = signatures.withColumn("keywords", F.array(F.lit("69"), F.lit("8")))
+    digits = F.when(F.col("signatureId") == "sig_0", F.array(F.lit("69"), F.lit("8")))
+    signatures = signatures.withColumn("keywords", F.coalesce(digits, "keywords"))
     run_signature(
         views.logs(spark, sf_dir),
         signatures,
@@ -401,6 +409,56 @@ def run_signature_(spark, sf_dir):
     return stored[0].unionByName(stored[1])
 
 
+PENDING = {
+    "job_a": JobRequest("sig_0", START, END, "1 hour"),
+    "job_b": JobRequest("sig_3", START - 172800, START, "6 hours"),
+    "job_c": JobRequest("sig_8", WHOLE.start_time, WHOLE.end_time, "1 day"),
+}
+
+
+@_written_once
+def _shared_jobs(spark, sf_dir):
+    """Pending jobs of several signatures, each with words of its own, run over one scan."""
+    root = new_path(spark, "check")
+    signatures = catalog.decode_signatures(views.raw_signatures(spark, sf_dir))
+    number = F.substring_index("signatureId", "_", -1).cast("long")
+    words = F.array((number % 10).cast("string"), (number % 37 + 60).cast("string"))
+    run_signatures(
+        views.logs(spark, sf_dir),
+        signatures.withColumn("keywords", words),
+        PENDING,
+        root,
+        tie_breakers=TIES,
+        rows_per_part=_eighth(views.table(spark, sf_dir, "events"), 100),
+    )
+    return root
+
+
+@_registered
+def run_signatures_shared(spark, sf_dir):
+    """What each of the jobs run together has stored."""
+    root = _shared_jobs(spark, sf_dir)
+    results = [
+        result_store.read_result(spark, result_path(root, job, LOG_QUERY)).select(
+            F.lit(job).alias("jobId"), "event_id", "level", "timestamp", "offset"
+        )
+        for job in PENDING
+    ]
+    return reduce(DataFrame.unionByName, results)
+
+
+@_registered
+def run_signatures_shared_histograms(spark, sf_dir):
+    root = _shared_jobs(spark, sf_dir)
+    results = [
+        result_store.read_result(spark, result_path(root, job, HISTOGRAM)).select(
+            F.lit(job).alias("jobId"), "count", "timestamp", "offset"
+        )
+        for job in PENDING
+    ]
+    return reduce(DataFrame.unionByName, results)
+
+
 @_registered
 def run_signature_histogram(spark, sf_dir):
     page = browse(spark, _job(spark, sf_dir), "job_9", HISTOGRAM, "offset", start=3, end=30)

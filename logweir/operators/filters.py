@@ -56,7 +56,12 @@ def _event_time(df: DataFrame) -> str | None:
 
 
 def in_calendar_range(df: DataFrame, start_time: int, end_time: int) -> DataFrame:
-    """Rows of the days touched by ``[start_time, end_time]`` (epoch seconds).
+    """Rows of the days touched by ``[start_time, end_time]`` (epoch seconds)."""
+    return df.filter(calendar_condition(df, start_time, end_time))
+
+
+def calendar_condition(df: DataFrame, start_time: int, end_time: int) -> Column:
+    """Whether a row is of the days touched by ``[start_time, end_time]`` (epoch seconds).
 
     The cut is by whole days. The same range is stated at each depth at which a layout may
     be partitioned (year; year and month; day), so that each layout prunes directories as
@@ -82,14 +87,20 @@ def in_calendar_range(df: DataFrame, start_time: int, end_time: int) -> DataFram
         ]
     if not terms:
         raise ValidationError("no calendar columns and no event time to filter on")
-    return df.filter(reduce(and_, terms))
+    return reduce(and_, terms)
 
 
 def by_level(df: DataFrame, level: str | None, column: str = "data.level") -> DataFrame:
     """Rows of one level. The argument is lower-cased, the stored value is not."""
+    condition = level_condition(level, column)
+    return df if condition is None else df.filter(condition)
+
+
+def level_condition(level: str | None, column: str = "data.level") -> Column | None:
+    """Whether a row is of a level; ``None`` for any level."""
     if level is None or level == ANY:
-        return df
-    return df.filter(F.col(column) == F.lit(level.lower()))
+        return None
+    return F.col(column) == F.lit(level.lower())
 
 
 def keyword_pattern(keywords: Sequence[str] | str | None) -> str:
@@ -110,13 +121,24 @@ def by_keywords(
     Keywords are unanchored, case-sensitive regular expressions, or plain substrings when
     ``literal`` is set. A string holds several keywords separated by bars.
     """
+    condition = keyword_condition(df, keywords, column, literal)
+    return df if condition is None else df.filter(condition)
+
+
+def keyword_condition(
+    df: DataFrame,
+    keywords: Sequence[str] | str | None,
+    column: str = "data.message",
+    literal: bool = False,
+) -> Column | None:
+    """Whether a message matches any keyword; ``None`` without keywords."""
     pattern = keyword_pattern(keywords)
     if not pattern:
-        return df
+        return None
     if not literal:
-        return df.filter(F.col(column).rlike(checked_pattern(df.sparkSession, pattern)))
+        return F.col(column).rlike(checked_pattern(df.sparkSession, pattern))
     words = keywords.split("|") if isinstance(keywords, str) else list(keywords)
-    return df.filter(reduce(or_, [F.contains(F.col(column), F.lit(w)) for w in words]))
+    return reduce(or_, [F.contains(F.col(column), F.lit(w)) for w in words])
 
 
 def by_origin(
@@ -126,13 +148,26 @@ def by_origin(
     doc_type: str | None = ANY,
 ) -> DataFrame:
     """Optional equality on application, plugin and document type."""
+    for condition in origin_conditions(df, app_name, plugin, doc_type):
+        df = df.filter(condition)
+    return df
+
+
+def origin_conditions(
+    df: DataFrame,
+    app_name: str | None = ANY,
+    plugin: str | None = ANY,
+    doc_type: str | None = ANY,
+) -> list[Column]:
+    """A condition for each of application, plugin and document type that is asked for."""
+    conditions = []
     wanted = {"_tag_appName": app_name, "_plugin": plugin, "_documentType": doc_type}
     for name, value in wanted.items():
         if value is not None and value != ANY:
             # The top-level copy is a partition column, so it prunes directories.
             column = name if name in df.columns else f"data.{name}"
-            df = df.filter(F.col(column) == F.lit(value))
-    return df
+            conditions.append(F.col(column) == F.lit(value))
+    return conditions
 
 
 def in_time_slice(df: DataFrame, start: int, end: int) -> DataFrame:

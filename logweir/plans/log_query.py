@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.columns import epoch_seconds
@@ -14,10 +16,14 @@ from logweir.operators.filters import (
     by_keywords,
     by_level,
     by_origin,
+    calendar_condition,
     check_positive,
     check_range,
     in_calendar_range,
+    keyword_condition,
     keyword_pattern,
+    level_condition,
+    origin_conditions,
 )
 from logweir.operators.histogram import time_histogram
 from logweir.session import check_session
@@ -29,11 +35,14 @@ from logweir.sources.result_store import (
     write_result,
     write_staged,
 )
-from logweir.sources.storage import staged
+from logweir.sources.storage import staged, staged_by
 
+# Searches that one scan answers; their conditions are one expression. More take more scans.
+SEARCHES_PER_SCAN = 64
 LOG_QUERY = "LogQuery"
 HISTOGRAM = "Histogram"
 QUERY_TYPES = (LOG_QUERY, HISTOGRAM)
+SEARCH = "_search"
 
 
 @dataclass(frozen=True)
@@ -59,6 +68,15 @@ class LogQuery:
         return any(value not in (None, ANY) for value in conditions)
 
 
+@dataclass(frozen=True)
+class SharedSearch:
+    """A query, its histogram's window, and where the result of each query type goes."""
+
+    query: LogQuery
+    window: int | str
+    paths: Mapping[str, str]
+
+
 def matching_logs(store: DataFrame, query: LogQuery) -> DataFrame:
     """Payload of the matching rows, flattened, with ``timestamp`` in epoch seconds."""
     rows = in_calendar_range(store, query.start_time, query.end_time)
@@ -68,6 +86,17 @@ def matching_logs(store: DataFrame, query: LogQuery) -> DataFrame:
     return flatten(rows)
 
 
+def match_condition(store: DataFrame, query: LogQuery) -> Column:
+    """All conditions of a query as one, the cheap ones first."""
+    terms = [
+        calendar_condition(store, query.start_time, query.end_time),
+        *origin_conditions(store, query.app_name, query.plugin, query.doc_type),
+        level_condition(query.level),
+        keyword_condition(store, query.keywords, literal=query.literal_keywords),
+    ]
+    return reduce(and_, [t for t in terms if t is not None])
+
+
 def flatten(rows: DataFrame) -> DataFrame:
     return rows.select("data.*").withColumn("timestamp", epoch_seconds(F.col("time")))
 
@@ -158,3 +187,66 @@ def run_all(
                 time_histogram(matches, window), paths[HISTOGRAM], rows_per_part=rows_per_part
             )
     return counts
+
+
+def matches_of_searches(store: DataFrame, queries: Sequence[LogQuery]) -> DataFrame:
+    """Matches of several queries in one scan, as :func:`matching_logs` of each would give them.
+
+    ``_search`` is the place of the query in the list; a row that several of them match comes
+    once for each. The days from the first to the last of all ranges prune the scan, and so
+    does each query's own range.
+    """
+    conditions = [match_condition(store, q) for q in queries]
+    start = min(q.start_time for q in queries)
+    end = max(q.end_time for q in queries)
+    rows = in_calendar_range(store, start, end).filter(reduce(or_, conditions))
+    hits = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conditions)]))
+    rows = rows.select("data.*", F.explode(hits).alias(SEARCH))
+    return rows.withColumn("timestamp", epoch_seconds(F.col("time")))
+
+
+def run_searches(
+    store: DataFrame,
+    searches: Mapping[str, SharedSearch],
+    tie_breakers: tuple[str, ...] = (),
+    rows_per_part: int = ROWS_PER_PART,
+) -> dict[str, dict[str, int]]:
+    """Store the results of several searches over one scan; return the row counts of each.
+
+    The matches are staged once, in a folder per search, so that each result reads only its
+    own rows. Every result is committed by itself: after a failure, the searches without a
+    commit are to be run again. Results that exist already are refused before the scan.
+    """
+    spark = store.sparkSession
+    check_session(spark)
+    check_positive("rows_per_part", rows_per_part)
+    for search in searches.values():
+        for path in search.paths.values():
+            check_absent(spark, path)
+    counts = {}
+    names = list(searches)
+    for at in range(0, len(names), SEARCHES_PER_SCAN):
+        some = names[at : at + SEARCHES_PER_SCAN]
+        found = matches_of_searches(store, [searches[n].query for n in some])
+        # One search's rows lie in few files; adaptive execution splits those of a large one.
+        found = with_sequence(found.hint("rebalance", SEARCH))
+        with staged_by(found, SEARCH, "searches") as matches_of:
+            for place, name in enumerate(some):
+                counts[name] = _write_search(
+                    matches_of(place), searches[name], tie_breakers, rows_per_part
+                )
+    return counts
+
+
+def _write_search(
+    matches: DataFrame, search: SharedSearch, tie_breakers: tuple[str, ...], rows_per_part: int
+) -> dict[str, int]:
+    counts = {}
+    if LOG_QUERY in search.paths:
+        path = search.paths[LOG_QUERY]
+        counts[LOG_QUERY] = write_staged(matches, path, tie_breakers, rows_per_part)
+    if HISTOGRAM in search.paths:
+        buckets = time_histogram(matches, search.window)
+        path = search.paths[HISTOGRAM]
+        counts[HISTOGRAM] = write_result(buckets, path, rows_per_part=rows_per_part)
+    return counts

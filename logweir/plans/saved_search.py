@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
-from logweir.errors import ValidationError
+from logweir.errors import NotFoundError, ValidationError
 from logweir.operators.catalog import signature_by_id
 from logweir.operators.filters import ANY
-from logweir.plans.log_query import QUERY_TYPES, LogQuery, run_all
+from logweir.plans.log_query import QUERY_TYPES, LogQuery, SharedSearch, run_all, run_searches
 from logweir.sources.result_store import ROWS_PER_PART
 
 
@@ -29,7 +30,10 @@ def query_of(signatures: DataFrame, request: JobRequest, apply_origin: bool = Fa
 
     Its plugin and document type take effect only with ``apply_origin``.
     """
-    saved = signature_by_id(signatures, request.signature_id).first()
+    return _query(signature_by_id(signatures, request.signature_id).first(), request, apply_origin)
+
+
+def _query(saved: Row, request: JobRequest, apply_origin: bool) -> LogQuery:
     return LogQuery(
         request.start_time,
         request.end_time,
@@ -61,3 +65,35 @@ def run_signature(
     paths = {t: result_path(root, job_id, t) for t in query_types}
     query = query_of(signatures, request, apply_origin)
     return run_all(store, query, request.histogram_window, paths, tie_breakers, rows_per_part)
+
+
+def run_signatures(
+    store: DataFrame,
+    signatures: DataFrame,
+    requests: Mapping[str, JobRequest],
+    root: str,
+    query_types: Sequence[str] = QUERY_TYPES,
+    apply_origin: bool = False,
+    tie_breakers: tuple[str, ...] = (),
+    rows_per_part: int = ROWS_PER_PART,
+) -> dict[str, dict[str, int]]:
+    """Run pending jobs, by job id, over one scan of the store.
+
+    Each job stores what :func:`run_signature` would. Nothing is run where a signature is
+    unknown, a result exists, or a keyword is no pattern.
+    """
+    wanted = {r.signature_id for r in requests.values()}
+    known = signatures.where(F.col("signatureId").isin(*wanted)).collect() if wanted else []
+    saved = {row["signatureId"]: row for row in known}
+    unknown = sorted(wanted - set(saved))
+    if unknown:
+        raise NotFoundError(f"no such signatures: {', '.join(unknown)}")
+    searches = {
+        job: SharedSearch(
+            _query(saved[r.signature_id], r, apply_origin),
+            r.histogram_window,
+            {t: result_path(root, job, t) for t in query_types},
+        )
+        for job, r in requests.items()
+    }
+    return run_searches(store, searches, tie_breakers, rows_per_part)

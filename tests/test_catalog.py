@@ -6,7 +6,14 @@ from logweir.errors import NotFoundError, ValidationError
 from logweir.functions.columns import base_name, progress_status, render_times
 from logweir.operators import catalog
 from logweir.plans.log_query import HISTOGRAM, LOG_QUERY
-from logweir.plans.saved_search import JobRequest, query_of, result_path, run_signature
+from logweir.plans import log_query
+from logweir.plans.saved_search import (
+    JobRequest,
+    query_of,
+    result_path,
+    run_signature,
+    run_signatures,
+)
 from logweir.schemas import RAW_JOB, RAW_SIGNATURE
 from logweir.sources.result_store import read_result
 from logweir.sources.storage import new_path
@@ -176,3 +183,56 @@ def test_rendering(spark):
     assert render_times(frame.select("other")).columns == ["other"]
     paths = spark.createDataFrame([("a/b/part-0.orc",), ("part-1",)], "p string")
     assert values(paths.select(base_name(F.col("p")))) == ["part-0.orc", "part-1"]
+
+
+MIXED = [
+    (f"2024-01-{day:02d} 10:00:{second:02d}", level, message)
+    for day in (1, 2, 3, 5)
+    for second, level, message in (
+        (1, "error", "disk full"),
+        (1, "error", "disk full"),
+        (2, "warn", "disk timeout"),
+        (3, "info", "timeout"),
+        (4, "error", None),
+    )
+] + [(None, "error", "full")]
+PENDING = {
+    "a": JobRequest("disk-1", epoch(2024, 1, 1), epoch(2024, 1, 2), 7200),
+    "b": JobRequest("net-1", epoch(2024, 1, 2), epoch(2024, 1, 5), "1 day"),
+    "c": JobRequest("net-2", epoch(2024, 1, 1), epoch(2024, 1, 31), "1 hour"),
+    "d": JobRequest("odd", epoch(2024, 1, 3), epoch(2024, 1, 3), "1 hour"),
+    "none": JobRequest("disk-1", epoch(2023, 1, 1), epoch(2023, 1, 1), "1 hour"),
+    "again": JobRequest("disk-1", epoch(2024, 1, 1), epoch(2024, 1, 2), 7200),
+}
+
+
+@pytest.mark.parametrize("per_scan", [64, 2])
+def test_jobs_run_together_store_what_single_runs_do(spark, signatures, monkeypatch, per_scan):
+    monkeypatch.setattr(log_query, "SEARCHES_PER_SCAN", per_scan)
+    logs = log_rows(spark, MIXED)
+    root, alone = new_path(spark, "jobs"), new_path(spark, "jobs")
+    counts = run_signatures(logs, signatures, PENDING, root, rows_per_part=3)
+    assert list(counts) == list(PENDING)
+    for job, request in PENDING.items():
+        expected = run_signature(logs, signatures, request, alone, job, rows_per_part=3)
+        assert counts[job] == expected
+        for kind in expected:
+            one, other = (read_result(spark, result_path(r, job, kind)) for r in (root, alone))
+            assert one.schema == other.schema
+            assert sorted(values(one), key=repr) == sorted(values(other), key=repr)
+    assert counts["none"] == {"LogQuery": 0, "Histogram": 0}
+    assert counts["again"] == counts["a"] and counts["a"]["LogQuery"] == 4
+
+
+def test_jobs_run_together_are_checked_first(spark, signatures):
+    logs, root = log_rows(spark, MIXED), new_path(spark, "jobs")
+    assert run_signatures(logs, signatures, {}, root) == {}
+    with pytest.raises(NotFoundError, match="nowhere"):
+        run_signatures(
+            logs, signatures, PENDING | {"x": JobRequest("nowhere", 0, 1)}, root
+        )
+    run_signature(logs, signatures, PENDING["d"], root, "d")
+    with pytest.raises(ValidationError, match="exists"):
+        run_signatures(logs, signatures, PENDING, root)
+    rest = {job: request for job, request in PENDING.items() if job != "d"}
+    assert len(run_signatures(logs, signatures, rest, root)) == 5

@@ -14,6 +14,7 @@ from logweir.plans.log_query import (
     gathered,
     log_histogram,
     log_query,
+    matches_of_searches,
     matching_logs,
 )
 from logweir.schemas import registered_schemas
@@ -52,6 +53,22 @@ def root(spark):
     return path
 
 
+def test_searches_share_one_pruned_scan(spark, root):
+    queries = [
+        QUERY,
+        LogQuery(epoch(2024, 1, 6), epoch(2024, 1, 7), "INFO", ["6", "7"]),
+        LogQuery(epoch(2024, 2, 1), epoch(2024, 2, 1)),
+    ]
+    logs = log_store.read_log_store(spark, root)
+    found = matches_of_searches(logs, queries)
+    plan = plan_of(found)
+    assert len(re.findall(r"^\(\d+\) Scan orc", plan, re.MULTILINE)) == 1
+    assert "Exchange" not in plan
+    single = [(i, r) for i, q in enumerate(queries) for r in values(matching_logs(logs, q), "message")]
+    assert sorted(values(found, "_search", "message")) == sorted(single)
+    assert {i for i, _ in single} == {0, 1, 2}
+
+
 def test_query_prunes_and_pushes_down(spark, root):
     plan = plan_of(log_query(log_store.read_log_store(spark, root), QUERY))
     assert "make_date(year" in line(plan, "PartitionFilters")
