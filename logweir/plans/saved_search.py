@@ -17,12 +17,16 @@ from logweir.sources.result_store import ROWS_PER_PART
 
 @dataclass(frozen=True)
 class JobRequest:
-    """A saved search, the range to run it over (epoch seconds) and the histogram's window."""
+    """A saved search, the range to run it over (epoch seconds) and the histogram's window.
+
+    With ``literal_keywords`` its keywords are plain substrings, not regular expressions.
+    """
 
     signature_id: str
     start_time: int
     end_time: int
     histogram_window: int | str = "1 hour"
+    literal_keywords: bool = False
 
 
 def query_of(signatures: DataFrame, request: JobRequest, apply_origin: bool = False) -> LogQuery:
@@ -39,6 +43,7 @@ def _query(saved: Row, request: JobRequest, apply_origin: bool) -> LogQuery:
         request.end_time,
         saved["logLevel"],
         saved["keywords"] or (),
+        request.literal_keywords,
         plugin=saved["plugin"] if apply_origin else ANY,
         doc_type=saved["docType"] if apply_origin else ANY,
     )

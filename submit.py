@@ -4,6 +4,7 @@ ingest      CHECKPOINT OUTPUT BROKERS TOPIC
 log-query   START END APP PLUGIN LEVEL DOCTYPE OUTPUT INPUT DIRS [KEYWORDS]
 histogram   START END APP PLUGIN LEVEL DOCTYPE OUTPUT INPUT DIRS WINDOW [KEYWORDS]
 saved-search SIGNATURE START END WINDOW INPUT SIGNATURES ROOT JOB
+saved-searches JOBS INPUT SIGNATURES ROOT
 compact     START END ROOT TARGET
 
 Times are epoch seconds and KEYWORDS are separated by bars. INPUT is a log store, a compacted
@@ -12,6 +13,9 @@ with its compacted days. ``--apply-origin`` makes APP, PLUGIN and DOCTYPE restri
 without it they are taken and have no effect. DIRS never has one: partitions are pruned.
 A saved search runs the log query and the histogram of a signature in one scan; SIGNATURES is
 a Parquet table of them with keywords as JSON text, and results go below ROOT under JOB.
+Saved searches run together share one scan; JOBS is a JSON file with a line per job: jobId,
+signatureId, startTime, endTime, and where wanted histogramWindow and literalKeywords.
+``--tie-breakers`` names fields, joined by commas, that order rows of one second.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logweir.operators.catalog import decode_signatures
 from logweir.operators.filters import ANY
 from logweir.plans.log_query import LogQuery, run_histogram, run_log_query
-from logweir.plans.saved_search import JobRequest, run_signature
+from logweir.plans.saved_search import JobRequest, run_signature, run_signatures
 from logweir.session import prepare
 from logweir.sources.kafka import MAX_OFFSETS, read_topic
 from logweir.sources.log_store import (
@@ -33,10 +37,17 @@ from logweir.sources.log_store import (
     read_logs,
     read_orc_logs,
 )
+from logweir.sources.result_store import ROWS_PER_PART
 from logweir.sources.storage import exists
 from logweir.streaming.ingest import start_ingest
 
 
+PENDING_JOB = (
+    "jobId string, signatureId string, startTime long, endTime long, "
+    "histogramWindow string, literalKeywords boolean"
+)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(
         description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter
@@ -66,7 +77,16 @@ def parser() -> argparse.ArgumentParser:
     saved.add_argument("end", type=int)
     for name in ("window", "input", "signatures", "root", "job_id"):
         saved.add_argument(name)
-    saved.add_argument("--compacted")
+    saved.add_argument("--literal", action="store_true")
+
+    pending = jobs.add_parser("saved-searches")
+    for name in ("jobs", "input", "signatures", "root"):
+        pending.add_argument(name)
+
+    for job in (saved, pending):
+        job.add_argument("--compacted")
+        job.add_argument("--tie-breakers", type=lambda text: tuple(text.split(",")), default=())
+        job.add_argument("--rows-per-part", type=int, default=ROWS_PER_PART)
 
     compact = jobs.add_parser("compact")
     compact.add_argument("start", type=int)
@@ -88,6 +108,21 @@ def open_logs(
     return read_orc_logs(spark, path)
 
 
+def read_requests(spark: SparkSession, path: str) -> dict[str, JobRequest]:
+    """Pending jobs by id, of a JSON file with a line for each."""
+    lines = spark.read.schema(PENDING_JOB).json(path).collect()
+    return {
+        row["jobId"]: JobRequest(
+            row["signatureId"],
+            row["startTime"],
+            row["endTime"],
+            row["histogramWindow"] or JobRequest.histogram_window,
+            bool(row["literalKeywords"]),
+        )
+        for row in lines
+    }
+
+
 def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     prepare(spark)
@@ -101,8 +136,33 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
     if args.job == "saved-search":
         logs = open_logs(spark, args.input, (args.start, args.end), args.compacted)
         signatures = decode_signatures(spark.read.parquet(args.signatures))
-        request = JobRequest(args.signature, args.start, args.end, args.window)
-        run_signature(logs, signatures, request, args.root, args.job_id)
+        request = JobRequest(args.signature, args.start, args.end, args.window, args.literal)
+        run_signature(
+            logs,
+            signatures,
+            request,
+            args.root,
+            args.job_id,
+            tie_breakers=args.tie_breakers,
+            rows_per_part=args.rows_per_part,
+        )
+        return
+    if args.job == "saved-searches":
+        requests = read_requests(spark, args.jobs)
+        if not requests:
+            return
+        span = (
+            min(r.start_time for r in requests.values()),
+            max(r.end_time for r in requests.values()),
+        )
+        run_signatures(
+            open_logs(spark, args.input, span, args.compacted),
+            decode_signatures(spark.read.parquet(args.signatures)),
+            requests,
+            args.root,
+            tie_breakers=args.tie_breakers,
+            rows_per_part=args.rows_per_part,
+        )
         return
     query = LogQuery(
         args.start,

@@ -17,9 +17,10 @@ from logweir.plans.log_query import (
     matches_of_searches,
     matching_logs,
 )
-from logweir.schemas import registered_schemas
+from logweir.schemas import DEFAULT_PAYLOAD, registered_schemas
 from logweir.sources import log_store
 from logweir.sources import result_store as results
+from logweir.sources.layouts import STANDARD_STRATEGY
 from logweir.sources.storage import new_path
 from logweir.streaming.ingest import land_batch
 from test_ingest import message, messages, payload
@@ -158,3 +159,35 @@ def test_sorted_write_does_not_sort_again(spark, root):
     for file in spark.read.orc(f"{results.read_commit(spark, path).base}/result").inputFiles():
         stored = spark.read.orc(file).select("local_idx")
         assert [r[0] for r in stored.collect()] == list(range(stored.count()))
+
+
+def rows_scanned(df):
+    """Rows a query took out of its scan, which has no shuffle."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("field", log_store.LOOKED_UP)
+def test_rare_values_skip_groups_of_rows(spark, field):
+    """Its neighbours in every group of rows lie on both sides of the rare value."""
+    number = F.col("id")
+    usual = F.when(number % 2 == 0, "a").otherwise("z")
+    given = {
+        "time": F.timestamp_seconds(number + epoch(2024, 3, 1)),
+        "message": F.concat(F.lit("log "), number),
+        field: F.when(number == 35_000, "m").otherwise(usual),
+    }
+    fields = [
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DEFAULT_PAYLOAD.fields
+    ]
+    rows = spark.range(60_000).select(F.struct(*fields).alias("data"))
+    rows = rows.withColumns({"_documentType": F.lit("t"), "_plugin": F.lit("p")})
+    path = new_path(spark, "bloom")
+    levels = STANDARD_STRATEGY.default
+    log_store.write_batch(parse.add_calendar(rows), path, "s", 0, levels)
+    stored = spark.read.orc(path).select("data")
+    rare = stored.filter(F.col(f"data.{field}") == "m")
+    assert values(rare, "data.message") == ["log 35000"]
+    assert 1 <= rows_scanned(rare) <= 20_000
+    assert rows_scanned(stored.filter(F.col(f"data.{field}") == "a")) == 60_000

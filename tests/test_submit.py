@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from frames import epoch, log_rows, values
 from logweir.plans.browse import browse
@@ -6,7 +7,7 @@ from logweir.sources.log_store import layout_root
 from logweir.sources.result_store import read_result, read_statistics
 from logweir.sources.storage import new_path
 from logweir.streaming.ingest import land_batch
-from submit import parser, run
+from submit import PENDING_JOB, parser, run
 from test_ingest import message, messages, payload
 
 START, END = str(epoch(2024, 2, 3)), str(epoch(2024, 2, 4))
@@ -67,6 +68,36 @@ def test_store_written_elsewhere(spark):
     assert values(read_result(spark, output), "message") == ["kept"]
 
 
+def test_saved_searches_alone_and_together(spark, root):
+    saved = [("disk", "p", "ERROR", "t", '["disk.full"]'), ("all", "p", "*", "t", "[]")]
+    signatures, jobs = new_path(spark, "signatures"), new_path(spark, "pending")
+    columns = "signatureId string, plugin string, logLevel string, docType string, keywords string"
+    table = spark.createDataFrame(saved, columns).withColumns(
+        {c: F.timestamp_seconds(F.lit(1)) for c in ("createdTime", "lastModifiedTime")}
+    )
+    table.write.parquet(signatures)
+    lines = spark.createDataFrame(
+        [
+            ("j1", "disk", int(START), int(END), "3600", None),
+            ("j2", "all", int(START), int(START), None, None),
+            ("j3", "disk", int(START), int(END), None, True),
+        ],
+        PENDING_JOB,
+    )
+    lines.write.json(jobs)
+    output = new_path(spark, "jobs")
+    options = ["--tie-breakers", "message,host", "--rows-per-part", "10"]
+    run(spark, ["saved-searches", jobs, root, signatures, output, *options])
+    alone = ["saved-search", "disk", START, END, "1 hour", root, signatures, output]
+    run(spark, [*alone, "j4", *options])
+    run(spark, [*alone, "j5", "--literal"])
+    found = {j: values(browse(spark, output, j, "LogQuery").rows, "message") for j in ("j1", "j2", "j4")}
+    assert found == {"j1": ["disk full"], "j2": ["disk full", "disk ok"], "j4": ["disk full"]}
+    for job in ("j3", "j5"):
+        assert values(read_statistics(spark, f"{output}/{job}_LogQuery"), "value") == [0]
+    assert values(browse(spark, output, "j2", "Histogram").rows, "count") == [2]
+
+
 def test_ingest_arguments():
     args = parser().parse_args(["ingest", "c", "o", "b:9092", "t", "--max-offsets", "5"])
     assert (args.checkpoint, args.output, args.max_offsets) == ("c", "o", 5)
