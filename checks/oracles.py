@@ -315,6 +315,14 @@ def all_oracles() -> dict[str, str]:
         + "'not json' AS text FROM routable WHERE broken GROUP BY ALL",
         "ingest_replay": _ENVELOPES
         + 'SELECT "_documentType", count(*) AS n FROM landed GROUP BY 1',
+        "rollup_histogram": _ENVELOPES
+        + f"SELECT count(*) AS count, {_EPOCH.format('time')} // 7200 * 7200 AS timestamp "
+        + "FROM landed WHERE CAST(time AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' "
+        + "AND level = 'error' GROUP BY 2",
+        "rollup_histogram_by_origin": _ENVELOPES
+        + f"SELECT count(*) AS count, {_EPOCH.format('time')} // 86400 * 86400 AS timestamp "
+        + "FROM landed WHERE CAST(time AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' "
+        + "AND \"_tag_appName\" = 'app3' AND \"_plugin\" = 'linux' GROUP BY 2",
         "store_log_query": _FROM_STORE,
         "compacted_log_query": _FROM_STORE,
         "mixed_log_query": _FROM_STORE,

@@ -19,6 +19,7 @@ from logweir.plans.log_query import (
     LOG_QUERY,
     LogQuery,
     flatten,
+    histogram_of_store,
     log_histogram,
     log_query,
     matching_logs,
@@ -738,6 +739,21 @@ def ingest_replay(spark, sf_dir):
     return landed.groupBy("_documentType").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_registered
+def rollup_histogram(spark, sf_dir):
+    """A histogram of a store a stream has filled, from the counts landed with it."""
+    query = LogQuery(START, END, "ERROR")
+    found = histogram_of_store(spark, _streamed(spark, sf_dir), query, "2 hours")
+    return found.select("count", "timestamp")
+
+
+@_registered
+def rollup_histogram_by_origin(spark, sf_dir):
+    query = LogQuery(WHOLE.start_time, WHOLE.end_time, app_name="app3", plugin="linux")
+    found = histogram_of_store(spark, _streamed(spark, sf_dir), query, 86400)
+    return found.select("count", "timestamp")
+
+
 @_registered
 def store_log_query(spark, sf_dir):
     """The log query over a store a stream has filled, across its layouts."""

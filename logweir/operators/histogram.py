@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,16 +28,28 @@ def duration(window: int | str) -> str:
     return f"{seconds} seconds"
 
 
-def time_histogram(matches: DataFrame, window: int | str) -> DataFrame:
+def is_whole_minutes(window: int | str) -> bool:
+    """Whether buckets of this width begin and end at full minutes."""
+    total = timedelta()
+    for number, unit in re.findall(r"(\d+)\s*([a-z]+?)s?(?![a-z])", duration(window).lower()):
+        total += timedelta(**{f"{unit}s": int(number)})
+    return total % timedelta(minutes=1) == timedelta()
+
+
+def time_histogram(
+    matches: DataFrame, window: int | str, weight: str | None = None
+) -> DataFrame:
     """Matches per bucket: ``start``, ``end``, ``count`` and ``timestamp`` (start in seconds).
 
     Buckets are aligned to the epoch and empty ones are left out. Counts are combined
-    before the shuffle, so a crowded bucket costs no more than a quiet one.
+    before the shuffle, so a crowded bucket costs no more than a quiet one. A row counts as
+    often as its ``weight`` says, once without.
     """
+    often = F.count(F.lit(1)) if weight is None else F.sum(weight)
     bucket = F.window("time", duration(window))
     return (
         matches.groupBy(bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(often.alias("count"))
         .select(
             F.col("bucket.start").alias("start"),
             F.col("bucket.end").alias("end"),

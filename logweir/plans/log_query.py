@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logweir.functions.columns import epoch_seconds
 from logweir.operators.filters import (
@@ -25,8 +26,11 @@ from logweir.operators.filters import (
     level_condition,
     origin_conditions,
 )
-from logweir.operators.histogram import time_histogram
+from logweir.operators.histogram import is_whole_minutes, time_histogram
+from logweir.schemas import DEFAULT_PAYLOAD
 from logweir.session import check_session
+from logweir.sources.layouts import STANDARD_STRATEGY, PartitionStrategy
+from logweir.sources.log_store import read_log_stores
 from logweir.sources.result_store import (
     ROWS_PER_PART,
     SEQUENCE,
@@ -35,6 +39,7 @@ from logweir.sources.result_store import (
     write_result,
     write_staged,
 )
+from logweir.sources.rollup import read_rollup
 from logweir.sources.storage import staged, staged_by
 
 # Searches that one scan answers; their conditions are one expression. More take more scans.
@@ -128,6 +133,30 @@ def log_histogram(store: DataFrame, query: LogQuery, window: int | str) -> DataF
     return time_histogram(matching_logs(store, query), window).orderBy("timestamp")
 
 
+def histogram_of_store(
+    spark: SparkSession,
+    root: str,
+    query: LogQuery,
+    window: int | str,
+    strategy: PartitionStrategy = STANDARD_STRATEGY,
+    payload: StructType = DEFAULT_PAYLOAD,
+) -> DataFrame:
+    """What :func:`log_histogram` gives for a whole log store, without a scan where possible.
+
+    Without keywords and with buckets of whole minutes the counts landed with the batches
+    answer it; else, or where a batch has none, the logs are scanned.
+    """
+    span = (query.start_time, query.end_time)
+    counts = None
+    if not keyword_pattern(query.keywords) and is_whole_minutes(window):
+        counts = read_rollup(spark, root, span, strategy)
+    if counts is None:
+        logs = read_log_stores(spark, root, strategy, payload, span)
+        return log_histogram(logs, query, window)
+    found = counts.filter(match_condition(counts, query)).select("data.time", "count")
+    return time_histogram(found, window, "count").orderBy("timestamp")
+
+
 def run_log_query(
     store: DataFrame,
     query: LogQuery,

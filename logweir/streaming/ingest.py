@@ -32,6 +32,7 @@ from logweir.sources.log_store import (
     write_dead_letters,
 )
 from logweir.sources.manifest import commit_batch, committed_rows
+from logweir.sources.rollup import ROLLUP, write_rollup
 
 TRIGGER = "1 minute"
 
@@ -56,7 +57,8 @@ def land_batch(
 
     Messages without a route are kept apart and counted under ``dead_letter``. A payload of
     which nothing could be parsed is landed as a row of nulls, kept apart as text with its
-    route, and counted under ``malformed`` too.
+    route, and counted under ``malformed`` too. Rows per minute, level and origin are landed
+    beside the logs.
 
     The batch becomes visible at the end, in all its datasets at once. One that has landed is
     not written again, so a replay changes nothing; what a failed try has left is not read and
@@ -66,7 +68,7 @@ def land_batch(
     spark = messages.sparkSession
     found = committed_rows(spark, root, stream_id, batch_id)
     if found is not None:
-        return found
+        return {name: count for name, count in found.items() if name != ROLLUP}
     schemas = registered_schemas() if schemas is None else schemas
     layout = F.when(is_routable(), strategy.layout_of_row())
     merged = merged_payload(schemas, default)
@@ -99,6 +101,14 @@ def land_batch(
                 text.alias("_raw"), "_documentType", "_plugin"
             )
             writes.append(partial(write_dead_letters, dead, root, stream_id, batch_id))
+        timed: dict[date | None, int] = {}
+        for name in strategy.layouts:
+            for day_, count in facts.get(name, {}).items():
+                if day_ is not None:
+                    timed[day_] = timed.get(day_, 0) + count
+        if timed:
+            logs = finish_logs(rows.filter(F.col("_layout").isNotNull()))
+            writes.append(partial(write_rollup, logs, root, stream_id, batch_id))
         # The datasets do not depend on each other.
         with ThreadPoolExecutor(MOST_WRITES) as pool:
             run = inheritable_thread_target(spark)
@@ -108,7 +118,8 @@ def land_batch(
         rows.unpersist()
     if malformed:
         facts[MALFORMED] = {None: malformed}
-    commit_batch(spark, root, stream_id, batch_id, facts)
+    kept = {ROLLUP: timed} if timed else {}
+    commit_batch(spark, root, stream_id, batch_id, facts | kept)
     return {name: sum(by_day.values()) for name, by_day in facts.items()}
 
 
