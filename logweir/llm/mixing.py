@@ -108,11 +108,11 @@ def mix(
     ``doc_id``, ``size`` (words, 0 of null), ``source_size``, ``target``, ``taken`` and
     ``positions``, range-sorted by the first position, then doc_id.
 
-    The documents of a source stand in a ring, ordered by the MD5 of their id. Its rounded
-    target is taken from the start of the ring, going round again where it is larger than the
-    source; so ``taken`` sums to it exactly. ``positions`` has the training time 0..1 of each
-    taking: when the schedule of the source has demanded the words before it; it is empty where
-    nothing is taken. A null source is a source of its own, equal rows are taken in turn, and an
+    The documents of a source stand in a ring, ordered by the MD5 of their id, or of their text
+    where they have none. Its rounded target is taken from the start of the ring, going round
+    again where it is larger than the source; so ``taken`` sums to it exactly. ``positions`` has
+    the training time 0..1 of each taking: when the schedule of the source has demanded the words
+    before it; it is empty where nothing is taken. A null source is a source of its own, equal rows are taken in turn, and an
     empty table gives an empty result. ``share`` may not exceed ``most``.
     """
     rows = _mixed(docs, weights, schedules, share, most, buckets)
@@ -135,7 +135,8 @@ def _mixed(
     whole: bool = False,
 ) -> DataFrame:
     """The columns of ``mix`` in no order; ``whole`` adds each row of ``docs`` as ``document``."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Rows without an id are dealt by their text.
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     # A source as a key that is never null, so that rows are dealt out once for sums and plan.
     known = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
     carried, order = [], ["digest", "doc_id", "size"]

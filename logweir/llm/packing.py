@@ -118,8 +118,9 @@ def pack(
     Documents are cut every ``length`` tokens; a full piece is a sequence. What remains of each
     is packed by a plan over the histogram of lengths in units of 8 tokens (see
     ``logweir.llm.packing_plan``), which may cut it once more. Pieces are numbered within
-    their class by groups dealt by a hash, with running totals over the groups, so a class
-    that holds most pieces is no single task. Only the histogram reaches the driver.
+    their class by groups dealt by a hash of id, start and content, with running totals
+    over the groups, so neither a class that holds most pieces nor rows without an id are a
+    single task. Only the histogram reaches the driver.
     """
     scratch = Scratch("packing")
     pieces = scratch.write(document_pieces(docs, vocabulary, length, end_id))
@@ -128,8 +129,9 @@ def pack(
     plan = make_plan(counted, -(-length // UNIT))
     groups = max(32, math.ceil(sum(counted.values()) / GROUP_ROWS))
 
+    # The checksum tells rows without an id, or of one id, apart.
     dealt = pieces.withColumn(
-        "group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int")
+        "group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int")
     )
     sizes = dealt.groupBy("units", "group").agg(F.count("*").alias("n"))
     running = (

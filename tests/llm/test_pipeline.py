@@ -8,12 +8,13 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from logweir.llm.mixing import mix
+from logweir.llm.mixing import _mixed, mix
 from logweir.llm.oracles import llm_oracles
-from logweir.llm.queries import llm_queries
+from logweir.llm.queries import BYTE_VOCABULARY, llm_queries
 
 from .cases import SCHEMA, awkward_rows
 from .test_repeats import brute_classes
@@ -90,6 +91,32 @@ def test_stages_over_rows_without_or_with_one_id(spark, tmp_path):
             assert after <= Counter(map(tuple, docs.collect()))
 
 
+def test_packing_stage_over_rows_without_or_with_one_id(spark):
+    rows = awkward_rows() + [(7, f"one id {k} " * (k + 1), "en", "a") for k in range(8)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS units", "2 AS sequence_id")
+    after = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).collect()
+    library = Tokenizer.from_file(BYTE_VOCABULARY)
+    whole = [library.encode(t or "", add_special_tokens=False).ids + [1] for _, t, *_ in rows]
+    expected = Counter((r[0], len(ids)) for r, ids in zip(rows, whole))
+    found = Counter()
+    for r in after:
+        found[r.doc_id, r.doc_tokens] += r.length
+    assert found == Counter({k: n * k[1] for k, n in expected.items()})
+    filled = {}
+    for r in sorted(after, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 2048
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, null, id) AS doc_id", "concat('text ', id) AS text", "'a' AS source"
+    )
+    crowd = _mixed(docs).groupBy("bucket").count().agg({"count": "max"}).first()[0]
+    assert crowd < 10
+
+
 def test_empty_documents(spark, tmp_path):
     empty = spark.createDataFrame([], f"{SCHEMA}, n_chars long")
     empty.write.parquet(str(tmp_path / "documents.parquet"))
