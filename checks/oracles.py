@@ -99,6 +99,17 @@ _FROM_STORE = (
     + "AND level = 'error' AND regexp_matches(message, '69|8')"
 )
 
+_INDEXED = (
+    _ENVELOPES
+    + ", days AS (SELECT pid, level, message, " + _EPOCH.format("time") + " AS timestamp FROM landed "
+    + "WHERE CAST(time AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12') "
+    + "SELECT 'text' AS kind, * FROM days "
+    + "WHERE contains(message, 'k\": 69') OR contains(message, 'k\": 7}') "
+    + "UNION ALL SELECT 'pattern', * FROM days "
+    + "WHERE regexp_matches(message, '^\\{\"k\": (1|4)[0-3]+|k\": 99?\\}') "
+    + "UNION ALL SELECT 'no text', * FROM days WHERE regexp_matches(message, '69|8')"
+)
+
 _SIGNATURES = """WITH signatures AS (
   SELECT p_partkey, 'sig_' || p_partkey AS "signatureId", p_brand AS plugin,
          CASE WHEN p_partkey % 2 = 0 THEN 'ERROR' ELSE '*' END AS "logLevel", p_type AS "docType",
@@ -326,6 +337,7 @@ def all_oracles() -> dict[str, str]:
         "store_log_query": _FROM_STORE,
         "compacted_log_query": _FROM_STORE,
         "mixed_log_query": _FROM_STORE,
+        "keyword_indexed": _INDEXED,
         "mixed_store_rows": _ENVELOPES
         + 'SELECT "_documentType", CAST(year(time) AS INTEGER) AS year, '
         + "CAST(month(time) AS INTEGER) AS month, CAST(day(time) AS INTEGER) AS day, "

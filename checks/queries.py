@@ -44,6 +44,12 @@ START, END = 1704844800, 1705017600  # 2024-01-10 and 2024-01-12, both at midnig
 WHOLE = LogQuery(1704067200, 1706745599)  # January 2024
 SEARCH = LogQuery(START, END, level="ERROR", keywords=["69", "8"])
 TIES = ("event_id",)
+# Keywords, and whether they are plain texts.
+INDEXED = (
+    ("text", ["k\": 69", "k\": 7}"], True),
+    ("pattern", [r'^\{"k": (1|4)[0-3]+', 'k": 99?\}'], False),
+    ("no text", ["69", "8"], False),
+)
 FILES_PER_BATCH = 10_000
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -794,6 +800,24 @@ def mixed_log_query(spark, sf_dir):
     return found.select("pid", "level", "message", "timestamp")
 
 
+@_registered
+def keyword_indexed(spark, sf_dir):
+    """Keywords over compacted and open days: only compacted files are opened that may match.
+
+    By a plain text, an expression with required texts, and one without any.
+    """
+    root = _mixed(spark, sf_dir)
+    found = []
+    for kind, words, literal in INDEXED:
+        store = log_store.read_logs(
+            spark, root, f"{root}/compacted", span=(START, END), keywords=words, literal=literal
+        )
+        query = LogQuery(START, END, keywords=words, literal_keywords=literal)
+        found.append(log_query(store, query).withColumn("kind", F.lit(kind)))
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.select("kind", "pid", "level", "message", "timestamp")
+
+
 @_registered
 def mixed_store_rows(spark, sf_dir):
     """Every landed row once, whole store, after the late rows have been compacted too."""

@@ -13,12 +13,14 @@ over batches without a commit, so a batch is there in all its datasets or in non
 A compacted dataset has its own root::
 
     data/generation=<id>/<partition columns>/*.orc
+    trigrams/generation=<id>/*.orc   (see ``logweir.sources.message_index``)
     manifest/<number>.json
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from datetime import timedelta
 from functools import reduce
 
@@ -38,6 +40,7 @@ from logweir.operators.filters import CALENDAR, days_of, in_calendar_range
 from logweir.schemas import DEFAULT_PAYLOAD
 from logweir.sources.layouts import DEFAULT_LAYOUT, STANDARD_STRATEGY, PartitionStrategy
 from logweir.sources.manifest import (
+    Closed,
     add_entry,
     closed_batches,
     closed_days,
@@ -47,6 +50,7 @@ from logweir.sources.manifest import (
     read_commits,
     taken_days,
 )
+from logweir.sources.message_index import files_to_read, needed_trigrams, write_index
 from logweir.sources.storage import exists, read_if_any
 
 BATCH = ("stream_id", "batch_id")
@@ -232,18 +236,23 @@ def read_logs(
     payload: StructType = DEFAULT_PAYLOAD,
     span: tuple[int, int] | None = None,
     through: dict[str, int] | None = None,
+    keywords: Sequence[str] | str | None = None,
+    literal: bool = False,
 ) -> DataFrame:
     """Every landed row once: compacted days from ``target``, all else from the batches.
 
     Batches whose days (in ``span``) are all compacted with them are not opened; of those that
     arrived later, or have open days too, the rows that a compacted day holds are left out.
-    ``through`` leaves out the batches of a stream after the given one.
+    ``through`` leaves out the batches of a stream after the given one. ``keywords`` leave out
+    compacted files in which no message matches; they are a hint, as ``span`` is.
     """
     schema = store_schema(payload)
     closed = closed_days(spark, target, span)
     taken = taken_days(spark, closed)
     commits = read_commits(spark, root)
-    parts = [_compacted(spark, target, schema, strategy, span)] if closed else []
+    parts = []
+    if closed:
+        parts.append(_compacted(spark, target, schema, strategy, span, keywords, literal))
     for layout in _layouts_there(spark, root, strategy):
         rows = _batch_rows(spark, root, layout, payload, strategy, span)
         # One row per batch, asked twice.
@@ -283,6 +292,9 @@ def compact_days(
     days = in_calendar_range(rows, start_time, end_time)
     place = f"{target}/data/generation={generation}"
     _write_partitions(days, place, strategy.default, strategy.default)
+    if "message" in payload.fieldNames():
+        stored = spark.read.schema(store_schema(payload)).orc(place)
+        write_index(stored, target, generation)
     add_entry(spark, target, generation, *days_of(start_time, end_time), through)
 
 
@@ -292,12 +304,37 @@ def _compacted(
     schema: StructType,
     strategy: PartitionStrategy,
     span: tuple[int, int] | None,
+    keywords: Sequence[str] | str | None = None,
+    literal: bool = False,
 ) -> DataFrame:
     stored = StructType(list(schema.fields)).add("generation", StringType())
     levels = ("generation", *strategy.default)
-    rows = _scan(spark, f"{target}/data", stored, levels, span)
-    counted = in_generations(closed_days(spark, target, span))
-    return rows.filter(counted).select(*schema.fieldNames())
+    closed = closed_days(spark, target, span)
+    needed = needed_trigrams(keywords, literal)
+    place = f"{target}/data"
+    if needed is None:
+        rows = _scan(spark, place, stored, levels, span).filter(in_generations(closed))
+        return rows.select(*schema.fieldNames())
+    named, unread = [], []
+    by_generation: dict[str, list[Closed]] = {}
+    for days in closed:
+        by_generation.setdefault(days.generation, []).append(days)
+    for generation, days in by_generation.items():
+        files = files_to_read(spark, target, generation, needed, span)
+        if files is None:
+            unread += days
+        else:
+            named += [f"{place}/generation={generation}/{f}" for f in files]
+    parts = []
+    if named:
+        # A file may hold days that a later compaction has taken over.
+        reader = spark.read.schema(stored).option("basePath", place)
+        parts.append(reader.orc(named).filter(in_generations(closed)))
+    if unread:
+        parts.append(_scan(spark, place, stored, levels, span).filter(in_generations(unread)))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts).select(*schema.fieldNames())
 
 
 def read_compacted(
@@ -306,11 +343,19 @@ def read_compacted(
     payload: StructType = DEFAULT_PAYLOAD,
     strategy: PartitionStrategy = STANDARD_STRATEGY,
     span: tuple[int, int] | None = None,
+    keywords: Sequence[str] | str | None = None,
+    literal: bool = False,
 ) -> DataFrame:
-    """Rows of a compacted dataset."""
+    """Rows of a compacted dataset.
+
+    With ``keywords`` (as a log query takes them) only files are opened whose messages hold a
+    text that each match requires. It is a hint, as ``span`` is: rows that do not match may be
+    returned too, so the query has to filter all the same.
+    """
     if not exists(spark, f"{target}/manifest"):
         raise NotFoundError(f"no compacted logs at {target}")
-    return _compacted(spark, target, store_schema(payload), strategy, span)
+    schema = store_schema(payload)
+    return _compacted(spark, target, schema, strategy, span, keywords, literal)
 
 
 def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:

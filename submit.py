@@ -97,14 +97,18 @@ def parser() -> argparse.ArgumentParser:
 
 
 def open_logs(
-    spark: SparkSession, path: str, span: tuple[int, int], compacted: str | None = None
+    spark: SparkSession,
+    path: str,
+    span: tuple[int, int],
+    compacted: str | None = None,
+    keywords: str = "",
 ) -> DataFrame:
     if compacted:
-        return read_logs(spark, path, compacted, span=span)
+        return read_logs(spark, path, compacted, span=span, keywords=keywords)
     if exists(spark, f"{path}/logs"):
         return read_log_stores(spark, path, span=span)
     if exists(spark, f"{path}/manifest"):
-        return read_compacted(spark, path, span=span)
+        return read_compacted(spark, path, span=span, keywords=keywords)
     return read_orc_logs(spark, path)
 
 
@@ -173,7 +177,8 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
         plugin=args.plugin if args.apply_origin else ANY,
         doc_type=args.doc_type if args.apply_origin else ANY,
     )
-    logs = open_logs(spark, args.input, (args.start, args.end), args.compacted)
+    span = (args.start, args.end)
+    logs = open_logs(spark, args.input, span, args.compacted, args.keywords)
     if args.job == "histogram":
         run_histogram(logs, query, args.window, args.output)
     else:
