@@ -47,7 +47,7 @@ TIES = ("event_id",)
 # Keywords, and whether they are plain texts.
 INDEXED = (
     ("text", ["k\": 69", "k\": 7}"], True),
-    ("pattern", [r'^\{"k": (1|4)[0-3]+', 'k": 99?\}'], False),
+    ("pattern", [r'^\{"k": (1|4)[0-3]+', r'k": 99?\}'], False),
     ("no text", ["69", "8"], False),
 )
 FILES_PER_BATCH = 10_000
