@@ -62,20 +62,32 @@ def write_index(rows: DataFrame, target: str, generation: str) -> None:
     A message gives each of its trigrams once and a task combines those of its files before the
     shuffle, which so carries no more than the index itself.
     """
-    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-    name = F.substring_index(path, f"/generation={generation}/", -1)
-    grams = F.regexp_extract_all(F.col("data.message"), F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
     (
+        index_rows(rows, generation)
+        .repartitionByRange("trigram", "day", "file")
+        .sortWithinPartitions("trigram", "day", "file")
+        .write.orc(_index_path(target, generation))
+    )
+
+
+def index_rows(rows: DataFrame, generation: str) -> DataFrame:
+    """Each trigram of the messages, once per day and file.
+
+    Days and paths are taken before a message is split, and files named after rows are combined,
+    so neither is worked out once per trigram.
+    """
+    grams = F.regexp_extract_all(F.col("message"), F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    name = F.substring_index(path, f"/generation={generation}/", -1)
+    return (
         rows.select(
             F.make_date("year", "month", "day").alias("day"),
-            name.alias("file"),
-            F.explode(F.array_distinct(grams)).alias("trigram"),
+            F.col("_metadata.file_path").alias("path"),
+            F.col("data.message").alias("message"),
         )
-        .select("trigram", "day", "file")
+        .select("day", "path", F.explode(F.array_distinct(grams)).alias("trigram"))
         .distinct()
-        .repartitionByRange("trigram", "day", "file")
-        .sortWithinPartitions("trigram", "day", "file")
-        .write.orc(_index_path(target, generation))
+        .select("trigram", "day", name.alias("file"))
     )
 
 

@@ -1,6 +1,7 @@
 """Keyword searches over compacted days that open only files that may match."""
 
 import re
+from urllib.parse import unquote
 
 import pytest
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from frames import epoch, values
 from logweir.functions.patterns import required_texts
 from logweir.operators.filters import by_keywords
 from logweir.sources import log_store, message_index
+from logweir.sources.manifest import closed_days
 from logweir.sources.message_index import needed_trigrams
 from logweir.sources.storage import discard, new_path
 from logweir.streaming.ingest import land_batch
@@ -118,3 +120,20 @@ def test_common_keywords_read_all_files(spark, root, monkeypatch):
     monkeypatch.setattr(message_index, "LISTED_FILES", 1)
     assert found(spark, root, "line of")[1] == [1, 2, 3, 4, 5, 6]
     assert found(spark, root, "02-03") == (1, [3])
+
+
+def test_files_are_named_after_trigrams_are_combined(spark, root):
+    (generation,) = [c.generation for c in closed_days(spark, f"{root}/compacted")]
+    place = f"{root}/compacted/data/generation={generation}"
+    stored = spark.read.schema(log_store.store_schema()).orc(place)
+    rows = message_index.index_rows(stored, generation)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # A plan is printed from its last step to its first.
+    assert re.match(r"Aggregate \[day#\d+, path#\d+, trigram#\d+\]", plan)
+    assert plan.index("substring_index") < plan.index("Generate") < plan.index("make_date")
+    expected = {
+        (gram, unquote(path).split(f"/generation={generation}/")[1])
+        for path, text in values(stored, "_metadata.file_path", "data.message")
+        for gram in message_index.trigrams(text or "")
+    }
+    assert sorted(values(rows, "trigram", "file")) == sorted(expected)
