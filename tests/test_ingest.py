@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from checks import views
 from frames import epoch, values
 from logweir.errors import NotFoundError, ValidationError
 from logweir.operators import parse
@@ -342,3 +343,40 @@ def test_topic_needs_the_connector(spark):
 
     with pytest.raises(AnalysisException, match="kafka"):
         read_topic(spark, "broker:9092", "logs", 1000)
+
+
+def test_a_parsed_payload_is_not_held_as_text_too(spark, monkeypatch):
+    held = []
+    frames = type(spark.range(0))
+    persist = frames.persist
+
+    def kept(frame, *level):
+        held.append(values(frame, "_raw", "_malformed"))
+        assert "_message" not in frame.columns
+        return persist(frame, *level)
+
+    monkeypatch.setattr(frames, "persist", kept)
+    root, _ = land(spark, TEXTS)
+    assert len(held) == 1
+    texts = [t for rows in held for t, _ in rows if t is not None]
+    assert sorted(texts) == sorted([TEXTS[0], TEXTS[2], TEXTS[3], "not a struct"])
+    assert log_store.read_dead_letters(spark, root).count() == 5
+
+
+def test_messages_of_a_table_are_built_by_several_tasks(spark, tmp_path, monkeypatch):
+    events = spark.range(1_000).selectExpr(
+        "id as event_id",
+        "timestamp_seconds(1704844800 + id) as ts",
+        "id % 7 as user_id",
+        "if(id % 3 = 0, 'error', 'view') as event_type",
+        "1.0D as value",
+        "concat('k ', id) as props",
+    )
+    # One file with one group of rows, which no reader splits.
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    whole = values(views.envelopes(spark, str(tmp_path)), F.col("value").cast("string"))
+    monkeypatch.setattr(views, "EVENTS_PER_TASK", 100, raising=False)
+    dealt = views.envelopes(spark, str(tmp_path))
+    assert sorted(values(dealt, F.col("value").cast("string"))) == sorted(whole)
+    sizes = values(dealt.groupBy(F.spark_partition_id()).count(), "count")
+    assert len(sizes) == 10 and max(sizes) < 200
