@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -40,6 +41,24 @@ def test_query_matches_sql(spark, name):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(rows, key=repr)
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_a_stage_run_by_itself_hands_out_text_in_small_batches(spark, stage):
+    """The setting has to hold when the lazy result of a stage runs, whoever runs it."""
+    spark.conf.set(corpus_pipeline.BATCH_SETTING, "64m")
+    rows = [(k, f"word{k} " * 2500, "en", "a") for k in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "length(text) + 0L AS n_chars").coalesce(1)
+    stage(spark, docs, SF_DIR)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes], "n": [batch.num_rows]})
+
+    found = docs.mapInArrow(sizes, "size long, n long").collect()
+    assert sum(r.n for r in found) == len(rows)
+    assert sum(r.size for r in found) > 10_000_000
+    assert max(r.size for r in found) < 5_000_000
+
+
 def test_stages_over_awkward_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(150)
     rows = [(10_000 + i, t, lang, s) for i, t, lang, s in awkward_rows() if i is not None]
