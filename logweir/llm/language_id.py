@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from logweir.llm.pieces import runs
+from logweir.llm.pieces import places_in, runs
 from logweir.llm.tables import Scratch, free_name
 from logweir.llm.words import kept, slices, text_bytes
 
@@ -194,9 +194,8 @@ class Scorer:
         self.scores = np.empty((0, len(model.languages)))
 
     def of_words(self, words: pa.Array) -> np.ndarray:
-        place = pc.index_in(words, value_set=self.kept)
-        known = pc.is_valid(place).to_numpy(zero_copy_only=False)
-        place = pc.fill_null(place, 0).to_numpy()
+        place = places_in(self.kept, words)
+        known = place >= 0
         fresh = words.filter(pa.array(~known))
         new = np.empty((len(fresh), len(self.model.languages)))
         for rows, spelled in _by_length(fresh):

@@ -139,9 +139,8 @@ class Pieces:
 
     def _different(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Count of ids by piece, and all ids, of pieces no two of which are equal."""
-        place = pc.index_in(pieces, value_set=self.kept)
-        known = pc.is_valid(place).to_numpy(zero_copy_only=False)
-        place = pc.fill_null(place, 0).to_numpy()
+        place = places_in(self.kept, pieces)
+        known = place >= 0
         fresh = pieces.filter(pa.array(~known))
         new_counts, new_ids = self._new(fresh)
         counts = np.empty(len(pieces), np.int64)
@@ -233,6 +232,19 @@ class Pieces:
         return np.diff(ends[first]), ids[runs(starts[place], counts[place])]
 
 
+def places_in(kept: pa.Array, values: pa.Array) -> np.ndarray:
+    """Place of each value among the kept ones, -1 if it is none of them; each has no equals.
+
+    The kept ones are looked up among the values: the table Arrow builds anew for every lookup
+    is one of the values of a batch, not of all that a worker keeps.
+    """
+    found = pc.fill_null(pc.index_in(kept, value_set=values), -1).to_numpy()
+    place = np.full(len(values), -1, np.int64)
+    at = np.flatnonzero(found >= 0)
+    place[found[at]] = at
+    return place
+
+
 def runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """first[0], first[0]+1, ... counts[0] numbers, then the same for the next."""
     total = int(counts.sum())

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from logweir.llm.packing import pack
 from logweir.llm.packing_plan import combinations, head_units, make_plan, nnls
-from logweir.llm.pieces import Pieces, WholeTexts, encoder
+from logweir.llm.pieces import Pieces, WholeTexts, encoder, places_in
 from logweir.llm.token_counts import token_counts
 
 from .cases import SCHEMA, awkward_rows, frame
@@ -86,6 +86,22 @@ def test_long_texts_take_bounded_room(spark):
     assert encoder(PATH).kept.nbytes < 30_000_000
 
 
+def test_lookup_among_kept_pieces_takes_room_for_the_batch_only():
+    kept = pa.array([f"piece {k}" for k in range(300_000)], pa.large_string())
+    values = pa.array(["new", "piece 299999", "", "piece 0"], pa.large_string())
+    pool = pa.proxy_memory_pool(pa.default_memory_pool())
+    before = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        found = places_in(kept, values)
+    finally:
+        pa.set_memory_pool(before)
+    assert found.tolist() == [-1, 299_999, -1, 0]
+    assert pool.max_memory() < 5_000_000
+    assert places_in(kept.slice(0, 0), values).tolist() == [-1] * 4
+    assert places_in(kept, values.slice(0, 0)).tolist() == []
+
+
 def test_combinations_fill_the_window():
     assert sorted(combinations(6, 3)) == sorted(
         [(6,), (5, 1), (4, 2), (3, 3), (4, 1, 1), (3, 2, 1), (2, 2, 2)]
