@@ -1,15 +1,18 @@
 """Nearest neighbours by collision counting.
 
-Every vector is projected onto random lines, one sorted array per line. A query opens a window
-around its own projection on every line; the windows widen step by step (virtual rehashing).
-Vectors that lie in the windows of most lines are verified at each step, until those found are
-nearer than what vectors still outside are likely to be.
+An index has tables of cells. A table has two sets of random lines, and a vector lies in the cell
+of the two lines, one of each set and either way along them, on which its projections are
+largest. A query opens a window in every table: the cells on whose lines its own projections sum
+to enough. The windows widen step by step over the same tables (virtual rehashing). Vectors that
+lie in the windows of several tables are verified at each step, until those found are nearer
+than what vectors still outside are likely to be.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -17,19 +20,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES = 96
-# Half the window's width on each line, as a share of the largest norm, step by step.
-WIDTHS = (0.25, 0.5, 0.75, 1.0, 1.15, 1.3, 1.5, 1.75, 2.0)
-# Collisions a vector needs, as a share of the lines.
-COLLISIONS = 0.72
+TABLES = 48
+# Share of all cells that a window holds on average, step by step.
+SHARES = tuple(2 ** (s / 2 - 13) for s in range(21))
+# Collisions a vector needs.
+COLLISIONS = 4
 # Chance with which a vector as near as the k-th found has to have them before windows stop.
 SURE = 0.95
 # Vectors of one index have norms above this share of its largest; so few are verified whole.
 NORMS = 0.8
 FEW = 64
-# Vectors per block of the index, and queries that visit a block together.
-BLOCK_ROWS = 8_192
-QUERY_ROWS = 4_096
+# Lines of a set: the root of the vectors by this, within these bounds.
+ROOT_PER_LINE = 10
+LEAST_LINES, MOST_LINES = 4, 32
+# Vectors hashed at once, and queries that open their first windows at the same step.
+HASH_ROWS = 4_096
+CHUNK = 16
+# Vectors per block of the index, and components of them.
+BLOCK_ROWS = 262_144
+BLOCK_NUMBERS = 1 << 24
+# Queries that visit a block together: so many, or a quarter of all up to the most.
+QUERY_ROWS = 1_024
+QUERY_GROUPS = 4
+QUERY_MOST = 32_768
 
 
 def _lines(dims: int, lines: int) -> np.ndarray:
@@ -41,70 +54,129 @@ def _norms(vectors: np.ndarray) -> np.ndarray:
     return peak * np.sqrt(((vectors / peak[:, None]) ** 2).sum(axis=1))
 
 
-def _reach(widths: Sequence[float], lines: int, collisions: int, sure: float) -> list[float]:
-    """The distance up to which a vector has the collisions with the chance ``sure``, by width.
+def _least(shares: Sequence[float]) -> list[float]:
+    """The sum of two normal numbers that is exceeded with the chance of each share."""
+    return [math.sqrt(2) * NormalDist().inv_cdf(1 - share) for share in shares]
 
-    On each line a vector is apart from the query by a normal number times their distance.
+
+@lru_cache(maxsize=64)
+def _reach(
+    shares: tuple[float, ...], lines: int, tables: int, collisions: int, sure: float
+) -> list[float]:
+    """The cosine down to which a vector has the collisions with the chance ``sure``, by step.
+
+    On a line, the query's projection is normal around the cosine times the vector's. The
+    vector's on its own two lines are the largest of ``lines`` either way.
     """
     low, high = 0.0, 1.0
     for _ in range(40):
         p = (low + high) / 2
-        tail = range(collisions, lines + 1)
-        chance = sum(math.comb(lines, c) * p**c * (1 - p) ** (lines - c) for c in tail)
+        tail = range(collisions, tables + 1)
+        chance = sum(math.comb(tables, c) * p**c * (1 - p) ** (tables - c) for c in tail)
         low, high = (p, high) if chance < sure else (low, p)
-    spread = NormalDist().inv_cdf((1 + low) / 2)
-    return [w / spread for w in widths]
+    needed = low
+    ranks = [(i + 0.5) / 16 for i in range(16)]
+    largest = np.array([NormalDist().inv_cdf((1 + r ** (1 / lines)) / 2) for r in ranks])
+    sums = (largest[:, None] + largest).ravel()
+    erf = np.vectorize(math.erf)
+
+    def met(cosine: float, least: float) -> float:
+        z = (cosine * sums - least) / math.sqrt(2 * (1 - cosine**2))
+        return float((1 + erf(z / math.sqrt(2))).mean() / 2)
+
+    reach = []
+    for least in _least(shares):
+        low, high = 0.0, 1 - 1e-9
+        if met(high, least) < needed:
+            reach.append(math.inf)
+            continue
+        for _ in range(25):
+            cosine = (low + high) / 2
+            low, high = (cosine, high) if met(cosine, least) < needed else (low, cosine)
+        reach.append(high)
+    return reach
+
+
+def _spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one span after the other."""
+    end = np.cumsum(length)
+    return np.repeat(begin - end + length, length) + np.arange(end[-1] if len(end) else 0)
 
 
 class Shell:
-    """The rows of some vectors of like norm, with their sorted projections."""
+    """Some rows of ``vectors``, of like norm, by their cells in every table."""
 
-    def __init__(self, rows: np.ndarray, vectors: np.ndarray, norms: np.ndarray, lines: int):
-        self.rows, self.most = rows, float(norms.max())
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, norms: np.ndarray, tables: int):
+        self.rows, self.most, self.tables = rows, float(norms.max()), tables
+        self.units = (vectors[rows] / self.most).astype(np.float32, copy=False)
         if len(rows) <= FEW:
             return
-        placed = (vectors / self.most).astype(np.float32)
-        self.directions = _lines(vectors.shape[1], lines)
+        lines = round(math.sqrt(len(rows)) / ROOT_PER_LINE)
+        self.lines = max(LEAST_LINES, min(lines, MOST_LINES))
+        self.directions = _lines(vectors.shape[1], 2 * tables * self.lines)
         # One more coordinate makes all norms equal, so that the largest inner product is the
-        # smallest distance.
-        rest = np.maximum(1 - (placed * placed).sum(axis=1), 0.0)
-        placed = placed @ self.directions[:-1] + np.sqrt(rest)[:, None] * self.directions[-1]
-        self.order = np.argsort(placed, axis=0).astype(np.int32).T.copy()
-        self.sorted = np.take_along_axis(placed, self.order.T, axis=0).T.copy()
-
-    def windows(self, units: np.ndarray, widths: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the windows of all steps begin and end, by step, line and query."""
-        centres = units @ self.directions[:-1]
-        begin = np.empty((len(widths), len(self.order), len(units)), np.int32)
-        end = np.empty_like(begin)
-        for j in range(len(self.order)):
-            for s, half in enumerate(widths):
-                begin[s, j] = np.searchsorted(self.sorted[j], centres[:, j] - half, "left")
-                end[s, j] = np.searchsorted(self.sorted[j], centres[:, j] + half, "right")
-        return begin, end
-
-    def reached(self, begin: list, end: list, inner: tuple[list, list] | None) -> np.ndarray:
-        """How often each vector lies in the windows, outside of those inside them."""
-        lines = range(len(self.order))
-        if inner is None:
-            spans = [self.order[j, begin[j] : end[j]] for j in lines]
-        else:
-            low, high = inner
-            spans = [self.order[j, begin[j] : low[j]] for j in lines]
-            spans += [self.order[j, high[j] : end[j]] for j in lines]
-        return np.bincount(np.concatenate(spans), minlength=len(self.rows))
+        # largest cosine.
+        rest = np.sqrt(np.maximum(1 - (self.units * self.units).sum(axis=1), 0.0))
+        self.order = np.empty((tables, len(rows)), np.int32)
+        cells = (2 * self.lines) ** 2
+        sizes = np.empty((tables, cells), np.int64)
+        for table in range(tables):
+            cell = self._cells(table, rest)
+            sizes[table] = np.bincount(cell, minlength=cells)
+            self.order[table] = np.argsort(cell, kind="stable")
+        self.order = self.order.ravel()
+        self.begin = np.append(0, np.cumsum(sizes))
+
+    def _cells(self, table: int, rest: np.ndarray) -> np.ndarray:
+        width = 2 * self.lines
+        lines = self.directions[:, table * width : (table + 1) * width]
+        cell = np.empty(len(rest), np.uint16)
+        for at in range(0, len(rest), HASH_ROWS):
+            some = slice(at, at + HASH_ROWS)
+            placed = self.units[some] @ lines[:-1] + rest[some, None] * lines[-1]
+            placed = placed.reshape(-1, self.lines)
+            best = np.abs(placed).argmax(axis=1)
+            below = placed[np.arange(len(placed)), best] < 0
+            best = (best + self.lines * below).reshape(-1, 2)
+            cell[some] = best[:, 0] * width + best[:, 1]
+        return cell
+
+    def places(self, units: np.ndarray) -> np.ndarray:
+        """Projections on the lines, both ways, by query, set of lines and table."""
+        placed = (units @ self.directions[:-1]).reshape(len(units), self.tables, 2, self.lines)
+        return np.concatenate([placed, -placed], axis=3).transpose(0, 2, 1, 3)
+
+    def met(
+        self, first: np.ndarray, second: np.ndarray, least: float, collisions: int
+    ) -> np.ndarray:
+        """Vectors in so many windows: of the cells on whose lines the places sum to enough."""
+        table, i = np.nonzero(first >= (least - second.max(axis=1))[:, None])
+        mate_table, j = np.nonzero(second >= (least - first.max(axis=1))[:, None])
+        mates = np.bincount(mate_table, minlength=self.tables)
+        of = np.repeat(np.arange(len(table)), mates[table])
+        mate = _spans((np.cumsum(mates) - mates)[table], mates[table])
+        inside = first[table, i][of] + second[mate_table, j][mate] >= least
+        of, mate = of[inside], mate[inside]
+        width = 2 * self.lines
+        cell = (table[of] * width + i[of]) * width + j[mate]
+        begin = self.begin[cell]
+        held = self.order[_spans(begin, self.begin[cell + 1] - begin)]
+        held.sort()
+        held = held[collisions - 1 :][held[collisions - 1 :] == held[: 1 - collisions or None]]
+        return held[np.diff(held, prepend=-1) != 0]
 
 
 class Block:
     """Some vectors: equal ones are one, and those of like norm share an index."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, tables: int):
         # Zeros of either sign are equal.
         whole = np.ascontiguousarray(vectors + vectors.dtype.type(0))
         packed = whole.view(np.dtype((np.void, whole.dtype.itemsize * whole.shape[1]))).ravel()
         _, first, of = np.unique(packed, return_index=True, return_inverse=True)
         self.vectors, self.of, self.ids = whole[first], of.ravel(), ids
-        self.by_vector = np.lexsort((ids, self.of))
+        del whole, packed
+        self.by_id, self.by_vector = np.argsort(ids), np.lexsort((ids, self.of))
         self.copies = np.bincount(self.of)
         self.first = np.append(0, np.cumsum(self.copies))
         norms = _norms(self.vectors)
@@ -114,7 +186,7 @@ class Block:
             bound = -norms[falling[at]] * NORMS
             to = max(at + 1, int(np.searchsorted(-norms[falling], bound, "left")))
             rows = falling[at:to]
-            self.shells.append(Shell(rows, self.vectors[rows], norms[rows], lines))
+            self.shells.append(Shell(rows, self.vectors, norms[rows], tables))
             at = to
 
     def nearest(
@@ -122,22 +194,32 @@ class Block:
         query_ids: np.ndarray,
         queries: np.ndarray,
         k: int,
-        widths: Sequence[float],
-        reach: Sequence[float],
+        shares: Sequence[float],
         collisions: int,
+        sure: float,
     ) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and scores of the ``k`` best found, by query; rows of its own id are left out."""
         norms = _norms(queries)
         units = (queries / norms[:, None]).astype(np.float32)
-        # The k best different vectors of each query so far, by rising score.
+        wide = queries.astype(np.float64)
+        least = _least(shares)
+        # Sums in single precision may be off by so much.
+        margin = 4 * np.finfo(np.float32).eps * queries.shape[1]
+        # The k best different vectors of each query so far.
         rows = [np.empty(0, np.int64)] * len(queries)
         scores = [np.empty(0)] * len(queries)
-        own = [self._only(i) for i in query_ids]
+        own = [self._of_id(i) for i in query_ids]
+        only = [self._only(places) for places in own]
 
-        def verify(q: int, some: np.ndarray) -> None:
-            if len(own[q]):
-                some = some[~np.isin(some, own[q])]
-            found = self.vectors[some].astype(np.float64) @ queries[q].astype(np.float64)
+        def verify(q: int, shell: Shell, some: np.ndarray) -> None:
+            for row in only[q]:
+                some = some[shell.rows[some] != row]
+            if len(some) > k:
+                rough = shell.units[some] @ units[q]
+                some = some[rough >= np.partition(rough, len(some) - k)[len(some) - k] - margin]
+            some = shell.rows[some]
+            # Summed row by row, so that equal vectors of other blocks have the same score.
+            found = (self.vectors[some].astype(np.float64) * wide[q]).sum(axis=1)
             some, found = np.append(rows[q], some), np.append(scores[q], found)
             if len(some) > k:
                 # Keep all that reach the k-th best score, so that ties are not cut by chance.
@@ -145,61 +227,67 @@ class Block:
                 some, found = some[keep], found[keep]
             rows[q], scores[q] = some, found
 
-        def apart(q: int, most: float) -> float:
-            """The distance of the k-th best, as it would be among vectors of this norm."""
-            if len(scores[q]) < k:
-                return math.inf
-            return math.sqrt(max(2 - 2 * scores[q].min() / norms[q] / most, 0.0))
+        def cosine(q: int, most: float) -> float:
+            """That of the k-th best, as it would be among vectors of this norm."""
+            return scores[q].min() / norms[q] / most if len(scores[q]) >= k else -math.inf
 
         for shell in self.shells:
             # No vector's score is above the product of the norms.
-            some = [
-                q
-                for q in range(len(queries))
-                if len(scores[q]) < k or scores[q].min() <= shell.most * norms[q] * (1 + 1e-9)
-            ]
+            some = [q for q in range(len(queries)) if cosine(q, shell.most) <= 1 + 1e-9]
             if not some:
                 break
-            if len(shell.rows) <= FEW:
+            everything = np.arange(len(shell.rows))
+            if len(everything) <= FEW:
                 for q in some:
-                    verify(q, shell.rows)
+                    verify(q, shell, everything)
                 continue
-            begin, end = shell.windows(units[some], widths)
-            covered = (end - begin).sum(axis=1)
-            for at, q in enumerate(some):
-                counts = np.zeros(len(shell.rows), np.int64)
-                seen = np.zeros(len(shell.rows), bool)
-                inner = None
-                for s in range(len(widths)):
-                    # A step that cannot reach enough for an answer is passed over.
-                    if covered[s, at] < (k - len(scores[q])) * collisions:
-                        continue
-                    b, e = begin[s, :, at].tolist(), end[s, :, at].tolist()
-                    counts += shell.reached(b, e, inner)
-                    inner = b, e
-                    new = (counts >= collisions) & ~seen
-                    seen |= new
-                    verify(q, shell.rows[new])
-                    if apart(q, shell.most) <= reach[s]:
-                        break
-                else:
-                    # Even the widest windows may miss some: all of them are verified.
-                    verify(q, shell.rows[~seen])
-        return [self._answer(query_ids[q], rows[q], scores[q], k) for q in range(len(queries))]
-
-    def _only(self, query_id: int) -> np.ndarray:
-        """Vectors of which all rows have this id."""
-        mine, times = np.unique(self.of[self.ids == query_id], return_counts=True)
+            reach = _reach(tuple(shares), shell.lines, shell.tables, collisions, sure)
+            begin = 0
+            for at in range(0, len(some), CHUNK):
+                chunk = some[at : at + CHUNK]
+                ends = []
+                for q, (first, second) in zip(chunk, shell.places(units[chunk])):
+                    seen = everything[:0]
+                    for s in range(begin, len(shares)):
+                        # A step that cannot reach enough for an answer is passed over.
+                        held = shares[s] * shell.tables * len(everything)
+                        if held < (k - len(scores[q])) * collisions:
+                            continue
+                        met = shell.met(first, second, least[s], collisions)
+                        verify(q, shell, np.setdiff1d(met, seen, assume_unique=True))
+                        seen = met
+                        if cosine(q, shell.most) >= reach[s]:
+                            break
+                    else:
+                        # Even the widest windows may miss some: all of them are verified.
+                        verify(q, shell, np.setdiff1d(everything, seen, assume_unique=True))
+                    far = cosine(q, shell.most)
+                    ends.append(next((s for s, c in enumerate(reach) if far >= c), len(reach) - 1))
+                # The next ones begin where half of these could have ended.
+                begin = sorted(ends)[(len(ends) - 1) // 2]
+        return [self._answer(own[q], rows[q], scores[q], k) for q in range(len(queries))]
+
+    def _of_id(self, query_id: int) -> np.ndarray:
+        """Places of the rows of this id."""
+        first = np.searchsorted(self.ids, query_id, "left", sorter=self.by_id)
+        return self.by_id[first : np.searchsorted(self.ids, query_id, "right", sorter=self.by_id)]
+
+    def _only(self, own: np.ndarray) -> np.ndarray:
+        """Vectors of which all rows are these."""
+        mine, times = np.unique(self.of[own], return_counts=True)
         return mine[times == self.copies[mine]]
 
     def _answer(
-        self, query_id: int, rows: np.ndarray, scores: np.ndarray, k: int
+        self, own: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int
     ) -> tuple[np.ndarray, np.ndarray]:
-        each = [self.by_vector[self.first[u] : self.first[u + 1]] for u in rows]
-        places = np.concatenate([np.empty(0, np.int64), *each])
-        scores = np.repeat(scores, self.copies[rows])
-        other = self.ids[places] != query_id
-        ids, scores = self.ids[places[other]], scores[other]
+        # Of a vector's rows, by rising id, the first k that are not the query's are enough.
+        taken = np.minimum(self.copies[rows], k + len(own))
+        places = self.by_vector[_spans(self.first[rows], taken)]
+        scores = np.repeat(scores, taken)
+        if len(own):
+            other = self.ids[places] != self.ids[own[0]]
+            places, scores = places[other], scores[other]
+        ids = self.ids[places]
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best]
 
@@ -219,9 +307,9 @@ def nearest(
     embeddings: DataFrame,
     k: int = 20,
     query_step: int = 20,
-    lines: int = LINES,
-    widths: Sequence[float] = WIDTHS,
-    collisions: float = COLLISIONS,
+    tables: int = TABLES,
+    shares: Sequence[float] = SHARES,
+    collisions: int = COLLISIONS,
     sure: float = SURE,
     block_rows: int = BLOCK_ROWS,
     query_rows: int = QUERY_ROWS,
@@ -234,23 +322,24 @@ def nearest(
     zero, or hold a null or non-finite component take no part; only vectors of one length are
     compared. A repeated query id is answered once, repeated candidates may each be found.
 
-    Every vector is indexed: blocks of about ``block_rows`` vectors, dealt by a hash of the id,
-    meet groups of queries in one task each. A block gives each query its ``k`` best, and the
-    best of those are ranked. In a block equal vectors are one, and vectors of like norm have an
-    index of their own, largest first. Those in the windows of ``collisions`` of the lines are
-    verified; windows widen until ``k`` different vectors are found and one as near as the last
-    of them would be in the windows with the chance ``sure``. If even the widest windows do not
-    reach so far, the whole index is verified.
+    Every vector is indexed: blocks of about ``block_rows`` vectors, or 16 million components,
+    dealt by a hash of the id, meet groups of queries in one task each. A block gives each query
+    its ``k`` best, and the best of those are ranked. In a block equal vectors are one, and
+    vectors of like norm have an index of their own, largest first. Those in the windows of
+    ``collisions`` of the tables are verified; windows widen until ``k`` different vectors are
+    found and one as near as the last of them would be in the windows with the chance ``sure``.
+    If even the widest windows do not reach so far, the whole index is verified. The work for a
+    query grows less than a block does, but in proportion to the number of blocks.
     """
     rows = usable(embeddings)
     facts = rows.agg(
         F.count("*").alias("n"),
         F.count_if(F.col("vec_id") % query_step == 0).alias("queries"),
+        F.sum(F.size("embedding")).alias("numbers"),
     ).first()
-    blocks = max(1, math.ceil(facts["n"] / block_rows))
-    groups = max(1, math.ceil(facts["queries"] / query_rows))
-    needed = math.ceil(collisions * lines)
-    reach = _reach(widths, lines, needed, sure)
+    blocks = math.ceil(max(1, facts["n"] / block_rows, (facts["numbers"] or 0) / BLOCK_NUMBERS))
+    together = min(max(query_rows, facts["queries"] / QUERY_GROUPS), QUERY_MOST)
+    groups = max(1, math.ceil(facts["queries"] / together))
 
     dims = F.size("embedding").alias("dims")
     of_block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
@@ -278,8 +367,11 @@ def nearest(
         size = key[0].as_py()
         ids, vectors = matrix(left, size)
         query_ids, queries = matrix(right, size)
-        found = Block(ids, vectors, lines).nearest(
-            query_ids, queries, k, widths, reach, needed
+        # The order in which rows arrive decides nothing.
+        by_id = np.argsort(query_ids, kind="stable")
+        query_ids, queries = query_ids[by_id], queries[by_id]
+        found = Block(ids, vectors, tables).nearest(
+            query_ids, queries, k, shares, collisions, sure
         )
         parts = [(np.full(len(i), q), i, x) for q, (i, x) in zip(query_ids, found)]
         columns = [np.concatenate(x) for x in zip(*parts)]

@@ -20,7 +20,7 @@ from logweir.llm.language_id import (
     word_scores,
 )
 from logweir.llm.mixing import SCHEDULES, mix, mixed_documents
-from logweir.llm.nearest import nearest
+from logweir.llm.nearest import COLLISIONS, SHARES, SURE, TABLES, Block, Shell, nearest
 
 from .cases import SCHEMA, awkward_rows, by_row, frame
 
@@ -212,6 +212,60 @@ def test_recall_with_copies_and_mixed_norms(spark, case):
     assert np.mean(recalls) >= 0.95 and min(recalls) >= 0.7
 
 
+def test_a_query_verifies_a_falling_share_of_a_growing_block(monkeypatch):
+    """Eight times the vectors of a block are less than four times the vectors verified."""
+    rng, met, verified = np.random.default_rng(5), Shell.met, []
+
+    def counted(*args):
+        found = met(*args)
+        verified.append(len(found))
+        return found
+
+    monkeypatch.setattr(Shell, "met", counted)
+    work = []
+    for n in (3_000, 24_000):
+        matrix = rng.standard_normal((n, 64))
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        ids = np.arange(n)
+        asked = ids[: 60 * 20 : 20]
+        verified.clear()
+        found = Block(ids, matrix, TABLES).nearest(
+            asked, matrix[asked], 20, SHARES, COLLISIONS, SURE
+        )
+        # Steps hold what earlier ones held; their sum bounds what a query reads from above.
+        work.append(sum(verified) / len(asked))
+        hits = 0
+        for q, (answers, scores) in zip(asked, found):
+            every = matrix @ matrix[q]
+            every[q] = -np.inf
+            assert np.allclose(scores, every[answers], rtol=1e-12)
+            hits += len(set(np.argsort(-every)[:20]) & set(answers))
+        assert hits >= 0.95 * 20 * len(asked)
+    assert work[1] < 4 * work[0]
+
+
+@pytest.mark.parametrize("collisions", [1, 2, 4])
+def test_met_counts_the_windows_a_vector_lies_in(collisions):
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((400, 8))
+    norms = np.linalg.norm(vectors, axis=1)
+    shell = Shell(np.arange(400), vectors, norms, 12)
+    query = (rng.standard_normal(8) / 3).astype(np.float32)
+    ((first, second),) = shell.places(query[None])
+    # The cell of each vector in each table, from the tables' spans.
+    cells = (2 * shell.lines) ** 2
+    for least in (0.2, 0.6, 1.2, 50.0):
+        times = Counter()
+        for table in range(12):
+            for cell in range(cells):
+                i, j = divmod(cell, 2 * shell.lines)
+                if first[table, i] + second[table, j] >= least:
+                    at = table * cells + cell
+                    times.update(shell.order[shell.begin[at] : shell.begin[at + 1]].tolist())
+        expected = sorted(v for v, n in times.items() if n >= collisions)
+        assert shell.met(first, second, least, collisions).tolist() == expected
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
